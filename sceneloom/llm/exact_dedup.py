@@ -2,8 +2,8 @@
 
 A text is cut where its own content says so, chunks are known by digests, and a document is the ordered
 list of its chunks' verified identifiers. Texts are equal if their lists are. Documents move through
-the shuffle as lists of 16-byte digests; chunk bytes move at most once, combined before the shuffle,
-to prove that a digest stands for one content.
+the shuffle as lists of 16-byte digests, never as texts. That a digest stands for one chunk is proved by
+the chunk's length and SHA-256; where it does not, the identifiers are numbered apart.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.shared import stored, with_lookup
@@ -90,44 +90,38 @@ def _recipes(c: Chunking):
 
 
 def _chunks(c: Chunking, seen_limit: int = 200_000):
-    """Distinct (digest, content) of a task, as far as its bounded memory of digests reaches."""
-    schema = pa.schema([("digest", pa.binary()), ("content", pa.binary())])
+    """Distinct (digest, proof) of a task, as far as its bounded memory reaches; proof is length and SHA-256."""
+    schema = pa.schema([("digest", pa.binary()), ("proof", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bytes] = {}
-        out: list[tuple[bytes, bytes]] = []
-        held = 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=schema)
-
+        seen: set[bytes] = set()
         for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
             for value in batch.column(0):
                 if not value.is_valid:
                     continue
-                data, start = value.as_buffer().to_pybytes(), 0
-                for end in cut_points(data, c):
-                    chunk = data[start:end]
-                    start = end
-                    key, own = _digest(chunk, c), hashlib.blake2b(chunk, digest_size=16).digest()
-                    if seen.get(key) == own:
+                for key, proof in _proved(value.as_buffer().to_pybytes(), c):
+                    if key + proof in seen:
                         continue
                     if len(seen) < seen_limit:
-                        seen.setdefault(key, own)
-                    out.append((key, chunk))
-                    held += len(chunk)
-                    if held > 8_000_000:
-                        yield block()
-                        out, held = [], 0
-        if out:
-            yield block()
+                        seen.add(key + proof)
+                    out.append((key, proof))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=schema)
 
     return run
 
 
+def _proved(data: bytes, c: Chunking) -> Iterator[tuple[bytes, bytes]]:
+    start = 0
+    for end in cut_points(data, c):
+        chunk = data[start:end]
+        start = end
+        yield _digest(chunk, c), len(chunk).to_bytes(4, "big") + hashlib.sha256(chunk).digest()
+
+
 def _numbered(c: Chunking):
-    """Every chunk of a document: (doc_key, at, digest, content)."""
-    schema = pa.schema([("doc_key", pa.string()), ("at", pa.int32()), ("digest", pa.binary()), ("content", pa.binary())])
+    """Every chunk of a document: (doc_key, at, digest, proof)."""
+    schema = pa.schema([("doc_key", pa.string()), ("at", pa.int32()), ("digest", pa.binary()), ("proof", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,33 +129,26 @@ def _numbered(c: Chunking):
             for value in batch.column(0):
                 if not value.is_valid:
                     continue
-                data, start = value.as_buffer().to_pybytes(), 0
+                data = value.as_buffer().to_pybytes()
                 sha = hashlib.sha256(data).hexdigest()
-                for at, end in enumerate(cut_points(data, c)):
-                    rows.append((sha, at, _digest(data[start:end], c), data[start:end]))
-                    start = end
+                rows += [(sha, at, key, proof) for at, (key, proof) in enumerate(_proved(data, c))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.types[i]) for i in range(4)], schema=schema)
 
     return run
 
 
 def collided_chunks(docs: DataFrame, c: Chunking, text_col: str = "text") -> DataFrame:
-    """Contents that share a digest with another content, numbered: ``(digest, content, nth)``.
+    """Chunks that share a digest with a different chunk, numbered: ``(digest, proof, nth)``.
 
-    The check is by bytes. With 16-byte digests the result is empty unless chunks were made to collide.
+    With 16-byte digests the result is empty unless chunks were made to collide. Digests are compared before
+    the shuffle as far as a task sees them, so a chunk that all documents share is a row per task.
     """
-    distinct = docs.select(text_col).mapInArrow(_chunks(c), "digest binary, content binary").groupBy("digest", "content").count()
-    first = F.struct(F.sha2("content", 256).alias("h"), F.length("content").alias("n"))
-    by_digest = distinct.select("digest", first.alias("who")).groupBy("digest").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b")
-    clashes = stored(by_digest.select("digest"), "clashes")
+    distinct = docs.select(text_col).mapInArrow(_chunks(c), "digest binary, proof binary")
+    clashes = stored(distinct.groupBy("digest").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b").select("digest"), "clashes")
     if clashes.isEmpty():
-        return docs.sparkSession.createDataFrame([], "digest binary, content binary, nth int")
-    again = docs.select(text_col).mapInArrow(_chunks(c), "digest binary, content binary").join(clashes, "digest", "left_semi")
-    from pyspark.sql import Window
-
-    return stored(
-        again.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("content"))), "verified"
-    )
+        return docs.sparkSession.createDataFrame([], "digest binary, proof binary, nth int")
+    again = distinct.join(clashes, "digest", "left_semi").distinct()
+    return stored(again.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("proof"))), "verified")
 
 
 def recipes(docs: DataFrame, chunking: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,9 +159,9 @@ def recipes(docs: DataFrame, chunking: Chunking = Chunking(), id_col: str = "doc
     clashes = collided_chunks(docs, c, text_col)
     if clashes.isEmpty():
         return out
-    # Lists with a collided digest get the number of the content behind each identifier.
-    numbered = docs.select(text_col).mapInArrow(_numbered(c), "doc_key string, at int, digest binary, content binary")
-    marks = numbered.join(clashes, ["digest", "content"]).groupBy("doc_key").agg(F.array_sort(F.collect_set(F.struct("at", "nth"))).alias("marks"))
+    # Lists with a collided digest get the number of the chunk behind each identifier.
+    numbered = docs.select(text_col).mapInArrow(_numbered(c), "doc_key string, at int, digest binary, proof binary")
+    marks = numbered.join(clashes, ["digest", "proof"]).groupBy("doc_key").agg(F.array_sort(F.collect_set(F.struct("at", "nth"))).alias("marks"))
     marks = marks.select("doc_key", F.to_json("marks").cast("binary").alias("marks"))
     return out.join(marks, F.col("text_sha256") == F.col("doc_key"), "left").select(
         "doc_id", "text_sha256", F.concat("recipe", F.coalesce("marks", F.lit(b""))).alias("recipe")
@@ -193,7 +180,7 @@ def exact_groups(docs: DataFrame, chunking: Chunking = Chunking(), id_col: str =
     """
     rows = recipes(docs, chunking, id_col, text_col)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(groups, "recipe")
+    joined = rows.join(stored(groups, "groups"), "recipe")  # stored, so that a hot list's rows can be split
     return joined.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

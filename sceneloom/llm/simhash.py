@@ -162,7 +162,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(ids, "component").select("fp", "component_id")
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(known, "fp").select(
+    return prints.join(stored(known, "components"), "fp").select(  # stored, so that a hot fingerprint's rows can be split
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
