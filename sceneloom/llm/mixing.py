@@ -112,7 +112,7 @@ def plan_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), *, whole: b
             words = F.when(F.lit(2) * start + size <= F.lit(2) * total, size).otherwise(F.lit(0))
         else:
             words = F.greatest(F.least(total - start, size), F.lit(0))
-        middle = F.least((start.cast("double") + words / F.lit(2.0)) / total, F.lit(1.0))
+        middle = F.least((start.cast("double") + words / F.lit(2.0)) / F.greatest(total, F.lit(1)), F.lit(1.0))
         return F.struct(F.lit(k).alias("pass"), words.cast("long").alias("words"), _position(F.col("slot"), middle, c).alias("position"))
 
     rows = rows.withColumn("passes", F.filter(F.array(*[one(k) for k in range(c.max_repeat)]), lambda p: p["words"] > 0))
