@@ -1,6 +1,56 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: from raw documents to packed batches.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return documents with their own
+columns. Between stages the driver (or ``run``) writes the result as Parquet and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sceneloom.llm import exact_dedup, mixing, packing, quality, simhash
+from sceneloom.shared import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the adaptive fences."""
+    return quality.keep_good(docs, quality.judge(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest id."""
+    return exact_dedup.drop_copies(docs, exact_dedup.exact_groups(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, the one with the smallest id."""
+    return simhash.keep_one(docs, simhash.near_groups(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents in training order, as often as their source's target asks for (none, once or twice)."""
+    return mixing.apply_mix(docs, mixing.plan_mix(docs, whole=True))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document reading with its bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("simhash near-dedup", near_copies),
+    ("source mixing", source_mix),
+    ("packing", packed),
+]
+
+#: XXH64 fingerprints and their components are beyond DuckDB's SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
