@@ -1,0 +1,3 @@
+"""Canonical adapters and the registered queries."""
+
+from sceneloom.plans import series_queries  # noqa: F401
