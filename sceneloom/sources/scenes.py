@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 GEOM = "struct<kind:string,shape:string,extent:array<double>,size:array<double>,radius:double,radius_top:double,radius_bottom:double,height:double,axis:string,query:string,ref:string>"
 POSE = "struct<pos:array<double>,quat:array<double>>"
@@ -108,7 +109,7 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces, array order kept; null if it cannot be read."""
     def one(x):
