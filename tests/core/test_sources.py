@@ -90,7 +90,7 @@ def test_generation_is_a_function_of_the_spec(spark):
 def test_stream_equals_batch_and_late_frames_change_nothing(spark, tmp_path):
     rows = [(1, 100 * f + k, f, "crate", 0.9, 40.0 * k + f, 0.0, 40.0 * k + f + 10, 10.0) for f in range(40) for k in range(3)]
     schema = "clip long, detection_id long, frame int, label string, score double, x1 double, y1 double, x2 double, y2 double"
-    table = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("frame") * 3600))
+    table = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds((F.col("frame") + 1000) * 3600))
     for i, (lo, hi) in enumerate([(0, 10), (10, 25), (25, 40)]):
         table.where((F.col("frame") >= lo) & (F.col("frame") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table.where("frame = 3").withColumn("detection_id", F.col("detection_id") + 50).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
