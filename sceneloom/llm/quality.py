@@ -33,7 +33,7 @@ class Fences:
     reach: float = 6.0
     least_rows: int = 50
     least_spread: tuple[tuple[str, float], ...] = (
-        ("symbols", 25.0), ("dup_lines", 80.0), ("repeats", 60.0), ("word_chars", 40.0)
+        ("symbols", 25.0), ("dup_lines", 100.0), ("repeats", 60.0), ("word_chars", 40.0)
     )
     two_sided: tuple[str, ...] = ("word_chars",)
 
