@@ -79,17 +79,17 @@ def retrieve(scored: DataFrame, images: DataFrame | None, k: int = 5, image_weig
     return rows.where(F.col("__r") <= k).select(*keys, "asset_id", "score", F.col("__r").alias("rank"))
 
 
-def view_scores(queries: DataFrame, views: DataFrame, block: int = 256) -> DataFrame:
+def view_scores(queries: DataFrame, views: DataFrame, query_block: int = 512, view_block: int = 4096) -> DataFrame:
     """``query_id, asset_id, score``: best cosine over an asset's views, negative ones zero, four places.
 
-    ``queries(query_id, vec)``, ``views(asset_id, view_id, vec)``. Views are packed into blocks of rows; each batch of queries meets each
-    block in one matrix product, and only the best per asset leaves it. The blocks, not the pairs, are what is dealt.
+    ``queries(query_id, vec)``, ``views(asset_id, view_id, vec)``. Both sides are packed into blocks of bounded size, as many as their
+    counts ask for; each block of queries meets each block of views in one matrix product, and only the best per asset leaves
+    it. The best of an asset whose views lie in several blocks is taken afterwards.
     """
-    blocks = views.groupBy(F.pmod(F.xxhash64("asset_id"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("asset_id", "vec")).alias("views"))
-    asks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("ask"), F.floor(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(1 << 20)) / F.lit((1 << 20) // max(1, block // 64))).alias("part")).agg(
-        F.collect_list(F.struct("query_id", "vec")).alias("queries")
-    )
-    dealt = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>"))).join(blocks, "block")
+    n_ask, n_view = max(1, -(-queries.count() // query_block)), max(1, -(-views.count() // view_block))
+    blocks = views.groupBy(F.pmod(F.xxhash64("asset_id", "view_id"), F.lit(n_view)).alias("block")).agg(F.collect_list(F.struct("asset_id", "vec")).alias("views"))
+    asks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).alias("ask")).agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
+    dealt = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_view - 1)).cast("array<bigint>"))).join(blocks, "block")
 
     def unit(rows: list[dict]) -> np.ndarray:
         m = np.array([r["vec"] for r in rows], dtype=np.float64)
@@ -107,7 +107,8 @@ def view_scores(queries: DataFrame, views: DataFrame, block: int = 256) -> DataF
                     [pa.array(np.repeat([r["query_id"] for r in asks_], n)), pa.array(np.tile(ids[starts], len(asks_))), pa.array(np.round(best, 4).ravel())], names=["query_id", "asset_id", "score"]
                 )
 
-    return dealt.select("queries", "views").mapInArrow(run, "query_id long, asset_id long, score double")
+    best = dealt.select("queries", "views").mapInArrow(run, "query_id long, asset_id long, score double")
+    return best.groupBy("query_id", "asset_id").agg(F.max("score").alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

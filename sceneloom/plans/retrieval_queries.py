@@ -65,8 +65,7 @@ def r3_view_scores(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))  # the stated query set, against all rows
     views = e.select(F.col("label").cast("long").alias("asset_id"), F.col("vec_id").alias("view_id"), F.col("embedding").alias("vec"))
-    scores = R.view_scores(queries, views)
-    return scores.groupBy("query_id", "asset_id").agg(F.max("score").alias("score"))
+    return R.view_scores(queries, views)
 
 
 IMAGES = "images AS (SELECT query, asset_id, ((asset_id * 7 + length(query)) % 11) / 11::DOUBLE AS image FROM scored)"
