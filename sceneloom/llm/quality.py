@@ -121,8 +121,9 @@ def thresholds(sketch: DataFrame, fences: Fences = Fences()) -> DataFrame:
     """``lang, source`` and for each metric ``<metric>_min`` and ``<metric>_max`` (doubles)."""
     own = _quartiles(sketch, ["lang", "source"], "own")
     lang = _quartiles(sketch, ["lang"], "lang")
-    everything = _quartiles(sketch.withColumn("__key", F.lit(0)), ["__key"], "every")
-    table = with_lookup(with_lookup(own, lang, ["lang"]).withColumn("__key", F.lit(0)), everything, ["__key"])
+    # One row of quartiles over everything: a few numbers, whatever the input, so the driver may hold them.
+    every = _quartiles(sketch.withColumn("__key", F.lit(0)), ["__key"], "every").first()
+    table = with_lookup(own, lang, ["lang"])
     spreads = dict(fences.least_spread)
     out = [F.col("lang"), F.col("source")]
     for metric in rates():
@@ -130,7 +131,7 @@ def thresholds(sketch: DataFrame, fences: Fences = Fences()) -> DataFrame:
             return (
                 F.when(F.col("own_rows") >= fences.least_rows, F.col(f"own_{m}_{end}"))
                 .when(F.col("lang_rows") >= fences.least_rows, F.col(f"lang_{m}_{end}"))
-                .otherwise(F.col(f"every_{m}_{end}")).cast("double")
+                .otherwise(F.lit(every[f"every_{m}_{end}"] if every else None)).cast("double")
             )
         lo, hi = pick("lo"), pick("hi")
         reach = F.lit(fences.reach) * F.greatest(hi - lo, F.lit(spreads[metric]))
