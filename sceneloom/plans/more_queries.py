@@ -136,3 +136,22 @@ def x2_track_sessions(spark, d):
     return out.groupBy("clip", "instance").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
+
+
+@query(f"""WITH {NODES}, p AS (SELECT clip, node, ex AS e, t, ['prismatic', 'revolute', 'periodic_rotate', 'trajectory', 'static'][(node % 5 + 1)::INT] AS motion, px FROM nodes, (SELECT unnest([0.0, 0.75, 1.75, 2.25, 3.0]::DOUBLE[]) AS t)),
+v AS (SELECT *, CASE WHEN t < 0.5 THEN 0 WHEN t < 1.5 THEN e * (t - 0.5) WHEN t < 2 THEN e WHEN t < 2.5 THEN e + (-e - e) * ((t - 2) / 0.5) ELSE -e END AS told FROM p)
+SELECT motion, t, count(*) AS n, round(avg(CASE motion WHEN 'prismatic' THEN px + told WHEN 'trajectory' THEN CASE WHEN t <= 1 THEN px + (e * 2) * t WHEN t <= 2 THEN px + e * 2 + (0 - e * 2) * (t - 1) ELSE px END ELSE px END), 5) AS px,
+  round(avg(CASE motion WHEN 'revolute' THEN told WHEN 'periodic_rotate' THEN e * sin(6.283185307179586 * t / 2.0 + 0.5) ELSE 0 END), 5) + 0.0::DOUBLE AS angle_deg FROM v GROUP BY ALL""")
+def t11_sample_motion(spark, d):
+    from sceneloom.operators.motion import sample_motion
+
+    pick = F.array(*[F.lit(m) for m in ("prismatic", "revolute", "periodic_rotate", "trajectory", "static")])[F.expr("cast(node % 5 AS int)")]
+    e = F.col("ex")
+    moves = F.array(F.struct(F.lit(0.5).alias("t"), e.alias("to"), F.lit(1.0).alias("duration")), F.struct(F.lit(2.0).alias("t"), (-e).alias("to"), F.lit(0.5).alias("duration")))
+    frame = lambda t, x: F.struct(F.lit(t).alias("t"), F.array(x, F.col("py"), F.col("pz")).alias("pos"))
+    n = nodes(spark, d).select(
+        "clip", "node", pick.alias("motion"), F.array("px", "py", "pz").alias("pos"), F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]).alias("quat"), F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0)]).alias("axis"), F.lit(0.0).alias("start"),
+        F.lit(0.0).alias("rate"), e.alias("amp"), F.lit(2.0).alias("period"), F.lit(0.5).alias("phase"), moves.alias("schedule"), F.array(frame(0.0, F.col("px")), frame(1.0, F.col("px") + e * 2), frame(2.0, F.col("px"))).alias("keyframes"), F.lit(False).alias("smooth"),
+    )
+    s = sample_motion(n, F.array(*[F.lit(t) for t in (0.0, 0.75, 1.75, 2.25, 3.0)])).join(n.select("clip", "node", "motion"), ["clip", "node"])
+    return s.groupBy("motion", "t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("pos")[0]), 5).alias("px"), (F.round(F.avg("angle_deg"), 5) + F.lit(0.0)).alias("angle_deg"))

@@ -115,7 +115,7 @@ def test_plugins_must_keep_their_schema(spark):
 
 def test_text_admits_and_images_only_reorder(spark):
     assets = spark.createDataFrame([("t/train", "train", "train", "Train Kit"), ("t/carriage", "train-carriage-box", "train", "Train Kit"), ("c/train", "coaster-train", "coaster", "Coaster Kit"), ("f/cab", "bathroomCabinet", "furniture", "Furniture"),
-                                    ("b/ball", "ball-red", "toys", "Toys"), ("f/books", "books", "furniture", "Furniture")], "asset_id string, name string, kit string, kit_title string")
+                                    ("b/ball", "ball-red", "misc", "Misc"), ("f/books", "books", "furniture", "Furniture")], "asset_id string, name string, kit string, kit_title string")
     q = spark.createDataFrame([("toy train",), ("book",), ("metal ball",), ("nothing",), ("cupboard",)], "query string")
     s = R.score_assets(q, assets)
     best = {r.query: r.asset_id for r in R.retrieve(s, None, 1).collect()}
