@@ -49,7 +49,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     return base.select(
         "doc_id", assign.alias("assign"), find_spans(t, ACCESS, t.contains("AKIA")).alias("access"),
         find_spans(t, HEX, t.rlike("[0-9a-f]{16}")).alias("hex"), find_spans(t, TOKEN, t.rlike("[A-Za-z0-9+/_=-]{20}")).alias("tokens"),
-        F.slice(F.regexp_extract_all(F.substring(t, 1, 2_000), F.lit(ORDINARY), F.lit(0)), 1, params.per_document).alias("ordinary"),
+        F.slice(F.regexp_extract_all(t, F.lit(ORDINARY), F.lit(0)), 1, params.per_document).alias("ordinary"),
     )
 
 
