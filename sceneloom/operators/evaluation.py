@@ -232,3 +232,14 @@ def dataset_profile(nodes: DataFrame, clip: str, motion: str, material: str, voc
     return nodes.groupBy(clip).agg(
         F.array_sort(F.collect_set(motion)).alias("motion_types"), F.countDistinct(material).alias("material_forms"), F.count_if(F.lower(name).isin(*vocabulary)).alias("vocabulary_hits"), F.count(F.lit(1)).alias("nodes")
     )
+
+
+def clip_aggregates(metrics: DataFrame, clip: str, columns: list[str]) -> DataFrame:
+    """Means of object metrics per clip, six places."""
+    return metrics.groupBy(clip).agg(F.count(F.lit(1)).alias("objects"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in columns])
+
+
+def arms_side_by_side(pooled: DataFrame, arm: str, arms: list[str], metrics: list[str]) -> DataFrame:
+    """A row per metric, a column per arm."""
+    long = pooled.select(arm, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(arm, "x.*")
+    return long.groupBy("metric").agg(*[F.max(F.when(F.col(arm) == a, F.col("value"))).alias(a) for a in arms])

@@ -381,3 +381,19 @@ def articulation_outcomes(predicted: DataFrame, truth: DataFrame, keys: list[str
         F.count(F.lit(1)).alias("objects"), F.count_if(F.col("joint").isNotNull()).alias("predicted"), F.count_if(right).alias("right"), F.count_if(moving).alias("moving"),
         (F.count_if(right) / F.greatest(F.count_if(F.col("joint").isNotNull()), F.lit(1))).alias("precision"), (F.count_if(right) / F.greatest(F.count_if(moving), F.lit(1))).alias("recall"),
     )
+
+
+def miss_nulls(truths: DataFrame, clip: str, points: int = 512) -> DataFrame:
+    """Yardsticks for misses: median distance of a truth to the nearest other truth, and of uniform points in the clip's box to the nearest truth.
+
+    ``truths(clip, node, px, pz)``. Points are hashes of the clip and their number.
+    """
+    other = truths.select(clip, F.col("node").alias("o"), F.col("px").alias("ox"), F.col("pz").alias("oz"))
+    near = lambda x, z: F.hypot(F.col(x) - F.col("ox"), F.col(z) - F.col("oz"))
+    a = truths.join(other, clip).where("node <> o").groupBy(clip, "node").agg(F.min(near("px", "pz")).alias("d")).groupBy(clip).agg(F.percentile("d", F.lit(0.5)).alias("other_truth"))
+    box = truths.groupBy(clip).agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("pz").alias("z0"), F.max("pz").alias("z1"))
+    spots = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    u = lambda axis: F.conv(F.substring(F.md5(F.concat_ws("/", F.col(clip).cast("string"), F.col("i").cast("string"), F.lit(axis)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    spots = spots.select(clip, "i", (F.col("x0") + (F.col("x1") - F.col("x0")) * u("x")).alias("x"), (F.col("z0") + (F.col("z1") - F.col("z0")) * u("z")).alias("z"))
+    b = spots.join(other, clip).groupBy(clip, "i").agg(F.min(near("x", "z")).alias("d")).groupBy(clip).agg(F.percentile("d", F.lit(0.5)).alias("uniform_points"))
+    return b.join(a, clip, "left")

@@ -216,3 +216,21 @@ def likeness(frames: DataFrame, clip: str, order: str, vec: str, other: str) ->
     m = lambda x: F.percentile(x, F.lit(0.5))
     out = j.groupBy(clip).agg(m(dot(F.col("__a"), F.col("__b"))).alias("paired"), m(dot(F.col("__a"), F.col("__p"))).alias("self"), m(dot(F.col("__a"), F.col("__f"))).alias("floor"))
     return out.withColumn("normalised", F.when(F.abs(F.col("self") - F.col("floor")) > 1e-9, (F.col("paired") - F.col("floor")) / (F.col("self") - F.col("floor"))))
+
+
+def observed_ratios(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Edge ratios of each object's median box size."""
+    m = boxes.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("ex", "ey", "ez")])
+    edges = F.reverse(F.array_sort(F.array("ex", "ey", "ez")))
+    return m.where(edges[0] > 0).select(*keys, F.transform(edges, lambda e: e / edges[0]).alias("ratios"))
+
+
+def choice_audit(chosen: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    """Of choices that are no fallback: share with a true asset, with an asset of a true kit, and mean distance of shape to the nearest truth.
+
+    ``chosen(keys, asset_id, kit, ratios)``, ``truths(keys, true_id, true_kit, true_ratios)``: the clip's truths are a set.
+    """
+    j = chosen.join(truths, keys)
+    far = F.aggregate(F.zip_with("ratios", "true_ratios", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 3
+    per = j.groupBy(*keys, "asset_id").agg(F.bool_or(F.col("asset_id") == F.col("true_id")).alias("exact"), F.bool_or(F.col("kit") == F.col("true_kit")).alias("kit"), F.min(far).alias("far"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("exact").cast("double")).alias("exact"), F.avg(F.col("kit").cast("double")).alias("same_kit"), F.avg("far").alias("shape_distance"))

@@ -72,19 +72,51 @@ def apply_settled(nodes: DataFrame, report: DataFrame, keys: list[str], least: f
     return out.withColumns({c: F.when(F.col("settled"), F.col(s)).otherwise(F.col(c)) for c, s in (("px", "sx"), ("py", "sy"), ("pz", "sz"))}).drop("sx", "sy", "sz")
 
 
+def _vertical() -> list[Column]:
+    """How far each local axis points up or down, from the quaternion: absolute second row of its rotation."""
+    return [F.abs(F.expr("2 * (qx * qy + qw * qz)")), F.abs(F.expr("1 - 2 * (qx * qx + qz * qz)")), F.abs(F.expr("2 * (qy * qz - qw * qx)"))]
+
+
 def affordance(nodes: DataFrame, ground: DataFrame, moving: Column) -> DataFrame:
-    """Role of each node without rotation: first rule that fits, hazards before platforms before the rest."""
+    """Role of each node: first rule that fits, hazards before platforms before the rest.
+
+    A node may have several rows, one per instance: the most lenient instance decides. With ``qx, qy, qz, qw`` boxes are turned
+    first: a face carries a player if its footprint is large enough and it is not too steep; without them boxes stand upright.
+    """
+    up = _vertical() if "qx" in nodes.columns else [F.lit(0.0), F.lit(1.0), F.lit(0.0)]
+    edges = ("ex", "ey", "ez")
+    stand = F.lit(False)
+    for k in range(3):
+        i, j = (c for c in range(3) if c != k)
+        stand = stand | ((F.col(edges[i]) * F.col(edges[j]) * up[k] >= PLATFORM_TOP_M2) & (up[k] >= math.cos(math.radians(MAX_SLOPE_DEG))))
+    rows = nodes.join(ground, "clip", "left").withColumns({"__m": moving, "__stand": stand, "__high": F.col("py") - F.coalesce("level", F.lit(0.0))})
+    one = rows.groupBy("clip", "node").agg(
+        *[F.first(c).alias(c) for c in ("class", "grp", *edges)], F.bool_or("__m").alias("__m"), F.bool_or("__stand").alias("__stand"), F.min("__high").alias("__high")
+    )
     hazard = F.lower(F.coalesce("class", F.lit(""))).rlike("|".join(HAZARDS))
-    top = F.greatest(F.when(F.col("ex") * F.col("ez") >= PLATFORM_TOP_M2, F.col("ex") * F.col("ez")), F.lit(None).cast("double"))
-    edges = F.reverse(F.array_sort(F.array("ex", "ey", "ez")))
-    small = (edges[0] <= COLLECTIBLE_M) & (edges[1] / F.greatest(edges[0], F.lit(1e-6)) >= CHUNKINESS)
-    reach = F.col("py") - F.coalesce("level", F.lit(0.0)) <= REACH_M
+    sizes = F.reverse(F.array_sort(F.array(*edges)))
+    small = (sizes[0] <= COLLECTIBLE_M) & (sizes[1] / F.greatest(sizes[0], F.lit(1e-6)) >= CHUNKINESS)
+    reach = F.col("__high") <= REACH_M
     role = (
-        F.when(hazard, "hazard").when(F.col("grp") == "static", "static_structure").when(F.least("ex", "ey", "ez") <= 0, "decoration")
-        .when(top.isNotNull() & moving, "dynamic_platform").when(top.isNotNull(), "platform").when(small & reach, "collectible")
-        .when(moving & reach, "moving_obstacle").otherwise("decoration")
+        F.when(hazard, "hazard").when(F.col("grp") == "static", "static_structure").when(F.least(*edges) <= 0, "decoration")
+        .when(F.col("__stand") & F.col("__m"), "dynamic_platform").when(F.col("__stand"), "platform").when(small & reach, "collectible")
+        .when(F.col("__m") & reach, "moving_obstacle").otherwise("decoration")
     )
-    return nodes.join(ground, "clip", "left").withColumn("role", role).drop("level")
+    return one.withColumn("role", role).drop("__m", "__stand", "__high")
+
+
+def binding_slots(roles: DataFrame) -> DataFrame:
+    """Per clip the nodes of each slot that a game binding asks for."""
+    pick = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("node"))))
+    return roles.groupBy("clip").agg(pick("collectible").alias("collectibles"), pick("hazard").alias("hazards"), pick("dynamic_platform").alias("dynamic_platforms"), pick("moving_obstacle").alias("moving_obstacles"))
+
+
+def footprint_factor(nodes: DataFrame, target: float = 24.0, dead_band: float = 0.05) -> DataFrame:
+    """Factor per clip that brings its horizontal footprint to the target; none if it is within the dead band."""
+    side = lambda c: F.max(F.expr(f"p{c} + e{c} / 2")) - F.min(F.expr(f"p{c} - e{c} / 2"))
+    size = nodes.groupBy("clip").agg(F.greatest(side("x"), side("z")).alias("footprint")).where("footprint > 0")
+    k = F.lit(target) / F.col("footprint")
+    return size.withColumn("k", F.when(F.abs(k - 1) <= dead_band, 1.0).otherwise(k))
 
 
 def ground_level(nodes: DataFrame) -> DataFrame:

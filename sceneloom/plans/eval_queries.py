@@ -355,3 +355,26 @@ def j14_articulation_outcomes(spark, d):
     p = predictions(spark, d).select("clip", "node", F.when(F.col("node") % 4 != 3, pick("prismatic", "revolute", "prismatic")).alias("joint"))
     out = M.articulation_outcomes(p, t, ["clip", "node"])
     return out.withColumn("precision", r6(F.col("precision"))).withColumn("recall", r6(F.col("recall")))
+
+
+@query(f"""WITH {NODES}, a AS (SELECT clip, quantile_cont(d, 0.5) AS v FROM (SELECT g.clip, g.node, min(sqrt((g.px - o.px) ** 2 + (g.pz - o.pz) ** 2)) AS d FROM nodes g JOIN nodes o ON g.clip = o.clip AND g.node <> o.node GROUP BY ALL) GROUP BY clip),
+b AS (SELECT clip, min(px) AS x0, max(px) AS x1, min(pz) AS z0, max(pz) AS z1 FROM nodes GROUP BY clip), p AS (SELECT clip, i, x0 + (x1 - x0) * (('0x' || substr(md5(clip || '/' || i || '/x'), 1, 8))::BIGINT / 4294967296::DOUBLE) AS x, z0 + (z1 - z0) * (('0x' || substr(md5(clip || '/' || i || '/z'), 1, 8))::BIGINT / 4294967296::DOUBLE) AS z FROM b, (SELECT unnest(range(16)) AS i)),
+u AS (SELECT clip, quantile_cont(d, 0.5) AS v FROM (SELECT p.clip, p.i, min(sqrt((p.x - o.px) ** 2 + (p.z - o.pz) ** 2)) AS d FROM p JOIN nodes o ON p.clip = o.clip GROUP BY ALL) GROUP BY clip)
+SELECT u.clip, round(u.v, 5) AS uniform_points, round(a.v, 5) AS other_truth FROM u LEFT JOIN a ON u.clip = a.clip""")
+def j9_miss_nulls(spark, d):
+    out = M.miss_nulls(nodes(spark, d).select("clip", "node", "px", "pz"), "clip", 16)
+    return out.select("clip", F.round("uniform_points", 5).alias("uniform_points"), F.round("other_truth", 5).alias("other_truth"))
+
+
+@query(f"WITH {QUALITY} SELECT clip, count(*) AS objects, round(avg(coverage), 6) AS mean_coverage, round(avg(depth_measured), 6) AS mean_depth_measured, round(avg(span_ratio), 6) AS mean_span_ratio FROM q GROUP BY clip")
+def a4_clip_aggregates(spark, d):
+    return E.clip_aggregates(_quality(spark, d), "clip", ["coverage", "depth_measured", "span_ratio"])
+
+
+ARMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""WITH {POOLED}, l AS (SELECT config, 'median_error' AS metric, median_error AS v FROM pooled UNION ALL SELECT config, 'mean_recall', mean_recall FROM pooled)
+SELECT metric, {", ".join(f"max(CASE WHEN config = '{a}' THEN v END) AS " + chr(34) + a + chr(34) for a in ARMS)} FROM l GROUP BY metric""")
+def a3_arms_side_by_side(spark, d):
+    return E.arms_side_by_side(_pooled(spark, d), "config", ARMS, ["median_error", "mean_recall"])

@@ -285,3 +285,23 @@ def g11_pixel_coverage(spark, d):
     p = states(spark, d).select("clip", F.floor(F.col("t") / 86400).cast("long").alias("frame"), F.expr("cast(floor(x) AS int) % 12").alias("u"), F.expr("cast(floor(y) AS int) % 9").alias("v"))
     out = G.pixel_coverage(p, "clip", "frame", 108.0)
     return out.withColumn("mean_coverage", r6(F.col("mean_coverage"))).withColumn("best_coverage", r6(F.col("best_coverage")))
+
+
+@query("""WITH m AS (SELECT l_partkey, list_reverse_sort([quantile_cont(l_quantity, 0.5), quantile_cont(100 * l_discount, 0.5), quantile_cont(100 * l_tax, 0.5)]) AS e FROM lineitem GROUP BY l_partkey)
+SELECT l_partkey, round(e[2] / e[1], 6) AS b, round(e[3] / e[1], 6) AS c FROM m WHERE e[1] > 0""")
+def r5_observed_ratios(spark, d):
+    li = table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("ex"), (100 * F.col("l_discount")).alias("ey"), (100 * F.col("l_tax")).alias("ez"))
+    return R.observed_ratios(li, ["l_partkey"]).select("l_partkey", r6(F.col("ratios")[1]).alias("b"), r6(F.col("ratios")[2]).alias("c"))
+
+
+@query(f"""WITH {TEXT_RANKED}, {SHAPES}, c AS (SELECT query, length(query) % 9 AS clip, asset_id FROM ranked WHERE rank = 1 AND score >= 0.45), t AS (SELECT p_partkey % 9 AS clip, p_partkey AS true_id, p_brand AS true_kit FROM part WHERE p_size = 7),
+j AS (SELECT c.clip, c.asset_id, bool_or(c.asset_id = true_id) AS exact, bool_or(a.kit = true_kit) AS kit, min((abs(s.s[1] - ts.s[1]) + abs(s.s[2] - ts.s[2]) + abs(s.s[3] - ts.s[3])) / 3) AS far FROM c JOIN t ON c.clip = t.clip JOIN assets a ON a.asset_id = c.asset_id JOIN shapes s ON s.asset_id = c.asset_id JOIN shapes ts ON ts.asset_id = true_id GROUP BY c.clip, c.asset_id)
+SELECT count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(kit::INT), 6) AS same_kit, round(avg(far), 6) AS shape_distance FROM j""")
+def r10_choice_audit(spark, d):
+    part = table(spark, d, "part")
+    ratios = F.array(F.lit(1.0), F.expr("(p_size % 10 + 1) / 11D"), F.expr("(p_size % 7 + 1) / 77D"))
+    shapes = part.select(F.col("p_partkey").alias("asset_id"), F.col("p_brand").alias("kit"), ratios.alias("ratios"))
+    chosen = _ranked(spark, d, 1).where("score >= 0.45").select((F.length("query") % 9).cast("long").alias("clip"), "asset_id").join(shapes, "asset_id")
+    truths = part.where("p_size = 7").select((F.col("p_partkey") % 9).alias("clip"), F.col("p_partkey").alias("true_id"), F.col("p_brand").alias("true_kit"), ratios.alias("true_ratios"))
+    out = R.choice_audit(chosen, truths, ["clip"])
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("exact", "same_kit", "shape_distance")])

@@ -290,3 +290,21 @@ def v10_geometry_audit(spark, d):
     boxes = s.select("clip", F.col("instance").alias("object_id"), "t", F.col("y").alias("py"), F.lit(10.0).alias("ey"))
     out = rules.geometry_audit(boxes, planes, contacts, 20.0)
     return out.groupBy("clip", F.col("object_id").alias("instance")).agg(F.count(F.lit(1)).alias("n"), F.count_if("below").alias("below"), F.count_if("contradicted").alias("contradicted"))
+
+
+TURNED = f"""{NODES}, n AS (SELECT *, {NAMES} AS name, sin(0.2::DOUBLE * (node % 8)) AS qx, cos(0.2::DOUBLE * (node % 8)) AS qw FROM nodes), v AS (SELECT *, 0::DOUBLE AS v0, abs(1 - 2 * (qx * qx)) AS v1, abs(-2 * (qw * qx)) AS v2 FROM n)"""
+
+
+@query(f"""WITH {TURNED}, g AS (SELECT clip, arg_max(py + ey / 2, row(ex * ez, -node)) AS level FROM n WHERE grp = 'static' GROUP BY clip),
+s AS (SELECT v.*, coalesce(level, 0) AS level, (ey * ez * v0 >= 0.45 AND v0 >= 0.573576436351046) OR (ex * ez * v1 >= 0.45 AND v1 >= 0.573576436351046) OR (ex * ey * v2 >= 0.45 AND v2 >= 0.573576436351046) AS stand FROM v LEFT JOIN g USING (clip))
+SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(name), 'lava|spike|water|fire|acid') THEN 'hazard' WHEN grp = 'static' THEN 'static_structure' WHEN stand AND node % 2 = 0 THEN 'dynamic_platform' WHEN stand THEN 'platform'
+  WHEN greatest(ex, ey, ez) <= 1.4 AND list_sort([ex, ey, ez])[2] / greatest(ex, ey, ez) >= 0.3 AND py - level <= 2.7 THEN 'collectible' WHEN node % 2 = 0 AND py - level <= 2.7 THEN 'moving_obstacle' ELSE 'decoration' END AS role FROM s) GROUP BY role""")
+def p12_affordance_turned(spark, d):
+    n = _named(nodes(spark, d)).drop("class").withColumnRenamed("name", "class").withColumns({"qx": F.expr("sin(0.2D * (node % 8))"), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.expr("cos(0.2D * (node % 8))")})
+    return scene.affordance(n, scene.ground_level(n), F.col("node") % 2 == 0).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {NODES}, s AS (SELECT clip, greatest(max(px + ex / 2) - min(px - ex / 2), max(pz + ez / 2) - min(pz - ez / 2)) AS footprint FROM nodes GROUP BY clip)
+SELECT clip, round(footprint, 6) AS footprint, round(CASE WHEN abs(24 / footprint - 1) <= 0.05 THEN 1 ELSE 24 / footprint END, 6) AS k FROM s WHERE footprint > 0""")
+def p10_footprint_factor(spark, d):
+    return scene.footprint_factor(nodes(spark, d)).select("clip", r6(F.col("footprint")).alias("footprint"), r6(F.col("k")).alias("k"))
