@@ -208,10 +208,10 @@ def a17_paired_tests(spark, d):
     return E.paired_tests(states(spark, d), "x", "y").drop("p_value")
 
 
-@query(f"""WITH {NODES} SELECT clip, list_sort(list(DISTINCT 'm' || (node % 3))) AS motion_types, count(DISTINCT class) AS material_forms, count(*) FILTER (WHERE lower(class) IN ('a', 'r')) AS vocabulary_hits, count(*) AS nodes FROM nodes GROUP BY clip""")
+@query(f"""WITH {NODES} SELECT clip, array_to_string(list_sort(list(DISTINCT 'm' || (node % 3))), ',') AS motion_types, count(DISTINCT class) AS material_forms, count(*) FILTER (WHERE lower(class) IN ('a', 'r')) AS vocabulary_hits, count(*) AS nodes FROM nodes GROUP BY clip""")
 def a18_dataset_profile(spark, d):
     n = nodes(spark, d).withColumn("motion", F.concat(F.lit("m"), F.expr("cast(node % 3 AS string)")))
-    return E.dataset_profile(n, "clip", "motion", "class", ["a", "r"], "class")
+    return E.dataset_profile(n, "clip", "motion", "class", ["a", "r"], "class").withColumn("motion_types", F.array_join("motion_types", ","))
 
 
 DETECTIONS = f"""{STATES}, det AS (SELECT clip, event_id AS detection_id, floor(t / 3600)::BIGINT AS frame, instance AS label, x / 100 AS score, x AS x1, y AS y1, x + 30 AS x2, y + 40 AS y2 FROM states)"""
