@@ -62,7 +62,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("hashes"),
     )
-    places = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     third = second.withColumn("placed", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), places)).drop("hashes")
     placed = F.col("placed")
     marked = F.filter(
