@@ -2,8 +2,9 @@
 
 A page is a stream of block tags and text slots. Streams of one host are aligned again and again: what
 differs becomes optional, what recurs becomes a repeated group, and the result is a union-free regular
-expression, the host's wrapper. Its slots are judged once per host, by what all pages have in them and by what
-their elements are called, and the slots of the main region give every page's text.
+expression, the host's wrapper. Every page's blocks are mapped to the slots of that wrapper, and slots are judged once per
+host: the main region by sums over all pages and by what elements are called, and what a slot repeats on all pages
+as against what varies. The text of a page is what its slots of the main region hold, without what repeats.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,18 @@ class Block:
     hidden: bool
 
 
+@dataclass(frozen=True)
+class Repeats:
+    """A text is a host's furniture if at least ``pages`` different pages and the part ``host`` of all its different pages
+    have it in one element path, and it fills its wrapper slot on the part ``slot`` of the pages that have the slot. A host
+    whose furniture would be more than the part ``most`` of its characters has versions of one text, and none is judged."""
+
+    pages: int = 5
+    host: float = 0.5
+    slot: float = 0.9
+    most: float = 0.5
+
+
 def _key(tag: str, attributes: str) -> tuple[str, bool]:
     """Name of an element in paths (tag and class words), and whether it holds no main text."""
     names = " ".join("".join(m) for m in NAMES.findall(attributes)) if "=" in attributes else ""
@@ -147,9 +162,14 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
 
 def fold(tokens: list, longest: int = 12) -> list:
     """Collapse runs of equal sequences into one repeated group, a tuple ``("+", sequence)``; shortest periods first."""
-    out = list(tokens)
+    return folded(tokens, longest)[0]
+
+
+def folded(tokens: list, longest: int = 12) -> tuple[list, list[int]]:
+    """``fold``, and how many of the tokens each of its tokens stands for."""
+    out, sizes = list(tokens), [1] * len(tokens)
     for period in range(1, longest + 1):
-        new, i = [], 0
+        new, spans, i = [], [], 0
         while i < len(out):
             seq = out[i : i + period]
             n = 1
@@ -157,14 +177,29 @@ def fold(tokens: list, longest: int = 12) -> list:
                 n += 1
             if n > 1:
                 new.append(seq[0] if period == 1 and isinstance(seq[0], tuple) else ("+", *seq))
+                spans.append(sum(sizes[i : i + n * period]))
                 i += n * period
             elif period > 1 and new and isinstance(new[-1], tuple) and list(new[-1][1:]) == seq and new[-1][0] == "+":
+                spans[-1] += sum(sizes[i : i + period])
                 i += period
             else:
                 new.append(out[i])
+                spans.append(sizes[i])
                 i += 1
-        out = new
-    return out
+        out, sizes = new, spans
+    return out, sizes
+
+
+def _tokens_of_blocks(stream: list[str], sizes: list[int]) -> list[int]:
+    """For each block of a page the number of the folded token it stands in."""
+    owners = [at for at, n in enumerate(sizes) for _ in range(n)]
+    return [owners[i] for i, x in enumerate(stream) if x == "#"]
+
+
+def _number(text: str) -> int:
+    """Signed 64-bit hash of a text."""
+    n = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >= 1 << 63 else n
 
 
 def align(wrapper: list, stream: list) -> list:
@@ -202,6 +237,21 @@ def align(wrapper: list, stream: list) -> list:
     return out
 
 
+def _flat(wrapper: list) -> list:
+    """The tokens of a wrapper with its optional parts opened; groups stay whole."""
+    return [y for x in wrapper for y in (x[1:] if isinstance(x, tuple) and x[0] == "?" else [x])]
+
+
+@lru_cache(maxsize=4096)
+def places(wrapper: str, shape: str) -> tuple[int, ...]:
+    """Where in the opened wrapper each token of a page's shape stands, both as JSON; -1 where it has no place."""
+    flat, tokens = _flat(_loads(wrapper)), _flat(_loads(shape))
+    out = [-1] * len(tokens)
+    for a, b, n in SequenceMatcher(None, flat, tokens, autojunk=False).get_matching_blocks():
+        out[b : b + n] = range(a, a + n)
+    return tuple(out)
+
+
 def spell(wrapper: list) -> str:
     """A wrapper as text: ``( … )+`` repeats, ``( … )?`` may be missing, ``#`` is a text slot."""
     return " ".join(x if isinstance(x, str) else f"( {spell(list(x[1:]))} ){x[0]}" for x in wrapper)
@@ -214,22 +264,46 @@ def _loads(text: str) -> list:
     return [tuples(x) for x in json.loads(text)]
 
 
-SHAPE = pa.schema([("host", pa.string()), ("shape", pa.string()), ("slots", pa.list_(pa.struct([("path", pa.string()), ("hidden", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64())])))])
+SLOTS = "array<struct<path:string,hidden:boolean,chars:long,linked:long>>"
+MARKS = "array<struct<at:int,element:long,text:long,chars:long,first:boolean,lead:boolean>>"
+SHAPES = f"host string, form long, shape string, page long, slots {SLOTS}, marks {MARKS}"
+_slot = pa.struct([("path", pa.string()), ("hidden", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64())])
+_mark = pa.struct([("at", pa.int32()), ("element", pa.int64()), ("text", pa.int64()), ("chars", pa.int64()), ("first", pa.bool_()), ("lead", pa.bool_())])
+SHAPE = pa.schema([("host", pa.string()), ("form", pa.int64()), ("shape", pa.string()), ("page", pa.int64()), ("slots", pa.list_(_slot)), ("marks", pa.list_(_mark))])
+
+
+def _marks(blocks: list[Block], owners: list[int]) -> list[dict]:
+    """What may be furniture: each text once per token and element. ``first`` is its first place in such an element of the
+    page, ``lead`` the first text of the token and element."""
+    seen: set[tuple[int, ...]] = set()
+    out = []
+    for b, at in zip(blocks, owners):
+        if b.hidden:
+            continue
+        element, text = _number("/".join(b.path)), _number(b.text)
+        if (at, element, text) in seen:
+            continue
+        out.append({"at": at, "element": element, "text": text, "chars": len(b.text), "first": (-1, element, text) not in seen, "lead": (at, element) not in seen})
+        seen |= {(at, element, text), (-1, element, text), (at, element)}
+    return out
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shapes, slots = [], []
-        for value in batch.column(1):
+        rows = []
+        for host, value in zip(batch.column(0), batch.column(1)):
             blocks, stream = read_page(value.as_py() or "")
             sums: dict[tuple[str, bool], list[int]] = {}
             for b in blocks:
                 one = sums.setdefault(("/".join(b.path), b.hidden), [0, 0])
                 one[0] += len(b.text)
                 one[1] += b.linked
-            shapes.append(json.dumps(fold(stream)))
-            slots.append([{"path": p, "hidden": h, "chars": c, "linked": k} for (p, h), (c, k) in sums.items()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(slots, SHAPE.field("slots").type)], schema=SHAPE)
+            tokens, sizes = folded(stream)
+            shape = json.dumps(tokens)
+            slots = [{"path": p, "hidden": h, "chars": c, "linked": k} for (p, h), (c, k) in sums.items()]
+            page = _number("\n".join([shape, *(b.text for b in blocks if not b.hidden)]))
+            rows.append((host.as_py(), _number(shape), shape, page, slots, _marks(blocks, _tokens_of_blocks(stream, sizes))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SHAPE.types)], schema=SHAPE)
 
 
 def _merge(pdf: pd.DataFrame) -> list:
@@ -280,17 +354,24 @@ def main_root(slots: list[tuple[str, bool, int, int]]) -> str | None:
 def _wrap_host(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     shapes = pdf[pdf["kind"] == "shape"]
     slots = [(r.path, bool(r.hidden), int(r.chars), int(r.linked)) for r in pdf[pdf["kind"] == "slot"].itertuples()]
-    return pd.DataFrame({"host": [key[0]], "wrapper": [spell(_merge(shapes))], "root": [main_root(slots)], "pages": [int(shapes["pages"].sum())]})
+    merged = _merge(shapes)
+    return pd.DataFrame({"host": [key[0]], "wrapper": [spell(merged)], "root": [main_root(slots)], "pages": [int(shapes["pages"].sum())], "plan": [json.dumps(merged)]})
+
+
+def page_shapes(pages: DataFrame) -> DataFrame:
+    """Shape, sums by element path and marks of every page of ``pages(host, html)``, stored."""
+    return stored(pages.select("host", "html").mapInArrow(_shapes, SHAPES), "shapes")
 
 
-def infer_wrappers(pages: DataFrame, at_once: int = 200) -> DataFrame:
-    """``host, wrapper, root, pages`` from ``pages(host, html)``: one wrapper per host, from all its pages.
+def infer_wrappers(pages: DataFrame, at_once: int = 200, shapes: DataFrame | None = None) -> DataFrame:
+    """``host, wrapper, root, pages, plan`` from ``pages(host, html)``: one wrapper per host, from all its pages.
+    ``plan`` is the wrapper as JSON; ``shapes`` is the result of ``page_shapes`` if the caller has it.
 
     Pages are first reduced to distinct shapes, runs of equal blocks folded, so a hot host is a few rows. While a host has
     more than ``at_once`` shapes, they are aligned in groups of about that many and the groups' wrappers take
     their place, so no task aligns more however many shapes a host has.
     """
-    shapes = stored(pages.select("host", "html").mapInArrow(_shapes, "host string, shape string, slots array<struct<path:string,hidden:boolean,chars:long,linked:long>>"), "shapes")
+    shapes = page_shapes(pages) if shapes is None else shapes
     counted = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"))
     parts = stored(counted, "counted")
     for _ in range(8):
@@ -305,21 +386,74 @@ def infer_wrappers(pages: DataFrame, at_once: int = 200) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     rows = parts.select("host", F.lit("shape").alias("kind"), "shape", "pages", none("string").alias("path"), none("boolean").alias("hidden"), none("long").alias("chars"), none("long").alias("linked"))
     rows = rows.unionByName(slots.select("host", F.lit("slot").alias("kind"), none("string").alias("shape"), none("long").alias("pages"), "path", "hidden", "chars", "linked"))
-    return rows.groupBy("host").applyInPandas(_wrap_host, "host string, wrapper string, root string, pages long")
+    return rows.groupBy("host").applyInPandas(_wrap_host, "host string, wrapper string, root string, pages long, plan string")
 
 
-def main_text(page: str, root: str | None) -> str:
-    """Text of the main region, a line for each block. A page without the host's region finds its own."""
-    blocks, _ = read_page(page)
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots = [slot_numbers(p.as_py(), s.as_py()) for p, s in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["host", "form", "slots"])
+
+
+def slot_numbers(plan: str, shape: str) -> list[int]:
+    """The wrapper slot of each token of a shape; a token without a place counts by its own number, below zero."""
+    return [to if to >= 0 else -1 - at for at, to in enumerate(places(plan, shape))]
+
+
+def furniture(shapes: DataFrame, wrappers: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
+    """``host, cuts``: the texts that wrapper slots repeat over a host's pages, as structs (slot, element, text).
+
+    Equal pages count once. Texts are counted before the shuffle, and only those that enough pages of a host hold are
+    taken to slots, so slots are sought for a few rows a host and shape.
+    """
+    one = shapes.groupBy("host", "page").agg(F.first("form").alias("form"), F.first("marks").alias("marks"))
+    one = stored(one, "different-pages")
+    hosts = stored(one.groupBy("host").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= repeats.pages), "hosts")
+    texts = one.select("host", "form", F.explode("marks").alias("m")).groupBy("host", "form", "m.at", "m.element", "m.text").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("m.first").alias("firsts"), F.count_if("m.lead").alias("leads"), F.max("m.chars").alias("chars")
+    )
+    texts = stored(texts, "texts")
+    often = texts.groupBy("host", "element", "text").agg(F.sum("firsts").alias("on")).where(F.col("on") >= repeats.pages)
+    often = with_lookup(often, hosts, ["host"], "inner").where(F.col("on") >= repeats.host * F.col("of"))
+    often = stored(often.select("host", "element", "text"), "often")
+    here = stored(often.select("host").distinct(), "often-hosts")
+    forms = shapes.groupBy("host", "form").agg(F.min("shape").alias("shape"))
+    forms = with_lookup(with_lookup(forms, here, ["host"], "inner"), wrappers.select("host", "plan"), ["host"], "inner")
+    slots = forms.select("host", "form", "plan", "shape").mapInArrow(_placed, "host string, form long, slots array<int>")
+    slots = stored(slots.select("host", "form", F.posexplode("slots").alias("at", "slot")), "slots")
+    whole = texts.groupBy("host", "form", "at", "element").agg(F.sum("leads").alias("pages"))
+    whole = with_lookup(whole, slots, ["host", "form", "at"], "inner").groupBy("host", "slot", "element").agg(F.sum("pages").alias("pages"))
+    mine = with_lookup(stored(with_lookup(texts, often, ["host", "element", "text"], "inner"), "often-texts"), slots, ["host", "form", "at"], "inner")
+    mine = mine.groupBy("host", "slot", "element", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    fixed = mine.join(whole, ["host", "slot", "element"]).where(F.col("n") >= repeats.slot * F.col("pages"))
+    found = fixed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "element", "text"))).alias("cuts"), F.sum(F.col("n") * F.col("chars")).alias("lost"))
+    sizes = texts.groupBy("host").agg(F.sum(F.col("n") * F.col("chars")).alias("all"))
+    return found.join(sizes, "host").where(F.col("lost") <= repeats.most * F.col("all")).select("host", "cuts")
+
+
+def main_text(page: str, root: str | None, plan: str | None = None, cuts: frozenset[tuple[int, int, int]] = frozenset()) -> str:
+    """Text of the main region without the host's furniture, a line for each block. A page without the host's region finds its own."""
+    blocks, stream = read_page(page)
     inside = lambda b, r: not b.hidden and ("/".join(b.path) + "/").startswith(r + "/" if r else "")
     if root is None or not any(inside(b, root) for b in blocks):
         root = main_root([("/".join(b.path), b.hidden, len(b.text), b.linked) for b in blocks])
-    return "" if root is None else "\n".join(b.text for b in blocks if inside(b, root))
+    if root is None:
+        return ""
+    kept = blocks
+    if cuts and plan is not None:
+        tokens, sizes = folded(stream)
+        slots = slot_numbers(plan, json.dumps(tokens))
+        owners = _tokens_of_blocks(stream, sizes)
+        kept = [b for b, at in zip(blocks, owners) if (slots[at], _number("/".join(b.path)), _number(b.text)) not in cuts]
+    return "\n".join(b.text for b in kept if inside(b, root))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h.as_py() or "", r.as_py()) for h, r in zip(batch.column(2), batch.column(3))]
+        texts = []
+        for h, r, p, c in zip(*batch.columns[2:6]):
+            cuts = frozenset((x["slot"], x["element"], x["text"]) for x in c.as_py() or [])
+            texts.append(main_text(h.as_py() or "", r.as_py(), p.as_py(), cuts))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -332,7 +466,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    wrappers = stored(infer_wrappers(rows).select("host", "root"), "wrappers")
-    joined = with_lookup(rows, wrappers, ["host"]).select(F.col("page_id").cast("long"), "url", "html", "root")
+    shapes = page_shapes(rows)
+    wrappers = stored(infer_wrappers(rows, shapes=shapes).select("host", "root", "plan"), "wrappers")
+    cuts = stored(furniture(shapes, wrappers), "furniture")
+    wrappers = with_lookup(wrappers, cuts, ["host"]).select("host", "root", F.when(F.col("cuts").isNotNull(), F.col("plan")).alias("plan"), "cuts")
+    joined = with_lookup(rows, stored(wrappers, "judged"), ["host"]).select(F.col("page_id").cast("long"), "url", "html", "root", "plan", "cuts")
     out = joined.mapInArrow(_texts, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

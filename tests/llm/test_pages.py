@@ -108,3 +108,20 @@ def test_many_shapes_are_aligned_in_groups(spark):
     table = spark.createDataFrame([("h", HEAD + body(i) + TAIL) for i in range(32)] + [("g", HEAD + body(0) + TAIL)], "host string, html string")
     got = {r.host: r for r in html_extract.infer_wrappers(table, at_once=5).collect()}
     assert got["h"].pages == 32 and got["g"].pages == 1 and got["h"].root.endswith("main") and "|" not in got["h"].wrapper
+
+
+def test_what_a_host_repeats_in_neutral_elements_is_no_main_text(spark):
+    notice, sale = "<p>All rights belong to their owners.</p>", "<div>Today only: one for two.</div>"
+    body = lambda i: f"<article><h1>Head {i}</h1>{sale}<p>First {i}.</p><p>Second {i} is a longer text than what is repeated on every page, as it should be.</p>{notice}{'<p>More.</p>' * (i % 2)}</article>"
+    one = "<article><p>The very same text.</p><p>Its second part.</p></article>"
+    near = lambda i: f"<article><p>One long text in many versions, told apart by a number.</p><p>{i}</p></article>"
+    rows = [(i, "http://a.com/", HEAD + body(i) + TAIL) for i in range(8)]
+    rows += [(10 + i, "http://b.com/", HEAD + one + TAIL) for i in range(8)] + [(20 + i, "http://c.com/", HEAD + near(i) + TAIL) for i in range(8)]
+    rows += [(30 + i, "http://d.com/", HEAD + body(i) + TAIL) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    for i in range(8):
+        assert got[i].split("\n")[:3] == [f"Head {i}", f"First {i}.", f"Second {i} is a longer text than what is repeated on every page, as it should be."]
+        assert got[i].split("\n")[3:] == ["More."] * (i % 2)
+        assert got[10 + i] == "The very same text.\nIts second part."
+        assert got[20 + i] == f"One long text in many versions, told apart by a number.\n{i}"
+    assert "All rights" in got[30] and "Today only" in got[30]  # too few pages to tell
