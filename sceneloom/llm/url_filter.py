@@ -35,14 +35,13 @@ class Mining:
     """``support`` is the least part of labelled pages that meet a rule, with the label, and ``pages`` their least
     number, below which a rule would be chance; ``confidence`` the least part
     of the pages that meet its tokens and are bad; ``lift`` the least factor over the share of bad pages; ``tokens`` the most
-    tokens of a rule; ``rules`` the most rules (by confidence, support, then name): the parameter that bounds the table."""
+    tokens of a rule. The number of rules is not bounded."""
 
     support: float = 0.005
     pages: int = 20
     confidence: float = 0.8
     lift: float = 1.5
     tokens: int = 3
-    rules: int = 5_000
 
 
 def _lower_az(c: Column) -> Column:
@@ -104,13 +103,22 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= mining.tokens) & (F.col("lift") >= mining.lift))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.withColumn("rule_id", F.array_join("tokens", " "))
-    rules = stored(rules.orderBy(F.desc("confidence"), F.desc("support"), "rule_id").limit(mining.rules), "rules")
-    # A rule is redundant if a shorter one whose tokens it contains is at least as confident.
-    by_token = rules.select(F.explode("tokens").alias("t"), F.struct("rule_id", "tokens", "confidence").alias("r"))
-    short = by_token.join(by_token.select("t", F.col("r").alias("s")), "t").where(
-        (F.size("s.tokens") < F.size("r.tokens")) & (F.size(F.array_except("s.tokens", "r.tokens")) == 0) & (F.col("s.confidence") >= F.col("r.confidence"))
-    )
-    return rules.join(short.select("r.rule_id").distinct(), "rule_id", "left_anti")
+    rules = stored(rules, "rules")
+    # A rule is redundant if a shorter one whose tokens it contains is at least as confident. Each rule asks for its own
+    # shorter token sets, so a token in many rules makes no pairs.
+    parts = stored(rules.select("tokens", "confidence", F.explode(_shorter(F.col("tokens"))).alias("part")), "shorter")
+    known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
+    redundant = stored(with_lookup(parts, known, ["part"], "inner").where(F.col("least") >= F.col("confidence")).select("tokens").distinct(), "redundant")
+    return rules.join(redundant, "tokens", "left_anti").select("rule_id", "tokens", "confidence", "support")
+
+
+def _shorter(tokens: Column) -> Column:
+    """All proper, non-empty subsets of sorted tokens, each sorted."""
+    def grown(sets: Column, token: Column) -> Column:
+        return F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(token))))
+
+    sets = F.aggregate(tokens, F.array(F.array().cast("array<string>")), grown)
+    return F.filter(sets, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(tokens)))
 
 
 def met_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:

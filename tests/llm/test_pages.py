@@ -70,6 +70,15 @@ def test_inverted_index_finds_what_comparing_all_finds(spark):
     assert {r.key: r.rule_id for r in got.collect()} == plain_met(sets, rules)
 
 
+def test_many_redundant_rules_push_out_no_general_one(spark):
+    """18 groups of 12 tokens on bad pages only give 5,364 rules of at most three tokens at confidence 1."""
+    groups = [[f"g{g:02d}t{k:02d}" for k in range(12)] for g in range(18)]
+    rows = [(g, True) for g in groups] * 22 + [(["general"], True)] * 36 + [(["general"], False)] * 4 + [(["other"], False)] * 400
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = {r.rule_id: r.confidence for r in url_filter.mine_rules(labelled).collect()}
+    assert got == {**{t: 1.0 for g in groups for t in g}, "general": 0.9}
+
+
 HEAD = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><!-- ad 1 -->'
 TAIL = '<footer>&copy; host &middot; words</footer></body></html>'
 
