@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm.spans import find_spans, joined, labelled, overlaps
+from sceneloom.llm.spans import SPAN, find_spans, joined, labelled, overlaps
 
 LOCAL = "[A-Za-z0-9._%+-]"
 #: Java spelling of the base patterns. A start inside a run of local-part characters or digits can only match
@@ -17,7 +17,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])(?![\x20-][0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Patterns of the added kinds.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN_RUN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+#: Characters of an account number by country (fixed values of the IBAN registry).
+IBAN_LENGTHS = {
+    n: names.split() for n, names in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"), (21, "CH HR LI LV"),
+        (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"),
+        (27, "BI DJ FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU"),
+    )
+}
 LOCAL_PHONE = r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -63,6 +72,45 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
+def find_ibans(t: Column) -> Column:
+    """Account numbers as spans, whatever follows them after a space.
+
+    Every head (two letters, two digits) opens a run of at most 34 characters, and each end of a group in it is tried: the
+    number that passes mod-97 at its country's length is taken. Without one the longest that passes is taken if the
+    country is not listed, and the whole run if it is.
+    """
+    at_least, at_most = 15, 64
+
+    def one(s: Column) -> Column:
+        here = F.substring(t, s["start"] + 1, F.lit(at_most + 1))
+        run = F.regexp_extract(here, "^" + IBAN_RUN, 0)
+        country = F.substring(run, 1, 2)
+        own = F.lit(0)
+        for n, names in IBAN_LENGTHS.items():
+            own = F.when(country.isin(names), n).otherwise(own)
+
+        def tried(end: Column) -> Column:
+            hit = F.substring(run, F.lit(1), end)
+            size = F.length(F.regexp_replace(hit, r"\x20", ""))
+            return F.struct((size == own).alias("fits"), end.alias("end"), hit.alias("hit"), size.alias("size"))
+
+        tries = F.transform(F.sequence(F.lit(at_least), F.length(run)), tried)
+        good = F.filter(
+            tries,
+            lambda x: (x["size"] >= at_least) & ~F.endswith(x["hit"], F.lit(" ")) & ~F.substring(here, x["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            & (x["fits"] | (own == 0) | (x["end"] == F.length(run))) & mod97(x["hit"]),
+        )
+        best = F.array_max(good)
+        return F.struct(s["start"].alias("start"), (s["start"] + best["end"]).alias("end"), best["hit"].alias("hit"))
+
+    heads = find_spans(t, IBAN_HEAD, t.rlike("[A-Z]{2}[0-9]{2}"))
+    found = F.filter(F.transform(heads, one), lambda s: s["hit"].isNotNull())
+    return F.aggregate(
+        found, F.array().cast(SPAN),
+        lambda acc, s: F.when(overlaps(acc, s["start"], s["end"]), acc).otherwise(F.concat(acc, F.array(s))),
+    )
+
+
 def _digits(hit: Column) -> Column:
     return F.length(F.regexp_replace(hit, "[^0-9]", ""))
 
@@ -84,7 +132,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         F.filter(find_spans(t, IP, t.rlike(r"[0-9]\.[0-9]")), lambda s: s["hit"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")).alias("ip"),
         F.filter(find_spans(t, CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), lambda s: luhn(s["hit"])).alias("card"),
         F.filter(find_spans(t, PHONE, t.contains("+")), lambda s: _digits(s["hit"]).between(9, 15)).alias("phone"),
-        F.filter(find_spans(t, IBAN, t.rlike("[A-Z]{2}[0-9]{2}")), lambda s: mod97(s["hit"])).alias("iban"),
+        find_ibans(t).alias("iban"),
         find_spans(t, LOCAL_PHONE, t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")).alias("local_phone"),
         find_spans(t, SOCIAL, t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")).alias("social"),
     )

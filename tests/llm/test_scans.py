@@ -107,6 +107,17 @@ def test_added_kinds_need_checksum_and_context(spark):
     assert got[0].iban[0].score == 1.0 and got[6].iban[0].score == 0.7
 
 
+def test_ibans_end_where_their_number_ends(spark):
+    de, spaced, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
+    cases = [(f"{de} Thanks", [de]), (f"{gb} 2024-01-05", [gb]), (f"{spaced} BIC X", [spaced]), (f"{de} {gb} OK", [de, gb]), (f"é𝒳 {no} AND 12 MORE", [no]), (f"{spaced}, {gb}.", [spaced, gb]),
+             (f"{de}x", []), (f"x{de}", []), (f"{de[:-1]}1 Thanks", []), (f"{de}7 AB", []), ("AB12 " * 30, []), (spaced + " " + spaced, [spaced, spaced])]
+    texts = ["bank " + t for t, _ in cases]
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert [s.hit for s in got[i].iban] == want, t
+        assert all(texts[i][s.start : s.end] == s.hit for s in got[i].iban)
+
+
 def test_empty_tables(spark):
     assert secret_scan.digest(secret_scan.find_secrets(docs(spark, []))).count() == 0
     assert pii.digest(pii.find_pii(docs(spark, []))).count() == 0
