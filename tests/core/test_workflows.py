@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sceneloom.operators.motion import sample_motion, schedule_value
-from sceneloom.plans.workflows import evaluate_states
+from sceneloom.plans.workflows import evaluate_states, w3_retrieval_audit
 
 
 def states(spark, rows):
@@ -70,3 +70,14 @@ def test_schedules_hold_and_key_frames_curve(spark):
     assert np.allclose(at(1.0), [[1.0, 1.0, 0.0]] * 2) and np.allclose(at(1.5), [[1.5, 0.5, 0.0]] * 2)
     spin = next(r for r in got if r.node == 2 and r.t == 1.0)
     assert spin.pos == [1.0, 2.0, 3.0] and np.allclose(spin.quat, [0, math.sqrt(0.5), 0, math.sqrt(0.5)])
+
+
+def test_every_part_of_an_object_is_asked_for(spark, tmp_path):
+    parts = [(k, f"name{k} thing{k}", "Brand#1", "TYPE") for k in (7, 2_500, 9_001)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 7, 1, "O"), (1, 2_500, 2, "O"), (2, 2_500, 1, "O"), (3, 9_001, 1, "O"), (4, 7, 1, "F")]
+    li = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_linestatus string").selectExpr(
+        "*", "1L AS l_suppkey", "1D AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'N' AS l_returnflag", "DATE'2020-01-01' AS l_shipdate")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.query: (r.objects, r.clips, r.same_name) for r in w3_retrieval_audit(spark, str(tmp_path)).collect()}
+    assert got == {"name7 thing7": (1, 1, True), "name2500 thing2500": (2, 2, True), "name9001 thing9001": (1, 1, True)}
