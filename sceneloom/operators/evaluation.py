@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.columns import lower_median, upper_median
+from sceneloom.functions.columns import upper_median
+from sceneloom.shared import stored, with_lookup
 
 
 def evaluate_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], error: Column, limit: float) -> DataFrame:
@@ -108,10 +109,32 @@ def interactivity(rows: DataFrame, keys: list[str], motion: str, grab: str) -> D
 
 
 def interaction_summary(probes: DataFrame, mode: str, lift: str, follow: str, speed: str) -> DataFrame:
-    """Success shares and lower medians of free-grab probes, by mode."""
+    """Success shares and lower medians of free-grab probes, by mode.
+
+    The median comes from counts by range: 1,024 ranges of a mode are counted, and only the values of the range that holds
+    the middle are ordered.
+    """
     ok = (F.col(lift) >= 0.5) & (F.col(follow) <= 0.25) & (F.col(speed) < 0.5)
-    out = probes.groupBy(mode).agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("success"), F.array_sort(F.collect_list(follow)).alias("__f"))
-    return out.select(mode, "n", "success", lower_median(F.col("__f")).alias("follow_error"))
+    v = F.col(follow).cast("double")
+    odd = F.isnan(v) | (F.abs(v) == math.inf)
+    out = probes.groupBy(mode).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("success"), F.floor((F.count(v) - 1) / 2).alias("__mid"),
+        F.min(F.when(~odd, v)).alias("__lo"), F.max(F.when(~odd, v)).alias("__hi"),
+    )
+    out = stored(out, "modes")
+    counts = probes.where(v.isNotNull()).groupBy(mode, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    x = F.col("__v")
+    # Half values, so that the width of the widest range of doubles is one too.
+    at = F.floor((x / 2 - F.col("__lo") / 2) / F.nullif(F.col("__hi") / 2 - F.col("__lo") / 2, F.lit(0.0)) * 1024)
+    part = F.when(F.isnan(x), 1026).when(x == math.inf, 1025).when(x == -math.inf, -1).otherwise(F.coalesce(at, F.lit(0)))
+    placed = stored(with_lookup(counts, out.select(mode, "__mid", "__lo", "__hi"), [mode], "inner").select(mode, "__v", "__c", "__mid", part.alias("__p")), "values")
+    by = Window.partitionBy(mode).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy(mode, "__p").agg(F.sum("__c").alias("__s"), F.max("__mid").alias("__mid")).withColumn("__upto", F.sum("__s").over(by.orderBy("__p")))
+    ranges = ranges.where((F.col("__upto") > F.col("__mid")) & (F.col("__upto") - F.col("__s") <= F.col("__mid")))
+    middle = with_lookup(placed, stored(ranges.select(mode, "__p", (F.col("__upto") - F.col("__s")).alias("__before")), "middle"), [mode, "__p"], "inner")
+    middle = middle.withColumn("__upto", F.col("__before") + F.sum("__c").over(by.orderBy("__v"))).where(F.col("__upto") > F.col("__mid"))
+    median = stored(middle.groupBy(mode).agg(F.min("__v").alias("follow_error")), "medians")
+    return with_lookup(out.select(mode, "n", "success"), median, [mode]).select(mode, "n", "success", "follow_error")
 
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from sceneloom.operators import evaluation
 from sceneloom.operators.motion import sample_motion, schedule_value
 from sceneloom.plans.workflows import evaluate_states, w3_retrieval_audit
 
@@ -81,3 +82,20 @@ def test_every_part_of_an_object_is_asked_for(spark, tmp_path):
     li.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.query: (r.objects, r.clips, r.same_name) for r in w3_retrieval_audit(spark, str(tmp_path)).collect()}
     assert got == {"name7 thing7": (1, 1, True), "name2500 thing2500": (2, 2, True), "name9001 thing9001": (1, 1, True)}
+
+
+def test_middle_of_follow_errors_without_lists(spark, monkeypatch):
+    """No list of a mode's values is made, and the median is that of all of them."""
+    def refuse(*_):
+        raise AssertionError("a whole mode in one list")
+
+    monkeypatch.setattr(F, "collect_list", refuse)
+    rnd, inf, nan = np.random.default_rng(3), math.inf, math.nan
+    cases = {"many": rnd.normal(size=2_000).tolist(), "even": [1.0, 2.0, 3.0, 4.0], "one": [0.5], "same": [2.0] * 7, "skew": [0.0] * 5 + [1e9] * 4 + [1e-9 * k for k in range(9)],
+             "odd": [-inf, -inf, 1.0, inf, nan], "ends": [-1.7e308, 1.7e308, 0.0], "infinite": [inf, inf, -inf], "gaps": [None, 3.0, None, 1.0], "none": [None, None], None: [4.0, 6.0, 5.0]}
+    rows = [(m, 1.0, v, 0.0) for m, vs in cases.items() for v in vs]
+    got = {r["mode"]: r for r in evaluation.interaction_summary(spark.createDataFrame(rows, "mode string, lift double, follow double, speed double"), "mode", "lift", "follow", "speed").collect()}
+    assert set(got) == set(cases)
+    for m, vs in cases.items():
+        known = sorted((v for v in vs if v is not None), key=lambda v: (math.isnan(v), v))
+        assert got[m].n == len(vs) and got[m].follow_error == (known[(len(known) - 1) // 2] if known else None), m
