@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.shared import stored
+from sceneloom.shared import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        edges = stored(_small_star(_large_star(edges)), "links")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "links")
+        release(before)
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")),
             F.expr("bit_xor(xxhash64(a, b))"),
