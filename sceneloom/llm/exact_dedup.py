@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.shared import stored, with_lookup
+from sceneloom.llm.rows import keep_rows
+from sceneloom.shared import stored
 
 
 @dataclass(frozen=True)
@@ -186,12 +187,7 @@ def exact_groups(docs: DataFrame, chunking: Chunking = Chunking(), id_col: str =
     )
 
 
-def drop_copies(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, with their own columns; repeated rows of a kept id stay as one row."""
-    gone = stored(groups.where("not kept").select(F.col("doc_id").alias("__gone")), "copies")
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    again = stored(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeats")
-    if again.isEmpty():
-        return left
-    once = left.join(again, left[id_col] == again["__again"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["__again"], "left_anti").unionByName(once)
+def drop_copies(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns. Rows are told apart by id and text: a repeated id with another
+    text stays, rows that repeat both stay as one row, and of texts with null ids alone one row stays."""
+    return keep_rows(docs, groups, id_col, text_col)

@@ -84,7 +84,7 @@ def _position(slot: Column, q: Column, c: Curriculum) -> Column:
 
 
 def plan_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), *, whole: bool = False,
-             id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, size, source, source_size, target, taken, passes, position``.
 
     A source is read in hash order of its ids, again and again up to ``max_repeat`` times, until its
@@ -93,15 +93,18 @@ def plan_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), *, whole: b
     target is taken if its middle lies before it. Rows are range-sorted by the first position, then id;
     documents that are not taken come last.
 
-    Null text counts as empty and is never taken; null sources form one source; null ids hash like an
-    empty string; equal ids are ordered by size; an empty table gives an empty result. Other columns,
-    whatever their names, are not read.
+    Null text counts as empty and is never taken, a very long one is a row like any other; null sources form one source; null
+    ids hash like an empty string; rows of one id are read next to each other in the order of their sizes, each as a
+    document of its own, and are spread over tasks if they are many; an empty table gives an empty result. Other columns,
+    whatever their names, are not read. ``row_col`` names a column that tells all rows apart; it is then returned as ``row``.
     """
     c = curriculum
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
-    targets = source_targets(sizes, c)
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row.alias("row"))
+    sizes = stored(sizes, "sizes")
+    targets = stored(source_targets(sizes, c), "targets")
     rows = with_lookup(sizes, targets, ["source"]).withColumn("__h", hash60(F.col("doc_id")))
-    rows = sliced_running_sum(rows, ["source"], "__h", ["doc_id", "size"], "size", "__before")
+    rows = sliced_running_sum(rows, ["source"], "__h", ["doc_id", "size"], "size", "__before", spread="row")
     budget = F.floor(F.col("target") + F.lit(0.5))
     rows = rows.withColumn("__budget", budget.cast("long"))
     size, total = F.col("size"), F.col("__budget")
@@ -118,13 +121,19 @@ def plan_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), *, whole: b
     rows = rows.withColumn("passes", F.filter(F.array(*[one(k) for k in range(c.max_repeat)]), lambda p: p["words"] > 0))
     rows = rows.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]))
     rows = rows.withColumn("position", F.when(F.size("passes") > 0, F.col("passes")[0]["position"]))
-    return rows.select("doc_id", "size", "source", "source_size", "target", "taken", "passes", "position").orderBy(
-        F.col("position").asc_nulls_last(), "doc_id"
-    )
+    names = ["doc_id", "size", "source", "source_size", "target", "taken", "passes", "position"] + (["row"] if row_col is not None else [])
+    return rows.select(*names).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
 
+def apply_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents with their own columns, one row for each reading of a whole-document plan, in range-sorted training order.
 
-def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a whole-document plan, one row for each reading, in range-sorted training order."""
-    readings = plan.select(F.col("doc_id").alias("__mix_id"), F.explode(F.col("passes.position")).alias("__mix_at"))
-    out = docs.join(readings, docs[id_col].eqNullSafe(readings["__mix_id"]))
-    return out.orderBy("__mix_at", "__mix_id").drop("__mix_id", "__mix_at")
+    Rows are numbered when they are stored and the plan is joined by that number, not by the id: null ids and repeated ids
+    or rows are read as often as the plan says for each row. Null and empty texts take no words and are never read; an empty table
+    gives an empty result; columns of any other name are carried along.
+    """
+    keyed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    plan = plan_mix(keyed.select("row", *[F.col(f"doc.`{c}`").alias(c) for c in {id_col, text_col, source_col}]).withColumnRenamed("row", "__row"), curriculum,
+                    whole=True, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__row")
+    readings = stored(plan.select("row", F.explode(F.col("passes.position")).alias("at")), "readings")
+    return keyed.join(readings, "row").orderBy("at", "row").select("doc.*")

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.llm.packing import length_cell
 from sceneloom.shared import stored, with_lookup
 
 BREAK = r"[\x20\x09-\x0D]+"
@@ -22,6 +21,12 @@ SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 6
 
 
+def length_cell(length: Column, exact_bits: int) -> Column:
+    """Monotone cell number of a value; there are at most 2**exact_bits of them per power of two."""
+    shift = F.greatest(F.length(F.bin(length)) - F.lit(exact_bits), F.lit(0))
+    return shift.cast("long") * F.lit(1 << (exact_bits - 1)) + F.floor(length / F.pow(F.lit(2.0), shift)).cast("long")
+
+
 @dataclass(frozen=True)
 class Fences:
     """A value is out of bounds beyond ``reach`` spreads above the upper quartile (or below the lower one).
@@ -38,15 +43,18 @@ class Fences:
     two_sided: tuple[str, ...] = ("word_chars",)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines``.
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines``; with ``carry`` also
+    ``doc``, all columns of the document.
 
     Repeated windows are found inside the row: the hashes of all three-word windows are sorted with their
     places, equal neighbours mark repeats, and the words under marked windows are counted once each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    doc = ["doc"] if carry else []
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     first = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
+        *whole, F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         F.filter(F.split(text, BREAK, -1), lambda w: w != "").alias("words"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
@@ -58,7 +66,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])),
     ).otherwise(F.array().cast("array<long>"))
     second = first.select(
-        "doc_id", "lang", "source", "n_symbols", "word_chars", F.size("words").cast("long").alias("n_words"),
+        *doc, "doc_id", "lang", "source", "n_symbols", "word_chars", F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("hashes"),
     )
@@ -75,7 +83,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n")), lambda a: a["n"],
     )
     return third.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *doc, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines",
     )
 
@@ -151,21 +159,27 @@ def judge(docs: DataFrame, fences: Fences = Fences(), id_col: str = "doc_id", te
     shuffle, and the thresholds are one row per language and source.
     """
     measured = stored(measures(docs, id_col, text_col, lang_col, source_col), "measures")
-    limits = thresholds(stored(sketches(measured), "sketches"), fences)
-    rows = with_lookup(measured, limits, ["lang", "source"])
+    return _judged(measured, fences).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept",
+    )
+
+
+def _judged(measured: DataFrame, fences: Fences) -> DataFrame:
+    """Stored measures with the thresholds of their language and source, and ``kept``."""
+    rows = with_lookup(measured, thresholds(stored(sketches(measured), "sketches"), fences), ["lang", "source"])
     inside = F.lit(True)
     for metric, value in rates().items():
         inside = inside & F.coalesce(value <= F.col(f"{metric}_max"), F.lit(True)) & F.coalesce(value >= F.col(f"{metric}_min"), F.lit(True))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~base_failed() & inside).alias("kept"),
-    )
+    return rows.withColumn("kept", ~base_failed() & inside)
 
 
-def keep_good(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are kept. Rejected ids are joined away; a null id goes by its own row's text only
-    if all null ids are rejected."""
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = judged.where("kept").select(F.col("doc_id").alias("__gone")).distinct()
-    bad = stored(gone.join(stay, gone["__gone"].eqNullSafe(stay["__gone"]), "left_anti"), "rejected")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__gone"]), "left_anti")
+def keep_good(docs: DataFrame, fences: Fences = Fences(), id_col: str = "doc_id", text_col: str = "text",
+              lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns.
+
+    Each row is measured, stored with its measures and judged by them, so null and repeated ids go by their own row and no
+    verdict is joined back; repeated rows that are good all stay. Null and empty texts go (no words); an empty table gives an
+    empty result.
+    """
+    measured = stored(measures(docs, id_col, text_col, lang_col, source_col, carry=True), "measured")
+    return _judged(measured, fences).where("kept").select("doc.*")

@@ -15,15 +15,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.components import connected_components
+from sceneloom.llm import near_sets
+from sceneloom.llm.rows import keep_rows
+from sceneloom.llm.shingles import SEED, SHINGLE, fingerprint, shingle_hashes
 from sceneloom.shared import stored
 
-SEED = 42
-SHINGLE = 3
 MAX_BITS = 2
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -33,31 +33,9 @@ GOLAY = 0b110001110101
 PAIRS_PER_KEY = 4_096
 
 
-def fingerprint(data: bytes) -> int:
-    """Unsigned 64-bit fingerprint of a text in UTF-8; zero if it has no word."""
-    words = data.lower().split()  # bytes: A to Z only, and the six white space characters only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        h, view = xxhash.xxh64_intdigest, memoryview(joined)
-        spans = zip(starts[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist())
-        hashes = np.fromiter((h(view[a:b], SEED) for a, b in spans), dtype=np.uint64, count=n - SHINGLE + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [fingerprint(v.as_buffer().to_pybytes()) if v.is_valid else 0 for v in batch.column(1)]
+        values = [fingerprint(shingle_hashes(v.as_buffer().to_pybytes())) if v.is_valid else 0 for v in batch.column(1)]
         prints = np.array(values, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
@@ -167,7 +145,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without all but the least id of each group; null ids stay."""
-    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, text_sha256, kept``; of each group of near copies the row with the least id stays.
+
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``, and groups
+    are connected by such pairs. Fingerprints within two bits propose pairs first, through their Golay keys, and
+    exact shared parts of the sets (``near_sets``) propose those that fingerprints miss; every pair is verified on the sets, and no pair
+    that is similar enough is missed. Wordless and null texts are one group. A null id comes after all others, equal ids are
+    ordered by the digests of their texts; rows that repeat id and text share their ``kept``. An empty table gives an empty result; other
+    columns are not read.
+    """
+    nodes = near_sets.shingled(docs, similarity, shingle, id_col, text_col)
+    first = nodes.where("row = first")
+    prints = stored(first.groupBy("fp").agg(F.min("row").alias("least")), "distinct")
+    near = links(prints.select("fp"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_row")) for c in "ab"]
+    proposed = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
+    same = first.join(prints, "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    labels = near_sets.similar(docs, nodes, proposed.union(same), similarity, shingle, id_col, text_col)
+    rows = nodes.join(labels, nodes["first"] == labels["node"], "left").select(
+        "doc_id", "text_sha256", F.coalesce("component", "first").alias("group"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256").alias("own")
+    )
+    rows = stored(rows, "grouped")
+    best = rows.groupBy("group").agg(F.min("own").alias("best"))
+    return rows.join(stored(best, "kept"), "group").select("doc_id", "text_sha256", (F.col("own") == F.col("best")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that ``near_copies`` keeps, with their own columns; rows that repeat id and text stay as one row."""
+    return keep_rows(docs, copies, id_col, text_col)

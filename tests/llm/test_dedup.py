@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from sceneloom.llm import exact_dedup, simhash
+from sceneloom.llm import exact_dedup, near_sets, rows, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, recipe string, __gone string"
 
@@ -88,8 +89,94 @@ def test_near_groups_of_nulls_repeats_and_nothing(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_groups(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 4), (4, 4), (4, 4), (9, 9), (None, None)], key=str)
     assert simhash.near_groups(docs(spark, [])).count() == 0
-    kept = simhash.keep_one(docs(spark, rows), simhash.near_groups(docs(spark, rows)))
-    assert kept.columns == docs(spark, []).columns and kept.count() == 5
+
+
+def plain_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def plain_near(rows, t=0.8):
+    """Kept (id, text) of each group connected by pairs of similar five-word sets, over all pairs."""
+    sets = [plain_set(x) for _, x in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= t * len(a | sets[j]) > 0:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    best = {g: min((r for r, x in zip(rows, label) if x == g), key=order) for g in set(label)}
+    return sorted({(i, t or "") for i, t in best.values()}, key=str)
+
+
+def edited_texts(n=14, seed=5):
+    rnd = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    shared = [rnd.choice(words) for _ in range(60)]
+    out = []
+    for base in range(n):
+        text = [rnd.choice(words) for _ in range(rnd.choice([6, 9, 30, 120, 300]))]
+        if base % 3 == 0:
+            text[3:3] = shared
+        for _ in range(rnd.choice([1, 5, 12])):
+            copy = list(text)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, len(text) // 30])):
+                at = rnd.randrange(len(copy))
+                copy[at : at + rnd.choice([0, 1, 1, 2])] = [rnd.choice(words) for _ in range(rnd.choice([0, 1, 1]))]
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("hot, stars", [(64, 2), (2, 0), (1, 1)])
+def test_near_copies_match_all_pairs(spark, monkeypatch, hot, stars):
+    monkeypatch.setattr(near_sets, "HOT", hot)
+    monkeypatch.setattr(near_sets, "STARS", stars)
+    table = list(enumerate(edited_texts())) + [(900, None), (901, ""), (902, "one two"), (903, "One two"), (904, "w " * 20_000), (905, "w " * 20_001), (906, "\u000b")]
+    kept = simhash.keep_one(docs(spark, table), simhash.near_copies(docs(spark, table)))
+    assert kept.columns == docs(spark, []).columns
+    want = plain_near(table)
+    assert 10 < len(want) < len(table) - 20
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == want
+
+
+def test_similar_sets_share_a_key_that_neither_can_spare():
+    rnd = np.random.default_rng(3)
+    for n in [1, 2, 3, 4, 5, 7, 9, 10, 30, 101, 400, 999]:
+        for _ in range(20):
+            a = rnd.integers(0, 1 << 63, size=n, dtype=np.uint64)
+            most = int(0.2 / 1.8 * 2 * n)  # differences that keep 0.8
+            cut, new = rnd.integers(0, most + 1), rnd.integers(0, most + 1)
+            b = np.concatenate([a[: n - cut], rnd.integers(0, 1 << 63, size=new, dtype=np.uint64)])
+            if not len(b) or (n - cut) < 0.8 * (n + new):
+                continue
+            (own_a, m_a), (low_a, l_a) = near_sets.set_keys(np.unique(a), 0.8)
+            (own_b, m_b), (low_b, l_b) = near_sets.set_keys(np.unique(b), 0.8)
+            pairs = [(own_a, m_a, own_b, m_b), (own_a, m_a, low_b, l_b), (low_a, l_a, own_b, m_b)]
+            shared = [(np.intersect1d(x, y), mx, my) for x, mx, y, my in pairs]
+            assert any(len(s) > max(mx, 0) or len(s) > max(my, 0) or (len(s) and min(mx, my) < 0) for s, mx, my in shared), (n, cut, new)
+
+
+def test_near_copies_of_nulls_repeats_and_nothing(spark):
+    text = " ".join(f"a{k}" for k in range(40))
+    table = [(None, text), (4, text), (4, text), (4, text + " z"), (7, "other words here"), (None, None), (None, "lone words"), (None, "lone words")]
+    kept = simhash.keep_one(docs(spark, table), simhash.near_copies(docs(spark, table)))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == plain_kept(table)
+    assert simhash.keep_one(docs(spark, []), simhash.near_copies(docs(spark, []))).count() == 0
+
+
+def plain_kept(table):
+    return sorted(((i, t or None) for i, t in plain_near(table)), key=str)
+
+
+def test_rows_go_by_id_and_text(spark):
+    table = docs(spark, [(None, "a"), (None, "b"), (None, "b"), (1, "a"), (1, "b"), (2, None)])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    decided = spark.createDataFrame([(None, sha("a"), False), (None, sha("b"), True), (None, sha("b"), True), (1, sha("a"), True), (1, sha("b"), False), (2, sha(""), True)],
+                                    "doc_id long, text_sha256 string, kept boolean")
+    got = rows.keep_rows(table, decided)
+    assert got.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, "b"), (1, "a"), (2, None)], key=str)
 
 
 def plain_groups(rows):
@@ -133,7 +220,8 @@ def test_chunks_follow_content():
 
 
 def test_drop_copies_keeps_columns_and_one_row(spark):
-    table = docs(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None), (4, ""), (None, "z")])
+    table = docs(spark, [(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, None), (4, ""), (None, "z"), (None, "z"), (None, "a")])
     kept = exact_dedup.drop_copies(table, exact_dedup.exact_groups(table))
     assert kept.columns == table.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 4, None]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "a"), (2, "b"), (4, ""), (None, "z")], key=str)
+    assert exact_dedup.drop_copies(docs(spark, []), exact_dedup.exact_groups(docs(spark, []))).count() == 0

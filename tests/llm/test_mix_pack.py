@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_dedup import plain_components, plain_fingerprint
+from test_dedup import plain_near
 
 from sceneloom import numbering
 from sceneloom.llm import mixing, packing, quality, token_counts
@@ -85,12 +85,27 @@ def test_positions_follow_the_schedules(spark):
 
 def test_whole_documents_and_order(spark):
     table = docs(spark, some_docs())
-    plan = mixing.plan_mix(table, whole=True)
-    mixed = mixing.apply_mix(table, plan)
+    plan = mixing.plan_mix(table, whole=True).collect()
+    mixed = mixing.apply_mix(table)
     assert mixed.columns == table.columns
-    n = Counter(r.doc_id for r in mixed.collect())
-    assert dict(n) == {r.doc_id: len(r.passes) for r in plan.collect() if r.passes}
+    order = [r.doc_id for r in mixed.collect()]
+    n = Counter(order)
+    assert dict(n) == {r.doc_id: len(r.passes) for r in plan if r.passes}
     assert set(n.values()) <= {1, 2}
+    places = {r.doc_id: [p.position for p in r.passes] for r in plan}
+    at = [places[i].pop(0) for i in order]
+    assert at == sorted(at)
+
+
+def test_each_row_is_read_as_often_as_planned_for_it(spark):
+    rows = [(None, "a b c", "en", "s")] * 6 + [(5, "a b", "en", "s"), (5, "a b", "en", "t"), (5, "x y z u", "en", "t")]
+    table = docs(spark, rows)
+    planned = Counter()
+    for r in mixing.plan_mix(table, whole=True).collect():
+        planned[r.doc_id, r.size, r.source] += len(r.passes)
+    got = Counter((r.doc_id, n_words(r.text), r.source) for r in mixing.apply_mix(table).collect())
+    assert got == +planned and sum(got.values()) <= 2 * len(rows)
+    assert mixing.apply_mix(docs(spark, [])).count() == 0
 
 
 def test_mixing_and_packing_of_nothing_and_repeats(spark):
@@ -102,6 +117,28 @@ def test_mixing_and_packing_of_nothing_and_repeats(spark):
     assert mixing.plan_mix(docs(spark, [(1, None, "en", "s"), (2, "", "en", "t")])).where("taken = 0").count() == 2
 
 
+def test_running_sum_spreads_a_position_that_many_rows_share(spark):
+    rnd = random.Random(6)
+    rows = [("g", None if i % 3 else i, rnd.randrange(5), i) for i in range(4000)] + [(None, None, 1, 9000 + i) for i in range(300)]
+    table = spark.createDataFrame(rows, "g string, i long, v long, row long").withColumn("h", numbering.hash60(numbering.F.col("i")))
+    got = numbering.sliced_running_sum(table, ["g"], "h", ["i"], "v", "s", rows_per_slice=40, spread="row").collect()
+    assert len(got) == len(rows)
+    for g in ("g", None):
+        mine = sorted((r.s, r.v) for r in got if r.g == g)
+        total = 0
+        for s, v in sorted(mine, key=lambda x: (x[0], x[1])):
+            assert s == total or v == 0
+            total = max(total, s + v)
+        assert total == sum(r[2] for r in rows if r[0] == g)
+
+
+def test_prefix_sums_in_blocks(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice("ab"), k, rnd.randrange(9)) for k in range(300)]
+    got = numbering.prefix_sums(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], "k", "v", "s", block=16).collect()
+    assert all(r.s == sum(v for g, k, v in rows if g == r.g and k < r.k) for r in got) and len(got) == 300
+
+
 def test_sliced_running_sum_is_a_running_sum(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice("aaab"), i, rnd.randrange(9)) for i in range(3000)] + [(None, 1, 5), (None, 2, 6)]
@@ -117,16 +154,74 @@ def test_sliced_running_sum_is_a_running_sum(spark):
             total += v
 
 
+def plain_boundaries_cost(lengths, counts, k):
+    """Least padding by the plain dynamic programme over all splits."""
+    n, t = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(np.array(counts) * lengths)])
+    best = {0: 0}
+    for _ in range(k):
+        best = {i: min(c + (lengths[i - 1] * (n[i] - n[j]) - (t[i] - t[j]) if i > j else 0) for j, c in best.items() if j <= i) for i in range(len(lengths) + 1)}
+    return int(best[len(lengths)])
+
+
+def padding(lengths, counts, bounds):
+    return int(sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts)))
+
+
 def test_boundaries_need_the_least_padding():
     rnd = np.random.default_rng(2)
-    for _ in range(30):
+    for _ in range(60):
         m, k = int(rnd.integers(1, 9)), int(rnd.integers(1, 5))
-        tops = np.sort(rnd.choice(np.arange(1, 60), m, replace=False)).astype(float)
-        counts = rnd.integers(1, 9, m)
-        cost = lambda ends: sum(n * (min(e for e in ends if e >= t) - t) for t, n in zip(tops, counts))
-        best = min(cost([*c, tops[-1]]) for r in range(min(k, m)) for c in itertools.combinations(tops[:-1], r))
-        got = packing.best_boundaries(tops, counts.astype(float), counts * tops, k)
-        assert len(got) <= k and cost(got) == best
+        lengths = sorted(rnd.choice(np.arange(0, 60), m, replace=False).tolist())
+        counts = rnd.integers(1, 9, m).tolist()
+        best = min(padding(lengths, counts, [*c, lengths[-1]]) for r in range(min(k, m)) for c in itertools.combinations(lengths[:-1], r))
+        got = packing.best_boundaries(lengths, counts, k)
+        assert len(got) <= k and got[-1] == lengths[-1] and padding(lengths, counts, got) == best
+    assert packing.best_boundaries([], [], 3) == []
+
+
+def test_boundaries_are_exact_for_long_documents():
+    rnd = np.random.default_rng(4)
+    for spread in [(8_900, 9_100, 150), (0, 20_000, 250), (1, 2_000_000, 120)]:
+        lengths = sorted(set(rnd.integers(*spread).tolist()))
+        counts = rnd.integers(1, 50, len(lengths)).tolist()
+        for k in (1, 2, 6):
+            assert padding(lengths, counts, packing.best_boundaries(lengths, counts, k)) == plain_boundaries_cost(lengths, counts, k)
+
+
+def test_long_documents_are_packed_with_least_padding(spark):
+    rnd = random.Random(5)
+    sizes = [rnd.randrange(8_950, 9_050) for _ in range(120)] + [20_000, 3]
+    got = packing.pack(docs(spark, [(i, "x " * n, "en", "s") for i, n in enumerate(sizes)]), buckets=6).collect()
+    table = sorted(Counter(sizes).items())
+    assert sum(r.padding for r in got) == plain_boundaries_cost([n for n, _ in table], [c for _, c in table], 6)
+
+
+def test_packing_in_order_follows_the_files(spark, tmp_path):
+    rows = some_docs()
+    path = f"file://{tmp_path}/mixed"
+    table = docs(spark, rows + rows[:200])
+    table.orderBy(numbering.hash60(numbering.F.col("doc_id"))).write.parquet(path)
+    read = spark.read.parquet(path)
+    got = packing.pack_in_order(read, buckets=4, token_budget=1000).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows + rows[:200])
+    assert len({r.place for r in got}) == len(got)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.place)]
+    assert order == [r.doc_id for r in read.select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    streams = defaultdict(list)
+    for r in got:
+        streams[r.bucket, r.reading].append((*map(int, r.batch_id.split(":")), r.slot, r.place, r.doc_id))
+    for stream in streams.values():
+        stream.sort()
+        assert [x[4] for x in stream] == sorted(x[4] for x in stream)
+    batches = defaultdict(list)
+    for r in got:
+        batches[r.batch_id].append(r)
+    for batch in batches.values():
+        assert len({r.doc_id for r in batch}) == len(batch) and sorted(r.slot for r in batch) == list(range(len(batch)))
+        assert len(batch) <= max(1, 1000 // max(batch[0].boundary, 1))
+    assert packing.pack_in_order(docs(spark, [])).count() == 0
+    again = packing.pack_in_order(docs(spark, [(None, "a b", "en", None), (None, "a b", "en", None), (3, None, "en", "s")])).collect()
+    assert sorted((r.n_words, r.reading) for r in again) == [(0, 1), (2, 1), (2, 2)]
 
 
 def test_batches_hold_the_budget(spark):
@@ -184,10 +279,19 @@ def test_fences_adapt_to_language_and_source(spark):
     judged = quality.judge(table)
     kept = {r.doc_id for r in judged.collect() if r.kept}
     assert set(range(204)) - kept == {200, 201}
-    good = quality.keep_good(table, judged)
+    good = quality.keep_good(table)
     assert good.columns == table.columns and {r.doc_id for r in good.collect()} == kept
 
 
+def test_each_row_goes_by_its_own_text(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, good, "en", "s"), (None, "short", "en", "s"), (5, good, None, None), (5, "x", None, None), (6, None, "en", "s"), (7, good, "en", "s"), (7, good, "en", "s")]
+    kept = quality.keep_good(docs(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, good), (5, good), (7, good), (7, good)], key=str)
+    assert [r.kept for r in quality.judge(docs(spark, rows)).collect()].count(True) == 4
+    assert quality.keep_good(docs(spark, [])).count() == 0
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -208,7 +312,8 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.count_tokens(docs(spark, []), path, cache).count() == 0
 
 
-def test_pipeline_matches_brute_force(spark):
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Null ids, repeated ids and rows, copies and near copies; every stage is written and read again, as in a run."""
     import corpus_pipeline
 
     rnd = random.Random(9)
@@ -216,37 +321,57 @@ def test_pipeline_matches_brute_force(spark):
     rows = []
     for i in range(60):
         text = [rnd.choice(words) for _ in range(rnd.choice([20, 200, 300]))]
-        rows.append((len(rows), " ".join(text), "en", rnd.choice("ab")))
+        name = rnd.choice([None, 3, *[len(rows)] * 8])
+        rows.append((name, " ".join(text), "en", rnd.choice("ab")))
+        rows += [rows[-1]] * rnd.choice([0, 0, 0, 1])
         for _ in range(rnd.choice([0, 0, 2])):
             rows.append((len(rows), " ".join(text), "en", rnd.choice("ab")))
-        if rnd.random() < 0.3:
+        if rnd.random() < 0.4:
             text[5] = "w1"
+            text[9:11] = []
             rows.append((len(rows), " ".join(text), "en", "b"))
     steps = [docs(spark, rows)]
-    for _, stage in corpus_pipeline.STAGES:
-        steps.append(stage(spark, steps[-1], "").persist())
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, steps[-1], "").write.parquet(f"file://{tmp_path}/{k}")
+        steps.append(spark.read.parquet(f"file://{tmp_path}/{k}"))
     assert all(s.columns == steps[0].columns for s in steps[:-1])
-    by_id = {r[0]: r for r in rows}
-    good = [i for i, t, _, _ in rows if n_words(t) >= 50]
-    assert sorted(r.doc_id for r in steps[1].collect()) == good
-    last = {by_id[i][1]: i for i in good}
-    unique = sorted(last.values())
-    assert sorted(r.doc_id for r in steps[2].collect()) == unique
-    label = plain_components({i: plain_fingerprint(by_id[i][1]) for i in unique})
-    near = sorted(set(label.values()))
-    assert sorted(r.doc_id for r in steps[3].collect()) == near
+    pairs = lambda s: sorted(((r.doc_id, r.text) for r in s.collect()), key=str)
+    good = [(i, t) for i, t, _, _ in rows if n_words(t) >= 50]
+    assert pairs(steps[1]) == sorted(good, key=str)
+    last = {}
+    for i, t in good:
+        last[t] = max((j for j in (i, last.get(t)) if j is not None), default=None)
+    unique = sorted(((i, t) for t, i in last.items()), key=str)
+    assert pairs(steps[2]) == unique
+    near = pairs(steps[3])
+    assert near == sorted(plain_near(unique), key=str) and len(near) < len(unique)
+    planned = Counter()
+    for r in mixing.plan_mix(steps[3], whole=True).collect():
+        planned[r.doc_id, r.size] += len(r.passes)
+    assert Counter((r.doc_id, n_words(r.text)) for r in steps[4].collect()) == +planned
+    packed = steps[5].collect()
+    assert Counter((r.doc_id, r.n_words) for r in packed) == +planned
+    assert len({(r.batch_id, r.slot) for r in packed}) == len(packed)
+
+
+def test_whole_readings_match_brute_force(spark):
+    rows = some_docs()
     sizes, passes = Counter(), Counter()
-    for i in near:
-        sizes[by_id[i][3]] += n_words(by_id[i][1])
+    for i, t, _, s in rows:
+        sizes[s] += n_words(t)
     target = plain_targets(sizes)
     for s in sizes:
         before = 0
-        order = sorted((i for i in near if by_id[i][3] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()[:15])
-        for k, i in itertools.product(range(2), order):
-            size = n_words(by_id[i][1])
-            passes[i] += 2 * before + size <= 2 * int(target[s] + 0.5)
+        order = sorted((r for r in rows if r[3] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()[:15])
+        for _, (i, t, _, _) in itertools.product(range(2), order):
+            size = n_words(t)
+            passes[i] += size > 0 and 2 * before + size <= 2 * int(target[s] + 0.5)
             before += size
-    assert Counter(r.doc_id for r in steps[4].collect()) == +passes
-    packed = steps[5].collect()
-    assert Counter((r.doc_id, r.n_words) for r in packed) == Counter({(i, n_words(by_id[i][1])): n for i, n in passes.items() if n})
-    assert len({(r.batch_id, r.slot) for r in packed}) == len(packed)
+    assert Counter(r.doc_id for r in mixing.apply_mix(docs(spark, rows)).collect()) == +passes
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
