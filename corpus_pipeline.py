@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sceneloom.llm import exact_dedup, mixing, packing, quality, simhash
-from sceneloom.shared import stored
+from sceneloom.shared import release, scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive fences."""
-    return quality.keep_good(docs, quality.judge(docs))
+    return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +23,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one with the smallest id."""
-    return simhash.keep_one(docs, simhash.near_groups(docs))
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id."""
+    return simhash.keep_one(docs, simhash.near_copies(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents in training order, as often as their source's target asks for (none, once or twice)."""
-    return mixing.apply_mix(docs, mixing.plan_mix(docs, whole=True))
+    return mixing.apply_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document reading with its bucket, batch and slot."""
-    return packing.pack(docs)
+    """A row for each document reading with its bucket, batch and slot, in training order."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage stored for itself is deleted when its result is stored, and so is its input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(stored(stage(spark, before, sf_dir), name.replace(" ", "-")))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
