@@ -2,9 +2,10 @@
 
 A page is a stream of block tags and text slots. Streams of one host are aligned again and again: what
 differs becomes optional, what recurs becomes a repeated group, and the result is a union-free regular
-expression, the host's wrapper. Every page's blocks are mapped to the slots of that wrapper, and slots are judged once per
-host: the main region by sums over all pages and by what elements are called, and what a slot repeats on all pages
-as against what varies. The text of a page is what its slots of the main region hold, without what repeats.
+expression, the host's wrapper. Every page is then read by that wrapper: its blocks, and the elements around them, are places
+of the wrapper, and places are judged by what all pages have in them. A place that holds the same text on page after page is template,
+one whose text varies is content; the main region is the part of the wrapper that holds most of the varying plain text, widened as long
+as that brings in more content than anything else. What elements are called only settles what the pages leave open.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -34,45 +36,73 @@ HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body".split())
-#: Words in class or id names that mark what is not the main text, and those that mark it.
+#: Nouns in class or id names that mark what is not the main text, and words after them that say nothing.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices notification alert popup modal "
-    "overlay newsletter subscribe subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus "
+    "overlay newsletter subscribe subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments reply replies disqus "
     "discussion share sharing social related recommended login signup search toolbar copyright widget".split()
 )
-CONTENT = frozenset("article main content post entry story body text".split())
+NEUTRAL = frozenset("area block box button buttons container group holder inner item items link links list outer panel section wrap wrapper".split())
+#: Elements that can be a region of a page; the others are parts of its text.
+CONTAINERS = frozenset("article main section div td body html".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass(frozen=True)
 class Block:
-    """Text of one block: ``path`` names the open elements, ``hidden`` says that one is never main text."""
+    """Text of one block: ``path`` names the open elements, ``opens`` their tokens in the stream, ``hidden`` says that an element around it
+    is never main text, ``named`` that one is called so."""
 
     path: tuple[str, ...]
+    opens: tuple[int, ...]
     text: str
     linked: int
     hidden: bool
+    named: bool
 
 
 @dataclass(frozen=True)
-class Repeats:
-    """A text is a host's furniture if at least ``pages`` different pages and the part ``host`` of all its different pages
-    have it in one element path, and it fills its wrapper slot on the part ``slot`` of the pages that have the slot. A host
-    whose furniture would be more than the part ``most`` of its characters has versions of one text, and none is judged."""
+class Judging:
+    """A text is template if at least ``pages`` different pages and the part ``slot`` of the pages that fill its place have it there, and
+    the place is filled on the part ``host`` of all pages. Where template would be more than the part ``most`` of all characters, the pages
+    are versions of one text and none is template. The main region holds more than the part ``region`` of the varying plain text; it is
+    widened where content is ``widen`` times what else comes in. Names count unless less than the part ``unnamed`` of the varying text is
+    outside what they mark."""
 
     pages: int = 5
     host: float = 0.5
     slot: float = 0.9
-    most: float = 0.5
+    most: float = 0.8
+    region: float = 0.5
+    widen: float = 2.0
+    unnamed: float = 0.1
 
 
-def _key(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of an element in paths (tag and class words), and whether it holds no main text."""
-    names = " ".join("".join(m) for m in NAMES.findall(attributes)) if "=" in attributes else ""
-    words = sorted({w.lower() for w in WORDS.findall(names)})
-    return ".".join([tag, *words]), tag in HIDDEN or not BOILERPLATE.isdisjoint(words)
+#: Different pages, and characters of html, of which one wrapper is inferred; a host with more has several, pages without a host small ones.
+PAGES_PER_WRAPPER = 1_000
+CHARS_PER_WRAPPER = 32_000_000
+PAGES_WITHOUT_HOST = 20
+#: Elements of a path that are told apart; what is nested deeper counts to the last of them.
+DEEPEST = 64
+
+
+def _is_name_of_boilerplate(name: str) -> bool:
+    """Whether the noun that a name ends in marks boilerplate: ``cookie-notice`` and ``comment-list``, but not ``ad-free``."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    while len(words) > 1 and words[-1] in NEUTRAL:
+        words.pop()
+    return bool(words) and words[-1] in BOILERPLATE
+
+
+def _key(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Name of an element in paths (tag and class words), whether it holds no main text, and whether it is called so."""
+    if "=" not in attributes:
+        return tag, tag in HIDDEN, False
+    found = [(kind.lower(), name) for kind, *names in NAMES.findall(attributes) for name in "".join(names).split()]
+    words = sorted({w.lower() for kind, name in found if kind == "class" and not any(c.isdigit() for c in name) for w in WORDS.findall(name)})
+    return ".".join([tag, *words]), tag in HIDDEN, any(_is_name_of_boilerplate(name) for _, name in found)
 
 
 def read_page(page: str) -> tuple[list[Block], list[str]]:
@@ -84,7 +114,7 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
     """
     blocks: list[Block] = []
     stream: list[str] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, bool, int]] = []
     parts: list[str] = []
     linked = links = 0
 
@@ -93,8 +123,9 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                hidden = any(x[2] for x in stack)
-                blocks.append(Block(tuple(x[1] for x in stack), text, linked, hidden))
+                hidden, named = any(x[2] for x in stack), any(x[3] for x in stack)
+                top = stack[:DEEPEST]
+                blocks.append(Block(tuple(x[1] for x in top), tuple(x[4] for x in top), text, linked, hidden, named))
                 stream.append("#")
             parts.clear()
         linked = links = 0
@@ -133,8 +164,8 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
             if tag not in INLINE:
                 flush()
             continue
-        key, hidden = _key(tag, m[3])
-        if tag in INLINE and not (hidden and tag not in VOID):
+        key, hidden, named = _key(tag, m[3])
+        if tag in INLINE and not ((hidden or named) and tag not in VOID):
             links += tag == "a"
             if tag == "br":
                 parts.append(" ")
@@ -154,7 +185,7 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
                 break
         if m[4]:
             continue
-        stack.append((tag, key, hidden))
+        stack.append((tag, key, hidden, named, len(stream)))
         stream.append("+" + key)
     close(0)
     return blocks, stream
@@ -190,10 +221,9 @@ def folded(tokens: list, longest: int = 12) -> tuple[list, list[int]]:
     return out, sizes
 
 
-def _tokens_of_blocks(stream: list[str], sizes: list[int]) -> list[int]:
-    """For each block of a page the number of the folded token it stands in."""
-    owners = [at for at, n in enumerate(sizes) for _ in range(n)]
-    return [owners[i] for i, x in enumerate(stream) if x == "#"]
+def owners(sizes: list[int]) -> list[int]:
+    """For each token of a page the number of the folded token it stands in."""
+    return [at for at, n in enumerate(sizes) for _ in range(n)]
 
 
 def _number(text: str) -> int:
@@ -244,11 +274,22 @@ def _flat(wrapper: list) -> list:
 
 @lru_cache(maxsize=4096)
 def places(wrapper: str, shape: str) -> tuple[int, ...]:
-    """Where in the opened wrapper each token of a page's shape stands, both as JSON; -1 where it has no place."""
+    """Where in the opened wrapper each token of a page's shape stands, both as JSON; -1 where it has no place.
+
+    A token that the alignment leaves out, as it prefers long matches, takes the nearest place of its kind after those before it.
+    """
     flat, tokens = _flat(_loads(wrapper)), _flat(_loads(shape))
     out = [-1] * len(tokens)
     for a, b, n in SequenceMatcher(None, flat, tokens, autojunk=False).get_matching_blocks():
         out[b : b + n] = range(a, a + n)
+    kinds: dict = {}
+    for at, token in enumerate(flat):
+        kinds.setdefault(token, []).append(at)
+    last = -1
+    for b, token in enumerate(tokens):
+        if out[b] < 0 and token in kinds:
+            out[b] = next((a for a in kinds[token] if a > last), kinds[token][-1])
+        last = max(last, out[b])
     return tuple(out)
 
 
@@ -264,196 +305,198 @@ def _loads(text: str) -> list:
     return [tuples(x) for x in json.loads(text)]
 
 
-SLOTS = "array<struct<path:string,hidden:boolean,chars:long,linked:long>>"
-MARKS = "array<struct<at:int,element:long,text:long,chars:long,first:boolean,lead:boolean>>"
-SHAPES = f"host string, form long, shape string, page long, slots {SLOTS}, marks {MARKS}"
-_slot = pa.struct([("path", pa.string()), ("hidden", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64())])
-_mark = pa.struct([("at", pa.int32()), ("element", pa.int64()), ("text", pa.int64()), ("chars", pa.int64()), ("first", pa.bool_()), ("lead", pa.bool_())])
-SHAPE = pa.schema([("host", pa.string()), ("form", pa.int64()), ("shape", pa.string()), ("page", pa.int64()), ("slots", pa.list_(_slot)), ("marks", pa.list_(_mark))])
+ELEMENTS = "array<struct<path:array<string>,opens:array<int>,hidden:boolean,named:boolean>>"
+MARKS = "array<struct<at:int,element:int,text:long,chars:int,linked:int>>"
+SHAPES = f"host string, unit long, shape string, page long, elements {ELEMENTS}, marks {MARKS}"
+_element = pa.struct([("path", pa.list_(pa.string())), ("opens", pa.list_(pa.int32())), ("hidden", pa.bool_()), ("named", pa.bool_())])
+_mark = pa.struct([("at", pa.int32()), ("element", pa.int32()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())])
+SHAPE = pa.schema([("host", pa.string()), ("unit", pa.int64()), ("shape", pa.string()), ("page", pa.int64()), ("elements", pa.list_(_element)), ("marks", pa.list_(_mark))])
 
 
-def _marks(blocks: list[Block], owners: list[int]) -> list[dict]:
-    """What may be furniture: each text once per token and element. ``first`` is its first place in such an element of the
-    page, ``lead`` the first text of the token and element."""
-    seen: set[tuple[int, ...]] = set()
-    out = []
-    for b, at in zip(blocks, owners):
-        if b.hidden:
-            continue
-        element, text = _number("/".join(b.path)), _number(b.text)
-        if (at, element, text) in seen:
-            continue
-        out.append({"at": at, "element": element, "text": text, "chars": len(b.text), "first": (-1, element, text) not in seen, "lead": (at, element) not in seen})
-        seen |= {(at, element, text), (-1, element, text), (at, element)}
-    return out
+def read_shape(page: str) -> tuple[list[Block], list[int], list[int], str]:
+    """Blocks of a page, the folded token of each of them and of each stream token, and its shape as JSON."""
+    blocks, stream = read_page(page)
+    tokens, sizes = folded(stream)
+    own = owners(sizes)
+    return blocks, [own[i] for i, x in enumerate(stream) if x == "#"], own, json.dumps(tokens)
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for host, value in zip(batch.column(0), batch.column(1)):
-            blocks, stream = read_page(value.as_py() or "")
-            sums: dict[tuple[str, bool], list[int]] = {}
-            for b in blocks:
-                one = sums.setdefault(("/".join(b.path), b.hidden), [0, 0])
-                one[0] += len(b.text)
-                one[1] += b.linked
-            tokens, sizes = folded(stream)
-            shape = json.dumps(tokens)
-            slots = [{"path": p, "hidden": h, "chars": c, "linked": k} for (p, h), (c, k) in sums.items()]
+        for host, unit, value in zip(*batch.columns):
+            blocks, at, own, shape = read_shape(value.as_py() or "")
+            elements: dict[tuple, int] = {}
+            marks = []
+            for b, token in zip(blocks, at):
+                element = (b.path, tuple(own[i] for i in b.opens), b.hidden, b.named)
+                marks.append((token, elements.setdefault(element, len(elements)), _number(b.text), len(b.text), b.linked))
             page = _number("\n".join([shape, *(b.text for b in blocks if not b.hidden)]))
-            rows.append((host.as_py(), _number(shape), shape, page, slots, _marks(blocks, _tokens_of_blocks(stream, sizes))))
+            names = ("at", "element", "text", "chars", "linked")
+            rows.append((host.as_py(), unit.as_py(), shape, page, [dict(zip(("path", "opens", "hidden", "named"), e)) for e in elements], [dict(zip(names, m)) for m in marks]))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SHAPE.types)], schema=SHAPE)
 
 
-def _merge(pdf: pd.DataFrame) -> list:
-    """Align all shapes of a group, the most frequent first."""
+def merge_shapes(shapes: list[str]) -> list:
+    """The wrapper of page shapes (JSON), the most frequent aligned first."""
+    counts = Counter(shapes)
     wrapper: list = []
-    for i, row in enumerate(pdf.sort_values(["pages", "shape"], ascending=[False, True]).itertuples()):
-        shape = _loads(row.shape)
-        wrapper = shape if i == 0 else align(wrapper, shape)
+    for i, shape in enumerate(sorted(counts, key=lambda x: (-counts[x], x))):
+        wrapper = _loads(shape) if i == 0 else align(wrapper, _loads(shape))
     return wrapper
 
 
-def _merge_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [key[0]], "shape": [json.dumps(_merge(pdf))], "pages": [int(pdf["pages"].sum())]})
+def chain(path: tuple[str, ...], opens: tuple[int, ...], slots: tuple[int, ...]) -> tuple[tuple[int, str], ...]:
+    """An element as the wrapper sees it: place and name of each element around it."""
+    return tuple((slots[i], name) for i, name in zip(opens, path))
 
 
-def main_root(slots: list[tuple[str, bool, int, int]]) -> str | None:
-    """Path of the region that holds the main text, from (path, hidden, characters, linked characters) of slots.
+def main_region(elements: dict[tuple, tuple[float, float]], j: Judging = Judging()) -> tuple | None:
+    """The part of a wrapper that holds the main text, from (content, other) characters of each element; none without content.
 
-    The outermost element that is named as content (article and main before class words) and holds text; without
-    one, the deepest element with at least 60 % of the plain text. Text that is mostly links counts less.
+    It is the innermost container around the element that holds more than half of all content, or around the most of it,
+    widened to an outer container where that adds enough content.
     """
-    weight: dict[tuple[str, ...], float] = {}
-    named: dict[tuple[str, ...], int] = {}
-    whole = 0.0
-    for path, hidden, chars, linked in slots:
-        if hidden:
-            continue
-        w = max(chars - 2 * linked, 0) + 1e-9 * chars
-        whole += w
-        steps = tuple(path.split("/")) if path else ()
-        for n in range(len(steps) + 1):
-            head = steps[:n]
-            weight[head] = weight.get(head, 0.0) + w
-            if head:
-                tag, *words = head[-1].split(".")
-                rank = 3 if tag == "article" else 2 if tag == "main" else 1 if not CONTENT.isdisjoint(words) else 0
-                if rank:
-                    named[head] = rank
+    good: Counter = Counter()
+    bad: Counter = Counter()
+    for element, (content, other) in elements.items():
+        for n in range(len(element) + 1):
+            good[element[:n]] += content
+            bad[element[:n]] += other
+    whole = good[()]
     if whole <= 0:
         return None
-    good = [h for h in named if weight[h] >= 0.05 * whole]
-    if good:
-        return "/".join(max(good, key=lambda h: (named[h], weight[h], -len(h), h)))
-    heavy = [h for h in weight if weight[h] >= 0.6 * whole]
-    return "/".join(max(heavy, key=lambda h: (len(h), weight[h], h)))
-
-
-def _wrap_host(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    shapes = pdf[pdf["kind"] == "shape"]
-    slots = [(r.path, bool(r.hidden), int(r.chars), int(r.linked)) for r in pdf[pdf["kind"] == "slot"].itertuples()]
-    merged = _merge(shapes)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [spell(merged)], "root": [main_root(slots)], "pages": [int(shapes["pages"].sum())], "plan": [json.dumps(merged)]})
-
-
-def page_shapes(pages: DataFrame) -> DataFrame:
-    """Shape, sums by element path and marks of every page of ``pages(host, html)``, stored."""
-    return stored(pages.select("host", "html").mapInArrow(_shapes, SHAPES), "shapes")
-
-
-def infer_wrappers(pages: DataFrame, at_once: int = 200, shapes: DataFrame | None = None) -> DataFrame:
-    """``host, wrapper, root, pages, plan`` from ``pages(host, html)``: one wrapper per host, from all its pages.
-    ``plan`` is the wrapper as JSON; ``shapes`` is the result of ``page_shapes`` if the caller has it.
-
-    Pages are first reduced to distinct shapes, runs of equal blocks folded, so a hot host is a few rows. While a host has
-    more than ``at_once`` shapes, they are aligned in groups of about that many and the groups' wrappers take
-    their place, so no task aligns more however many shapes a host has.
-    """
-    shapes = page_shapes(pages) if shapes is None else shapes
-    counted = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"))
-    parts = stored(counted, "counted")
-    for _ in range(8):
-        sizes = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once)
-        crowded = stored(sizes, "crowded")
-        if crowded.isEmpty():
+    region = max((e for e in good if good[e] > j.region * whole), key=lambda e: (len(e), good[e], e))
+    while region and region[-1][1].split(".")[0] not in CONTAINERS:
+        region = region[:-1]
+    for n in range(len(region) - 1, -1, -1):
+        outer = region[:n]
+        more, else_ = good[outer] - good[region], bad[outer] - bad[region]
+        if outer and outer[-1][1].split(".")[0] not in CONTAINERS:
+            continue
+        if more > 0 and more >= j.widen * else_:
+            region = outer
+        elif else_ > 0:
             break
-        many = parts.join(crowded, "host").withColumn("bucket", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / at_once)))
-        merged = many.groupBy("host", "bucket").applyInPandas(_merge_part, "host string, shape string, pages long")
-        parts = stored(parts.join(crowded, "host", "left_anti").unionByName(merged), "merged")
-    slots = shapes.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.hidden").agg(F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"))
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = parts.select("host", F.lit("shape").alias("kind"), "shape", "pages", none("string").alias("path"), none("boolean").alias("hidden"), none("long").alias("chars"), none("long").alias("linked"))
-    rows = rows.unionByName(slots.select("host", F.lit("slot").alias("kind"), none("string").alias("shape"), none("long").alias("pages"), "path", "hidden", "chars", "linked"))
-    return rows.groupBy("host").applyInPandas(_wrap_host, "host string, wrapper string, root string, pages long, plan string")
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slots = [slot_numbers(p.as_py(), s.as_py()) for p, s in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["host", "form", "slots"])
+    return region
 
 
-def slot_numbers(plan: str, shape: str) -> list[int]:
-    """The wrapper slot of each token of a shape; a token without a place counts by its own number, below zero."""
-    return [to if to >= 0 else -1 - at for at, to in enumerate(places(plan, shape))]
+def judge_pages(pages: list[tuple[str, list, list]], j: Judging = Judging(), wrapper: list | None = None) -> dict:
+    """Wrapper and verdict on the different pages (shape, elements, marks) of a host: ``plan``, ``region``, ``names``, ``cuts``.
 
+    ``cuts`` are the template texts as (place, element, text), ``names`` says whether names count.
+    """
+    wrapper = merge_shapes([p[0] for p in pages]) if wrapper is None else wrapper
+    plan = json.dumps(wrapper)
+    on, filled = Counter(), Counter()
+    sums: dict[tuple, list[int]] = {}
+    flags: dict[tuple, tuple[bool, bool]] = {}
+    for shape, elements, marks in pages:
+        slots = places(plan, shape)
+        chains = [chain(tuple(e["path"]), tuple(e["opens"]), slots) for e in elements]
+        texts, spots = set(), set()
+        for m in marks:
+            spot = (slots[m["at"]], chains[m["element"]])
+            if spot[0] < 0:
+                continue
+            e, had = elements[m["element"]], flags.get(spot, (False, False))
+            flags[spot] = (had[0] or e["hidden"], had[1] or e["named"])
+            one = sums.setdefault((*spot, m["text"]), [0, 0])
+            one[0] += m["chars"]
+            one[1] += m["linked"]
+            texts.add((*spot, m["text"]))
+            spots.add(spot)
+        on.update(texts)
+        filled.update(spots)
+    shown = {t: c for t, c in sums.items() if not flags[t[:2]][0]}
+    cuts = {t for t in shown if on[t] >= j.pages and on[t] >= j.slot * filled[t[:2]] and filled[t[:2]] >= j.host * len(pages)}
+    if sum(shown[t][0] for t in cuts) > j.most * sum(c for c, _ in shown.values()):
+        cuts = set()
+    plain = {t: max(c - 2 * linked, 0) for t, (c, linked) in shown.items()}
+    varying = {t: n for t, n in plain.items() if t not in cuts}
+    names = sum(n for t, n in varying.items() if not flags[t[:2]][1]) >= j.unnamed * sum(varying.values())
+    elements: dict[tuple, tuple[float, float]] = {}
+    for t, (chars, linked) in shown.items():
+        content = 0 if t in cuts or names and flags[t[:2]][1] else plain[t]
+        a, b = elements.get(t[1], (0, 0))
+        elements[t[1]] = (a + content, b + chars - content)
+    return {"plan": plan, "region": main_region(elements, j), "names": names, "cuts": cuts}
+
+
+def _element_number(element: tuple) -> int:
+    return _number(repr(element))
+
+
+JUDGED = "host string, unit long, wrapper string, plan string, region string, names boolean, cuts array<struct<slot:int,element:long,text:long>>, pages long"
+
+
+def _judge_unit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["page", "shape"])
+    pages = list(zip(pdf["shape"], pdf["elements"], pdf["marks"]))
+    v = judge_pages(pages)
+    cuts = sorted((slot, _element_number(element), text) for slot, element, text in v["cuts"])
+    return pd.DataFrame({
+        "host": [key[0]], "unit": [key[1]], "wrapper": [spell(_loads(v["plan"]))], "plan": [v["plan"]], "region": [None if v["region"] is None else json.dumps(v["region"])],
+        "names": [v["names"]], "cuts": [[dict(zip(("slot", "element", "text"), c)) for c in cuts]], "pages": [len(pdf)],
+    })
+
+
+def with_units(rows: DataFrame) -> DataFrame:
+    """Add ``unit`` to rows with ``host, url, html``: pages of one host and unit share a wrapper. Large hosts are dealt to
+    several by the hash of url and html, so that no unit grows with the host."""
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars"))
+    per = F.when(F.col("host") == "", PAGES_WITHOUT_HOST).otherwise(PAGES_PER_WRAPPER)
+    sizes = sizes.select("host", F.greatest(F.ceil(F.col("n") / per), F.ceil(F.col("chars") / CHARS_PER_WRAPPER), F.lit(1)).alias("__units"))
+    return with_lookup(rows, sizes, ["host"]).withColumn("unit", F.pmod(F.xxhash64("url", "html"), "__units")).drop("__units")
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """``host, unit, wrapper, plan, region, names, cuts, pages`` from ``pages(host, unit, html)``: one wrapper per host and unit, from all
+    its pages, and the verdict on its places. ``wrapper`` is its spelling, ``plan`` the same as JSON.
+
+    Equal pages are first reduced to one, so what is gathered per unit is bounded by its number of different pages."""
+    shapes = pages.select("host", "unit", "html").mapInArrow(_shapes, SHAPES)
+    one = shapes.groupBy("host", "unit", "page").agg(F.first(F.struct("shape", "elements", "marks")).alias("s")).select("host", "unit", "page", "s.*")
+    return one.groupBy("host", "unit").applyInPandas(_judge_unit, JUDGED)
+
+
+def main_text(page: str, plan: str, region: tuple | None, names: bool = True, cuts: frozenset = frozenset()) -> str:
+    """Text of the main region of a page as its host's wrapper reads it, a line for each block.
+
+    Blocks that have no place in the wrapper are not read. A page that has nothing in the host's region finds its own among
+    the blocks that have a place, by the same rule.
+    """
+    blocks, at, own, shape = read_shape(page)
+    slots = places(plan, shape)
+    placed = []
+    for b, token in zip(blocks, at):
+        if slots[token] < 0 or b.hidden or names and b.named:
+            continue
+        element = chain(b.path, tuple(own[i] for i in b.opens), slots)
+        if not cuts or (slots[token], _element_number(element), _number(b.text)) not in cuts:
+            placed.append((b, element))
+    inside = [b for b, e in placed if region is not None and e[: len(region)] == region]
+    if not inside and placed:
+        sums: dict[tuple, tuple[float, float]] = {}
+        for b, e in placed:
+            content = max(len(b.text) - 2 * b.linked, 0) or 1e-9 * len(b.text)
+            a, c = sums.get(e, (0, 0))
+            sums[e] = (a + content, c + len(b.text) - content)
+        region = main_region(sums)
+        inside = [b for b, e in placed if region is not None and e[: len(region)] == region]
+    return "\n".join(b.text for b in inside)
 
-def furniture(shapes: DataFrame, wrappers: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
-    """``host, cuts``: the texts that wrapper slots repeat over a host's pages, as structs (slot, element, text).
 
-    Equal pages count once. Texts are counted before the shuffle, and only those that enough pages of a host hold are
-    taken to slots, so slots are sought for a few rows a host and shape.
-    """
-    one = shapes.groupBy("host", "page").agg(F.first("form").alias("form"), F.first("marks").alias("marks"))
-    one = stored(one, "different-pages")
-    hosts = stored(one.groupBy("host").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= repeats.pages), "hosts")
-    texts = one.select("host", "form", F.explode("marks").alias("m")).groupBy("host", "form", "m.at", "m.element", "m.text").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("m.first").alias("firsts"), F.count_if("m.lead").alias("leads"), F.max("m.chars").alias("chars")
-    )
-    texts = stored(texts, "texts")
-    often = texts.groupBy("host", "element", "text").agg(F.sum("firsts").alias("on")).where(F.col("on") >= repeats.pages)
-    often = with_lookup(often, hosts, ["host"], "inner").where(F.col("on") >= repeats.host * F.col("of"))
-    often = stored(often.select("host", "element", "text"), "often")
-    here = stored(often.select("host").distinct(), "often-hosts")
-    forms = shapes.groupBy("host", "form").agg(F.min("shape").alias("shape"))
-    forms = with_lookup(with_lookup(forms, here, ["host"], "inner"), wrappers.select("host", "plan"), ["host"], "inner")
-    slots = forms.select("host", "form", "plan", "shape").mapInArrow(_placed, "host string, form long, slots array<int>")
-    slots = stored(slots.select("host", "form", F.posexplode("slots").alias("at", "slot")), "slots")
-    whole = texts.groupBy("host", "form", "at", "element").agg(F.sum("leads").alias("pages"))
-    whole = with_lookup(whole, slots, ["host", "form", "at"], "inner").groupBy("host", "slot", "element").agg(F.sum("pages").alias("pages"))
-    mine = with_lookup(stored(with_lookup(texts, often, ["host", "element", "text"], "inner"), "often-texts"), slots, ["host", "form", "at"], "inner")
-    mine = mine.groupBy("host", "slot", "element", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
-    fixed = mine.join(whole, ["host", "slot", "element"]).where(F.col("n") >= repeats.slot * F.col("pages"))
-    found = fixed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "element", "text"))).alias("cuts"), F.sum(F.col("n") * F.col("chars")).alias("lost"))
-    sizes = texts.groupBy("host").agg(F.sum(F.col("n") * F.col("chars")).alias("all"))
-    return found.join(sizes, "host").where(F.col("lost") <= repeats.most * F.col("all")).select("host", "cuts")
-
-
-def main_text(page: str, root: str | None, plan: str | None = None, cuts: frozenset[tuple[int, int, int]] = frozenset()) -> str:
-    """Text of the main region without the host's furniture, a line for each block. A page without the host's region finds its own."""
-    blocks, stream = read_page(page)
-    inside = lambda b, r: not b.hidden and ("/".join(b.path) + "/").startswith(r + "/" if r else "")
-    if root is None or not any(inside(b, root) for b in blocks):
-        root = main_root([("/".join(b.path), b.hidden, len(b.text), b.linked) for b in blocks])
-    if root is None:
-        return ""
-    kept = blocks
-    if cuts and plan is not None:
-        tokens, sizes = folded(stream)
-        slots = slot_numbers(plan, json.dumps(tokens))
-        owners = _tokens_of_blocks(stream, sizes)
-        kept = [b for b, at in zip(blocks, owners) if (slots[at], _number("/".join(b.path)), _number(b.text)) not in cuts]
-    return "\n".join(b.text for b in kept if inside(b, root))
+def _region(text: str | None) -> tuple | None:
+    return None if text is None else tuple((slot, name) for slot, name in json.loads(text))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for h, r, p, c in zip(*batch.columns[2:6]):
-            cuts = frozenset((x["slot"], x["element"], x["text"]) for x in c.as_py() or [])
-            texts.append(main_text(h.as_py() or "", r.as_py(), p.as_py(), cuts))
+        for html, plan, region, names, cuts in zip(*batch.columns[2:7]):
+            found = frozenset((x["slot"], x["element"], x["text"]) for x in cuts.as_py() or [])
+            texts.append(main_text(html.as_py() or "", plan.as_py() or "[]", _region(region.as_py()), bool(names.as_py()), found))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -461,15 +504,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: ``page_id, url, text, n_chars``.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
-    a newline. Null or empty html gives an empty text; pages whose url is null or has no host share a wrapper; null
-    and repeated ids are each returned; an empty table gives an empty result; other columns are not read.
+    a newline. Null or empty html gives an empty text; pages whose url is null or has no host share wrappers in small
+    groups; a very long page is read whole, elements nested deeper than ``DEEPEST`` are not told apart; null and repeated ids are each
+    returned; an empty table gives an empty result; other columns are not read. Of regions with equal sums the deeper one wins, then the
+    later in the wrapper, so the result does not depend on the order of rows.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url")))
-    shapes = page_shapes(rows)
-    wrappers = stored(infer_wrappers(rows, shapes=shapes).select("host", "root", "plan"), "wrappers")
-    cuts = stored(furniture(shapes, wrappers), "furniture")
-    wrappers = with_lookup(wrappers, cuts, ["host"]).select("host", "root", F.when(F.col("cuts").isNotNull(), F.col("plan")).alias("plan"), "cuts")
-    joined = with_lookup(rows, stored(wrappers, "judged"), ["host"]).select(F.col("page_id").cast("long"), "url", "html", "root", "plan", "cuts")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = with_units(rows.withColumn("host", host_of(F.col("url"))))
+    wrappers = stored(infer_wrappers(rows).select("host", "unit", "plan", "region", "names", "cuts"), "wrappers")
+    joined = with_lookup(rows, wrappers, ["host", "unit"]).select("page_id", "url", "html", "plan", "region", "names", "cuts")
     out = joined.mapInArrow(_texts, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,5 +1,7 @@
 """URL filter and main-text extraction."""
 
+import json
+
 from sceneloom.llm import html_extract, url_filter
 
 PAGES = "page_id long, url string, html string, host string, path string, text string"
@@ -104,6 +106,74 @@ def test_pages_without_an_article_element(spark):
     assert got[12] == "Long text 2 one two three.\nSecond paragraph 2."
 
 
+def covers(wrapper, tokens):
+    """Whether a union-free expression (optional runs, repeated groups) matches a whole list of tokens, by trying everything."""
+    def ends(w, at):
+        if not w:
+            return {at}
+        head, rest = w[0], w[1:]
+        if isinstance(head, str):
+            return ends(rest, at + 1) if at < len(tokens) and tokens[at] == head else set()
+        once = ends(list(head[1:]), at)
+        if head[0] == "?":
+            # what is optional may be there in part, as several pages' options can stand in one run
+            found = parts(list(head[1:]), at)
+        else:
+            found, new = set(once), set(once)
+            while new:
+                new = {e for a in new for e in ends(list(head[1:]), a)} - found
+                found |= new
+        return {e for a in found for e in ends(rest, a)}
+
+    def parts(w, at):
+        found = {at}
+        for x in w:
+            found |= {e for a in found for e in ends([x], a)}
+        return found
+
+    return len(tokens) in ends(wrapper, 0)
+
+
+def plain_common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def small_streams():
+    import random
+
+    rnd = random.Random(4)
+    part = lambda: rnd.choice(["<p>x</p>", "<h2>h</h2>", "<ul><li>a</li><li>b</li></ul>", "<div><p>q</p></div>", "<pre>c</pre>"])
+    return [html_extract.read_page("<main>" + "".join(part() for _ in range(rnd.randrange(1, 6))) + "</main>")[1] for _ in range(60)]
+
+
+def test_wrappers_are_union_free_and_cover_their_pages():
+    streams = small_streams()
+    for group in (streams[k : k + 4] for k in range(0, 60, 4)):
+        wrapper = html_extract.merge_shapes([json.dumps(html_extract.fold(t)) for t in group])
+        assert "|" not in html_extract.spell(wrapper)
+        for t in group:
+            assert covers(html_extract.fold(t), t) and covers(wrapper, t)
+
+
+def test_every_token_finds_its_place_in_order_as_a_best_alignment_does():
+    streams = [html_extract.fold(t) for t in small_streams()]
+    for group in (streams[k : k + 3] for k in range(0, 60, 3)):
+        wrapper = html_extract.merge_shapes([json.dumps(t) for t in group])
+        flat = html_extract._flat(wrapper)
+        for t in group:
+            got = html_extract.places(json.dumps(wrapper), json.dumps(t))
+            assert all(flat[a] == x for a, x in zip(got, t))
+            if plain_common(flat, t) == len(t):
+                assert list(got) == sorted(set(got))
+
+
 def test_wrappers_are_union_free_expressions():
     a = html_extract.fold(html_extract.read_page("<ul><li>a</li><li>b</li></ul><p>x</p>")[1])
     b = html_extract.fold(html_extract.read_page("<ul><li>a</li><li>b</li><li>c</li></ul><div>ad</div><p>x</p><p>y</p>")[1])
@@ -112,11 +182,94 @@ def test_wrappers_are_union_free_expressions():
     assert "( +li # -li )+" in merged and ")?" in merged and "|" not in merged
 
 
-def test_many_shapes_are_aligned_in_groups(spark):
-    body = lambda i: "<main>" + "".join(f"<h{1 + (i >> b) % 2}>x</h{1 + (i >> b) % 2}>" for b in range(5)) + "<p>Text of the page.</p></main>"
-    table = spark.createDataFrame([("h", HEAD + body(i) + TAIL) for i in range(32)] + [("g", HEAD + body(0) + TAIL)], "host string, html string")
-    got = {r.host: r for r in html_extract.infer_wrappers(table, at_once=5).collect()}
-    assert got["h"].pages == 32 and got["g"].pages == 1 and got["h"].root.endswith("main") and "|" not in got["h"].wrapper
+def test_large_hosts_have_several_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "PAGES_PER_WRAPPER", 10)
+    body = lambda i: "<main>" + "".join(f"<h{1 + (i >> b) % 2}>x</h{1 + (i >> b) % 2}>" for b in range(5)) + f"<p>Text of page {i}.</p></main>"
+    rows = [(i, f"http://h.com/{i}", HEAD + body(i) + TAIL) for i in range(32)] + [(40, "http://g.com/", HEAD + body(0) + TAIL)]
+    table = html_extract.with_units(pages(spark, rows).drop("host").withColumn("host", url_filter.host_of(url_filter.F.col("url"))))
+    got = html_extract.infer_wrappers(table).collect()
+    assert sum(r.pages for r in got if r.host == "h.com") == 32 and len([r for r in got if r.host == "h.com"]) == 4
+    assert all(r.region and "|" not in r.wrapper for r in got)
+    texts = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(texts[i].endswith(f"Text of page {i}.") for i in range(32))
+
+
+NEUTRAL = """<html><body><div><div><a href="/">Home</a><a href="/a">About</a></div><div>{notice}</div><div><div><h1>{head}</h1>{body}</div><div>{teaser}</div></div></div></body></html>"""
+WORDS = "sun moon river stone cloud harbour window letter garden winter music paper bridge forest signal candle".split()
+
+
+def neutral_host(n, seed=1):
+    """Pages without article, main or telling names: a long notice that never changes, link lists, and a text that varies."""
+    import random
+
+    rnd = random.Random(seed)
+    say = lambda k: " ".join(rnd.choice(WORDS) for _ in range(k)) + "."
+    notice = "<p>" + "This site keeps small files on your device to remember what you chose. " * 6 + "</p>"
+    out = []
+    for i in range(n):
+        body = [say(rnd.randrange(8, 15)) for _ in range(rnd.randrange(1, 4))]
+        head = f"{say(3)} {i}"
+        teaser = "".join(f'<p><a href="/t{k}">{say(6)}</a></p>' for k in range(3))
+        out.append((NEUTRAL.format(notice=notice, head=head, body="".join(f"<p>{b}</p>" for b in body), teaser=teaser), "\n".join([head, *body])))
+    return out
+
+
+def test_slots_decide_where_names_say_nothing(spark):
+    host = neutral_host(12)
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, [(i, f"http://n.com/{i}", h) for i, (h, _) in enumerate(host)])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(host)}
+    alone = {r.page_id: r.text for r in html_extract.extract(pages(spark, [(1, "http://one.com/", host[1][0])])).collect()}
+    assert "small files" in alone[1]  # one page cannot tell
+
+
+def judged(host):
+    """Verdict on pages given as html, without Spark."""
+    shaped = []
+    for html in host:
+        blocks, at, own, shape = html_extract.read_shape(html)
+        elements, marks = {}, []
+        for b, token in zip(blocks, at):
+            e = elements.setdefault((b.path, tuple(own[i] for i in b.opens), b.hidden, b.named), len(elements))
+            marks.append({"at": token, "element": e, "text": html_extract._number(b.text), "chars": len(b.text), "linked": b.linked})
+        shaped.append((shape, [dict(zip(("path", "opens", "hidden", "named"), e)) for e in elements], marks))
+    return shaped
+
+
+def test_texts_come_through_the_wrapper():
+    host = neutral_host(12)
+    shaped = judged([h for h, _ in host])
+    v = html_extract.judge_pages(shaped)
+    cuts = frozenset((s, html_extract._element_number(e), t) for s, e, t in v["cuts"])
+    for html, want in host:
+        assert html_extract.main_text(html, v["plan"], v["region"], v["names"], cuts) == want
+        assert html_extract.main_text(html, "[]", v["region"], v["names"], cuts) == ""
+        assert html_extract.main_text(html, json.dumps(["+p", "#", "-p"]), v["region"], v["names"], cuts) != want
+    garbage = html_extract.judge_pages(shaped, wrapper=["GARBAGE"])
+    assert garbage["region"] is None and not garbage["cuts"]
+
+
+def test_names_alone_drop_no_article_text(spark):
+    one = '<article><p>Body one two</p><section class="related-work"><p>Earlier studies of rivers.</p></section><div class="text-ad-free"><p>Third part {i}.</p></div></article>'
+    rows = [(i, f"http://a.com/{i}", HEAD + one.format(i=i) + TAIL) for i in range(3)]
+    # all of the text is in an element that is called a notice: names do not count there
+    rows += [(10 + i, f"http://b.com/{i}", HEAD + f'<div class="notice"><h1>Head {i}</h1><p>The whole text {i} of the page.</p></div>' + TAIL) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    for i in range(3):
+        assert got[i] == f"Body one two\nEarlier studies of rivers.\nThird part {i}."
+        assert got[10 + i] == f"Head {i}\nThe whole text {i} of the page."
+
+
+def test_long_nested_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>Line {k} of many.</p>" for k in range(6_000)) + "</article>"
+    deep = "<div>" * 500 + "<p>Deep down.</p>" + "</div>" * 500
+    rows = [(1, "http://l.com/", HEAD + long + TAIL), (2, "http://d.com/", HEAD + deep + TAIL), (None, "http://e.com/", "<p>No number</p>"), (None, "http://e.com/", "<p>No number</p>"),
+            (3, "nothing", "<p>No host</p>"), (4, None, None)]
+    got = html_extract.extract(pages(spark, rows)).collect()
+    texts = sorted((str(r.page_id), r.text) for r in got)
+    assert len(got) == 6 and ("2", "Deep down.") in texts and texts.count(("None", "No number")) == 2 and ("3", "No host") in texts and ("4", "") in texts
+    assert next(r.text for r in got if r.page_id == 1).split("\n") == [f"Line {k} of many." for k in range(6_000)]
+    again = html_extract.extract(pages(spark, rows[::-1]).repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_what_a_host_repeats_in_neutral_elements_is_no_main_text(spark):
