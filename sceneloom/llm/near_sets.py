@@ -14,18 +14,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.components import connected_components
 from sceneloom.llm.rows import text_digest
 from sceneloom.llm.shingles import fingerprint, shingle_hashes
-from sceneloom.shared import stored, with_lookup
+from sceneloom.shared import release, stored, with_lookup
 
 #: A key held by more sets than this is left to the sets that have not enough other keys.
 HOT = 64
 #: Rounds in which crowded keys propose stars before all pairs of what is still apart are proposed.
 STARS = 2
+#: Times that sets with too few shared keys are put aside.
+PRUNINGS = 2
 EPS = 1e-9
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -81,8 +83,21 @@ def set_keys(hashes: np.ndarray, t: float) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of the distinct ``hashes`` fall on them, two or more bits a hash, as longs.
+
+    The sketches of two sets differ in at most as many bits as the sets in members; halves folded by exclusive or give
+    the sketch of half the length."""
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    at = ((hashes * ODD[1]) >> np.uint64(20)) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(similarity: float, shingle: int):
-    kinds = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("digest", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()),
+    kinds = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("digest", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()),
              ("own", pa.list_(pa.int64())), ("own_margin", pa.int32()), ("low", pa.list_(pa.int64())), ("low_margin", pa.int32())]
     schema = pa.schema(kinds)
 
@@ -94,14 +109,14 @@ def _sets(similarity: float, shingle: int):
                 distinct = np.unique(hashes)
                 (own, own_margin), (low, low_margin) = set_keys(distinct, similarity)
                 fp = fingerprint(hashes)
-                rows.append((hashlib.sha256(distinct.tobytes()).digest()[:16], len(distinct), fp - (1 << 64) if fp >> 63 else fp, own, own_margin, low, low_margin))
+                rows.append((parity_sketch(distinct), hashlib.sha256(distinct.tobytes()).digest()[:16], len(distinct), fp - (1 << 64) if fp >> 63 else fp, own, own_margin, low, low_margin))
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
 
     return run
 
 
-SETS = "doc_id long, text_sha256 string, digest binary, n int, fp long, own array<long>, own_margin int, low array<long>, low_margin int"
+SETS = "doc_id long, text_sha256 string, sketch array<long>, digest binary, n int, fp long, own array<long>, own_margin int, low array<long>, low_margin int"
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,14 +143,26 @@ def _hashes(shingle: int):
     return run
 
 
+def _bits_apart(a: str, b: str) -> Column:
+    """Bits in which two parity sketches differ; a sketch of twice the length is folded first."""
+    def fit(x: str, y: str) -> Column:
+        half = F.size(y)
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(y), folded).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(fit(a, b), fit(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The stored ``pairs(a, b)`` of rows whose sets are similar enough. Sets are made again for the documents of pairs only."""
-    sizes = nodes.select("row", "n")
+    """The stored ``pairs(a, b)`` of rows whose sets are similar enough. Pairs whose parity sketches
+    differ too much are put aside first; sets are made again for the documents of the others only."""
     part = similarity / (1 + similarity)
     fits = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for c in "ab":
-        fits = fits.join(sizes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}")), c)
-    fits = stored(fits.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - EPS), "pairs")
+        fits = fits.join(nodes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
+    fits = fits.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - EPS)
+    apart = F.floor((F.lit(1.0) - 2 * part) * (F.col("n_a") + F.col("n_b")) + EPS)
+    fits = stored(fits.where(_bits_apart("s_a", "s_b") <= apart).select("a", "b", "n_a", "n_b"), "pairs")
     if fits.isEmpty():
         return fits.select("a", "b")
     asked = fits.select(F.col("a").alias("row")).union(fits.select(F.col("b").alias("row"))).distinct()
@@ -144,22 +171,41 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     texts = with_lookup(_base(docs, id_col, text_col), stored(asked.select(*on).distinct(), "asked-texts"), on, "left_semi")
     made = texts.mapInArrow(_hashes(shingle), "doc_id long, text_sha256 string, set array<long>")
     made = stored(with_lookup(made, asked, on, "inner").dropDuplicates(["row"]).select("row", "set"), "sets-of-pairs")
+    both = fits
     for c in "ab":
-        fits = fits.join(made.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}")), c)
+        both = both.join(made.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}")), c)
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return stored(fits.where(shared >= part * (F.col("n_a") + F.col("n_b")) - EPS).select("a", "b"), "verified")
+    out = stored(both.where(shared >= part * (F.col("n_a") + F.col("n_b")) - EPS).select("a", "b"), "verified")
+    for done in (fits, asked, made):
+        release(done)
+    return out
+
+
+def _pruned(live: DataFrame, margins: DataFrame) -> DataFrame:
+    """``key, member, n`` without members that share too few keys for any similar partner, and without keys that this leaves alone.
+
+    Similar sets differ in fewer classes than either needs, so they share more keys than either's margin."""
+    enough = live.groupBy("member").agg(F.count(F.lit(1)).alias("shared")).join(margins, "member").where("shared > margin").select("member")
+    left = stored(live.select("key", "member").join(stored(enough, "members"), "member", "left_semi"), "keys")
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = stored(left.join(sizes, "key").select("key", "member", "n"), "keys")
+    release(left)
+    return out
 
 
 def _live(nodes: DataFrame) -> DataFrame:
-    """``key, row`` of keys that several sets share, without those that their sets can spare."""
+    """``key, row`` of keys that several sets share, without those that tell nothing."""
     def member(keys: str, slot: int):
         return F.transform(keys, lambda k: F.struct(k.alias("key"), (F.col("row") * 2 + slot).alias("member")))
 
     first = nodes.where("row = first")
     keyed = first.select(F.explode(F.concat(member("own", 0), member("low", 1))).alias("k")).select("k.*")
     live = stored(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "keys")
-    hot = live.where(F.col("n") > HOT)
     margins = first.select(F.explode(F.array(*[F.struct((F.col("row") * 2 + i).alias("member"), F.col(m).alias("margin")) for i, m in enumerate(("own_margin", "low_margin"))])).alias("m")).select("m.*")
+    for _ in range(PRUNINGS):
+        live, old = _pruned(live, margins), live
+        release(old)
+    hot = live.where(F.col("n") > HOT)
     spare = hot.groupBy("member").agg(F.count(F.lit(1)).alias("hot")).join(margins, "member").where("hot <= margin").select("member")
     needed = hot.join(stored(spare, "spare"), "member", "left_anti")
     kept = live.where(F.col("n") <= HOT).unionByName(needed).select("key", F.floor(F.col("member") / 2).alias("row"))
@@ -167,25 +213,23 @@ def _live(nodes: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, component`` of all rows of ``nodes`` that are linked, where ``proposed(a, b)`` are pairs to try first.
+    """``node, component`` of all rows of ``nodes`` that are linked, where ``proposed(a, b)`` are more pairs to try.
 
     Keys propose a star to one of their sets, twice; only where the sets of a key are still apart all pairs of sets
     in different components are proposed. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
     has keys enough without its crowded ones is not looked up by these: whatever is similar to it shares another key.
     """
-    def check(pairs: DataFrame) -> DataFrame:
-        return verified(docs, nodes, pairs, similarity, shingle, id_col, text_col)
-
-    edges = check(stored(proposed, "proposed"))
-    labels = stored(connected_components(edges), "labels")
     live = _live(nodes)
+    edges = labels = None
     for turn in range(STARS + 1):
-        marked = live.join(labels, live["row"] == labels["node"], "left").select("key", "row", F.coalesce("component", "row").alias("label"))
-        marked = stored(marked, "marked")
+        if labels is None:
+            marked = live.withColumn("label", F.col("row"))
+        else:
+            marked = stored(live.join(labels, live["row"] == labels["node"], "left").select("key", "row", F.coalesce("component", "row").alias("label")), "marked")
         center = F.min_by(F.struct("row", "label"), F.xxhash64("row") if turn else F.col("row"))
         apart = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), center.alias("center")).where("lo <> hi")
         apart = stored(apart.select("key", F.col("center.row").alias("b"), F.col("center.label").alias("b_label")), "apart")
-        if apart.isEmpty():
+        if labels is not None and apart.isEmpty():
             break
         rest = marked.join(apart, "key")
         if turn < STARS:
@@ -194,8 +238,13 @@ def similar(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity:
             rest = stored(rest.select("key", "row", "label"), "rest")
             other = rest.select("key", F.col("row").alias("b"), F.col("label").alias("b_label"))
             pairs = rest.join(other, "key").where("label < b_label").select(F.col("row").alias("a"), "b")
-        edges = stored(edges.union(check(pairs)), "edges")
-        labels = stored(connected_components(edges), "labels")
+        if labels is None:
+            pairs = pairs.union(proposed)
+        found = verified(docs, nodes, pairs, similarity, shingle, id_col, text_col)
+        edges = found if edges is None else stored(edges.union(found), "edges")
+        if labels is None or not found.isEmpty():
+            labels = stored(connected_components(edges), "labels")
         if turn < STARS:
-            live = stored(live.join(apart.select("key"), "key", "left_semi"), "live")
+            live, old = stored(live.join(apart.select("key"), "key", "left_semi"), "live"), live
+            release(old)
     return labels

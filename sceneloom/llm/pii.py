@@ -38,11 +38,12 @@ KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "social")
 class PiiParams:
     """A span of an added kind stays if its score reaches ``least``. The score starts from the kind's own value,
     gains ``checked`` if a checksum confirms it and ``context`` if one of its words stands within ``reach``
-    characters before or after it."""
+    characters before or after it. An account number whose country is not listed loses ``unlisted``, so its checksum alone does not do."""
 
     least: float = 0.6
     checked: float = 0.4
     context: float = 0.4
+    unlisted: float = 0.2
     reach: int = 40
     start: tuple[tuple[str, float], ...] = (
         ("email", 0.6), ("ip", 0.5), ("card", 0.3), ("phone", 0.5), ("iban", 0.3), ("local_phone", 0.3), ("social", 0.3)
@@ -144,7 +145,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             before = F.substring(t, F.greatest(s["start"] - params.reach, F.lit(0)) + 1, F.least(s["start"], F.lit(params.reach)))
             after = F.substring(t, s["end"] + 1, F.lit(params.reach))
             near = F.concat_ws(" ", before, after).rlike(rf"(?i)(?<![A-Za-z])(?:{words[kind]})(?![A-Za-z])")
-            score = F.lit(starts[kind]) + checked + F.when(near, F.lit(params.context)).otherwise(F.lit(0.0))
+            listed = F.substring(s["hit"], 1, 2).isin([c for names in IBAN_LENGTHS.values() for c in names]) if kind == "iban" else F.lit(True)
+            score = F.lit(starts[kind]) + checked - F.when(listed, F.lit(0.0)).otherwise(F.lit(params.unlisted)) + F.when(near, F.lit(params.context)).otherwise(F.lit(0.0))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
         return F.transform(kind, one)
@@ -158,11 +160,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """``doc_id``, counts, ``base_sha256`` and ``spans`` of the result of ``find_pii``."""
+    """``doc_id``, counts, ``base_sha256``, ``spans`` and their ``scores`` in the same order, of the result of ``find_pii``."""
     marks = [labelled(F.col(k), i, k) for i, k in enumerate(KINDS)]
     order = ("rank", "start", "end")
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(joined(F.concat(*marks[:4]), order).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat(*marks), order).alias("spans"),
+        F.concat_ws(",", *[F.transform(F.array_sort(k), lambda s: F.format_number(s["score"], 2)) for k in KINDS]).alias("scores"),
     )

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneloom.shared import shared_path, stored
+from sceneloom.shared import shared_path, stored, with_lookup
 
 CACHE = "digest binary, version string, n_tokens long"
 #: Texts go to the tokenizer in groups of at most so many bytes, which bounds a worker's memory.
 BYTES_AT_ONCE = 1_000_000
+#: Digests that a task remembers to drop copies before the shuffle; beyond them copies meet after it.
+SEEN = 200_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -36,13 +38,14 @@ def _digest(text: Column) -> Column:
 
 
 def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop rows whose digest this task has sent already (32 bytes a distinct row)."""
+    """Drop rows whose digest this task has sent already, as far as its bounded memory reaches."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for i, d in enumerate(batch.column(0).to_pylist()):
             if d not in seen:
-                seen.add(d)
+                if len(seen) < SEEN:
+                    seen.add(d)
                 keep.append(i)
         yield batch.take(pa.array(keep, pa.int64()))
 
@@ -99,8 +102,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     tokens, truncation or padding. Null text counts as empty; null and repeated ids are each returned; an empty table
     gives an empty result and appends nothing; other columns are not read.
 
-    Copies are dropped per task before texts are dealt by digest, so a text held by a third of all rows moves
-    once a task and is encoded once.
+    Digests are joined to the cache first, so the texts of hits are dropped where they are read, unless there are too many
+    misses to send their digests to all tasks. Copies of misses are dropped per task before texts are dealt by digest, so a text held by
+    a third of all rows moves once a task and is encoded once. Very long texts are encoded whole, one at a time.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
@@ -108,11 +112,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     text = normalised(F.col(text_col))
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), _digest(text).alias("digest")), "digests")
     known = read_cache(spark, cache).where(F.col("version") == version)
-    has_known = not known.isEmpty()
     texts = docs.select(_digest(text).alias("digest"), text.alias("text"))
+    if not known.isEmpty():
+        misses = rows.select("digest").distinct().join(known.select("digest"), "digest", "left_anti")
+        texts = with_lookup(texts, stored(misses, "misses"), ["digest"], "left_semi")
     texts = texts.mapInArrow(_first_of_task, "digest binary, text string").repartition("digest")
-    if has_known:
-        texts = texts.join(known.select("digest").hint("shuffle_merge"), "digest", "left_anti")
     fresh = texts.mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = stored(read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens"), "counts")

@@ -70,22 +70,32 @@ def listed(host: Column, path: Column, rules: tuple[HostRule, ...] = RULES) -> C
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: domain suffixes, path words and query names; numbers become one token."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, 99), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     words = F.filter(F.split(_lower_az(path), r"[^a-z0-9]+"), lambda w: w != "")
     words = F.transform(words, lambda w: F.concat(F.lit("p:"), F.when(w.rlike("^[0-9]+$"), F.lit("#")).otherwise(w)))
     names = F.transform(F.filter(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda q: q != ""), lambda q: F.concat(F.lit("q:"), F.substring_index(q, "=", 1)))
     return F.array_sort(F.array_distinct(F.concat(F.when(host != "", suffixes).otherwise(F.array().cast("array<string>")), words, names)))
 
 
+def _as_one(cut: DataFrame) -> DataFrame:
+    """``token, item``: tokens that stand in exactly the same rows of ``cut(__row, token)`` share the least of them as their item."""
+    rows = F.col("__row")
+    marks = [F.sum(F.xxhash64(rows, F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in (1, 2)]
+    where = stored(cut.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks), "occurrences")
+    least = where.groupBy("n", "m1", "m2").agg(F.min("token").alias("item"))
+    return stored(where.join(least, ["n", "m1", "m2"]).select("token", "item"), "items")
+
+
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """``rule_id, tokens, confidence, support`` from ``labelled(tokens, bad)``.
 
-    Tokens below the support are removed before mining, as no rule can hold them. Without labels of both
-    kinds there are no rules.
+    Tokens below the support are removed before mining, as no rule can hold them. Tokens that always come together (the labels
+    of one host, say) are mined as one item, since sets of several of them say no more than one does, and a rule is given for each. Without labels of both
+    kinds there are no rules; null labels count as not bad; repeated rows each count.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id string, tokens array<string>, confidence double, support double")
-    rows = stored(labelled.select("tokens", "bad"), "labelled")
+    rows = stored(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("__row")), "labelled")
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     if not n or not bad or bad == n:
         return empty
@@ -94,22 +104,25 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         return empty
     frequent = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.sum(F.col("bad").cast("long")).alias("n")).where(F.col("n") >= support * n)
     frequent = stored(frequent.select("token"), "frequent")  # at most tokens-per-url / support rows
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    keyed = stored(keyed, "keyed")
-    cut = with_lookup(keyed.select("__row", "bad", F.explode_outer("tokens").alias("token")), frequent.withColumn("known", F.lit(True)), ["token"])
-    items = cut.groupBy("__row", "bad").agg(F.collect_list(F.when(F.col("known"), F.col("token"))).alias("items"))
-    items = items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(items)
+    cut = stored(with_lookup(rows.select("__row", F.explode("tokens").alias("token")), frequent, ["token"], "inner"), "tokens")
+    items = _as_one(cut)
+    sets = with_lookup(cut, items, ["token"]).groupBy("__row").agg(F.collect_set("item").alias("items"))
+    sets = rows.select("__row", "bad").join(sets, "__row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    sets = sets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(sets)
     rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= mining.tokens) & (F.col("lift") >= mining.lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = rules.withColumn("rule_id", F.array_join("tokens", " "))
-    rules = stored(rules, "rules")
+    rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     # A rule is redundant if a shorter one whose tokens it contains is at least as confident. Each rule asks for its own
     # shorter token sets, so a token in many rules makes no pairs.
-    parts = stored(rules.select("tokens", "confidence", F.explode(_shorter(F.col("tokens"))).alias("part")), "shorter")
+    parts = rules.select("tokens", "confidence", F.explode(_shorter(F.col("tokens"))).alias("part"))
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
     redundant = stored(with_lookup(parts, known, ["part"], "inner").where(F.col("least") >= F.col("confidence")).select("tokens").distinct(), "redundant")
-    return rules.join(redundant, "tokens", "left_anti").select("rule_id", "tokens", "confidence", "support")
+    rules = with_lookup(rules, redundant, ["tokens"], "left_anti").withColumn("said", F.array().cast("array<string>"))
+    for k in range(mining.tokens):  # each item of a rule becomes each of its tokens
+        item = rules.withColumn("item", F.get("tokens", F.lit(k)))
+        rules = with_lookup(item, items, ["item"]).withColumn("said", F.when(F.col("token").isNull(), F.col("said")).otherwise(F.concat("said", F.array("token")))).drop("item", "token")
+    rules = rules.select(F.array_sort("said").alias("tokens"), "confidence", "support")
+    return rules.select(F.array_join("tokens", " ").alias("rule_id"), "tokens", "confidence", "support")
 
 
 def _shorter(tokens: Column) -> Column:
@@ -141,7 +154,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, mining: Mining = Mining(), r
     """One row per page: ``page_id, host, path, rule, verdict, mined_rule``.
 
     ``labels(page_id, bad)`` trains the mined rules. A list rule decides; without one a page is blocked if it
-    meets a mined rule, else allowed. A null url, or one without ``://``, has empty host and path, meets no list
+    meets a mined rule, else allowed. A very long url is judged whole. A null url, or one without ``://``, has empty host and path, meets no list
     rule and has no tokens: it is allowed. Labels of a page count once each; null ids match no label; repeated pages are
     each returned; an empty table gives an empty result; other columns are not read.
 

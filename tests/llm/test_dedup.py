@@ -157,6 +157,19 @@ def test_similar_sets_share_a_key_that_neither_can_spare():
             assert any(len(s) > max(mx, 0) or len(s) > max(my, 0) or (len(s) and min(mx, my) < 0) for s, mx, my in shared), (n, cut, new)
 
 
+def test_sketches_never_differ_more_than_their_sets(spark):
+    rnd = np.random.default_rng(8)
+    rows = []
+    for n in [1, 5, 31, 32, 33, 40, 64, 65, 200, 500]:
+        a = rnd.integers(0, 1 << 63, size=n, dtype=np.uint64)
+        for cut, new in [(0, 0), (n // 9, n // 8), (0, n // 4), (n // 2, n // 2)]:
+            b = np.concatenate([a[: n - cut], rnd.integers(0, 1 << 63, size=new, dtype=np.uint64)])
+            rows.append((near_sets.parity_sketch(np.unique(a)).tolist(), near_sets.parity_sketch(np.unique(b)).tolist(), cut + new))
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, d int").select("d", near_sets._bits_apart("x", "y").alias("bits"), near_sets._bits_apart("y", "x").alias("back")).collect()
+    assert all(r.bits == r.back <= r.d and (r.d == 0) <= (r.bits == 0) for r in got)
+    assert sum(r.bits for r in got) > 0.4 * sum(r.d for r in got)
+
+
 def test_near_copies_of_nulls_repeats_and_nothing(spark):
     text = " ".join(f"a{k}" for k in range(40))
     table = [(None, text), (4, text), (4, text), (4, text + " z"), (7, "other words here"), (None, None), (None, "lone words"), (None, "lone words")]

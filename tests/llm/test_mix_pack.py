@@ -310,6 +310,21 @@ def test_token_counts_and_cache(spark, tmp_path):
     more = token_counts.count_tokens(docs(spark, rows[:3] + [(50, "new one", "en", "s")]), path, cache)
     assert more.count() == 4 and spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 1
     assert token_counts.count_tokens(docs(spark, []), path, cache).count() == 0
+    twice = token_counts.count_tokens(docs(spark, [(None, "a", "en", "s"), (None, "b c", "en", "s"), (3, "a", "en", "s"), (3, "a", "en", "s")]), path, cache).collect()
+    assert sorted(str(r.doc_id) for r in twice) == ["3", "3", "None", "None"]
+
+
+def test_only_misses_are_sent_to_the_tokenizer(spark, tmp_path, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    sent = []
+    real = token_counts.with_lookup
+    monkeypatch.setattr(token_counts, "with_lookup", lambda df, lookup, on, how: sent.append(lookup.count()) or real(df, lookup, on, how))
+    cache, path = f"file://{tmp_path}/cache", P.path("byte_bpe_50k.json")
+    for rows, misses in [([(1, "a", "en", "s"), (2, "b", "en", "s")], None), ([(1, "a", "en", "s"), (2, "b", "en", "s")], 0), ([(1, "a", "en", "s"), (3, "new", "en", "s"), (4, "new", "en", "s")], 1)]:
+        assert token_counts.count_tokens(docs(spark, rows), path, cache).count() == len(rows)
+        assert sent == ([] if misses is None else [misses])
+        sent.clear()
+    assert spark.read.parquet(cache).count() == 3
 
 
 def test_pipeline_matches_brute_force(spark, tmp_path):

@@ -72,6 +72,55 @@ def test_inverted_index_finds_what_comparing_all_finds(spark):
     assert {r.key: r.rule_id for r in got.collect()} == plain_met(sets, rules)
 
 
+def plain_rules(rows, m):
+    """All token sets of at most ``m.tokens`` tokens that say bad, without those that hold an equally confident smaller one."""
+    from itertools import combinations
+
+    n, bad = len(rows), sum(b for _, b in rows)
+    least = max(m.support, m.pages / n) * n
+    tokens = sorted({t for r, _ in rows for t in r})
+    found = {}
+    for k in range(1, m.tokens + 1):
+        for c in combinations(tokens, k):
+            have = [b for r, b in rows if set(c) <= set(r)]
+            if sum(have) >= least and sum(have) / len(have) >= m.confidence and sum(have) / len(have) / (bad / n) >= m.lift:
+                found[c] = sum(have) / len(have)
+    return {c: f for c, f in found.items() if not any(found.get(p, -1) >= f for k in range(1, len(c)) for p in combinations(c, k))}
+
+
+def test_mined_rules_match_brute_force(spark):
+    import random
+
+    import pytest
+
+    rnd = random.Random(12)
+    mining = url_filter.Mining(support=0.02, pages=4, confidence=0.7, lift=1.2)
+    some = 0
+    for seed in range(3):
+        rows = []
+        for _ in range(150):
+            tokens = {t for t in "abcdefg" if rnd.random() < 0.35}
+            if rnd.random() < 0.3:
+                tokens |= {"x1", "x2", "x3"}  # always together
+            bad = ("a" in tokens and "b" in tokens) or ("x1" in tokens and "c" in tokens) or rnd.random() < 0.15
+            rows.append((sorted(tokens), bad))
+        rows += rows[:10]
+        got = {tuple(r.tokens): r.confidence for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), mining).collect()}
+        want = plain_rules(rows, mining)
+        assert got.keys() == want.keys() and all(got[c] == pytest.approx(f) for c, f in want.items())
+        some += len(want)
+    assert some > 5
+
+
+def test_long_hosts_nulls_and_repeated_pages(spark):
+    long = ".".join(f"l{k}" for k in range(150)) + ".com"
+    table = spark.createDataFrame([(long,)], "host string").select(url_filter.url_tokens(url_filter.F.lit(""), url_filter.F.col("host"), url_filter.F.lit("/")).alias("t")).first().t
+    assert "h:" + long in table and "h:com" in table and len(table) == 151
+    rows = [(None, f"http://{long}/a", None), (7, "http://x.net/en/", None), (7, "http://x.net/en/", None), (8, "http://x.com/" + "a/" * 5_000, None)]
+    got = url_filter.judge_urls(pages(spark, rows), spark.createDataFrame([(None, True), (7, False)], "page_id long, bad boolean")).collect()
+    assert len(got) == 4 and sorted(r.verdict for r in got) == ["allow", "allow", "block", "block"]
+
+
 def test_many_redundant_rules_push_out_no_general_one(spark):
     """18 groups of 12 tokens on bad pages only give 5,364 rules of at most three tokens at confidence 1."""
     groups = [[f"g{g:02d}t{k:02d}" for k in range(12)] for g in range(18)]
