@@ -80,3 +80,18 @@ def ordered_running_sum(df: DataFrame, group: list[str], slices: str, order: lis
     rows = with_lookup(df, prefix_sums(sums, group, slices, "__sum", "__start").drop("__sum"), [*group, slices])
     inside = Window.partitionBy(*group, slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(into, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__start")
+
+
+def numbered_in_order(df: DataFrame, order: list[Column], into: str = "place") -> DataFrame:
+    """Add ``into``: the number of rows before a row in a complete order, by a range-partitioned sort.
+
+    The sorted rows are stored; a row's number is its place in its part file plus the rows of the files before, of which there is one
+    count each. No task sees more than a partition, and equal leading values spread by the rest of the order.
+    """
+    rows = stored(df.orderBy(*order), "sorted")
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"part-([0-9]+)[^/]*$", 1).cast("long")
+    rows = rows.select(*[F.col(f"`{c}`") for c in df.columns], part.alias("__part"), F.col("_metadata.row_index").alias("__at"))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return with_lookup(rows, starts, ["__part"]).withColumn(into, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
