@@ -71,6 +71,12 @@ def longest_edge(extent: Column, size: Column, radius: Column, height: Column) -
     return F.when(longest > 1e-6, longest)
 
 
+def longest_of_boxes(boxes: Column) -> Column:
+    """Longest edge over all boxes (arrays of edges) that an object was seen with; null unless over a millionth."""
+    longest = F.array_max(F.transform(boxes, lambda b: F.array_max(b)))
+    return F.when(longest > 1e-6, longest)
+
+
 def norm_class(name: Column) -> Column:
     return F.lower(F.trim(F.coalesce(name, F.lit(""))))
 

@@ -45,6 +45,27 @@ def pool_report(evaluated: DataFrame, runs: DataFrame, config: str) -> DataFrame
     return objects.join(errors, config, "left").join(shapes, config, "left").join(per_run, config, "left")
 
 
+def metric_summary(rows: DataFrame, config: str, metrics: list[str]) -> DataFrame:
+    """``config, metric, n, mean, std, median``: over the rows where a metric is known; the deviation of one row is 0.
+
+    Values are counted before the shuffle, so a few configs with many rows do not skew.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    known = rows.select(config, values.alias("x")).select(config, "x.*").where("value IS NOT NULL")
+    counted = known.groupBy(config, "metric", "value").agg(F.count(F.lit(1)).alias("__n"))
+    n, total, square = F.sum("__n"), F.sum(F.col("value") * F.col("__n")), F.sum(F.col("value") * F.col("value") * F.col("__n"))
+    out = counted.groupBy(config, "metric").agg(n.alias("n"), (total / n).alias("mean"), (square - total * total / n).alias("__s"), F.expr("percentile(value, 0.5D, __n)").alias("median"))
+    spread = F.sqrt(F.greatest(F.col("__s"), F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1)))
+    return out.select(config, "metric", "n", "mean", F.when(F.col("n") > 1, spread).otherwise(0.0).alias("std"), "median")
+
+
+def motion_accuracy(rows: DataFrame, config: str, truth: str, guess: str, rest: str = "static") -> DataFrame:
+    """Per config: accuracy of the motion types of found objects, and what always guessing ``rest`` would reach."""
+    known = rows.where(F.col(guess).isNotNull())
+    return known.groupBy(config).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"), F.avg((F.col(truth) == rest).cast("double")).alias("always_static"))
+
+
 def report_table(pooled: DataFrame, config: str, columns: dict[str, int]) -> DataFrame:
     """One text row per config, numbers with a fixed number of places, n/a for what is missing."""
     cells = [F.coalesce(F.format_number(F.col(c), places), F.lit("n/a")).alias(c) for c, places in columns.items()]
@@ -196,6 +217,14 @@ def rank_agreement(rows: DataFrame, family: str, a: str, b: str, least: int = 3)
     return g.select(family, "n", F.when(reason.isNull(), F.col("__r")).alias("spearman"), F.coalesce(reason, F.lit("available")).alias("status"))
 
 
+def monotone_check(rows: DataFrame, family: str, level: str, value: str, first: int = 5) -> DataFrame:
+    """Whether the mean value never falls over the ``first`` levels of each family, and by how much it falls at most."""
+    means = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(family, level).agg(F.avg(value).alias("__m"))
+    o = Window.partitionBy(family).orderBy(level)
+    steps = means.withColumn("__r", F.row_number().over(o)).where(F.col("__r") <= first).withColumn("__d", F.col("__m") - F.lag("__m").over(o))
+    return steps.groupBy(family).agg(F.count(F.lit(1)).alias("levels"), F.coalesce(F.bool_and(F.col("__d") >= 0), F.lit(True)).alias("monotone"), F.greatest(F.lit(0.0), F.coalesce(-F.min("__d"), F.lit(0.0))).alias("worst_fall"))
+
+
 def perturb(nodes: DataFrame, kinds: dict[str, dict[str, Column]], drop: dict[str, Column]) -> DataFrame:
     """All corrupted variants of a table: ``variant`` names the corruption; columns are replaced, rows dropped where told."""
     out = None
@@ -237,17 +266,49 @@ def variance_decomposition(rows: DataFrame, clip: str, value: str) -> DataFrame:
     return t.select("clips", "n", (between / total).alias("between_share"))
 
 
+def half_binomial_tail(k: int, n: int) -> float:
+    """P(X <= k) of n fair coins, as the incomplete beta function at one half by its continued fraction: a few dozen steps for any n."""
+    if k >= n:
+        return 1.0
+    a, b = float(n - k), k + 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2))
+    if a < b:  # the fraction converges fast below the mean only
+        return 1.0 - half_binomial_tail(n - k - 1, n)
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * 0.5 / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + top * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + top / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return front * h / a
+
+
+def sign_test(wins: int, losses: int) -> float:
+    """Two-sided exact sign test; 1 without untied pairs."""
+    n = wins + losses
+    return min(1.0, 2.0 * half_binomial_tail(min(wins, losses), n)) if n else 1.0
+
+
 def paired_tests(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Wins, losses and ties of paired values, and the two-sided exact sign test (from log-gamma sums, no library)."""
+    """Wins, losses and ties of paired values, and the two-sided exact sign test. One aggregate row is all that the driver sees."""
     counts = rows.agg(F.count_if(F.col(a) > F.col(b)).alias("wins"), F.count_if(F.col(a) < F.col(b)).alias("losses"), F.count_if(F.col(a) == F.col(b)).alias("ties"))
+    row = counts.first()
+    return counts.withColumn("p_value", F.lit(sign_test(row["wins"], row["losses"])))
 
-    def sign(w: int, x: int) -> float:
-        n, k = w + x, min(w, x)
-        terms = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1))
-        return min(1.0, 2 * sum(map(math.exp, terms))) if n else 1.0
 
-    row = counts.first()
-    return counts.withColumn("p_value", F.lit(sign(row["wins"], row["losses"])))
+def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The four cells of paired yes-or-no outcomes, and McNemar's exact test on the two that differ."""
+    x, y = F.col(a), F.col(b)
+    cells = rows.where(x.isNotNull() & y.isNotNull()).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
+    row = cells.first()
+    return cells.withColumn("p_value", F.lit(sign_test(row["only_a"], row["only_b"])))
 
 
 def dataset_profile(nodes: DataFrame, clip: str, motion: str, material: str, vocabulary: list[str], name: str) -> DataFrame:

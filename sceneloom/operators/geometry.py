@@ -100,77 +100,6 @@ def choose_ground(candidates: DataFrame, clip: str, min_ratio: float = 0.25, pri
     return best.select(clip, "idx", "score", F.when(F.col("__u"), "upright").otherwise("facing_camera").alias("mode"), F.when(F.col("cam_height") > 1e-3, F.lit(prior) / F.col("cam_height")).otherwise(1.0).alias("scale"))
 
 
-@dataclass(frozen=True)
-class MotionConfig:
-    """Gates and scales of the competing fits (fixed values of the default configuration where the data model has them)."""
-
-    min_frames: int = 5
-    min_span: float = 0.75
-    max_gap_factor: float = 3.5
-    static_m: float = 0.05
-    translation_m: float = 0.15
-    residual: float = 0.12
-    primary: float = 0.55
-    margin: float = 0.10
-    periods: int = 160
-    min_cycles: float = 1.5
-    min_period: float = 0.4
-    min_r2: float = 0.8
-
-
-def sinusoid(t: np.ndarray, y: np.ndarray, c: MotionConfig) -> dict | None:
-    """Best of ``periods`` least-squares sinusoids; all normal equations are solved at once."""
-    span = float(t[-1] - t[0])
-    low, high = max(c.min_period, 4 * float(np.median(np.diff(t)))), span / c.min_cycles
-    if span <= 0 or np.ptp(y) <= 1e-9 or high < low:
-        return None
-    period = np.linspace(low, high, c.periods)
-    phase = 2 * np.pi / period[:, None] * (t - t[0])[None, :]
-    design = np.stack([np.sin(phase), np.cos(phase), np.ones_like(phase)], axis=2)
-    normal = design.transpose(0, 2, 1) @ design + 1e-12 * np.eye(3)
-    coeff = np.linalg.solve(normal, (design.transpose(0, 2, 1) @ y)[..., None])[..., 0]
-    error = ((y[None, :] - np.einsum("pnk,pk->pn", design, coeff)) ** 2).mean(1)
-    k = int(np.argmin(error))
-    total = float(((y - y.mean()) ** 2).mean())
-    return {"period": float(period[k]), "amp": float(np.hypot(*coeff[k, :2])), "rmse": float(np.sqrt(error[k])), "r2": float(np.clip(1 - error[k] / max(total, 1e-12), 0, 1))}
-
-
-def classify_motion(t: np.ndarray, pos: np.ndarray, c: MotionConfig = MotionConfig()) -> tuple[str, float | None, float | None, str]:
-    """(type, confidence, margin, reason) of a track: static, prismatic or periodic translation compete; no clear winner is unknown."""
-    if len(t) < c.min_frames or t[-1] - t[0] < c.min_span:
-        return "unknown", None, None, "too_short"
-    steps = np.diff(t)
-    if steps.max() > c.max_gap_factor * np.median(steps):
-        return "unknown", None, None, "gap"
-    spread = float(np.sqrt(((pos - pos.mean(0)) ** 2).sum(1).mean()))
-    fits = [(math.exp(-0.5 * (spread / c.static_m) ** 2), "static")]
-    design = np.column_stack([t - t[0], np.ones(len(t))])
-    line = design @ np.linalg.lstsq(design, pos, rcond=None)[0]
-    rmse, moved = float(np.sqrt(((pos - line) ** 2).sum(1).mean())), float(np.linalg.norm(line[-1] - line[0]))
-    scale = max(c.residual * max(moved, c.static_m), c.static_m * 0.25)
-    fits.append(((1 - math.exp(-moved / c.translation_m)) * math.exp(-0.5 * (rmse / scale) ** 2), "prismatic"))
-    centred = pos - pos.mean(0)
-    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
-    wave = sinusoid(t, centred @ axis, c)
-    if wave and wave["r2"] >= c.min_r2:
-        off = float(np.sqrt(((centred - np.outer(centred @ axis, axis)) ** 2).sum(1).mean()))
-        size = max(c.residual * wave["amp"], c.static_m * 0.25)
-        fits.append(((1 - math.exp(-2 * wave["amp"] / c.translation_m)) * math.exp(-0.5 * ((wave["rmse"] + off) / size) ** 2), "periodic_translate"))
-    fits.sort(key=lambda f: (-f[0], f[1]))
-    margin = fits[0][0] - fits[1][0]
-    if fits[0][0] < c.primary or margin < c.margin:
-        return "unknown", round(fits[0][0], 6), round(margin, 6), "no_clear_fit"
-    return fits[0][1], round(fits[0][0], 6), round(margin, 6), "fitted"
-
-
-def estimate_motion(track: DataFrame, keys: list[str], t: str = "t", config: MotionConfig = MotionConfig()) -> DataFrame:
-    """Motion type of every track ``(keys, t, x, y, z)``; the gates and the ranking tell why none was chosen."""
-    def fit(_, rows):
-        yield classify_motion(np.array([r[t] for r in rows]), np.array([[r["x"], r["y"], r["z"]] for r in rows]), config)
-
-    return map_groups(track, keys, [t, "x", "y", "z"], fit, "motion string, confidence double, margin double, reason string")
-
-
 def infer_articulation(steps: DataFrame, keys: list[str]) -> DataFrame:
     """From per-step motions ``(keys, step_m, step_deg, axis_x.., travel_m, diag)``: static, hinge, slide or none.
 

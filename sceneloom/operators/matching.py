@@ -215,11 +215,29 @@ def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] and fine[owner[j] - 1, j - 1]]
 
 
+def feasible_parts(rows: list[dict]) -> list[list[dict]]:
+    """Pairs (gt, pred) split where no truth and no prediction is shared, in the order of their first rows."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in rows:
+        parent[root(("g", r["gt"]))] = root(("p", r["pred"]))
+    parts: dict = {}
+    for r in rows:
+        parts.setdefault(root(("g", r["gt"])), []).append(r)
+    return list(parts.values())
+
+
 def match_costs(costs: DataFrame, keys: list[str], limit: float, greedy: bool = False) -> DataFrame:
     """One-to-one pairs of each group of ``costs(keys, gt, pred, cost)`` within the limit.
 
     The most pairs first, then the least distance; or, if ``greedy``, by rising distance. Infeasible pairs are
-    filtered before they are grouped.
+    filtered before they are grouped, and each connected part of the feasible pairs is solved alone.
     """
     def run(_, rows):
         if greedy:
@@ -230,18 +248,59 @@ def match_costs(costs: DataFrame, keys: list[str], limit: float, greedy: bool =
                     right.add(r["pred"])
                     yield r["gt"], r["pred"], r["cost"]
             return
-        gts, preds = sorted({r["gt"] for r in rows}), sorted({r["pred"] for r in rows})
-        cost = np.full((len(gts), len(preds)), np.inf)
-        gi, pi = {g: i for i, g in enumerate(gts)}, {p: i for i, p in enumerate(preds)}
-        for r in rows:
-            cost[gi[r["gt"]], pi[r["pred"]]] = r["cost"]
-        for i, j in assignment(cost, limit):
-            yield gts[i], preds[j], float(cost[i, j])
+        for part in feasible_parts(rows):
+            gts, preds = sorted({r["gt"] for r in part}), sorted({r["pred"] for r in part})
+            cost = np.full((len(gts), len(preds)), np.inf)
+            gi, pi = {g: i for i, g in enumerate(gts)}, {p: i for i, p in enumerate(preds)}
+            for r in part:
+                cost[gi[r["gt"]], pi[r["pred"]]] = r["cost"]
+            for i, j in assignment(cost, limit):
+                yield gts[i], preds[j], float(cost[i, j])
 
     fields = ["cost", "gt", "pred"]
     return map_groups(costs.where(F.col("cost") <= limit), keys, fields, run, "gt long, pred long, cost double")
 
 
+def best_shift(g: np.ndarray, p: np.ndarray, limit: float) -> tuple[int, float, float, float]:
+    """(inliers, cost, dx, dz) of the best horizontal shift of points ``p`` onto ``g`` (n x 3) among those that lay one on another.
+
+    A truth is inside if some shifted point is within ``limit`` of it. Each pair whose heights are close enough votes at its
+    shift; votes lie in cells of size ``limit``, and the truths that vote in the nine cells around a shift bound its inliers, so shifts are tried by falling bound until none can win.
+    Memory is in proportion to the pairs.
+    """
+    shifts = (g[:, None, ::2] - p[None, :, ::2]).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(g)), len(p))
+    dy2 = ((g[:, None, 1] - p[None, :, 1]) ** 2).ravel()
+    votes = np.flatnonzero(dy2 <= limit * limit)
+    size = max(limit, 1e-9)
+    cells = np.floor(shifts / size).astype(np.int64)
+    members: dict[tuple[int, int], list[int]] = {}
+    for k in votes.tolist():
+        members.setdefault((cells[k, 0], cells[k, 1]), []).append(k)
+    near: dict[tuple[int, int], np.ndarray] = {}
+    for cell in {(x, z) for x, z in cells.tolist()}:
+        found = [k for dx in (-1, 0, 1) for dz in (-1, 0, 1) for k in members.get((cell[0] + dx, cell[1] + dz), ())]
+        near[cell] = np.array(sorted(found), dtype=np.int64)
+    bound = {cell: len(np.unique(owner[k])) for cell, k in near.items()}
+    tries = sorted(range(len(shifts)), key=lambda k: (-bound[tuple(cells[k].tolist())], k))
+    best, at = (0, 0.0), 0
+    for k in tries:
+        cell = tuple(cells[k].tolist())
+        if bound[cell] < best[0]:
+            break
+        mine = near[cell]
+        far = np.sqrt(((shifts[mine] - shifts[k]) ** 2).sum(1) + dy2[mine])
+        order = np.lexsort((far, owner[mine]))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = owner[mine][order][1:] != owner[mine][order][:-1]
+        least = far[order][first]
+        inside = least[least <= limit]
+        score = (len(inside), float(inside.sum()))
+        if (score[0], -score[1], -k) > (best[0], -best[1], -at) or not best[0] and k == 0:
+            best, at = score, k
+    return best[0], best[1], float(shifts[at, 0]), float(shifts[at, 1])
+
+
 def coarse_gauge(points: DataFrame, keys: list[str], limit: float = 1.0) -> DataFrame:
     """Yaw (of four) and horizontal shift with the most inliers, then the least cost, over all pairs' shifts.
 
@@ -254,13 +313,9 @@ def coarse_gauge(points: DataFrame, keys: list[str], limit: float = 1.0) -> Data
         for yaw in (0.0, 90.0, 180.0, 270.0) if len(g) and len(p) else ():
             c, s = round(math.cos(math.radians(yaw))), round(math.sin(math.radians(yaw)))
             turned = np.stack([c * p[:, 0] + s * p[:, 2], p[:, 1], -s * p[:, 0] + c * p[:, 2]], axis=1)
-            shifts = (g[:, None, :] - turned[None, :, :]).reshape(-1, 3) * [1, 0, 1]
-            far = np.sqrt(((g[None, :, None, :] - turned[None, None, :, :] - shifts[:, None, None, :]) ** 2).sum(-1)).min(2)
-            inside = far <= limit
-            counts, costs = inside.sum(1), np.where(inside, far, 0.0).sum(1)
-            k = int(np.lexsort((costs, -counts))[0])
-            if (counts[k], -costs[k]) > (best[0], -best[1]):
-                best = (int(counts[k]), float(costs[k]), yaw, float(shifts[k, 0]), float(shifts[k, 2]))
+            n, cost, dx, dz = best_shift(g, turned, limit)
+            if (n, -cost) > (best[0], -best[1]):
+                best = (n, cost, yaw, dx, dz)
         yield best
 
     return map_groups(points, keys, ["side", "id", "x", "y", "z"], vote, "inliers int, cost double, yaw_deg double, tx double, tz double")
@@ -365,6 +420,28 @@ def group_fragments(assigned: DataFrame, keys: list[str], owner: str) -> DataFra
     return assigned.where(F.col(owner).isNotNull()).groupBy(*keys, owner).agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
 
 
+def touching_pairs(boxes: DataFrame, keys: list[str], owner: str, gap: float = 0.0) -> DataFrame:
+    """Pairs of boxes of one clip that touch (within ``gap`` on every axis), counted by whether they belong to the same owner.
+
+    ``boxes(keys, node, owner, px.., ex..)``. A pair with an unknown owner is ``unknown``. Boxes meet by the cells of the largest edge of
+    their clip, so clips do not know of each other's sizes.
+    """
+    edge = F.greatest("ex", "ey", "ez")
+    cell = boxes.groupBy(*keys).agg(F.greatest(F.max(edge) + F.lit(gap), F.lit(1e-6)).alias("__cell"))
+    rows = boxes.join(cell, keys).withColumns({f"__{c}": F.floor(F.col(f"p{c}") / F.col("__cell")).cast("long") for c in "xz"})
+    near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(z).alias("z")) for x in (-1, 0, 1) for z in (-1, 0, 1)])
+    other = rows.withColumn("__o", F.explode(near)).select(
+        *keys, *[(F.col(f"__{c}") + F.col(f"__o.{c}")).alias(f"__{c}") for c in "xz"], F.col("node").alias("o_node"), F.col(owner).alias("o_owner"),
+        *[F.col(f"{p}{c}").alias(f"o_{p}{c}") for p in "pe" for c in "xyz"],
+    )
+    touch = F.lit(True)
+    for c in "xyz":
+        touch = touch & (F.abs(F.col(f"p{c}") - F.col(f"o_p{c}")) <= (F.col(f"e{c}") + F.col(f"o_e{c}")) / 2 + F.lit(gap))
+    pairs = rows.join(other, [*keys, "__x", "__z"]).where(touch & (F.col("node") < F.col("o_node")))
+    kind = F.when(F.col(owner).isNull() | F.col("o_owner").isNull(), "unknown").when(F.col(owner) == F.col("o_owner"), "same").otherwise("different")
+    return pairs.groupBy(*keys, kind.alias("owners")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def decoupling(base: DataFrame, variant: DataFrame, keys: list[str]) -> DataFrame:
     """Objects matched in both variants to the same truth: median drift of place and of colour, and how many."""
     j = base.join(variant, keys)

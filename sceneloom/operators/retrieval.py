@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.numbering import numbered_in_order
+
 #: Words without meaning, words of style, synonyms, weights.
 STOP = ("kit", "pack", "assets", "3d", "the", "a", "of", "and")
 STYLE = (
@@ -79,36 +81,52 @@ def retrieve(scored: DataFrame, images: DataFrame | None, k: int = 5, image_weig
     return rows.where(F.col("__r") <= k).select(*keys, "asset_id", "score", F.col("__r").alias("rank"))
 
 
-def view_scores(queries: DataFrame, views: DataFrame, query_block: int = 512, view_block: int = 4096) -> DataFrame:
-    """``query_id, asset_id, score``: best cosine over an asset's views, negative ones zero, four places.
-
-    ``queries(query_id, vec)``, ``views(asset_id, view_id, vec)``. Both sides are packed into blocks of bounded size, as many as their
-    counts ask for; each block of queries meets each block of views in one matrix product, and only the best per asset leaves
-    it. The best of an asset whose views lie in several blocks is taken afterwards.
-    """
+def _view_blocks(queries: DataFrame, views: DataFrame, query_block: int, view_block: int) -> DataFrame:
+    """Blocks of queries dealt to blocks of views, both of bounded size; all views of an asset lie in one block."""
     n_ask, n_view = max(1, -(-queries.count() // query_block)), max(1, -(-views.count() // view_block))
-    blocks = views.groupBy(F.pmod(F.xxhash64("asset_id", "view_id"), F.lit(n_view)).alias("block")).agg(F.collect_list(F.struct("asset_id", "vec")).alias("views"))
-    asks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).alias("ask")).agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
-    dealt = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_view - 1)).cast("array<bigint>"))).join(blocks, "block")
+    blocks = views.groupBy(F.pmod(F.xxhash64("asset_id"), F.lit(n_view)).alias("block")).agg(F.collect_list(F.struct("asset_id", "vec")).alias("views"))
+    more = [c for c in queries.columns if c not in ("query_id", "vec")]
+    asks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_ask)).alias("ask")).agg(F.collect_list(F.struct("query_id", "vec", *more)).alias("queries"))
+    return asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_view - 1)).cast("array<bigint>"))).join(blocks, "block").select("queries", "views")
+
+
+def _unit(rows: list[dict]) -> np.ndarray:
+    m = np.array([r["vec"] for r in rows], dtype=np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    def unit(rows: list[dict]) -> np.ndarray:
-        m = np.array([r["vec"] for r in rows], dtype=np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
+def _best_by_asset(asks: list[dict], views: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Asset ids, and the best cosine of each query to each asset's views: negative ones zero, four places."""
+    views.sort(key=lambda r: r["asset_id"])
+    ids = np.array([r["asset_id"] for r in views])
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    best = np.maximum.reduceat(np.maximum(_unit(asks) @ _unit(views).T, 0.0), starts, axis=1)
+    return ids[starts], np.round(best, 4)
+
+
+def view_scores(queries: DataFrame, views: DataFrame, k: int | None = None, query_block: int = 512, view_block: int = 4096) -> DataFrame:
+    """``query_id, asset_id, score``: best cosine over an asset's views, negative ones zero, four places; with ``k`` a query's best k
+    assets only (of equal scores the least id).
+
+    ``queries(query_id, vec)``, ``views(asset_id, view_id, vec)``. Both sides are packed into blocks of bounded size, as many as their
+    counts ask for; each block of queries meets each block of views in one matrix product, and only the best per asset, or the k best, leave it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asks_, views_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                views_.sort(key=lambda r: r["asset_id"])
-                ids = np.array([r["asset_id"] for r in views_])
-                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                best = np.maximum.reduceat(np.maximum(unit(asks_) @ unit(views_).T, 0.0), starts, axis=1)
-                n = len(starts)
+            for asks, views_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, best = _best_by_asset(asks, views_)
+                take = np.tile(np.arange(len(ids)), (len(asks), 1))
+                if k is not None and k < len(ids):
+                    take = np.stack([np.lexsort((ids, -row))[:k] for row in best])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r["query_id"] for r in asks_], n)), pa.array(np.tile(ids[starts], len(asks_))), pa.array(np.round(best, 4).ravel())], names=["query_id", "asset_id", "score"]
+                    [pa.array(np.repeat([r["query_id"] for r in asks], take.shape[1])), pa.array(ids[take].ravel()), pa.array(np.take_along_axis(best, take, 1).ravel())], names=["query_id", "asset_id", "score"]
                 )
 
-    best = dealt.select("queries", "views").mapInArrow(run, "query_id long, asset_id long, score double")
-    return best.groupBy("query_id", "asset_id").agg(F.max("score").alias("score"))
+    found = _view_blocks(queries, views, query_block, view_block).mapInArrow(run, "query_id long, asset_id long, score double")
+    if k is None:
+        return found
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "asset_id"))
+    return found.withColumn("__r", place).where(F.col("__r") <= k).drop("__r")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -120,13 +138,47 @@ def normalised(v: Column) -> Column:
 
 
 def leave_one_view_out(views: DataFrame) -> DataFrame:
-    """Rank of each asset when its first view is the query and is hidden: 1 + the assets that score higher."""
+    """Rank of each asset when its first view is the query and is hidden: 1 + the assets that score higher, and its own score.
+
+    An asset's own score comes from its own views; blocks of the rest only say how many assets beat it, so a query leaves a block
+    as one row. Assets with a single view have no score of their own and no rank.
+    """
     first = Window.partitionBy("asset_id").orderBy("view_id")
     numbered = views.withColumn("__n", F.row_number().over(first))
     queries = numbered.where("__n = 1").select(F.col("asset_id").alias("query_id"), "vec")
-    scores = view_scores(queries, numbered.where("__n > 1").select("asset_id", "view_id", "vec"))
-    own = scores.where("query_id = asset_id").select("query_id", F.col("score").alias("own"))
-    return scores.join(own, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("own")) + 1).alias("rank"), F.max("own").alias("own"))
+    rest = numbered.where("__n > 1").select("asset_id", "view_id", "vec")
+    pairs = queries.join(rest.select(F.col("asset_id").alias("query_id"), F.col("vec").alias("__v")), "query_id")
+
+    def owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_unit([{"vec": v} for v in batch.column(i).to_pylist()]) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(np.maximum((a * b).sum(1), 0.0), 4))], names=["query_id", "own"])
+
+    own = pairs.select("query_id", "vec", "__v").mapInArrow(owns, "query_id long, own double").groupBy("query_id").agg(F.max("own").alias("own"))
+    asked = queries.join(own, "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asks, views_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, best = _best_by_asset(asks, views_)
+                mine = np.array([r["query_id"] for r in asks])
+                limit = np.array([r["own"] for r in asks])
+                above = ((best > limit[:, None]) & (ids[None, :] != mine[:, None])).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(limit), pa.array(above.astype(np.int64))], names=["query_id", "own", "above"])
+
+    counts = _view_blocks(asked, rest, 512, 4096).mapInArrow(run, "query_id long, own double, above long")
+    return counts.groupBy("query_id").agg((F.sum("above") + 1).alias("rank"), F.max("own").alias("own"))
+
+
+def self_match(ranks: DataFrame) -> DataFrame:
+    """One row on ``leave_one_view_out``: assets, median and quartile ranks, and the shares at rank 1 and up to 64. Ranks are counted
+    first."""
+    counted = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")
+    q = F.expr("percentile(rank, array(0.25D, 0.5D, 0.75D), n)")
+    out = counted.agg(F.sum("n").alias("assets"), q.alias("__q"), share(1).alias("top1"), share(64).alias("top64"))
+    return out.select("assets", *[F.col("__q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))], "top1", "top64")
 
 
 def shape_rerank(hits: DataFrame, observed: DataFrame, shapes: DataFrame, weight: float = 0.5, keys: tuple[str, ...] = ("query",)) -> DataFrame:
@@ -170,18 +222,13 @@ def coverage_at(ranks: DataFrame, ks: list[int]) -> DataFrame:
 def hit_rate_by_bins(rows: DataFrame, score: str, hit: str, ties: list[str], bins: int = 4, least: int = 20) -> DataFrame:
     """Hits by equal-count bins of the score (bin i holds ranks from i*n div bins), and the top bin's lift.
 
-    Ranks come from counts per score, so no task sees all rows; equal scores are ordered by ``ties``. Nothing below ``least`` rows.
+    Ranks come from a range-partitioned sort, so no task sees all rows, nor all rows of one score; equal scores are ordered by
+    ``ties``. Nothing below ``least`` rows.
     """
-    counts = rows.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
-    n = counts.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
+    n = rows.count()
     if n < least:
         return rows.sparkSession.createDataFrame([], "bin int, n long, hits long, rate double, lift double")
-    slices = counts.withColumn("__p", F.floor(F.col(score) / F.lit(64.0)))
-    sums = slices.groupBy("__p").agg(F.sum("__c").alias("__s"))
-    starts = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy("__p").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = slices.join(starts, "__p").select(score, (F.col("__start") + F.coalesce(F.sum("__c").over(inner), F.lit(0))).alias("__before"))
-    ranked = rows.join(placed, score).withColumn("__rn", F.col("__before") + F.row_number().over(Window.partitionBy(score).orderBy(*ties)))
+    ranked = numbered_in_order(rows.select(score, hit, *[c for c in ties if c not in (score, hit)]), [F.col(score), *[F.col(c) for c in ties]], "__i").withColumn("__rn", F.col("__i") + 1)
     bin_ = F.floor((F.col("__rn") * bins + n - 1) / F.lit(n)) - 1
     out = ranked.groupBy(bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"))
     out = out.withColumn("rate", F.col("hits") / F.col("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.shared import stored
+from sceneloom.shared import release, stored
 
 FINDING = ["clip", "stage", "severity", "code", "path"]
 
@@ -47,15 +47,25 @@ def validate_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     return local.unionAll(repeated).unionAll(unknown).unionAll(none).unionAll(support_cycles(refs))
 
 
-def support_cycles(refs: DataFrame, max_doublings: int = 12) -> DataFrame:
-    """Nodes whose chain of supports never ends: after 2^k steps by doubling, what still has a target is on or above a cycle."""
-    jumps = refs.select("clip", "node_id", "target")
+def support_cycles(refs: DataFrame, max_doublings: int = 60) -> DataFrame:
+    """Nodes whose chain of supports never ends.
+
+    Steps are doubled: after k rounds the nodes that still have a target are those with 2^k steps before them. Once a round
+    leaves as many, no chain that ends is that long, and the rest is on or above a cycle. Pairs are kept once, so a node with several
+    references does not multiply.
+    """
+    jumps = stored(refs.where("node_id IS NOT NULL AND target IS NOT NULL").select("clip", "node_id", "target").distinct(), "jumps")
+    before = None
     for _ in range(max_doublings):
-        nxt = jumps.select("clip", F.col("node_id").alias("target"), F.col("target").alias("__t"))
-        jumps = jumps.join(nxt, ["clip", "target"]).select("clip", "node_id", F.col("__t").alias("target"))
-        jumps = stored(jumps, "jumps")
-        if jumps.isEmpty():
+        now = jumps.agg(F.countDistinct("clip", "node_id")).first()[0]
+        if now == before or not now:
             break
+        before, old = now, jumps
+        nxt = jumps.select("clip", F.col("node_id").alias("target"), F.col("target").alias("__t"))
+        jumps = stored(jumps.join(nxt, ["clip", "target"]).select("clip", "node_id", F.col("__t").alias("target")).distinct(), "jumps")
+        release(old)
+    else:
+        raise RuntimeError(f"support chains did not end in 2^{max_doublings} steps")
     return finding(jumps.select("clip", "node_id").distinct(), "program", "error", "support_cycle", F.col("node_id"))
 
 
@@ -196,3 +206,88 @@ def geometry_audit(boxes: DataFrame, planes: DataFrame, contacts: DataFrame, tol
     j = gap.join(claims, (gap["clip"] == claims["clip"]) & (gap["object_id"] == claims["object_id"]) & (gap["t"] >= claims["t_start"]) & (gap["t"] <= claims["t_end"]), "left")
     j = j.select(gap["clip"], gap["object_id"], gap["t"], "gap", F.coalesce("__claim", F.lit(False)).alias("claimed"))
     return j.withColumn("below", F.col("gap") < -tolerance).withColumn("contradicted", F.col("claimed") & (F.abs("gap") > tolerance))
+
+
+def world_box(q: list[Column], extent: list[Column]) -> tuple[list[Column], Column]:
+    """Half edges of the axis-parallel box around a turned one, and whether its quaternion (x, y, z, w) can be used."""
+    norm = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
+    x, y, z, w = (c / norm for c in q)
+    rows = [
+        (1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)),
+        (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)),
+    ]
+    return [sum((F.abs(r) * e / 2 for r, e in zip(row, extent)), F.lit(0.0)) for row in rows], norm > 1e-12
+
+
+def geometry_findings(nodes: DataFrame, ground_classes: tuple[str, ...], unit: float = 1e-3, contact: float = 0.05) -> DataFrame:
+    """What a scene's own geometry shows: bad quaternions, objects in the ground, objects off, in or above their support.
+
+    ``nodes(clip, node, node_id, grp, class, px.., ex.., qx.., support)``. Boxes are turned by their quaternions. A pose gets one ground
+    finding, from the first ground (by ``node``) that it is in; the support is the node it names, whatever lies below.
+    """
+    q = [F.col(c) for c in ("qx", "qy", "qz", "qw")]
+    norm = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
+    bad = not_finite("qx", "qy", "qz", "qw")
+    local = row_findings(nodes, "geometry", [
+        ("error", "non_finite_transform", not_finite("px", "py", "pz")), ("error", "non_finite_quaternion", bad), ("error", "zero_quaternion", ~bad & (norm <= 1e-12)),
+        ("error", "non_unit_quaternion", ~bad & (norm > 1e-12) & (F.abs(norm - 1) > unit)),
+    ], F.col("node_id"))
+    half, usable = world_box(q, [F.col(c) for c in ("ex", "ey", "ez")])
+    boxes = nodes.where(~bad & usable & ~not_finite("px", "py", "pz", "ex", "ey", "ez") & (F.least("ex", "ey", "ez") > 0)).select(
+        "clip", "node", "node_id", "grp", "class", "support",
+        *[(F.col(f"p{c}") + sign * h).alias(f"{name}{c}") for c, h in zip("xyz", half) for name, sign in (("lo", -1), ("hi", 1))],
+    )
+    objects = boxes.where("grp = 'object'")
+
+    def side(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select("clip", *more, *[F.col(f"{n}{c}").alias(f"s_{n}{c}") for c in "xyz" for n in ("lo", "hi")])
+
+    over = F.expr("lox <= s_hix AND hix >= s_lox AND loz <= s_hiz AND hiz >= s_loz")
+    grounds = side(boxes.where((F.col("grp") == "static") & F.lower("class").isin(*ground_classes)), F.col("node").alias("ground"))
+    deep = objects.join(grounds, "clip").where(over & (F.col("loy") < F.col("s_hiy") - contact))
+    sunk = finding(deep.groupBy("clip", "node", "node_id").agg(F.min("ground").alias("ground")), "geometry", "error", "ground_penetration", F.col("node_id"))
+    named = objects.join(side(boxes, F.col("node_id").alias("support")), ["clip", "support"])
+    gap = F.col("loy") - F.col("s_hiy")
+    code = F.when(~over, "support_no_overlap").when(gap < -contact, "support_penetration").when(gap > contact, "support_gap")
+    held = named.withColumn("code", code).where("code IS NOT NULL")
+    severity = F.when(F.col("code") == "support_gap", "warning").otherwise("error")
+    held = held.select("clip", F.lit("geometry").alias("stage"), severity.alias("severity"), "code", F.col("node_id").alias("path"))
+    return local.unionAll(sunk).unionAll(held)
+
+
+def event_findings(events: DataFrame, nodes: DataFrame, durations: DataFrame) -> DataFrame:
+    """Events that name an unknown node as target or partner, or come after the clip's end.
+
+    ``events(clip, event, t, target, partner)``; a null partner is none.
+    """
+    ids = nodes.select("clip", F.col("node_id").alias("target")).distinct()
+    path = F.concat(F.lit("/events/"), F.col("event").cast("string"))
+    lost = finding(events.join(ids, ["clip", "target"], "left_anti"), "program", "error", "unknown_event_target", path)
+    partners = events.where("partner IS NOT NULL").select("clip", "event", F.col("partner").alias("target"))
+    alone = finding(partners.join(ids, ["clip", "target"], "left_anti"), "program", "error", "unknown_event_partner", path)
+    late = finding(events.join(durations, "clip").where("t > duration"), "program", "warning", "event_after_clip", path)
+    return lost.unionAll(alone).unionAll(late)
+
+
+def registry_findings(frames: DataFrame, objects: DataFrame) -> DataFrame:
+    """Repeated frames and objects, one track for several objects, frame times that do not rise with their numbers.
+
+    ``frames(clip, frame_index, t)``, ``objects(clip, object_id, track_id)``.
+    """
+    twice = lambda rows, key, code: finding(rows.groupBy("clip", key).count().where("count > 1"), "evidence", "error", code, F.col(key))
+    shared = objects.groupBy("clip", "track_id").agg(F.countDistinct("object_id").alias("n")).where("n > 1")
+    return (
+        twice(frames, "frame_index", "repeated_frame").unionAll(twice(objects, "object_id", "repeated_object"))
+        .unionAll(finding(shared, "evidence", "error", "shared_track", F.col("track_id"))).unionAll(time_order(frames, ["clip"], ["frame_index", "t"], "t", "frame_times_not_rising"))
+    )
+
+
+def visibility_findings(frames: DataFrame, pixels: DataFrame, expected: DataFrame, visible_px: int = 4) -> DataFrame:
+    """Clips with another number of frames than expected, and objects that are seen in some frames only.
+
+    ``frames(clip, frame)``, ``pixels(clip, frame, id, px)``, ``expected(clip, frames)``.
+    """
+    seen = frames.groupBy("clip").agg(F.countDistinct("frame").alias("recorded"))
+    off = finding(expected.join(seen, "clip", "left").where("coalesce(recorded, 0) <> frames"), "render", "error", "frame_count", F.lit("/frames"))
+    shown = pixels.where(F.col("px") >= visible_px).groupBy("clip", "id").agg(F.countDistinct("frame").alias("shown")).join(seen, "clip").where("shown < recorded")
+    return off.unionAll(finding(shown, "render", "warning", "temporarily_visible", F.col("id")))

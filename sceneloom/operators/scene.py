@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sceneloom.components import connected_components
 from sceneloom.functions.columns import GROUND_CLASSES, is_ground, is_rigid_structure, is_static
 from sceneloom.operators.grouped import map_groups
+from sceneloom.shared import stored
 
 LENGTHS = ("px", "py", "pz", "ex", "ey", "ez")
 #: Fixed values of the role rules: a player's size, slope and reach.
@@ -38,6 +39,22 @@ def scale_nodes(nodes: DataFrame, factors: DataFrame, keys: list[str], factor: s
     return joined.withColumns({c: F.col(c) * k for c in LENGTHS}).withColumn("stage_scale", k).drop(factor)
 
 
+def scale_program(nodes: DataFrame, factors: DataFrame, keys: list[str], factor: str = "k") -> DataFrame:
+    """Every length of a program times its clip's factor: poses, extents, radii, heights, instances, key frames, camera, goal, and the
+    limits of slides; limits of hinges, angles, times and masses stay. Only the columns that are there are scaled."""
+    k = F.coalesce(F.col(factor), F.lit(1.0))
+    here = set(nodes.columns)
+    point = lambda p: F.transform(p, lambda x: x * k)
+    changes = {c: F.col(c) * k for c in (*LENGTHS, "radius", "radius_top", "radius_bottom", "height") if c in here}
+    changes |= {c: point(F.col(c)) for c in ("extent", "size", "camera", "goal") if c in here}
+    for c in ("keyframes", "instances"):
+        if c in here:
+            changes[c] = F.transform(c, lambda x: x.withField("pos", point(x["pos"])))
+    if "limits" in here:
+        changes["limits"] = F.when(F.col("joint") == "slide", point(F.col("limits"))).otherwise(F.col("limits"))
+    return nodes.join(factors, keys, "left").withColumns(changes).withColumn("stage_scale", k).drop(factor)
+
+
 def differing(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of either side that the other lacks, counted with repeats; empty if the halves are equal."""
     return a.select(columns).exceptAll(b.select(columns)).unionAll(b.select(columns).exceptAll(a.select(columns)))
@@ -148,52 +165,64 @@ def merge_duplicates(nodes: DataFrame, most: float = 0.5) -> DataFrame:
     return map_groups(rows, ["clip", "class"], ["__f", "__c", "node", "px", "py", "pz", "ex", "ey", "ez"], visit, "node long, kept_as long, relative_distance double").drop("class")
 
 
-def _pairs(nodes: DataFrame, cell: float) -> DataFrame:
-    """Pairs of one clip whose centres share a cell or touch neighbouring ones, by an equi-join on cells."""
-    key = {c: F.floor(F.col(p) / cell).cast("long") for c, p in (("cx", "px"), ("cy", "py"), ("cz", "pz"))}
-    a = nodes.withColumns(key)
-    near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    b = nodes.withColumns(key).withColumn("__o", F.explode(near)).select(
-        "clip", (F.col("cx") + F.col("__o.x")).alias("cx"), (F.col("cy") + F.col("__o.y")).alias("cy"), (F.col("cz") + F.col("__o.z")).alias("cz"),
-        *[F.col(c).alias(f"o_{c}") for c in nodes.columns if c != "clip"],
-    )
-    return a.join(b, ["clip", "cx", "cy", "cz"]).where("node < o_node").drop("cx", "cy", "cz")
+def _neighbours(least: tuple[int, int, int] | None = None) -> Column:
+    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if least is None or (x, y, z) > least]
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x, y, z in steps])
+
+
+def _near_pairs(nodes: DataFrame, reach: float) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of one clip whose gap is at most ``reach`` mean diagonals, from ``nodes(id, clip, px, py, pz, diag)``.
+
+    Every node lies in a grid for its size (a power of two), and in those of the larger sizes that its clip has; a pair meets in the
+    grid of the larger node. So one huge node makes no other pairs, and clips do not know of each other's sizes.
+    """
+    size = lambda level: F.lit(reach) * F.pow(F.lit(2.0), F.col(level))
+    cell = lambda level, step=None: [
+        (F.floor(F.col(f"p{c}") / size(level)).cast("long") + (F.col(f"{step}.{c}") if step else F.lit(0))).alias(f"c{c}") for c in "xyz"
+    ]
+    d = stored(nodes.withColumn("level", F.ceil(F.log2(F.greatest("diag", F.lit(1e-6)))).cast("int")), "sized-nodes")
+    own = [F.col(c) for c in ("clip", "id", "level", "px", "py", "pz", "diag")]
+    a = d.withColumn("__o", F.explode(_neighbours())).select(*own, *cell("level", "__o"))
+    grids = d.select(F.col("clip").alias("__clip"), F.col("level").alias("grid")).distinct()
+    b = d.join(grids, F.col("clip").eqNullSafe(F.col("__clip")) & (F.col("grid") >= F.col("level"))).select(
+        F.col("clip").alias("__clip"), F.col("id").alias("b"), F.col("level").alias("o_level"), *[F.col(c).alias(f"o_{c}") for c in ("px", "py", "pz", "diag")], "grid", *cell("grid"))
+    b = b.withColumnsRenamed({c: f"o_{c}" for c in ("cx", "cy", "cz")})
+    met = a.join(b, a["clip"].eqNullSafe(b["__clip"]) & (a["level"] == b["grid"]) & (a["cx"] == b["o_cx"]) & (a["cy"] == b["o_cy"]) & (a["cz"] == b["o_cz"]))
+    met = met.where("level > o_level OR (level = o_level AND id < b)")
+    gap = F.sqrt(F.expr("pow(px - o_px, 2) + pow(py - o_py, 2) + pow(pz - o_pz, 2)"))
+    return met.where(gap <= reach * (F.col("diag") + F.col("o_diag")) / 2).select(F.col("id").alias("a"), "b")
 
 
 def fragment_chains(nodes: DataFrame, reach: float = 2.5, elongation: float = 3.0) -> DataFrame:
     """Groups of nodes linked by gaps of at most ``reach`` mean diagonals whose common box is elongated.
 
-    One row per group: clip, component (least node key), members, and the box. Candidates come from a grid whose cell is the
-    largest reach, components from rounds of joins.
+    One row per group: clip, component (its least node), members, and the box. Clips and nodes may be of any type that has an order;
+    rows are numbered for the joins.
     """
-    d = nodes.withColumn("diag", F.sqrt(F.expr("ex * ex + ey * ey + ez * ez")))
-    widest = d.agg(F.max("diag")).first()[0] or 1.0
-    links = _pairs(d, max(reach * widest, 1e-6)).where(
-        F.sqrt(F.expr("pow(px - o_px, 2) + pow(py - o_py, 2) + pow(pz - o_pz, 2)")) <= reach * (F.col("diag") + F.col("o_diag")) / 2
-    )
-    key = lambda c: F.col("clip") * F.lit(1_000_000) + F.col(c)
-    labels = connected_components(links.select(key("node").alias("a"), key("o_node").alias("b")))
-    rows = d.withColumn("__key", key("node")).join(labels.select(F.col("node").alias("__key"), "component"), "__key")
-    box = rows.groupBy("clip", "component").agg(
-        F.count(F.lit(1)).alias("members"),
+    d = nodes.select("clip", "node", "px", "py", "pz", "ex", "ey", "ez", F.sqrt(F.expr("ex * ex + ey * ey + ez * ez")).alias("diag"), F.monotonically_increasing_id().alias("id"))
+    d = stored(d, "numbered-nodes")
+    labels = connected_components(_near_pairs(d, reach))
+    rows = d.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__group")), "id")
+    box = rows.groupBy("clip", "__group").agg(
+        F.min("node").alias("component"), F.count(F.lit(1)).alias("members"),
         *[(F.max(F.expr(f"p{a} + e{a} / 2")) - F.min(F.expr(f"p{a} - e{a} / 2"))).alias(f"b{a}") for a in "xyz"],
-    )
+    ).drop("__group")
     edges = F.reverse(F.array_sort(F.array("bx", "by", "bz")))
     return box.where((F.col("members") >= 2) & (edges[0] >= elongation * edges[1]))
 
 
 def voxel_clusters(points: DataFrame, keys: list[str], link: float, least: int = 20) -> DataFrame:
-    """Clusters of points whose cells of size ``link`` touch (26 neighbours): keys, component, points, centroid.
+    """Clusters of points whose cells of size ``link`` touch (26 neighbours): keys, component, points, cells, centroid.
 
-    Only distinct cells are joined; points never meet in pairs.
+    Only distinct cells are joined; points never meet in pairs. ``component`` is a number within the result; cells are numbered,
+    not hashed, so different cells never share one.
     """
     cell = {c: F.floor(F.col(p) / link).cast("long") for c, p in (("cx", "x"), ("cy", "y"), ("cz", "z"))}
     rows = points.withColumns(cell)
     cells = rows.groupBy(*keys, "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"])
-    cells = cells.withColumn("id", F.xxhash64(*keys, "cx", "cy", "cz"))
-    near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)])
-    other = cells.withColumn("__o", F.explode(near)).select(
-        *keys, (F.col("cx") + F.col("__o.x")).alias("cx"), (F.col("cy") + F.col("__o.y")).alias("cy"), (F.col("cz") + F.col("__o.z")).alias("cz"), F.col("id").alias("b")
+    cells = stored(cells.withColumn("id", F.monotonically_increasing_id()), "cells")
+    other = cells.withColumn("__o", F.explode(_neighbours((0, 0, 0)))).select(
+        *keys, *[(F.col(f"c{c}") + F.col(f"__o.{c}")).alias(f"c{c}") for c in "xyz"], F.col("id").alias("b")
     )
     links = cells.join(other, [*keys, "cx", "cy", "cz"]).select(F.col("id").alias("a"), "b")
     labels = connected_components(links)

@@ -118,11 +118,18 @@ def moving_average(rows: DataFrame, keys: list[str], order: list[str], value: st
     return out.withColumn(into, result).drop("__n", "__i", "__first", "__last")
 
 
-def unwrap_angle(rows: DataFrame, keys: list[str], order: list[str], angle: str, step: float, into: str = "unwrapped") -> DataFrame:
-    """A continuous angle equal to the input modulo ``step``: the running sum of wrapped differences."""
+def heading_step(width: Column, depth: Column) -> Column:
+    """Degrees after which a box looks the same: half a turn, or a quarter if it is nearly square (aspect under 1.6)."""
+    aspect = F.greatest(width, depth) / F.greatest(F.least(width, depth), F.lit(1e-9))
+    return F.when(aspect < 1.6, 90.0).otherwise(180.0)
+
+
+def unwrap_angle(rows: DataFrame, keys: list[str], order: list[str], angle: str, step: float | Column, into: str = "unwrapped") -> DataFrame:
+    """A continuous angle equal to the input modulo ``step`` (constant in a track): the running sum of wrapped differences."""
     o = Window.partitionBy(*keys).orderBy(*order)
     d = F.col(angle) - F.lag(angle).over(o)
-    wrapped = d - F.lit(step) * F.floor(d / F.lit(step) + F.lit(0.5))
+    turn = step if isinstance(step, Column) else F.lit(step)
+    wrapped = d - turn * F.floor(d / turn + F.lit(0.5))
     rows = rows.withColumn("__d", F.coalesce(wrapped, F.col(angle)))
     return rows.withColumn(into, F.sum("__d").over(o.rowsBetween(Window.unboundedPreceding, 0))).drop("__d")
 
@@ -141,8 +148,28 @@ def contiguity(observed: DataFrame, keys: list[str], frame: str) -> DataFrame:
     return observed.groupBy(*keys).agg(F.countDistinct(frame).alias("frames"), (F.countDistinct(frame) / (F.max(frame) - F.min(frame) + 1)).alias("contiguity"))
 
 
+def contiguity_profile(tracks: DataFrame, matched: str, short: int = 5) -> DataFrame:
+    """Quartiles of ``contiguity`` of short and long tracks (by ``frames``), matched and not."""
+    kind = F.when(F.col("frames") < short, "short").otherwise("long")
+    q = F.percentile("contiguity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = tracks.groupBy(kind.alias("length"), F.col(matched).alias("matched")).agg(F.count(F.lit(1)).alias("tracks"), q.alias("__q"))
+    return out.select("length", "matched", "tracks", *[F.col("__q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+
+
+def along_track(rows: DataFrame, keys: list[str], t: str, values: tuple[str, ...], into: str = "along") -> DataFrame:
+    """Add the place of each sample along the direction from the track's first to its last one; 0 where they coincide."""
+    whole = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = [F.first(v).over(whole) for v in values], [F.last(v).over(whole) for v in values]
+    steps = [b - a for a, b in zip(first, last)]
+    size = F.sqrt(sum((d * d for d in steps), F.lit(0.0)))
+    dot = sum(((F.col(v) - a) * d for v, a, d in zip(values, first, steps)), F.lit(0.0))
+    return rows.withColumn(into, F.when(size > 0, dot / size).otherwise(0.0))
+
+
 def velocity_structure(rows: DataFrame, keys: list[str], t: str, value: str, least: int = 6) -> DataFrame:
-    """Reversals and rest share of a motion along its first-to-last direction; tracks of ``least`` samples or more."""
+    """Reversals and rest share of a motion along its first-to-last direction; tracks of ``least`` samples or more.
+
+    ``value`` is a coordinate, or the place along the track that ``along_track`` adds."""
     o = Window.partitionBy(*keys).orderBy(t)
     whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") >= least)
@@ -158,11 +185,14 @@ def velocity_structure(rows: DataFrame, keys: list[str], t: str, value: str, lea
     )
 
 
-def jitter(rows: DataFrame, keys: list[str], values: tuple[str, str], least: int = 4) -> DataFrame:
-    """RMS distance of positions to their median centre."""
-    centres = rows.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5)).alias(f"__{v}") for v in values], F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= least)
+def jitter(rows: DataFrame, keys: list[str], values: tuple[str, ...], least: int = 4, size: tuple[str, ...] = ()) -> DataFrame:
+    """RMS distance of positions to their median centre; with the edges of ``size`` over the diagonal of the median box (null if it has none)."""
+    centres = rows.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5)).alias(f"__{v}") for v in (*values, *size)], F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= least)
     far = sum((F.pow(F.col(v) - F.col(f"__{v}"), 2) for v in values), F.lit(0.0))
-    return rows.join(centres, keys).groupBy(*keys).agg(F.first("samples").alias("samples"), F.sqrt(F.avg(far)).alias("jitter"))
+    diagonal = F.sqrt(sum((F.pow(F.col(f"__{v}"), 2) for v in size), F.lit(0.0))) if size else F.lit(1.0)
+    unit = F.when(diagonal > 1e-9, diagonal)
+    out = rows.join(centres, keys).groupBy(*keys).agg(F.first("samples").alias("samples"), F.sqrt(F.avg(far)).alias("jitter"), F.first(unit).alias("__unit"))
+    return out.withColumn("jitter", F.col("jitter") / F.col("__unit")).drop("__unit")
 
 
 def drift_by_phase(rows: DataFrame, keys: list[str], order: list[str], error: str, phases: int = 5) -> DataFrame:

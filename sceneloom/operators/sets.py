@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.numbering import numbered_in_order
+
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group; the order must be complete for the result to be one."""
@@ -18,11 +20,6 @@ def compare_sets(expected: DataFrame, seen: DataFrame, keys: list[str]) -> DataF
     return e.join(s, keys, "full").select(*keys, where.alias("status"))
 
 
-def shards(rows: DataFrame, order: str, n: int, rows_per_slice: int = 100_000) -> DataFrame:
-    """Row i in order goes to shard i mod n. Rows are counted by ranges of the (numeric) order, so no task numbers them all."""
-    part = F.floor(F.col(order) / rows_per_slice)
-    sums = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    j = rows.withColumn("__p", part).join(sums.select("__p", before.alias("__b")), "__p")
-    i = F.col("__b") + F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return j.withColumn("shard", (i % n).cast("int")).drop("__p", "__b")
+def shards(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """Row i in the order goes to shard i mod n. Rows are numbered by a range-partitioned sort, so no task numbers them all."""
+    return numbered_in_order(rows, order, "__i").withColumn("shard", (F.col("__i") % n).cast("int")).drop("__i")

@@ -203,9 +203,29 @@ def a17_variance_decomposition(spark, d):
     return E.variance_decomposition(nodes(spark, d).withColumn("v", F.ln("ex")), "clip", "v").withColumn("between_share", r6(F.col("between_share")))
 
 
-@query(f"""WITH {STATES} SELECT count(*) FILTER (WHERE x > y) AS wins, count(*) FILTER (WHERE x < y) AS losses, count(*) FILTER (WHERE x = y) AS ties FROM states""")
+def _sign_sql(a: str, b: str) -> str:
+    """Two-sided sign test of two counts, summed term by term."""
+    n = f"({a} + {b})"
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))"
+    return f"CASE WHEN {n} = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least({a}, {b}) + 1), lambda i: {term}))) END::DOUBLE"
+
+
+#: Pairs that are close enough to each other for the test to say something.
+PAIRED = "SELECT x, CASE WHEN event_id % 3 = 0 THEN x WHEN event_id % 40 < 21 THEN x + 1 ELSE x - 1 END AS other FROM states"
+
+
+@query(f"""WITH {STATES}, p AS ({PAIRED}), c AS (SELECT count(*) FILTER (WHERE x > other) AS wins, count(*) FILTER (WHERE x < other) AS losses, count(*) FILTER (WHERE x = other) AS ties FROM p)
+SELECT *, round({_sign_sql('wins', 'losses')}, 6) AS p_value FROM c""")
 def a17_paired_tests(spark, d):
-    return E.paired_tests(states(spark, d), "x", "y").drop("p_value")
+    s = states(spark, d).withColumn("other", F.expr("CASE WHEN event_id % 3 = 0 THEN x WHEN event_id % 40 < 21 THEN x + 1 ELSE x - 1 END"))
+    return E.paired_tests(s, "x", "other").withColumn("p_value", r6(F.col("p_value")))
+
+
+@query(f"""WITH {STATES}, o AS (SELECT x > 50 AS a, x + event_id % 9 - 4 > 50 AS b FROM states), c AS (SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM o)
+SELECT *, round({_sign_sql('only_a', 'only_b')}, 5) AS p_value FROM c""")
+def a17_mcnemar(spark, d):
+    s = states(spark, d).select((F.col("x") > 50).alias("a"), (F.col("x") + F.col("event_id") % 9 - 4 > 50).alias("b"))
+    return E.mcnemar(s, "a", "b").withColumn("p_value", F.round("p_value", 5))
 
 
 @query(f"""WITH {NODES} SELECT clip, array_to_string(list_sort(list(DISTINCT 'm' || (node % 3))), ',') AS motion_types, count(DISTINCT class) AS material_forms, count(*) FILTER (WHERE lower(class) IN ('a', 'r')) AS vocabulary_hits, count(*) AS nodes FROM nodes GROUP BY clip""")
@@ -223,7 +243,14 @@ def _detections(spark, d):
                     (F.col("x") + 30).alias("x2"), (F.col("y") + 40).alias("y2"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {DETECTIONS}, s AS (SELECT clip, frame // 24 AS frame, detection_id, row(x1, y1, x2, y2)::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) AS box, row_number() OVER (PARTITION BY clip, frame // 24 ORDER BY -score, label, x1, y1, x2, y2, detection_id) AS k
+  FROM det WHERE (x2 - x1) * (y2 - y1) / 40000 BETWEEN 0.0005 AND 0.9),
+walk AS (SELECT clip, frame, k, detection_id, true AS kept, [box] AS boxes FROM s WHERE k = 1
+  UNION ALL SELECT clip, frame, k, detection_id, kept, CASE WHEN kept THEN list_append(boxes, box) ELSE boxes END FROM (
+    SELECT s.clip, s.frame, s.k, s.detection_id, s.box, w.boxes, len(w.boxes) < 100 AND len(list_filter(w.boxes, lambda b: greatest(least(b.x2, s.box.x2) - greatest(b.x1, s.box.x1), 0) * greatest(least(b.y2, s.box.y2) - greatest(b.y1, s.box.y1), 0)
+      > 0.3::DOUBLE * (2400 - greatest(least(b.x2, s.box.x2) - greatest(b.x1, s.box.x1), 0) * greatest(least(b.y2, s.box.y2) - greatest(b.y1, s.box.y1), 0) ) ) ) = 0 AS kept
+    FROM walk w JOIN s ON s.clip = w.clip AND s.frame = w.frame AND s.k = w.k + 1))
+SELECT clip, frame, detection_id FROM walk WHERE kept""")
 def j1_nms(spark, d):
     frames = _detections(spark, d).withColumn("frame", F.floor(F.col("frame") / 24))
     return M.nms(frames, ["clip", "frame"], 40_000.0, 0.3)
@@ -256,7 +283,12 @@ def j4_match_objects(spark, d):
     return M.match_costs(_costs(spark, d, 5.0), ["clip"], 5.0).withColumn("cost", r6(F.col("cost")))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PREDICTIONS}, c AS (SELECT g.clip, g.node AS gt, p.node AS pred, sqrt((g.px - p.px) ** 2 + (g.py - p.py) ** 2 + (g.pz - p.pz) ** 2) AS cost FROM nodes g JOIN predictions p USING (clip)),
+s AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY cost, gt, pred) AS k FROM c WHERE cost <= 5),
+walk AS (SELECT clip, k, gt, pred, cost, true AS kept, [gt] AS gts, [pred] AS preds FROM s WHERE k = 1
+  UNION ALL SELECT clip, k, gt, pred, cost, kept, CASE WHEN kept THEN list_append(gts, gt) ELSE gts END, CASE WHEN kept THEN list_append(preds, pred) ELSE preds END FROM (
+    SELECT s.*, w.gts, w.preds, NOT list_contains(w.gts, s.gt) AND NOT list_contains(w.preds, s.pred) AS kept FROM walk w JOIN s ON s.clip = w.clip AND s.k = w.k + 1))
+SELECT clip, gt, pred, round(cost, 6) AS cost FROM walk WHERE kept""")
 def j5_greedy_match(spark, d):
     return M.match_costs(_costs(spark, d, 5.0), ["clip"], 5.0, greedy=True).withColumn("cost", r6(F.col("cost")))
 

@@ -42,7 +42,7 @@ def l2_compare_sets(spark, d):
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) % 7)::INTEGER AS shard FROM orders")
 def l3_shards(spark, d):
-    return sets.shards(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7, 1_000)
+    return sets.shards(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 7)
 
 
 def _u(*parts: str) -> str:

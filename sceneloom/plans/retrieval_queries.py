@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.columns import r6
 from sceneloom.operators import geometry as G
+from sceneloom.operators import motion_fit
 from sceneloom.operators import retrieval as R
 from sceneloom.plans.adapters import NODES, STATES, nodes, states, table
 from sceneloom.plans.registry import query
@@ -127,6 +128,15 @@ def r8_leave_one_view_out(spark, d):
     return R.leave_one_view_out(e)
 
 
+@query(f"""WITH u AS (SELECT vec_id, label, {UNIT.format('embedding')} AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), q AS (SELECT label AS query_id, v FROM u WHERE n = 1),
+s AS (SELECT query_id, label AS asset_id, round(max(greatest(list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])), 0)), 4) AS score FROM q, u WHERE n > 1 GROUP BY ALL), o AS (SELECT query_id, score AS own FROM s WHERE query_id = asset_id),
+r AS (SELECT query_id, count(*) FILTER (WHERE score > own) + 1 AS rank FROM s JOIN o USING (query_id) GROUP BY query_id)
+SELECT count(*) AS assets, quantile_cont(rank, 0.25) AS q1, quantile_cont(rank, 0.5) AS median, quantile_cont(rank, 0.75) AS q3, round(avg((rank <= 1)::INT), 6) AS top1, round(avg((rank <= 64)::INT), 6) AS top64 FROM r""")
+def r8_self_match(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("asset_id"), F.col("vec_id").alias("view_id"), F.col("embedding").alias("vec"))
+    return R.self_match(R.leave_one_view_out(e)).withColumns({"top1": r6(F.col("top1")), "top64": r6(F.col("top64"))})
+
+
 @query(f"""WITH {TEXT_RANKED}, t AS (SELECT query, p_partkey AS asset_id FROM queries JOIN part ON p_size = length(query) % 50), b AS (SELECT query, min(rank) AS best FROM ranked SEMI JOIN t USING (query, asset_id) GROUP BY query),
 k AS (SELECT query, best, k FROM queries LEFT JOIN b USING (query), (SELECT unnest([1, 16, 64, 256]) AS k)) SELECT k, round(avg(coalesce((best <= k)::INT, 0)), 6) AS coverage, count(*) AS n FROM k GROUP BY k""")
 def r9_coverage_at_k(spark, d):
@@ -221,8 +231,11 @@ def g3_choose_ground(spark, d):
 
 @query(None)
 def g4_estimate_motion(spark, d):
-    s = states(spark, d).select("clip", "instance", (F.col("t") / 100_000).alias("t"), (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"), F.lit(0.0).alias("z"))
-    return G.estimate_motion(s, ["clip", "instance"])
+    half = F.radians(F.col("y") / 4)
+    s = states(spark, d).select("clip", "instance", (F.col("t") / 100_000).alias("t"), (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"), F.lit(0.0).alias("z"),
+                                F.lit(0.0).alias("qx"), F.sin(half).alias("qy"), F.lit(0.0).alias("qz"), F.cos(half).alias("qw"), (F.col("x") / 50).alias("visible"))
+    out = motion_fit.estimate_motion(s, ["clip", "instance"])
+    return out.withColumn("candidates", F.concat_ws(",", F.transform("candidates", lambda c: F.concat_ws(":", c["motion"], c["score"].cast("string"))))).drop("axis", "pivot")
 
 
 @query(f"""WITH {STATES}, st AS (SELECT clip, instance, x / 2000 AS step_m, y / 20 AS step_deg, x, y, x / 100 AS travel FROM states), m AS (SELECT clip, instance, quantile_cont(step_m / 1.0::DOUBLE, 0.5) AS rel, quantile_cont(step_deg, 0.5) AS deg, sum(step_deg) AS turned, sum(step_m) AS path, max(travel) AS travel,

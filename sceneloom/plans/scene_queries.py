@@ -180,19 +180,33 @@ def d4_size_outliers(spark, d):
     return scene.size_outliers(nodes(spark, d), ["clip", "class"], "ex").select("clip", "class", "node", r6(F.col("ratio")).alias("ratio"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {NODES}, s AS (SELECT clip, lower(class) AS class, node, row(node, px, py, pz, sqrt(ex * ex + ey * ey + ez * ez))::STRUCT(node BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, d DOUBLE) AS n,
+    row_number() OVER (PARTITION BY clip, lower(class) ORDER BY (px::BIGINT % 7) DESC, pz DESC, node, px, py, pz, ex, ey, ez) AS k FROM nodes WHERE grp = 'object'),
+walk AS (SELECT clip, class, k, node, NULL::STRUCT(node BIGINT, rel DOUBLE) AS hit, [n] AS kept FROM s WHERE k = 1
+  UNION ALL SELECT clip, class, k, node, hit, CASE WHEN hit IS NULL THEN list_append(kept, n) ELSE kept END FROM (
+    SELECT s.*, w.kept, list_filter(list_transform(w.kept, lambda o: row(o.node, CASE WHEN s.n.d > 1e-6 AND o.d > 1e-6 THEN sqrt((o.x - s.n.x) ** 2 + (o.y - s.n.y) ** 2 + (o.z - s.n.z) ** 2) / ((o.d + s.n.d) / 2) END)::STRUCT(node BIGINT, rel DOUBLE)), lambda h: h.rel <= 2)[1] AS hit
+    FROM walk w JOIN s ON s.clip = w.clip AND s.class = w.class AND s.k = w.k + 1))
+SELECT clip, node, hit.node::VARCHAR AS kept_as, round(hit.rel, 3) AS relative_distance FROM walk""")
 def d1_merge_duplicates(spark, d):
     n = nodes(spark, d).where("grp = 'object'").withColumn("frames", (F.col("px") % 7).cast("long")).withColumn("confidence", F.col("pz"))
     return scene.merge_duplicates(n, 2.0).select("clip", "node", F.col("kept_as").cast("string").alias("kept_as"), "relative_distance")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {NODES}, n AS (SELECT clip, node, px / 10 AS px, py, pz, ex, ey, ez, sqrt(ex * ex + ey * ey + ez * ez) AS d FROM nodes WHERE grp = 'object'),
+e AS (SELECT a.clip, a.node AS a, b.node AS b FROM n a JOIN n b ON a.clip = b.clip AND a.node <> b.node WHERE sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2 + (a.pz - b.pz) ** 2) <= (a.d + b.d) / 2),
+r AS (SELECT clip, a, a AS b FROM e UNION SELECT r.clip, r.a, e.b FROM r JOIN e ON e.clip = r.clip AND e.a = r.b),
+l AS (SELECT clip, a AS node, min(b) AS component FROM r GROUP BY ALL),
+g AS (SELECT clip, component, count(*) AS members, max(px + ex / 2) - min(px - ex / 2) AS bx, max(py + ey / 2) - min(py - ey / 2) AS by_, max(pz + ez / 2) - min(pz - ez / 2) AS bz FROM n JOIN l USING (clip, node) GROUP BY ALL)
+SELECT clip, component, members, round(bx, 6) AS bx, round(by_, 6) AS by, round(bz, 6) AS bz FROM g WHERE list_reverse_sort([bx, by_, bz])[1] >= 2 * list_reverse_sort([bx, by_, bz])[2]""")
 def d2_fragment_chains(spark, d):
     n = nodes(spark, d).where("grp = 'object'").withColumn("px", F.col("px") / 10)
     return scene.fragment_chains(n, 1.0, 2.0).select("clip", "component", "members", r6(F.col("bx")).alias("bx"), r6(F.col("by")).alias("by"), r6(F.col("bz")).alias("bz"))
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT l_suppkey AS clip, floor(l_quantity / 2)::BIGINT AS x, floor(100 * l_discount / 2)::BIGINT AS y, floor(100 * l_tax / 2)::BIGINT AS z, count(*) AS n, sum(l_quantity) AS sx, sum(100 * l_discount) AS sy, sum(100 * l_tax) AS sz FROM lineitem GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (ORDER BY clip, x, y, z) AS id FROM c), e AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.clip = b.clip AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.id <> b.id),
+r(id, component) USING KEY (id) AS (SELECT id, id FROM i UNION SELECT e.a, min(r.component) FROM r JOIN e ON e.b = r.id JOIN recurring.r AS old ON old.id = e.a WHERE r.component < old.component GROUP BY e.a)
+SELECT clip, sum(n)::BIGINT AS points, count(*) AS cells, round(sum(sx) / sum(n), 6) AS x, round(sum(sy) / sum(n), 6) AS y, round(sum(sz) / sum(n), 6) AS z FROM i JOIN r USING (id) GROUP BY clip, component HAVING sum(n) >= 20""")
 def d3_voxel_clusters(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("clip"), F.col("l_quantity").alias("x"), (100 * F.col("l_discount")).alias("y"), (100 * F.col("l_tax")).alias("z"))
     out = scene.voxel_clusters(li, ["clip"], 2.0, 20)

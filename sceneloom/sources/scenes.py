@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -24,9 +24,11 @@ EVIDENCE = (
 )
 
 
-def read_programs(spark: SparkSession, path: str) -> DataFrame:
-    """Scene documents as nodes, static ones first; absent motion is static, the clip defaults to the file's name."""
-    docs = spark.read.schema(PROGRAM).option("multiLine", True).json(path)
+def read_programs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scene documents as nodes, static ones first; absent motion is static, the clip defaults to the file's name.
+
+    A file holds one document, or with ``lines`` one in each line, as large corpora do; files of lines can be split."""
+    docs = spark.read.schema(PROGRAM).option("multiLine", not lines).json(path)
     docs = docs.withColumn("clip", F.coalesce("meta.clip", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)))
     parts = [docs.select("clip", F.col("meta.run").alias("run"), F.lit(g).alias("grp"), F.posexplode(c).alias("ord", "n")) for g, c in (("static", "static"), ("object", "objects"))]
     n = parts[0].unionByName(parts[1])
@@ -53,12 +55,13 @@ def known(c: str | Column) -> Column:
     return F.when(c != "unknown", c.try_cast("double"))
 
 
-def read_evidence(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_evidence(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
     """Evidence documents as frames, objects, observations and boxes; ``unknown`` becomes null, never a number.
 
-    Documents of the old form (no track ids) are adapted: the object's id is its track, with a warning row each.
+    Documents of the old form are adapted, with a warning row for each adaptation: an object without a track id is its own track, one
+    whose confidence is missing is of unknown confidence, a frame without a time has none. With ``lines`` a file holds a document a line.
     """
-    docs = spark.read.schema(EVIDENCE).option("multiLine", True).json(path)
+    docs = spark.read.schema(EVIDENCE).option("multiLine", not lines).json(path)
     docs = docs.withColumn("clip", F.coalesce("meta.clip", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)))
     objects = docs.select("clip", F.posexplode("objects").alias("ord", "o"))
     return {
@@ -67,10 +70,19 @@ def read_evidence(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "ev_observations": objects.select("clip", F.col("o.id").alias("object_id"), F.posexplode("o.observations").alias("ord", "v")).select(
             "clip", "object_id", "ord", "v.frame_index", "v.t", F.from_json(F.when(F.col("v.bbox") != "unknown", F.col("v.bbox")), "array<double>").alias("bbox"), known("v.visible_fraction").alias("visible_fraction")),
         "ev_obb": objects.select("clip", F.col("o.id").alias("object_id"), F.posexplode("o.obb").alias("ord", "b")).select("clip", "object_id", "ord", "b.*"),
-        "findings": objects.where("o.track_id IS NULL").select("clip", F.lit("evidence").alias("stage"), F.lit("warning").alias("severity"), F.lit("legacy_adapted").alias("code"), F.col("o.id").alias("path")),
+        "findings": _adapted(docs, objects),
     }
 
 
+def _adapted(docs: DataFrame, objects: DataFrame) -> DataFrame:
+    """A warning for each adaptation of an old document; several of one object are several rows."""
+    missing = [("legacy_track_id", F.col("o.track_id").isNull()), ("legacy_confidence", F.col("o.confidence").isNull())]
+    found = F.filter(F.array(*[F.when(lacks, F.lit(code)) for code, lacks in missing]), lambda c: c.isNotNull())
+    told = objects.select("clip", F.explode(found).alias("code"), F.col("o.id").alias("path"))
+    frames = docs.select("clip", F.explode("frames").alias("f")).where("f.t IS NULL").select("clip", F.lit("legacy_frame_time").alias("code"), F.col("f.frame_index").cast("string").alias("path"))
+    return told.unionByName(frames).select("clip", F.lit("evidence").alias("stage"), F.lit("warning").alias("severity"), "code", "path")
+
+
 def read_runs(runs: DataFrame, key: str = "run") -> tuple[DataFrame, DataFrame]:
     """Distinct runs, and one row that counts what was listed more than once. A run without a clip takes it from its name."""
     if "clip" in runs.columns:
@@ -82,12 +94,16 @@ def read_runs(runs: DataFrame, key: str = "run") -> tuple[DataFrame, DataFrame]:
 def read_catalog(spark: SparkSession, root: str, titles: str | None = None) -> DataFrame:
     """Assets below ``root`` as ``3d/<kit>/**/<name>.glb``: only paths are read, titles come from a TSV (missing: the kit's slug)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.glb").option("recursiveFileLookup", True).load(root).select("path")
+    return catalog_of(files, None if titles is None else spark.read.schema("kit string, kit_title string").option("sep", "\t").csv(titles))
+
+
+def catalog_of(files: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Assets of a listing ``files(path)``, with the titles of their kits; a kit without one keeps its slug."""
     a = files.select("path", F.regexp_extract("path", r"/3d/([^/]+)/", 1).alias("kit"), F.regexp_extract("path", r"([^/]+)\.glb$", 1).alias("name")).where("kit <> ''")
     a = a.withColumn("asset_id", F.concat_ws("/", "kit", "name"))
     if titles is None:
         return a.withColumn("kit_title", F.col("kit"))
-    t = spark.read.schema("kit string, kit_title string").option("sep", "\t").csv(titles)
-    return a.join(t, "kit", "left").withColumn("kit_title", F.coalesce("kit_title", "kit"))
+    return a.join(titles, "kit", "left").withColumn("kit_title", F.coalesce("kit_title", "kit"))
 
 
 def read_error_log(spark: SparkSession, path: str) -> DataFrame:
@@ -99,9 +115,19 @@ def error_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("stage", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_dataset(clips: DataFrame, path: str, parts: tuple[str, ...] = ("split", "family")) -> None:
-    """Clips as Parquet, partitioned by split and family; the rows of a partition go to few files."""
-    clips.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+def write_dataset(clips: DataFrame, path: str, parts: tuple[str, ...] = ("split", "family"), key: str = "clip") -> DataFrame:
+    """Clips as Parquet, partitioned by split and family; returns one row per clip with what became of it.
+
+    A clip that lacks its key or a part is ``skipped``, one listed before (in the order of all columns) is a ``duplicate``, the rest is ``written``; rows
+    of a partition are spread by the key, so a large one is many files.
+    """
+    lacks = F.lit(False)
+    for c in (key, *parts):
+        lacks = lacks | F.col(c).isNull()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c) for c in clips.columns]))
+    told = clips.withColumn("status", F.when(lacks, "skipped").when(nth > 1, "duplicate").otherwise("written"))
+    told.where("status = 'written'").drop("status").repartition(*parts, F.pmod(F.xxhash64(key), F.lit(4))).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    return told.select(key, *parts, "status")
 
 
 def write_report(report: DataFrame, path: str) -> None:

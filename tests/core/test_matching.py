@@ -7,8 +7,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from sceneloom.operators import evaluation, rules, scene
 from sceneloom.operators import matching as M
-from sceneloom.operators import scene
 
 DET = "clip string, frame int, detection_id long, label string, score double, x1 double, y1 double, x2 double, y2 double, position array<double>, appearance array<double>"
 
@@ -144,3 +144,104 @@ def test_chains_and_voxels(spark):
     pts = [(1, i * 0.4, 0.0, 0.0) for i in range(50)] + [(1, 100 + i * 0.4, 0.0, 0.0) for i in range(30)] + [(1, 500.0, 0.0, 0.0)]
     clusters = scene.voxel_clusters(spark.createDataFrame(pts, "clip long, x double, y double, z double"), ["clip"], 0.5).collect()
     assert sorted(r.points for r in clusters) == [30, 50]
+
+
+def test_chains_of_any_clip_and_node_names(spark):
+    """Clips are strings, nodes beyond a million; one huge node far away pairs with nobody, and clips do not meet."""
+    schema = "clip string, node long, px double, py double, pz double, ex double, ey double, ez double"
+    rows = [("a", 1_000_001 + i, 0.5 * i, 0.0, 0.0, 0.3, 0.1, 0.1) for i in range(4)] + [("b", 1, 0.0, 0.0, 0.0, 0.3, 0.1, 0.1), ("b", 2, 491.0, 0.0, 0.0, 0.3, 0.1, 0.1)]
+    rows += [("c", 1, 1e6, 0.0, 0.0, 5_000.0, 1.0, 1.0), ("c", 2, 0.0, 0.0, 0.0, 0.3, 0.1, 0.1), (None, 1, 0.0, 0.0, 0.0, 0.3, 0.1, 0.1), (None, 2, 0.4, 0.0, 0.0, 0.3, 0.1, 0.1)]
+    got = scene.fragment_chains(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.clip, r.component, r.members) for r in got), key=str) == sorted([("a", 1_000_001, 4), (None, 1, 2)], key=str)
+
+
+def test_near_pairs_match_all_pairs(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), i, *(rnd.uniform(0, 30) for _ in range(3)), 10 ** rnd.uniform(-2, 1.3)) for i in range(160)]
+    table = spark.createDataFrame(rows, "clip string, id long, px double, py double, pz double, diag double")
+    got = {tuple(sorted((r.a, r.b))) for r in scene._near_pairs(table, 1.5).collect()}
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and math.dist(a[2:5], b[2:5]) <= 1.5 * (a[5] + b[5]) / 2}
+    assert got == want and len(want) > 100
+
+
+def plain_gauge(g, p, limit):
+    """The best of all shifts of pairs, by looking at every one."""
+    best = (0, 0.0)
+    for gi in g:
+        for pj in p:
+            shift = gi - pj
+            shift[1] = 0.0
+            far = np.sqrt(((g[:, None] - p[None] - shift) ** 2).sum(2)).min(1)
+            inside = far[far <= limit]
+            best = max(best, (len(inside), -float(inside.sum())))
+    return best[0], -best[1]
+
+
+def test_best_shift_matches_all_shifts():
+    rnd = np.random.default_rng(3)
+    for n, m in [(1, 1), (3, 5), (8, 8), (12, 5)]:
+        for _ in range(12):
+            g, p = rnd.random((n, 3)) * [6, 1, 6], rnd.random((m, 3)) * [6, 1, 6]
+            count, cost, dx, dz = M.best_shift(g, p, 0.7)
+            want = plain_gauge(g, p, 0.7)
+            assert count == want[0] and math.isclose(cost, want[1], abs_tol=1e-9)
+            far = np.sqrt(((g[:, None] - p[None] - [dx, 0, dz]) ** 2).sum(2)).min(1)
+            assert (far <= 0.7).sum() == count
+
+
+def test_three_hundred_objects_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    g = rnd.random((300, 3)) * [80, 2, 80]
+    p = g[rnd.permutation(300)] + [3.0, 0.0, -2.0]
+    tracemalloc.start()
+    count, cost, dx, dz = M.best_shift(g, p, 0.2)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert count == 300 and math.isclose(dx, -3, abs_tol=1e-9) and math.isclose(dz, 2, abs_tol=1e-9)
+
+
+def test_assignment_by_parts_is_the_assignment_of_all(spark):
+    rnd = random.Random(4)
+    rows = [(1, g, p, round(rnd.random(), 3)) for g in range(12) for p in range(12) if rnd.random() < 0.15]
+    parts = M.feasible_parts([{"gt": g, "pred": p, "cost": c} for _, g, p, c in rows])
+    assert len(parts) > 1 and sum(map(len, parts)) == len(rows)
+    got = M.match_costs(spark.createDataFrame(rows, "k int, gt long, pred long, cost double"), ["k"], 1.0).collect()
+    cost = np.full((12, 12), np.inf)
+    for _, g, p, c in rows:
+        cost[g, p] = c
+    whole = M.assignment(cost, 1.0)
+    assert len(got) == len(whole) and math.isclose(sum(r.cost for r in got), sum(cost[i, j] for i, j in whole))
+
+
+def test_long_chains_of_support_are_no_cycles(spark):
+    chain = [("a", i, i + 1) for i in range(6_000)]
+    many = [("b", i, j) for i in range(9) for j in range(i + 1, 10)]  # several references a node, no cycle
+    ring = [("c", 1, 2), ("c", 2, 3), ("c", 3, 1), ("c", 7, 1), ("c", 8, 9), ("c", None, 1), ("c", 4, None)]
+    got = rules.support_cycles(spark.createDataFrame(chain + many + ring, "clip string, node_id long, target long")).collect()
+    assert sorted((r.clip, r.path) for r in got) == [("c", "1"), ("c", "2"), ("c", "3"), ("c", "7")]
+
+
+def test_sign_test_is_exact_and_quick():
+    for n in range(1, 60):
+        for k in range(n + 1):
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+            assert math.isclose(evaluation.sign_test(k, n - k), want, rel_tol=1e-9)
+    assert evaluation.sign_test(0, 0) == 1.0
+    n = 10**9
+    normal = math.erfc((n / 2 - (n / 2 - 30_000)) / math.sqrt(n / 4) / math.sqrt(2))
+    assert math.isclose(evaluation.sign_test(n // 2 - 30_000, n // 2 + 30_000), normal, rel_tol=1e-3)
+
+
+def test_turned_boxes_touch_what_they_reach(spark):
+    q = lambda deg: (math.sin(math.radians(deg) / 2), 0.0, 0.0, math.cos(math.radians(deg) / 2))
+    schema = "clip string, node long, node_id string, grp string, class string, px double, py double, pz double, ex double, ey double, ez double, qx double, qy double, qz double, qw double, support string"
+    rows = [("a", 0, "g", "static", "floor", 0.0, -0.5, 0.0, 50.0, 1.0, 50.0, *q(0), None), ("a", 1, "h", "static", "ground", 0.0, -0.6, 0.0, 50.0, 1.0, 50.0, *q(0), None),
+            ("a", 2, "upright", "object", "plank", 0.0, 1.0, 0.0, 0.2, 2.0, 0.2, *q(0), "g"), ("a", 3, "lying", "object", "plank", 0.0, 0.1, 0.0, 0.2, 2.0, 0.2, *q(90), "g"),
+            ("a", 4, "sunk", "object", "plank", 0.0, 0.1, 0.0, 0.2, 2.0, 0.2, *q(0), "g"), ("a", 5, "away", "object", "plank", 90.0, 0.1, 0.0, 0.2, 0.2, 0.2, *q(0), "g"),
+            ("a", 6, "high", "object", "plank", 0.0, 3.0, 0.0, 0.2, 0.2, 0.2, *q(0), "g"), ("a", 7, "odd", "object", "plank", 0.0, 3.0, 0.0, 0.2, 0.2, 0.2, 0.0, 0.0, 0.0, 1.1, None),
+            ("a", 8, "none", "object", "plank", 0.0, 3.0, 0.0, 0.2, 0.2, 0.2, 0.0, 0.0, 0.0, 0.0, None), ("a", 9, "nan", "object", "plank", 0.0, float("nan"), 0.0, 0.2, 0.2, 0.2, 0.0, 0.0, float("inf"), 1.0, None)]
+    got = rules.geometry_findings(spark.createDataFrame(rows, schema), ("floor", "ground")).collect()
+    assert sorted((r.path, r.code) for r in got) == sorted([("sunk", "ground_penetration"), ("sunk", "support_penetration"), ("away", "support_no_overlap"), ("high", "support_gap"),
+                                                          ("odd", "non_unit_quaternion"), ("none", "zero_quaternion"), ("nan", "non_finite_transform"), ("nan", "non_finite_quaternion")])

@@ -1,5 +1,6 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import itertools
 import os
 
 import duckdb
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 import sceneloom.plans  # noqa: F401
+from sceneloom.plans.adapters import NODES, PREDICTIONS, STATES
 from sceneloom.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -38,6 +40,145 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+#: Queries that SQL cannot express; each is held against something else below.
+REST = ["g3_plane_candidates", "g4_estimate_motion", "g6_fit_shape_kind", "j3_associate", "j4_match_objects", "j6_coarse_gauge", "n2_generate_scenes", "w1_evaluation_table",
+        "w2_quality_gated_nodes", "w3_retrieval_audit", "x1_streaming_association"]
+
+
+def test_the_rest_is_known():
+    assert sorted(set(QUERIES) - set(ORACLES)) == REST
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    kept = {}
+
+    def get(name):
+        if name not in kept:
+            kept[name] = QUERIES[name](spark, SF).toPandas()
+        return kept[name]
+
+    return get
+
+
+COSTS = f"""WITH {PREDICTIONS} SELECT g.clip, g.node AS gt, p.node AS pred, sqrt((g.px - p.px) ** 2 + (g.py - p.py) ** 2 + (g.pz - p.pz) ** 2) AS cost FROM nodes g JOIN predictions p USING (clip)"""
+
+
+def test_j4_pairs_as_many_as_can_be_at_the_least_cost(duck, found):
+    """Small clips by trying every assignment; of all clips, that no pair is used twice or too far apart."""
+    got = found("j4_match_objects")
+    costs = {c: dict(zip(zip(g["gt"], g["pred"]), g["cost"])) for c, g in duck.sql(f"SELECT * FROM ({COSTS}) WHERE cost <= 5").df().groupby("clip")}
+    assert not got.duplicated(["clip", "gt"]).any() and not got.duplicated(["clip", "pred"]).any()
+    tried = 0
+    for clip, mine in got.groupby("clip"):
+        table = costs[clip]
+        assert all(abs(table[g, p] - c) < 1e-5 for g, p, c in zip(mine["gt"], mine["pred"], mine["cost"]))
+        gts = sorted({g for g, _ in table})
+        if len(gts) <= 4:
+            tried += 1
+
+            def best(i, used):
+                if i == len(gts):
+                    return 0, 0.0
+                out = best(i + 1, used)
+                for (g, p), c in table.items():
+                    if g == gts[i] and p not in used:
+                        n, cost = best(i + 1, used | {p})
+                        out = max(out, (n + 1, cost - c))
+                return out
+
+            n, cost = best(0, frozenset())
+            assert len(mine) == n and abs(mine["cost"].sum() + cost) < 1e-4
+    assert tried > 50 and set(got["clip"]) == set(costs)
+
+
+def test_j6_shifts_are_the_best_of_all(duck, found):
+    got = found("j6_coarse_gauge").set_index("clip")
+    sides = {s: {c: g[["px", "py", "pz"]].to_numpy() for c, g in duck.sql(f"WITH {PREDICTIONS} FROM {s} ORDER BY clip, node").df().groupby("clip")} for s in ("nodes", "predictions")}
+    for clip in sorted(sides["nodes"])[:150]:
+        g, p = sides["nodes"][clip], sides["predictions"].get(clip, np.empty((0, 3)))
+        best = (0, 0.0)
+        for turn in range(4):
+            c, s = [(1, 0), (0, 1), (-1, 0), (0, -1)][turn]
+            turned = np.stack([c * p[:, 0] + s * p[:, 2], p[:, 1], -s * p[:, 0] + c * p[:, 2]], axis=1)
+            for i, j in itertools.product(range(len(g)), range(len(p))):
+                shift = (g[i] - turned[j]) * [1, 0, 1]
+                far = np.sqrt(((g[:, None] - turned[None] - shift) ** 2).sum(2)).min(1)
+                best = max(best, (int((far <= 0.5).sum()), -round(float(far[far <= 0.5].sum()), 6)))
+        assert got.loc[clip, "inliers"] == best[0] and abs(got.loc[clip, "cost"] + best[1]) < 1e-5
+
+
+def test_j3_links_what_its_scores_allow_and_x1_agrees(duck, found):
+    """Tracks in batch: one detection a frame, no silence over the gap, links of at least the least score; the stream gives the same tracks."""
+    batch, stream = found("j3_associate"), found("x1_streaming_association")
+    assert len(batch) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0] and not batch.duplicated(["clip", "frame", "track_id"]).any()
+    gaps = batch.sort_values("frame").groupby(["clip", "track_id"])["frame"].diff().dropna()
+    assert (gaps <= 24).all()
+    linked = batch[batch["code"] == "associated"]
+    assert (linked["score"] >= 0.2).all() and batch[batch["code"] != "associated"]["score"].isna().all()
+    assert not batch[batch["code"] == "new_track"].duplicated(["clip", "track_id"]).any()
+    on_time = stream[stream["code"] != "late"]
+    both = on_time.merge(batch, on=["clip", "detection_id"], suffixes=("_s", "_b"))
+    assert len(both) == len(on_time) and (both.groupby("clip")["code_s"].apply(list) == both.groupby("clip")["code_b"].apply(list)).mean() > 0.9
+
+
+def test_g3_planes_hold_the_points_they_count(duck, found):
+    got = found("g3_plane_candidates")
+    assert len(got) and (got.groupby("clip")["idx"].count() <= 4).all() and got["angle_deg"].between(0, 90).all()
+    points = dict(duck.sql("SELECT l_suppkey, count(*) FROM lineitem GROUP BY l_suppkey").fetchall())
+    assert all(s <= points[c] for c, s in got.groupby("clip")["inliers"].sum().items())
+    assert (got.sort_values(["clip", "idx"]).groupby("clip")["inliers"].first() >= 3).all()
+
+
+def test_g4_motions_match_fits_of_each_track_alone(duck, found):
+    """Each registered track against a slow fit of rest and of a line, written out here."""
+    got = found("g4_estimate_motion").set_index(["clip", "instance"])
+    tracks = duck.sql(f"WITH {STATES} SELECT clip, instance, t / 100000 AS t, x / 100 AS x, y / 100 AS y, x / 50 AS visible, y / 4 AS turn FROM states ORDER BY ALL").df().groupby(["clip", "instance"])
+    assert len(got) == len(tracks)
+    for key, g in tracks:
+        r, t, pos = got.loc[key], g["t"].to_numpy(), g[["x", "y"]].to_numpy()
+        if len(t) < 5 or t[-1] - t[0] < 0.75:
+            assert r["reason"] == "too_short"
+            continue
+        gaps = np.diff(t)
+        assert (r["reason"] == "gap") == (gaps.max() > 4 * np.median(gaps))
+        scores = dict(x.split(":") for x in r["candidates"].split(","))
+        turn = g["turn"].to_numpy() - g["turn"].to_numpy()[0]
+        turn = turn if turn[-1] >= 0 else -turn
+        rest = np.exp(-0.5 * (np.sqrt(((pos - pos.mean(0)) ** 2).sum(1).mean()) / 0.05) ** 2 - 0.5 * (turn.std() / 3) ** 2)
+        if "static" in scores:
+            assert abs(float(scores["static"]) - rest) < 1e-5
+        assert r["motion"] == "unknown" or (r["confidence"] >= 0.55 and r["margin"] >= 0.1 and list(scores)[0] == r["motion"])
+
+
+def test_g6_shapes_leave_the_least_residual(found):
+    got = found("g6_fit_shape_kind")
+    assert len(got) and (got["residual"].dropna() >= 0).all()
+
+
+def test_n2_scenes_stay_as_specified(spark, duck, found):
+    got = found("n2_generate_scenes")
+    again = QUERIES["n2_generate_scenes"](spark, SF).toPandas()
+    order = [c for c in got.columns if got[c].map(lambda v: isinstance(v, (str, int, float))).all()]
+    assert len(got) and got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+
+
+def test_w1_counts_every_truth_once(duck, found):
+    got = found("w1_evaluation_table")
+    assert set(got["window"]) == {"fit", "holdout"} and (got["matched"] <= got["objects"]).all()
+    assert got["recall"].between(0, 1).all() and got["precision"].between(0, 1).all()
+    by_config = got.groupby("config")["objects"].nunique()
+    assert (by_config == 1).all()  # both windows judge the same truths
+
+
+def test_w2_nodes_come_from_all_detections(duck, found):
+    got = found("w2_quality_gated_nodes")
+    clips = {c for (c,) in duck.sql("SELECT DISTINCT user_id FROM events").fetchall()}
+    assert set(got["clip"]) <= clips and not got["clip"].duplicated().any() and set(got["decision"]) <= {"proceed", "warn"}
+    assert got["observations"].sum() <= duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+
+
+def test_w3_asks_for_every_object_once(duck, found):
+    got = found("w3_retrieval_audit")
+    objects = duck.sql(f"WITH {NODES} SELECT count(*) FROM nodes WHERE grp = 'object'").fetchall()[0][0]
+    assert got["objects"].sum() == objects and not got["query"].duplicated().any() and got["same_name"].mean() > 0.9

@@ -1,9 +1,10 @@
 """Time series: edges that the registered queries do not reach."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sceneloom.operators import geometry as G
-from sceneloom.operators import series
+from sceneloom.operators import motion_fit, series
 from sceneloom.operators.evaluation import paired_tests, perturb, pool_report
 from sceneloom.components import connected_components
 
@@ -39,18 +40,65 @@ def test_unwrapping_equals_the_sequential_rule(spark):
     assert np.abs(np.diff(got)).max() <= 45 + 1e-9
 
 
+def about(axis, degrees):
+    half = np.radians(np.asarray(degrees, float)) / 2
+    return np.column_stack([np.sin(half)[:, None] * np.asarray(axis, float), np.cos(half)])
+
+
 def test_motion_types(spark):
     t = np.linspace(0, 6, 61)
-    still = np.zeros((61, 3))
+    still, up = np.zeros((61, 3)), [0, 1, 0]
+    flat = about(up, np.zeros(61))
     move = lambda x: np.stack([x, still[:, 0], still[:, 0]], axis=1)
-    assert G.classify_motion(t, still)[0] == "static"
-    assert G.classify_motion(t, move(0.3 * t))[0] == "prismatic"
-    assert G.classify_motion(t, move(0.5 * np.sin(2 * np.pi * t / 1.5)))[0] == "periodic_translate"
-    assert G.classify_motion(t, move(0.5 * np.sin(2 * np.pi * t / 12)))[0] != "periodic_translate"
-    assert G.classify_motion(t[:3], still[:3])[3] == "too_short"
-    assert G.classify_motion(np.r_[t[:10], t[10:20] + 5], still[:20])[3] == "gap"
-    rows = [(1, float(a), float(b), 0.0, 0.0) for a, b in zip(t, 0.3 * t)]
-    assert G.estimate_motion(spark.createDataFrame(rows, "k int, t double, x double, y double, z double"), ["k"]).first().motion == "prismatic"
+    kind = lambda *a, **k: motion_fit.classify_motion(*a, **k)
+    assert kind(t, still, flat).motion == "static"
+    assert kind(t, still).motion == "unknown" and kind(t, still).moves is False  # without orientations a spin is not ruled out
+    slide = kind(t, move(0.3 * t), flat)
+    assert slide.motion == "prismatic" and np.allclose(slide.best.axis, [1, 0, 0]) and abs(slide.best.rate - 0.3) < 1e-9
+    wave = kind(t, move(0.5 * np.sin(2 * np.pi * t / 1.5 + 0.4)), flat)
+    assert wave.motion == "periodic_translate" and abs(wave.best.period - 1.5) < 0.05 and abs(wave.best.amp - 0.5) < 0.02
+    assert kind(t, move(0.5 * np.sin(2 * np.pi * t / 12)), flat).motion != "periodic_translate"
+    spin = kind(t, still, about(up, 70 * t))
+    assert spin.motion == "spin" and abs(spin.best.rate - 70) < 1e-6 and np.allclose(spin.best.axis, up)
+    signs = np.where(np.arange(61) % 2, -1, 1)[:, None]  # q and -q are one rotation
+    assert kind(t, still, signs * about(up, 70 * t)).motion == "spin"
+    swing = kind(t, still, about([0, 0, 1], 25 * np.sin(2 * np.pi * t / 2)))
+    assert swing.motion == "periodic_rotate" and abs(swing.best.period - 2) < 0.05 and abs(swing.best.amp - 25) < 1.5
+    angle = np.linspace(0, 80, 61)
+    door = np.stack([2 + np.cos(np.radians(angle)), np.ones(61), 3 - np.sin(np.radians(angle))], axis=1)
+    hinge = kind(t, door, about(up, angle))
+    assert hinge.motion == "revolute" and np.allclose(hinge.best.pivot, [2, 1, 3], atol=1e-6) and np.allclose(hinge.best.axis, up, atol=1e-6)
+    noisy = np.random.default_rng(4).normal(0, 0.004, (61, 3))
+    assert kind(t, move(0.3 * t) + noisy, flat).motion == "prismatic" and kind(t, noisy, flat).motion == "static"
+
+
+def test_motion_gates(spark):
+    t = np.linspace(0, 6, 61)
+    still, flat = np.zeros((61, 3)), about([0, 1, 0], np.zeros(61))
+    why = lambda *a, **k: motion_fit.classify_motion(*a, **k).reason
+    assert why(t[:3], still[:3], flat[:3]) == "too_short" and why(t[:5] * 0.1, still[:5], flat[:5]) == "too_short"
+    assert why(np.r_[t[:10], t[10:20] + 5], still[:20], flat[:20]) == "gap"
+    assert why(t, still, flat, visible=np.full(61, 0.2)) == "occluded"
+    assert why(t[:10], still[:10], about([0, 1, 0], 180 * np.arange(10.0))) == "half_turns"
+    sparse = np.array([0, 0.1, 0.2, 0.3, 0.65, 1.0, 1.35, 1.7, 2.05, 2.4])
+    assert why(sparse, still[:10], flat[:10]) in ("gap", "missing", "fitted")
+    assert motion_fit.classify_motion(t, still, flat, visible=np.full(61, 0.2)).motion == "unknown"
+
+
+def test_motion_of_tracks_with_gaps_in_their_data(spark):
+    t = np.linspace(0, 6, 61)
+    schema = "k string, t double, x double, y double, z double, qx double, qy double, qz double, qw double, visible double, size double"
+    rows = [("slide", float(a), 0.3 * float(a), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.5) for a in t]
+    rows += [("twice", float(a), 0.3 * float(a), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.5) for a in t for _ in range(2)]
+    rows += [("loose", float(a), 0.3 * float(a), 0.0, 0.0, None, 0.0, 0.0, 1.0, None, None) for a in t]
+    rows += [("empty", 1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("zero", 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, schema)
+    got = {r.k: r for r in motion_fit.estimate_motion(table, ["k"]).collect()}
+    assert {k: r.motion for k, r in got.items()} == {"slide": "prismatic", "twice": "prismatic", "loose": "prismatic", "empty": "unknown", "zero": "unknown"}
+    assert got["slide"].confidence == got["twice"].confidence and {c.motion for c in got["slide"].candidates} >= {"prismatic"}
+    again = {r.k: r for r in motion_fit.estimate_motion(table.orderBy(F.rand(3)).repartition(7), ["k"]).collect()}
+    assert again == got
+    assert motion_fit.estimate_motion(table.where("false"), ["k"]).count() == 0
 
 
 def test_shape_kinds(spark):
