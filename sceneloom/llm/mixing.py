@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.llm.rows import keyed
 from sceneloom.llm.words import n_words
 from sceneloom.numbering import hash60, sliced_running_sum
 from sceneloom.shared import stored, with_lookup
@@ -128,12 +129,12 @@ def plan_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), *, whole: b
 def apply_mix(docs: DataFrame, curriculum: Curriculum = Curriculum(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents with their own columns, one row for each reading of a whole-document plan, in range-sorted training order.
 
-    Rows are numbered when they are stored and the plan is joined by that number, not by the id: null ids and repeated ids
-    or rows are read as often as the plan says for each row. Null and empty texts take no words and are never read; an empty table
-    gives an empty result; columns of any other name are carried along.
+    The plan is joined by the row's place, not by the id: null ids and repeated ids or rows are read as often as the plan says
+    for each row. Null and empty texts take no words and are never read; an empty table gives an empty result; columns of any
+    other name are carried along.
     """
-    keyed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    plan = plan_mix(keyed.select("row", *[F.col(f"doc.`{c}`").alias(c) for c in {id_col, text_col, source_col}]).withColumnRenamed("row", "__row"), curriculum,
-                    whole=True, id_col=id_col, text_col=text_col, source_col=source_col, row_col="__row")
+    rows = keyed(docs)
+    names = {id_col: "doc_id", text_col: "text", source_col: "source"}
+    plan = plan_mix(rows.select("row", *[F.col(f"doc.`{c}`").alias(n) for c, n in names.items()]), curriculum, whole=True, row_col="row")
     readings = stored(plan.select("row", F.explode(F.col("passes.position")).alias("at")), "readings")
-    return keyed.join(readings, "row").orderBy("at", "row").select("doc.*")
+    return rows.join(readings, "row").orderBy("at", "row").select("doc.*")

@@ -123,13 +123,17 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"), F.col(text_col).alias("text"))
 
 
-def shingled(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per document, stored: ids, set digest and size ``n``, fingerprint ``fp``, keys, its number ``row`` and ``first``, the
-    least number of a row with the same set."""
-    sets = _base(docs, id_col, text_col).mapInArrow(_sets(similarity, shingle), SETS)
-    sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-    again = stored(sets.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of"), "equal-sets")
-    return with_lookup(sets, again, ["digest"]).withColumn("first", F.coalesce("first", "row"))
+def shingled(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: a row per document with its ids, set digest, size ``n``, fingerprint ``fp``, parity ``sketch``, its number ``row`` and
+    ``first``, the least number of a row with the same set; and the keys and margins of the rows that are first."""
+    made = _base(docs, id_col, text_col).mapInArrow(_sets(similarity, shingle), SETS)
+    raw = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    again = stored(raw.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of"), "equal-sets")
+    made = with_lookup(raw, again, ["digest"]).withColumn("first", F.coalesce("first", "row"))
+    nodes = stored(made.select("row", "first", "doc_id", "text_sha256", "n", "fp", "sketch"), "nodes")
+    keys = made.where("row = first").select("row", "own", "own_margin", "low", "low_margin")
+    keys._stored_at = raw._stored_at  # what ``release`` deletes when no key is needed any more
+    return nodes, keys
 
 
 def _hashes(shingle: int):
@@ -193,33 +197,36 @@ def _pruned(live: DataFrame, margins: DataFrame) -> DataFrame:
     return out
 
 
-def _live(nodes: DataFrame) -> DataFrame:
+def _live(first: DataFrame) -> DataFrame:
     """``key, row`` of keys that several sets share, without those that tell nothing."""
     def member(keys: str, slot: int):
         return F.transform(keys, lambda k: F.struct(k.alias("key"), (F.col("row") * 2 + slot).alias("member")))
 
-    first = nodes.where("row = first")
     keyed = first.select(F.explode(F.concat(member("own", 0), member("low", 1))).alias("k")).select("k.*")
     live = stored(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "keys")
-    margins = first.select(F.explode(F.array(*[F.struct((F.col("row") * 2 + i).alias("member"), F.col(m).alias("margin")) for i, m in enumerate(("own_margin", "low_margin"))])).alias("m")).select("m.*")
+    margins = stored(first.select(F.explode(F.array(*[F.struct((F.col("row") * 2 + i).alias("member"), F.col(m).alias("margin")) for i, m in enumerate(("own_margin", "low_margin"))])).alias("m")).select("m.*"), "margins")
     for _ in range(PRUNINGS):
         live, old = _pruned(live, margins), live
         release(old)
     hot = live.where(F.col("n") > HOT)
     spare = hot.groupBy("member").agg(F.count(F.lit(1)).alias("hot")).join(margins, "member").where("hot <= margin").select("member")
     needed = hot.join(stored(spare, "spare"), "member", "left_anti")
-    kept = live.where(F.col("n") <= HOT).unionByName(needed).select("key", F.floor(F.col("member") / 2).alias("row"))
-    return stored(kept, "live")
+    kept = stored(live.where(F.col("n") <= HOT).unionByName(needed).select("key", F.floor(F.col("member") / 2).alias("row")), "live")
+    for done in (live, margins):
+        release(done)
+    return kept
 
 
-def similar(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, component`` of all rows of ``nodes`` that are linked, where ``proposed(a, b)`` are more pairs to try.
+def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, component`` of all rows of ``nodes`` that are linked, where ``proposed(a, b)`` are more pairs to try. ``nodes`` and ``keys``
+    come from ``shingled``.
 
     Keys propose a star to one of their sets, twice; only where the sets of a key are still apart all pairs of sets
     in different components are proposed. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
     has keys enough without its crowded ones is not looked up by these: whatever is similar to it shares another key.
     """
-    live = _live(nodes)
+    live = _live(keys)
+    release(keys)
     edges = labels = None
     for turn in range(STARS + 1):
         if labels is None:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.llm.rows import keyed
 from sceneloom.llm.words import n_words
 from sceneloom.numbering import hash60, ordered_running_sum, sliced_running_sum
 from sceneloom.shared import stored, with_lookup
@@ -60,16 +60,6 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
     return out[::-1]
 
 
-def file_order(docs: DataFrame) -> list[Column] | None:
-    """Number of the part file and row in it, if ``docs`` is read from part files: the order in which they were written."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018  resolves the names
-    except AnalysisException:
-        return None
-    part = F.regexp_extract(F.col("_metadata.file_path"), r"part-([0-9]+)[^/]*$", 1)
-    return [F.coalesce(part.try_cast("long"), F.lit(0).cast("long")), F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-
-
 def _widths(rows: DataFrame, buckets: int, token_budget: int) -> DataFrame:
     """Add ``bucket, boundary`` and ``__per``, the documents of a batch, to rows with ``n_words``."""
     cells = rows.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("n_words")
@@ -115,13 +105,11 @@ def pack_in_order(docs: DataFrame, *, buckets: int = 16, token_budget: int = 16_
     ``bucket:reading:number``, hold one reading only, so no document is twice in a batch; along the batches of a bucket and
     reading, and along their slots, places rise. Nulls, repeats and empty tables go as in ``pack``.
     """
-    order = file_order(docs)
-    if order is None:
-        docs = stored(docs, "ordered")
-        order = file_order(docs)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_words"), F.xxhash64(text_col).alias("__text"), order[0].alias("__part"),
-        order[1].alias("__file"), order[2].alias("__row"), F.lit(1).cast("long").alias("__one"),
+    text = F.col(f"doc.`{text_col}`")
+    part = F.regexp_extract("row.file", r"part-([0-9]+)[^/]*$", 1).try_cast("long")
+    rows = keyed(docs).select(
+        F.col(f"doc.`{id_col}`").alias("doc_id"), n_words(text).alias("n_words"), F.xxhash64(text).alias("__text"), F.coalesce(part, F.lit(0).cast("long")).alias("__part"),
+        F.col("row.file").alias("__file"), F.col("row.at").alias("__row"), F.lit(1).cast("long").alias("__one"),
     )
     rows = stored(rows, "lengths")
     files = rows.groupBy("__part", "__file").agg(F.max("__row").alias("__last"))

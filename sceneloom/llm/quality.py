@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.llm.rows import keyed
 from sceneloom.shared import stored, with_lookup
 
 BREAK = r"[\x20\x09-\x0D]+"
@@ -43,18 +44,16 @@ class Fences:
     two_sided: tuple[str, ...] = ("word_chars",)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
-    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines``; with ``carry`` also
-    ``doc``, all columns of the document.
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines``, and the columns
+    named in ``carry``.
 
     Repeated windows are found inside the row: the hashes of all three-word windows are sorted with their
     places, equal neighbours mark repeats, and the words under marked windows are counted once each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    doc = ["doc"] if carry else []
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     first = docs.select(
-        *whole, F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
+        *carry, F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         F.filter(F.split(text, BREAK, -1), lambda w: w != "").alias("words"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
@@ -66,7 +65,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])),
     ).otherwise(F.array().cast("array<long>"))
     second = first.select(
-        *doc, "doc_id", "lang", "source", "n_symbols", "word_chars", F.size("words").cast("long").alias("n_words"),
+        *carry, "doc_id", "lang", "source", "n_symbols", "word_chars", F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("hashes"),
     )
@@ -83,7 +82,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n")), lambda a: a["n"],
     )
     return third.select(
-        *doc, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *carry, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines",
     )
 
@@ -177,9 +176,11 @@ def keep_good(docs: DataFrame, fences: Fences = Fences(), id_col: str = "doc_id"
               lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns.
 
-    Each row is measured, stored with its measures and judged by them, so null and repeated ids go by their own row and no
-    verdict is joined back; repeated rows that are good all stay. Null and empty texts go (no words); an empty table gives an
-    empty result.
+    Verdicts are joined back by the row's place, so null and repeated ids go by their own row; repeated rows that are good all
+    stay. Null and empty texts go (no words); an empty table gives an empty result.
     """
-    measured = stored(measures(docs, id_col, text_col, lang_col, source_col, carry=True), "measured")
-    return _judged(measured, fences).where("kept").select("doc.*")
+    rows = keyed(docs)
+    names = {id_col: "doc_id", text_col: "text", lang_col: "lang", source_col: "source"}
+    measured = measures(rows.select("row", *[F.col(f"doc.`{c}`").alias(n) for c, n in names.items()]), carry=("row",))
+    judged = _judged(stored(measured, "measured"), fences)
+    return with_lookup(rows, stored(judged.where("not kept").select("row"), "rejected"), ["row"], "left_anti").select("doc.*")

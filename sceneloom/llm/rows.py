@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from sceneloom.shared import stored, with_lookup
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc, row``: all columns of each row, and what tells it from all others, its file and place in it.
+
+    A table that is read from files as it is has both already; any other is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs, "rows")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), place.alias("row"))
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text in UTF-8 as lower-case hex; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)

@@ -155,14 +155,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     ordered by the digests of their texts; rows that repeat id and text share their ``kept``. An empty table gives an empty result; other
     columns are not read.
     """
-    nodes = near_sets.shingled(docs, similarity, shingle, id_col, text_col)
+    nodes, keys = near_sets.shingled(docs, similarity, shingle, id_col, text_col)
     first = nodes.where("row = first")
     prints = stored(first.groupBy("fp").agg(F.min("row").alias("least")), "distinct")
     near = links(prints.select("fp"))
     ends = [prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_row")) for c in "ab"]
     proposed = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
     same = first.join(prints, "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    labels = near_sets.similar(docs, nodes, proposed.union(same), similarity, shingle, id_col, text_col)
+    labels = near_sets.similar(docs, nodes, keys, proposed.union(same), similarity, shingle, id_col, text_col)
     rows = nodes.join(labels, nodes["first"] == labels["node"], "left").select(
         "doc_id", "text_sha256", F.coalesce("component", "first").alias("group"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256").alias("own")
     )
