@@ -10,7 +10,7 @@ from sceneloom.operators import rules, scene
 from sceneloom.plans.adapters import NODES, PREDICTIONS, STATES, nodes, predictions, states, table
 from sceneloom.plans.registry import query
 
-VOCABULARY = ("floor", "Floor lamp", "table", "tablet", " Wall ", "rail", "playground slide", "carpet", "lava pool", "crate")
+VOCABULARY = ("floor", "Floor mat", "table", "tablecloth", " Wall ", "rail", "garden slide", "carpet", "lava pool", "crate")
 NAMES = "list_extract([" + ", ".join(f"'{v}'" for v in VOCABULARY) + "], ((clip + node) % 10 + 1)::INT)"
 
 

@@ -35,6 +35,18 @@ def test_missing_and_extra_objects(spark):
     assert all(r.recall == 1 and math.isclose(r.precision, 2 / 3) for r in table(spark, two(), extra).values())
 
 
+def test_a_turned_and_shifted_run_is_aligned_by_its_fit_window(spark):
+    rows = [(1, n, float(t), x + 0.1 * t, y) for n, x, y in (("a", 0.0, 0.0), ("b", 5.0, 1.0), ("c", 2.0, 7.0)) for t in range(11)]
+    turned = [(c, n, t, -y + 30.0, x - 4.0) for c, n, t, x, y in rows]
+    config = spark.createDataFrame([(1, "c")], "clip long, config string")
+    run = lambda guess, **k: {r.window: r for r in evaluate_states(states(spark, rows), states(spark, guess), "clip", "instance", config, 1.0, **k).collect()}
+    assert all(r.matched == 0 for r in run(turned).values())
+    got = run(turned, gauge=0.5)
+    assert all(r.matched == 3 and r.median_error < 1e-9 for r in got.values())
+    spoiled = [(c, n, t, x + (50 if t > 8 else 0), y) for c, n, t, x, y in turned]
+    assert run(spoiled, gauge=0.5)["fit"] == got["fit"]
+
+
 def test_nothing_after_the_cut_reaches_the_fit(spark):
     spoiled = [(c, n, t, x * (100 if t > 8 else 1), y) for c, n, t, x, y in two(0.25)]
     a, b = table(spark, two(), two(0.25))["fit"], table(spark, two(), spoiled)["fit"]
