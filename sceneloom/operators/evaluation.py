@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.columns import upper_median
+from sceneloom.functions.columns import slug, upper_median
 from sceneloom.shared import stored, with_lookup
 
 
@@ -113,6 +113,53 @@ def motion_support(candidates: DataFrame, keys: list[str], confidence: str, prim
     return ranked.groupBy(*keys).agg(F.first(primary, True).alias("primary"), nth(1).alias("best"), (nth(1) - nth(2)).alias("margin"))
 
 
+def primary_support(objects: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Primary confidence by its fallback chain (attribute, then guess), the best candidate's, and the margin (stated, else from the best two).
+
+    ``objects(keys, attribute_conf, guess_conf, stated_margin)``, ``candidates(keys, confidence)``; what is unknown is null.
+    """
+    ranked = candidates.where("confidence IS NOT NULL").withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"))))
+    nth = lambda k: F.max(F.when(F.col("__r") == k, F.col("confidence")))
+    top = ranked.groupBy(*keys).agg(nth(1).alias("best"), nth(2).alias("__second"))
+    out = objects.join(top, keys, "left")
+    return out.select(*keys, F.coalesce("attribute_conf", "guess_conf").alias("primary"), "best", F.coalesce(F.col("stated_margin"), F.col("best") - F.col("__second")).alias("margin"))
+
+
+def coverage_and_recall(requests: DataFrame, evidence: DataFrame, nodes: DataFrame, clip: str) -> DataFrame:
+    """Per clip the part of asset requests that the library met, and of evidence objects that the program has (by id or slug).
+
+    ``requests(clip, resolved)``, ``evidence(clip, id)``, ``nodes(clip, id)``. Without requests, or without evidence, the part is null.
+    """
+    met = requests.groupBy(clip).agg(F.avg(F.startswith("resolved", F.lit("library")).cast("double")).alias("asset_coverage"))
+    ids = nodes.select(clip, "id").distinct()
+    forms = evidence.select(clip, F.col("id").alias("__e"), F.explode(F.array_distinct(F.array("id", slug(F.col("id"))))).alias("id"))
+    hit = forms.join(ids, [clip, "id"]).select(clip, "__e").distinct().groupBy(clip).agg(F.count(F.lit(1)).alias("__hit"))
+    n = evidence.select(clip, "id").distinct().groupBy(clip).agg(F.count(F.lit(1)).alias("__n"))
+    recall = n.join(hit, clip, "left").select(clip, (F.coalesce("__hit", F.lit(0)) / F.col("__n")).alias("object_recall"))
+    return met.join(recall, clip, "full")
+
+
+def interaction_success(probes: DataFrame) -> DataFrame:
+    """Whether each manipulation probe succeeded, by its mode (fixed values).
+
+    Free: lifted half way, followed within 0.25, finite, not fallen through, resting below 0.5. A slide must move, stay within 0.02 of its axis and
+    overshoot at most 0.02; a hinge must move and overshoot at most 2 degrees; a missing overshoot is none.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    free = (F.col("lift") >= 0.5) & (F.col("follow") <= 0.25) & yes("finite") & ~yes("fell") & (F.col("speed") < 0.5)
+    slide = yes("moves") & (F.col("drift") <= 0.02) & (F.coalesce("overshoot", F.lit(0.0)) <= 0.02)
+    hinge = yes("moves") & (F.coalesce("overshoot", F.lit(0.0)) <= 2.0)
+    ok = F.when(F.col("mode") == "free", free).when(F.col("mode") == "slide", slide).when(F.col("mode").isNotNull(), hinge)
+    return probes.withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def declared_and_measured(probes: DataFrame, objects: DataFrame, clip: str) -> DataFrame:
+    """Per clip: objects, those declared to be grabbed, those that work, and the two shares. ``probes`` has ``ok``, ``objects(clip, n)``."""
+    p = probes.groupBy(clip).agg(F.count(F.lit(1)).alias("declared"), F.count_if("ok").alias("works"))
+    out = objects.join(p, clip, "left").na.fill(0, ["declared", "works"])
+    return out.select(clip, F.col("n").alias("objects"), "declared", "works", F.when(F.col("declared") > 0, F.col("works") / F.col("declared")).alias("success_share"), F.when(F.col("n") > 0, F.col("works") / F.col("n")).alias("interactive_share"))
+
+
 def fidelity(rows: DataFrame, keys: list[str], written: str, observed: str) -> DataFrame:
     """Upper median of the absolute log size ratio, and its outliers (beyond a factor of two)."""
     v = F.abs(F.ln(F.col(written) / F.col(observed)))
@@ -225,16 +272,45 @@ def monotone_check(rows: DataFrame, family: str, level: str, value: str, first:
     return steps.groupBy(family).agg(F.count(F.lit(1)).alias("levels"), F.coalesce(F.bool_and(F.col("__d") >= 0), F.lit(True)).alias("monotone"), F.greatest(F.lit(0.0), F.coalesce(-F.min("__d"), F.lit(0.0))).alias("worst_fall"))
 
 
-def perturb(nodes: DataFrame, kinds: dict[str, dict[str, Column]], drop: dict[str, Column]) -> DataFrame:
-    """All corrupted variants of a table: ``variant`` names the corruption; columns are replaced, rows dropped where told."""
+def perturb(nodes: DataFrame, kinds: dict[str, dict[str, Column]], drop: dict[str, Column] | None = None, add: dict[str, tuple[Column, dict[str, Column]]] | None = None) -> DataFrame:
+    """All corrupted variants of a table: ``variant`` names the corruption; columns are replaced, rows dropped where told, and copies of the
+    rows where a condition holds are added with columns replaced (ghosts)."""
+    drop, add = drop or {}, add or {}
     out = None
-    for kind in sorted({*kinds, *drop}):
+    for kind in sorted({*kinds, *drop, *add}):
         one = nodes.where(~drop[kind]) if kind in drop else nodes
-        one = one.withColumns(kinds.get(kind, {})).withColumn("variant", F.lit(kind))
+        one = one.withColumns(kinds.get(kind, {}))
+        if kind in add:
+            where, changes = add[kind]
+            one = one.unionByName(nodes.where(where).withColumns(changes))
+        one = one.withColumn("variant", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def graded(nodes: DataFrame, levels: list[float], column: str) -> DataFrame:
+    """A variant per level in which ``column`` is moved by it: ``variant`` is ``shift`` with the level in ``level``."""
+    rows = nodes.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+    return rows.withColumn(column, F.col(column) + F.col("level")).withColumn("variant", F.lit("shift"))
+
+
+def sensitivity(scores: DataFrame, base: str, metrics: list[str], expected: dict[str, dict[str, int]]) -> DataFrame:
+    """How each variant moved each metric against ``base`` (a variant), and whether that is the way it should: ``variant, metric, delta, as_expected``.
+
+    ``expected[variant][metric]`` is 1 (rises), -1 (falls) or 0 (stays within a millionth); a metric without one is not judged (null).
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    long = scores.select("variant", values.alias("x")).select("variant", "x.*")
+    start = long.where(F.col("variant") == base).select("metric", F.col("value").alias("__b"))
+    sign = F.lit(None).cast("int")
+    for variant, ways in expected.items():
+        for metric, way in ways.items():
+            sign = F.when((F.col("variant") == variant) & (F.col("metric") == metric), way).otherwise(sign)
+    out = long.where(F.col("variant") != base).join(start, "metric").withColumn("delta", F.col("value") - F.col("__b")).withColumn("__e", sign)
+    fine = F.when(F.col("__e") == 0, F.abs("delta") <= 1e-6).when(F.col("__e").isNotNull(), F.signum("delta") == F.col("__e"))
+    return out.select("variant", "metric", "delta", fine.alias("as_expected"))
+
+
 def scale_by_framing(rows: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
     """Median and spread ratios of predicted to true edges, per group."""
     q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -250,6 +326,23 @@ def structure_signal(rows: DataFrame, kind: str) -> DataFrame:
     return q.select(kind, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
 
 
+def dimension_ratios(rows: DataFrame, kind: str) -> DataFrame:
+    """Per true kind the quartiles of height and of longest-edge ratios, predicted over true, of matched objects (``ex, ey, ez`` against ``qx, qy, qz``)."""
+    height, longest = F.col("qy") / F.col("ey"), F.greatest("qx", "qy", "qz") / F.greatest("ex", "ey", "ez")
+    q = lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.where((F.col("ey") > 0) & (F.greatest("ex", "ey", "ez") > 0)).groupBy(kind).agg(F.count(F.lit(1)).alias("n"), q(height).alias("__h"), q(longest).alias("__l"))
+    names = [(c, tag) for c, tag in (("__h", "height"), ("__l", "edge"))]
+    return out.select(kind, "n", *[F.col(c)[i].alias(f"{tag}_{part}") for c, tag in names for i, part in enumerate(("q1", "median", "q3"))])
+
+
+def displaced_sets(before: DataFrame, after: DataFrame, keys: list[str], least: float = 0.01) -> DataFrame:
+    """Per group the objects of two settlings: in both, lost, new, and how many of the shared ones moved at least ``least`` and how far at most."""
+    j = before.select(*keys, "id", *[F.col(c).alias(f"a{c}") for c in "xyz"]).join(after.select(*keys, "id", *[F.col(c).alias(f"b{c}") for c in "xyz"]), [*keys, "id"], "full")
+    far = F.sqrt(sum((F.pow(F.col(f"a{c}") - F.col(f"b{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    both = F.col("ax").isNotNull() & F.col("bx").isNotNull()
+    return j.groupBy(*keys).agg(F.count_if(both).alias("shared"), F.count_if(F.col("bx").isNull()).alias("lost"), F.count_if(F.col("ax").isNull()).alias("new"), F.count_if(both & (far >= least)).alias("moved"), F.max(F.when(both, far)).alias("farthest"))
+
+
 def batch_summary(runs: DataFrame, ok: Column, cost: str, trusted: Column) -> DataFrame:
     """Successful runs, their median cost, total hours, and the pass rate of trusted verdicts."""
     return runs.agg(

@@ -194,6 +194,14 @@ def shape_rerank(hits: DataFrame, observed: DataFrame, shapes: DataFrame, weight
     return j.withColumn("rank", F.row_number().over(by.orderBy(F.desc("blend"), "asset_id"))).select(*keys, "asset_id", "score", "blend", "rank")
 
 
+def best_observation(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The observation of each object with the largest box (``x1, y1, x2, y2``), the first of equal ones; those without a box do not count."""
+    area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
+    rows = observations.withColumn("area", area).where("area IS NOT NULL")
+    first = F.min(F.struct((-F.col("area")).alias("__a"), *order, *[c for c in rows.columns if c not in (*keys, *order)])).alias("__m")
+    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"__m.{c}").alias(c) for c in rows.columns if c not in keys])
+
+
 def choose_assets(hits: DataFrame, least: float = 0.45, keys: tuple[str, ...] = ("query",)) -> DataFrame:
     """The first hit if its text score suffices, else none, with the reason; candidates are counted."""
     out = hits.groupBy(*keys).agg(F.min_by("asset_id", "rank").alias("__a"), F.min_by("score", "rank").alias("score"), F.count(F.lit(1)).alias("candidates"))
@@ -213,6 +221,37 @@ def best_truth_rank(ranked: DataFrame, truths: DataFrame, keys: list[str]) -> Da
     return ranked.join(truths, [*keys, "asset_id"], "left_semi").groupBy(*keys).agg(F.min("rank").alias("best_rank"))
 
 
+def size_matched_null(truths: DataFrame, clip: str, asset: str = "asset_id") -> DataFrame:
+    """For each clip as many assets as it has truths, taken from the clip after it in the order of hashes (the last takes the first's), by hash order.
+
+    A clip whose donor has fewer gets fewer: ``wanted`` and ``given`` tell. Clips are numbered by a range-partitioned sort.
+    """
+    own = truths.select(clip, asset).distinct()
+    sizes = own.groupBy(clip).agg(F.count(F.lit(1)).alias("wanted"))
+    placed = numbered_in_order(sizes, [F.xxhash64(clip), F.col(clip)], "__i")
+    n = placed.count()
+    donor = placed.select(F.col(clip).alias("__donor"), F.pmod(F.col("__i") - 1, F.lit(n)).alias("__i"))
+    pairs = placed.join(donor, "__i").select(clip, "wanted", "__donor")
+    dealt = pairs.join(own.select(F.col(clip).alias("__donor"), F.col(asset)), "__donor")
+    nth = F.row_number().over(Window.partitionBy(clip).orderBy(F.xxhash64(asset), asset))
+    kept = dealt.withColumn("__n", nth).where(F.col("__n") <= F.col("wanted"))
+    return kept.select(clip, asset, "wanted", F.count(F.lit(1)).over(Window.partitionBy(clip)).alias("given"))
+
+
+def union_budget(first: DataFrame, second: DataFrame, truths: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Whether a truth is among ``budget`` assets of either ranking alone, or among as many of both, half each: one row per query.
+
+    Rankings are ``(keys, asset_id, rank)``; assets that both halves hold count once, so the joint list may be shorter.
+    """
+    def best(ranked: DataFrame, into: str) -> DataFrame:
+        return best_truth_rank(ranked, truths, keys).withColumnRenamed("best_rank", into)
+
+    asked = first.select(*keys).union(second.select(*keys)).distinct()
+    out = asked.join(best(first, "__f"), keys, "left").join(best(second, "__s"), keys, "left")
+    within = lambda c, k: F.coalesce(F.col(c) <= k, F.lit(False))
+    return out.select(*keys, within("__f", budget).alias("first"), within("__s", budget).alias("second"), (within("__f", budget // 2) | within("__s", budget - budget // 2)).alias("both"))
+
+
 def coverage_at(ranks: DataFrame, ks: list[int]) -> DataFrame:
     """Share of rows whose rank is at most k, for each k; a missing rank covers nothing."""
     table = F.explode(F.array(*[F.lit(k) for k in ks]))

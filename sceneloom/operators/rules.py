@@ -124,6 +124,25 @@ def resolve_truth(runs: DataFrame, truths: DataFrame, key: str) -> DataFrame:
     return j.withColumn("status", status).withColumn("truth", F.when(n == 1, F.col("__t")).when((n == 0) & (m == 1), F.col("__u"))).drop("__n", "__t", "__m", "__u")
 
 
+def resolve_by_content(videos: DataFrame, associations: DataFrame) -> DataFrame:
+    """Truth of each video by the hash of its content: exactly one confirmed association, else refused with a reason.
+
+    ``videos(video, sha256, window_end, program_sha256)``: the window that is asked for starts at zero, and the hash is the truth's as it is now.
+    ``associations(association, video_sha256, status, video_start, program_start, rate, duration, program_sha256)``. Names are no fallback.
+    """
+    by_hash = associations.groupBy(F.col("video_sha256").alias("sha256")).agg(
+        F.count_if(F.col("status") == "confirmed").alias("__confirmed"),
+        F.min(F.when(F.col("status") == "confirmed", F.struct("association", "video_start", "program_start", "rate", "duration", F.col("program_sha256").alias("reviewed")))).alias("__a"))
+    a = lambda c: F.col(f"__a.{c}")
+    reason = (
+        F.when(F.coalesce(F.col("window_end"), F.lit(0.0)) <= 0, "unsupported_window").when(F.col("__confirmed").isNull(), "not_found").when(F.col("__confirmed") == 0, "review_required")
+        .when(F.col("__confirmed") > 1, "conflict").when((a("video_start") != 0) | (a("program_start") != 0) | (a("rate") != 1), "unsupported_time_mapping")
+        .when(F.col("window_end") > a("duration"), "window_out_of_range").when(~F.col("program_sha256").eqNullSafe(a("reviewed")), "program_changed")
+    )
+    out = videos.join(by_hash, "sha256", "left").withColumn("reason", reason)
+    return out.withColumn("association", F.when(F.col("reason").isNull(), a("association"))).drop("__confirmed", "__a")
+
+
 def validate_evidence(observations: DataFrame, frames: DataFrame) -> DataFrame:
     """Observations of objects: one per frame, known frames, box inside the image, depths in order.
 

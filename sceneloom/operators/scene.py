@@ -268,6 +268,20 @@ def evidence_to_nodes(boxes: DataFrame, keys: list[str], t: str, structure: Colu
     return out.withColumn("grp", F.when(F.col("__s"), "static").otherwise("object")).drop("__s")
 
 
+#: Words in a class that make a structure a thin slab, its greatest height, the most of a frame an object covers.
+SLAB_WORDS, SLAB_HEIGHT = ("floor", "ground", "lawn", "grass", "carpet", "mat", "road"), 0.3
+
+
+def flatten_slabs(nodes: DataFrame) -> DataFrame:
+    """Static nodes whose class holds a slab word become at most ``SLAB_HEIGHT`` high, their tops at zero; the rest stays."""
+    word = F.lit(False)
+    for w in SLAB_WORDS:
+        word = word | F.contains(F.lower(F.coalesce("class", F.lit(""))), F.lit(w))
+    slab = (F.col("grp") == "static") & word
+    high = F.least("ey", F.lit(SLAB_HEIGHT))
+    return nodes.withColumns({"ey": F.when(slab, high).otherwise(F.col("ey")), "py": F.when(slab, -high / 2).otherwise(F.col("py")), "slab": slab})
+
+
 def motion_params(track: DataFrame, keys: list[str], t: str, value: str, size: Column, most: int = 12, share: float = 0.4) -> DataFrame:
     """Key frames of each observed trajectory: at most ``most`` evenly indexed samples, if it leaves its place.
 
