@@ -103,14 +103,15 @@ def choose_ground(candidates: DataFrame, clip: str, min_ratio: float = 0.25, pri
 def hinge_pivot(axis: list[Column], angle: Column, moved: list[Column], anchor: list[Column]) -> list[Column]:
     """Point of a hinge's line that is nearest to ``anchor``, from the unit axis, the angle turned (radians) and the translation of the whole motion.
 
-    It solves p = R p + t by least squares: across the axis p is half of t plus half the cotangent of half the angle times axis x t.
+    Null if nothing turned. It solves p = R p + t by least squares: across the axis p is half of t plus half the cotangent of half the angle times axis x t.
     """
     dot = lambda a, b: sum((x * y for x, y in zip(a, b)), F.lit(0.0))
     across = [t - u * dot(axis, moved) for t, u in zip(moved, axis)]
     ux, uy, uz = axis
     tx, ty, tz = across
     side = [uy * tz - uz * ty, uz * tx - ux * tz, ux * ty - uy * tx]
-    p = [(t + s / F.tan(angle / 2)) / 2 for t, s in zip(across, side)]
+    half = F.tan(angle / 2)
+    p = [(t + s / F.when(half != 0, half)) / 2 for t, s in zip(across, side)]
     along = dot(axis, [a - b for a, b in zip(anchor, p)])
     return [x + u * along for x, u in zip(p, axis)]
 

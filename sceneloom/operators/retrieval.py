@@ -197,8 +197,8 @@ def shape_rerank(hits: DataFrame, observed: DataFrame, shapes: DataFrame, weight
 def best_observation(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The observation of each object with the largest box (``x1, y1, x2, y2``), the first of equal ones; those without a box do not count."""
     area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
-    rows = observations.withColumn("area", area).where("area IS NOT NULL")
-    first = F.min(F.struct((-F.col("area")).alias("__a"), *order, *[c for c in rows.columns if c not in (*keys, *order)])).alias("__m")
+    rows = observations.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").withColumn("area", area)
+    first = F.min(F.struct((F.lit(0.0) - F.col("area")).alias("__a"), *order, *[c for c in rows.columns if c not in (*keys, *order)])).alias("__m")
     return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"__m.{c}").alias(c) for c in rows.columns if c not in keys])
 
 

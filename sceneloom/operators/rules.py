@@ -230,7 +230,8 @@ def geometry_audit(boxes: DataFrame, planes: DataFrame, contacts: DataFrame, tol
 def world_box(q: list[Column], extent: list[Column]) -> tuple[list[Column], Column]:
     """Half edges of the axis-parallel box around a turned one, and whether its quaternion (x, y, z, w) can be used."""
     norm = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
-    x, y, z, w = (c / norm for c in q)
+    unit = F.when(norm > 1e-12, norm)  # null where there is no direction
+    x, y, z, w = (c / unit for c in q)
     rows = [
         (1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)),
         (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)),

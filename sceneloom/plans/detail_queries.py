@@ -174,7 +174,7 @@ def v7_resolve_by_content(spark, d):
 
 
 @query(f"""WITH {STATES}, o AS (SELECT clip, instance, event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE greatest(round(x / 10), 0) * greatest(round(y / 10) - 2, 0) END AS area FROM states)
-SELECT clip, instance, arg_min(event_id, row(-area, event_id)) AS event_id, max(area) AS area FROM o WHERE area IS NOT NULL GROUP BY ALL""")
+SELECT clip, instance, arg_min(event_id, row(CASE WHEN area = 0 THEN 0 ELSE -area END, event_id)) AS event_id, max(area) AS area FROM o WHERE area IS NOT NULL GROUP BY ALL""")
 def r6_best_observation(spark, d):
     s = states(spark, d).select("clip", "instance", "event_id", F.lit(0.0).alias("x1"), F.lit(2.0).alias("y1"), F.when(F.col("event_id") % 6 != 0, F.round(F.col("x") / 10)).alias("x2"), F.round(F.col("y") / 10).alias("y2"))
     return R.best_observation(s, KEYS, ["event_id"]).select(*KEYS, "event_id", "area")
