@@ -26,6 +26,8 @@ from sceneloom.shared import release, stored, with_lookup
 HOT = 64
 #: Rounds in which crowded keys propose stars before all pairs of what is still apart are proposed.
 STARS = 2
+#: Sets of a key up to which pairs are joined; more are compared in blocks of about this size.
+BLOCK = 128
 #: Times that sets with too few shared keys are put aside.
 PRUNINGS = 2
 EPS = 1e-9
@@ -96,6 +98,14 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded_sketch(words: list[int], most: int) -> np.ndarray:
+    """A parity sketch folded to at most ``most`` longs."""
+    out = np.array(words, dtype=np.int64)
+    while len(out) > most:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out.view(np.uint64)
+
+
 def _sets(similarity: float, shingle: int):
     kinds = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("digest", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()),
              ("own", pa.list_(pa.int64())), ("own_margin", pa.int32()), ("low", pa.list_(pa.int64())), ("low_margin", pa.int32())]
@@ -217,12 +227,43 @@ def _live(first: DataFrame) -> DataFrame:
     return kept
 
 
+def _in_blocks(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of different labels that sizes and parity sketches let through, among the sets of each crowded key.
+
+    Sets are dealt to blocks of about ``BLOCK``; each two blocks of a key are compared as matrices, and only what passes leaves the task, so
+    rows grow with blocks and with what is similar, not with all pairs.
+    """
+    part = (1 - similarity) / (1 + similarity)
+    member = F.struct("row", "label", "n_set", "sketch")
+    held = rest.join(nodes.select("row", F.col("n").alias("n_set"), "sketch"), "row").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK)))
+    blocks = stored(held.groupBy("key", "block").agg(F.collect_list(member).alias("sets")), "blocks")
+    other = blocks.select("key", F.col("block").alias("o_block"), F.col("sets").alias("o_sets"))
+
+    def one(sets: list[dict], words: int) -> tuple[np.ndarray, ...]:
+        rows, labels, n = (np.array([s[c] for s in sets], dtype=np.int64) for c in ("row", "label", "n_set"))
+        return rows, labels, n, np.array([folded_sketch(s["sketch"], words) for s in sets]).reshape(len(sets), words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = min(len(s["sketch"]) for s in [*left, *right])
+                (ra, la, na, sa), (rb, lb, nb, sb) = one(left, words), one(right, words)
+                apart = sum(np.bitwise_count(sa[:, None, w] ^ sb[None, :, w]).astype(np.int64) for w in range(words))
+                fit = (apart <= part * (na[:, None] + nb[None, :]) + EPS) & (la[:, None] != lb[None, :])
+                fit &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - EPS
+                i, j = np.nonzero(fit)
+                yield pa.RecordBatch.from_arrays([pa.array(ra[i]), pa.array(rb[j])], names=["a", "b"])
+
+    met = blocks.join(other, "key").where("block <= o_block").select("sets", "o_sets")
+    return met.mapInArrow(run, "a long, b long").where("a <> b")
+
+
 def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """``node, component`` of all rows of ``nodes`` that are linked, where ``proposed(a, b)`` are more pairs to try. ``nodes`` and ``keys``
     come from ``shingled``.
 
     Keys propose a star to one of their sets, twice; only where the sets of a key are still apart all pairs of sets
-    in different components are proposed. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
+    in different components are looked at, in blocks where there are many. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
     has keys enough without its crowded ones is not looked up by these: whatever is similar to it shares another key.
     """
     live = _live(keys)
@@ -242,9 +283,12 @@ def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFr
         if turn < STARS:
             pairs = rest.where("label <> b_label").select(F.col("row").alias("a"), "b")
         else:
-            rest = stored(rest.select("key", "row", "label"), "rest")
-            other = rest.select("key", F.col("row").alias("b"), F.col("label").alias("b_label"))
-            pairs = rest.join(other, "key").where("label < b_label").select(F.col("row").alias("a"), "b")
+            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            rest = stored(rest.select("key", "row", "label").join(sizes, "key"), "rest")
+            few = rest.where(F.col("n") <= BLOCK)
+            other = few.select("key", F.col("row").alias("b"), F.col("label").alias("b_label"))
+            pairs = few.join(other, "key").where("label < b_label").select(F.col("row").alias("a"), "b")
+            pairs = pairs.union(_in_blocks(rest.where(F.col("n") > BLOCK), nodes, similarity))
         if labels is None:
             pairs = pairs.union(proposed)
         found = verified(docs, nodes, pairs, similarity, shingle, id_col, text_col)
