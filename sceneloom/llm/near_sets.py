@@ -26,7 +26,8 @@ from sceneloom.shared import release, stored, with_lookup
 HOT = 64
 #: Rounds in which crowded keys propose stars before all pairs of what is still apart are proposed.
 STARS = 2
-#: Sets of a key up to which pairs are joined; more are compared in blocks of about this size.
+#: Sets of a key up to which pairs are joined; more are compared in blocks of about ``BLOCK``.
+FEW = 16
 BLOCK = 128
 #: Times that sets with too few shared keys are put aside.
 PRUNINGS = 2
@@ -285,10 +286,10 @@ def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFr
         else:
             sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
             rest = stored(rest.select("key", "row", "label").join(sizes, "key"), "rest")
-            few = rest.where(F.col("n") <= BLOCK)
+            few = rest.where(F.col("n") <= FEW)
             other = few.select("key", F.col("row").alias("b"), F.col("label").alias("b_label"))
             pairs = few.join(other, "key").where("label < b_label").select(F.col("row").alias("a"), "b")
-            pairs = pairs.union(_in_blocks(rest.where(F.col("n") > BLOCK), nodes, similarity))
+            pairs = pairs.union(_in_blocks(rest.where(F.col("n") > FEW), nodes, similarity))
         if labels is None:
             pairs = pairs.union(proposed)
         found = verified(docs, nodes, pairs, similarity, shingle, id_col, text_col)

@@ -131,6 +131,7 @@ def edited_texts(n=14, seed=5):
 @pytest.mark.parametrize("hot, stars, block", [(64, 2, 128), (2, 0, 2), (1, 1, 4)])
 def test_near_copies_match_all_pairs(spark, monkeypatch, hot, stars, block):
     monkeypatch.setattr(near_sets, "BLOCK", block)
+    monkeypatch.setattr(near_sets, "FEW", block // 2)
     monkeypatch.setattr(near_sets, "HOT", hot)
     monkeypatch.setattr(near_sets, "STARS", stars)
     table = list(enumerate(edited_texts())) + [(900, None), (901, ""), (902, "one two"), (903, "One two"), (904, "w " * 20_000), (905, "w " * 20_001), (906, "\u000b")]
