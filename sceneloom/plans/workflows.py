@@ -75,7 +75,7 @@ def w1_evaluation_table(spark, d):
     s = states(spark, d).select("clip", "instance", "t", "x", "y")
     guess = s.where("(clip + length(instance)) % 6 <> 0").withColumns({"x": F.expr("x + 0.5D * (clip % 3)"), "y": F.expr("y + 0.25D")}).withColumn("instance", F.concat(F.lit("p_"), "instance"))
     config = s.select("clip").distinct().withColumn("config", F.concat(F.lit("cfg"), F.expr("cast(clip % 4 AS string)")))
-    out = evaluate_states(s, guess, "clip", "instance", config, 5.0, gauge=2.0)
+    out = evaluate_states(s, guess, "clip", "instance", config, 5.0, samples=24, gauge=2.0)
     return out.select("config", "window", "runs", "objects", "matched", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "median_error")])
 
 
