@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneloom.llm import exact_dedup, html_extract, mixing, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from sceneloom.llm import divergence, exact_dedup, html_extract, language, merkle, mixing, oracles, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered_leaves(_read(spark, sf_dir, "documents")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(_read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_mix_sources, op2_simhash_near_dedup, op3_packing, op4_secret_scan, op5_pii, op6_url_filter, op7_exact_dedup, op8_quality_rules,
-        op9_html_extract, op10_token_counts,
+        op9_html_extract, op10_token_counts, op11_merkle_manifest, op12_language_id, op13_source_divergence,
     ]
     return {f.__name__: f for f in own}
 
@@ -181,4 +193,4 @@ FROM m LEFT JOIN fences ON m.lang IS NOT DISTINCT FROM fences.lang AND m.source
 
 OP8 = _op8_sql(quality.Fences())
 
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8, "op1_mix_sources": OP1, "op7_exact_dedup": OP7}
+ORACLES: dict[str, str] = {"op8_quality_rules": OP8, "op1_mix_sources": OP1, "op7_exact_dedup": OP7} | oracles.ORACLES
