@@ -261,44 +261,57 @@ def match_costs(costs: DataFrame, keys: list[str], limit: float, greedy: bool =
     return map_groups(costs.where(F.col("cost") <= limit), keys, fields, run, "gt long, pred long, cost double")
 
 
+#: Pairs of points up to which all shifts are tried at once.
+ALL_AT_ONCE = 600
+
+
 def best_shift(g: np.ndarray, p: np.ndarray, limit: float) -> tuple[int, float, float, float]:
     """(inliers, cost, dx, dz) of the best horizontal shift of points ``p`` onto ``g`` (n x 3) among those that lay one on another.
 
-    A truth is inside if some shifted point is within ``limit`` of it. Each pair whose heights are close enough votes at its
-    shift; votes lie in cells of size ``limit``, and the truths that vote in the nine cells around a shift bound its inliers, so shifts are tried by falling bound until none can win.
-    Memory is in proportion to the pairs.
+    A truth is inside if some shifted point is within ``limit`` of it. Few points try all shifts in one step. Of more, each pair whose heights
+    are close enough votes at its shift, in cells of size ``limit``; the truths that vote in the nine cells around a shift bound its inliers,
+    and shifts are tried by falling bound until none can win. Memory is in proportion to the pairs.
     """
     shifts = (g[:, None, ::2] - p[None, :, ::2]).reshape(-1, 2)
-    owner = np.repeat(np.arange(len(g)), len(p))
-    dy2 = ((g[:, None, 1] - p[None, :, 1]) ** 2).ravel()
-    votes = np.flatnonzero(dy2 <= limit * limit)
+    dy2 = (g[:, None, 1] - p[None, :, 1]) ** 2
+    if len(shifts) <= ALL_AT_ONCE:
+        return _try_all(shifts, dy2, limit)
     size = max(limit, 1e-9)
     cells = np.floor(shifts / size).astype(np.int64)
-    members: dict[tuple[int, int], list[int]] = {}
-    for k in votes.tolist():
-        members.setdefault((cells[k, 0], cells[k, 1]), []).append(k)
-    near: dict[tuple[int, int], np.ndarray] = {}
-    for cell in {(x, z) for x, z in cells.tolist()}:
-        found = [k for dx in (-1, 0, 1) for dz in (-1, 0, 1) for k in members.get((cell[0] + dx, cell[1] + dz), ())]
-        near[cell] = np.array(sorted(found), dtype=np.int64)
-    bound = {cell: len(np.unique(owner[k])) for cell, k in near.items()}
-    tries = sorted(range(len(shifts)), key=lambda k: (-bound[tuple(cells[k].tolist())], k))
-    best, at = (0, 0.0), 0
-    for k in tries:
-        cell = tuple(cells[k].tolist())
-        if bound[cell] < best[0]:
+    cells -= cells.min(axis=0) - 1
+    width = int(cells[:, 1].max()) + 2
+    code = cells[:, 0] * width + cells[:, 1]
+    votes = np.flatnonzero(dy2.ravel() <= limit * limit)
+    votes = votes[np.argsort(code[votes], kind="stable")]
+    at = code[votes]
+    owner = np.repeat(np.arange(len(g)), len(p))
+    around = np.array([dx * width + dz for dx in (-1, 0, 1) for dz in (-1, 0, 1)])
+    homes, home = np.unique(code, return_inverse=True)
+    first, last = (np.searchsorted(at, homes[:, None] + around, side) for side in ("left", "right"))
+    near = [np.concatenate([votes[a:b] for a, b in zip(first[i], last[i])]) for i in range(len(homes))]
+    bound = np.array([len(np.unique(owner[k])) for k in near])[home]
+    best, found = (0, 0.0), 0
+    for k in np.lexsort((np.arange(len(shifts)), -bound)).tolist():
+        if bound[k] < best[0]:
             break
-        mine = near[cell]
-        far = np.sqrt(((shifts[mine] - shifts[k]) ** 2).sum(1) + dy2[mine])
-        order = np.lexsort((far, owner[mine]))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = owner[mine][order][1:] != owner[mine][order][:-1]
-        least = far[order][first]
+        mine = np.sort(near[home[k]])
+        far = np.sqrt(((shifts[mine] - shifts[k]) ** 2).sum(1) + dy2.ravel()[mine])
+        starts = np.flatnonzero(np.diff(owner[mine], prepend=-1))
+        least = np.minimum.reduceat(far, starts) if len(mine) else far
         inside = least[least <= limit]
         score = (len(inside), float(inside.sum()))
-        if (score[0], -score[1], -k) > (best[0], -best[1], -at) or not best[0] and k == 0:
-            best, at = score, k
-    return best[0], best[1], float(shifts[at, 0]), float(shifts[at, 1])
+        if (score[0], -score[1], -k) > (best[0], -best[1], -found) or not best[0] and k == 0:
+            best, found = score, k
+    return best[0], best[1], float(shifts[found, 0]), float(shifts[found, 1])
+
+
+def _try_all(shifts: np.ndarray, dy2: np.ndarray, limit: float) -> tuple[int, float, float, float]:
+    far = np.sqrt(((shifts[:, None, 0] - shifts[None, :, 0]) ** 2 + (shifts[:, None, 1] - shifts[None, :, 1]) ** 2) + dy2.ravel())
+    least = far.reshape(len(shifts), *dy2.shape).min(axis=2)
+    inside = least <= limit
+    inliers, cost = inside.sum(axis=1), np.where(inside, least, 0.0).sum(axis=1)
+    k = int(np.lexsort((np.arange(len(shifts)), cost, -inliers))[0])
+    return int(inliers[k]), float(cost[k]), float(shifts[k, 0]), float(shifts[k, 1])
 
 
 def coarse_gauge(points: DataFrame, keys: list[str], limit: float = 1.0) -> DataFrame:
@@ -307,8 +320,7 @@ def coarse_gauge(points: DataFrame, keys: list[str], limit: float = 1.0) -> Data
     ``points(keys, side, id, x, y, z)`` with side gt or pred. Height is observed, so y is never aligned.
     """
     def vote(_, rows):
-        g = np.array([[r["x"], r["y"], r["z"]] for r in rows if r["side"] == "gt"]).reshape(-1, 3)
-        p = np.array([[r["x"], r["y"], r["z"]] for r in rows if r["side"] == "pred"]).reshape(-1, 3)
+        g, p = (np.array([(r["x"], r["y"], r["z"]) for r in rows if r["side"] == side]).reshape(-1, 3) for side in ("gt", "pred"))
         best = (0, 0.0, 0.0, 0.0, 0.0)
         for yaw in (0.0, 90.0, 180.0, 270.0) if len(g) and len(p) else ():
             c, s = round(math.cos(math.radians(yaw))), round(math.sin(math.radians(yaw)))

@@ -10,73 +10,54 @@ from sceneloom.operators import evaluation as E
 from sceneloom.operators import matching as M
 from sceneloom.operators import retrieval as R
 from sceneloom.operators import rules, scene, series
+from sceneloom.operators import scene_evaluation as S
 from sceneloom.plans.adapters import nodes, states, table
 from sceneloom.plans.registry import query
+from sceneloom.plans.scene_eval_queries import scenes
 from sceneloom.shared import stored
 
 
 def evaluate_states(truth: DataFrame, predicted: DataFrame, run: str, instance: str, config: DataFrame, limit: float, samples: int = 120, frac: float = 0.2, cover: float = 0.9, gauge: float | None = None) -> DataFrame:
-    """W1: per config and window (fit, holdout) the recall, precision and errors of matched tracks.
+    """W1 for tracks in the plane: per config and window (fit, full, holdout) the recall, precision and errors of matched tracks.
 
-    ``truth`` and ``predicted`` are ``(run, instance, t, x, y)``; ``config(run, config)``. Invalid tracks are left out. The window is cut before
-    anything is fitted: the gauge (if one is asked for: turn and shift of whole runs, with inliers within ``gauge``) and the pairs come from
-    the fit window of both sides and are frozen, so nothing after the cut can change them. Both sides and windows are
-    resampled on their run's grid in one pass; grids are joined by number, not by time. A pair counts in a window if both
-    tracks support ``cover`` of its samples.
+    ``truth`` and ``predicted`` are ``(run, instance, t, x, y)``; ``config(run, config)``. ``gauge``, if given, is the inlier limit of a rigid gauge. A
+    pair counts in a window if both tracks support ``cover`` of it. Tracks with faults or of a single sample are left out.
     """
     keys = ["side", run, instance]
     sides = truth.withColumn("side", F.lit("gt")).unionByName(predicted.withColumn("side", F.lit("pred"))).select(*keys, "t", "x", "y")
     good = series.build_tracks(sides, keys).where("reason IS NULL AND samples >= 2").select(*keys)
-    rows = stored(sides.join(good, keys, "left_semi"), "tracks")
-    span = rows.where("side = 'gt'").groupBy(run).agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t1 > t0").withColumn("cut", F.expr(f"t0 + (t1 - t0) * {1 - frac}"))
-    windows = F.explode(F.array(F.lit("fit"), F.lit("holdout"))).alias("window")
-    placed = rows.join(span, run)
-    # The fit window only sees samples up to the cut.
-    seen = placed.select(*keys, "t", "x", "y", "cut", windows).where("window = 'holdout' OR t <= cut")
-    begin, end = F.expr("CASE WHEN window = 'fit' THEN t0 ELSE cut END"), F.expr("CASE WHEN window = 'fit' THEN cut ELSE t1 END")
-    asks = rows.select(*keys).distinct().join(span, run).select(*keys, windows, "t0", "t1", "cut").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    asks = asks.select(*keys, "window", "j", (begin + (end - begin) * F.col("j") / F.lit(float(samples - 1))).alias("t"))
-    at = series.resample_linear(seen, asks.select(*keys, "window", "t"), [*keys, "window"]).where("x IS NOT NULL")
-    grid = stored(asks.join(at, [*keys, "window", "t"]).select(*keys, "window", "j", "x", "y"), "grids")
-    if gauge is not None:
-        centres = grid.where("window = 'fit'").groupBy(*keys).agg(F.avg("x").alias("x"), F.avg("y").alias("z"))
-        found = stored(M.coarse_gauge(centres.select(run, "side", F.col(instance).alias("id"), "x", F.lit(0.0).alias("y"), "z"), [run], gauge), "gauges")
-        turn, mine = F.radians("yaw_deg"), F.col("side") == "pred"
-        moved = grid.join(found.select(run, "yaw_deg", "tx", "tz"), run)
-        x, y = F.cos(turn) * F.col("x") + F.sin(turn) * F.col("y") + F.col("tx"), -F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y") + F.col("tz")
-        grid = moved.select(*keys, "window", "j", F.when(mine, x).otherwise(F.col("x")).alias("x"), F.when(mine, y).otherwise(F.col("y")).alias("y"))
-    part = lambda side: grid.where(F.col("side") == side).select(run, "window", "j", F.col(instance).alias(side), F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"))
-    pairs = part("gt").join(part("pred"), [run, "window", "j"]).withColumn("d", F.hypot(F.col("gt_x") - F.col("pred_x"), F.col("gt_y") - F.col("pred_y")))
-    means = stored(pairs.groupBy(run, "window", "gt", "pred").agg(F.avg("d").alias("cost"), F.count(F.lit(1)).alias("n")), "pair-costs")
-    number = lambda c: F.dense_rank().over(_by(run, c))
-    fitted = means.where("window = 'fit'").withColumn("g", number("gt").cast("long")).withColumn("p", number("pred").cast("long"))
-    frozen = M.match_costs(fitted.select(run, F.col("g").alias("gt"), F.col("p").alias("pred"), "cost"), [run], limit).select(run, F.col("gt").alias("g"), F.col("pred").alias("p"))
-    frozen = stored(fitted.join(frozen, [run, "g", "p"]).select(run, "gt", "pred"), "pairs")
-    scored = frozen.join(means, [run, "gt", "pred"]).withColumn("coverage", F.col("n") / F.lit(float(samples))).where(F.col("coverage") >= cover)
-    names = lambda side: rows.where(F.col("side") == side).select(run, F.col(instance).alias(side)).distinct().select(run, side, windows)
-    truths = names("gt").join(scored, [run, "window", "gt"], "left")
-    truths = truths.withColumn("distance", F.col("cost")).withColumn("found", F.col("cost").isNotNull())
-    c = config.select(run, "config")
-    per_run = truths.groupBy(run, "window").agg(F.count(F.lit(1)).alias("n_gt"), F.count_if("found").alias("n_matched")).join(names("pred").groupBy(run, "window").agg(F.count(F.lit(1)).alias("n_pred")), [run, "window"], "left")
-    per_run = per_run.withColumn("recall", F.col("n_matched") / F.col("n_gt")).withColumn("precision", F.col("n_matched") / F.col("n_pred")).join(c, run)
-    errors = E.weighted_median(truths.where("found").join(c, run).withColumn("distance", F.round("distance", 9)), ["config", "window"], "distance", "median_error")
-    out = per_run.groupBy("config", "window").agg(F.count(F.lit(1)).alias("runs"), F.sum("n_gt").alias("objects"), F.sum("n_matched").alias("matched"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"))
-    return out.join(errors, ["config", "window"], "left")
+    rows = sides.join(good, keys, "left_semi").select("side", F.col(run).alias("clip"), F.lit("object").alias("kind"), F.col(instance).alias("instance"), F.col(instance).alias("node"),
+                                                      "t", "x", F.lit(0.0).alias("y"), F.col("y").alias("z"))
+    rows = stored(rows, "states")
+    none = lambda kind: F.lit(None).cast(kind)
+    nodes_ = rows.select("side", "clip", "node").distinct().select(
+        "*", none("string").alias("class"), none("string").alias("motion"), none("string").alias("shape"), none("array<double>").alias("extent"), none("array<double>").alias("asset_ratios"))
+    p = S.SceneParams(samples=samples, holdout=frac, max_dist=limit, coverage=cover, gauge="none" if gauge is None else "rigid", gauge_dist=gauge)
+    return evaluation_table(S.evaluate_scenes(rows, nodes_, p=p), config.select(F.col(run).alias("clip"), "config"))
 
 
-def _by(run: str, c: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(run).orderBy(c)
+def evaluation_table(found: S.SceneTables, config: DataFrame) -> DataFrame:
+    """One row per config and window: what was matched and measured, and how well the pairs agree. Medians are over all pairs, shares over clips."""
+    clips = found.clips.select("clip", "n_pred", "matched", "motion_accuracy", "shape_accuracy", "class_accuracy", "scene_recall", "scene_precision")
+    per = found.windows.join(clips.withColumnRenamed("matched", "paired"), "clip").join(config.select("clip", "config"), "clip")
+    per = per.withColumn("recall", F.col("n") / F.col("n_gt")).withColumn("precision", F.when(F.col("n_pred") > 0, F.col("n") / F.col("n_pred")))
+    errors = found.pairs.where("distance IS NOT NULL").join(config.select("clip", "config"), "clip").withColumn("distance", F.round("distance", 9))
+    median = E.weighted_median(errors, ["config", "window"], "distance", "median_error")
+    mean = [F.avg(c).alias(c) for c in ("recall", "precision", "motion_accuracy", "shape_accuracy", "class_accuracy", "scene_recall", "scene_precision")]
+    out = per.groupBy("config", "window").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("n_gt").alias("objects"), F.sum("paired").alias("paired"), F.sum("n").alias("matched"), F.count_if(F.col("state") == "complete").alias("complete"), *mean)
+    return out.join(median, ["config", "window"], "left")
 
 
 @query(None)
 def w1_evaluation_table(spark, d):
-    s = states(spark, d).select("clip", "instance", "t", "x", "y")
-    guess = s.where("(clip + length(instance)) % 6 <> 0").withColumns({"x": F.expr("x + 0.5D * (clip % 3)"), "y": F.expr("y + 0.25D")}).withColumn("instance", F.concat(F.lit("p_"), "instance"))
-    config = s.select("clip").distinct().withColumn("config", F.concat(F.lit("cfg"), F.expr("cast(clip % 4 AS string)")))
-    out = evaluate_states(s, guess, "clip", "instance", config, 5.0, samples=24, gauge=2.0)
-    return out.select("config", "window", "runs", "objects", "matched", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "median_error")])
+    """Scenes of all clips under a rigid gauge, 120 samples a track and window, pooled by config."""
+    both, nodes_, cameras = scenes(spark, d)
+    both = stored(both, "states")
+    config = both.select("clip").distinct().withColumn("config", F.concat(F.lit("cfg"), F.expr("cast(clip % 4 AS string)")))
+    out = evaluation_table(S.evaluate_scenes(both, nodes_, cameras, S.SceneParams(max_dist=5.0, gauge_dist=2.0)), config)
+    rounded = ("recall", "precision", "median_error", "motion_accuracy", "shape_accuracy", "class_accuracy", "scene_recall", "scene_precision")
+    return out.select("config", "window", "runs", "objects", "paired", "matched", "complete", *[r6(F.col(c)).alias(c) for c in rounded])
 
 
 @query(None)
