@@ -1,9 +1,10 @@
 """Audit of how far the sources of a language differ in their words.
 
-The words that are kept, those in several documents of the language, are found by refining prefixes. A language's terms are first cut to
-a few bytes; prefixes in too few documents go, and with them all their terms, before longer prefixes of the rest are counted. Counts of
-distinct documents need no list of them: a cell (language, source, term) of a task carries at most as many rows as the threshold asks
-for, and a union of such lists reaches the threshold exactly if the whole union does. Shares and divergences are whole numbers.
+The words that are kept, those in several documents of the language, are found by refining prefixes. A task first counts its own documents:
+a cell (language, term) holds its counts by source and as many rows as the threshold asks for, at most. A cell with that many rows proves its
+term. The others are cut to a few bytes; prefixes in too few documents go, and with them their terms, before longer prefixes of the rest are counted,
+until what is counted are whole terms. Counts of distinct documents need no longer lists: a union of lists cut at the threshold reaches it exactly if
+the whole union does. Shares and divergences are whole numbers.
 """
 
 from __future__ import annotations
@@ -28,18 +29,22 @@ WHOLE = 1_000_000_000
 
 @dataclass(frozen=True)
 class Audit:
-    """Terms in ``documents`` documents of a language are kept; prefixes start at ``prefix`` bytes and double. A task hands its cells on
-    when it holds ``cells`` of them. Sources are compared ``tile`` by ``tile``, ``block`` terms at a time; ``top`` terms a group are returned."""
+    """Terms in ``documents`` documents of a language are kept; prefixes start at ``prefix`` bytes and grow ``growth`` times a level. A task hands
+    its cells on when it holds ``cells`` different terms, or ``entries`` terms of documents. Sources are compared ``tile`` by ``tile``, ``block``
+    terms at a time; ``top`` terms a group are returned."""
 
     documents: int = 3
-    prefix: int = 2
-    cells: int = 300_000
+    prefix: int = 4
+    growth: int = 3
+    cells: int = 400_000
+    entries: int = 6_000_000
     tile: int = 256
     block: int = 4_000
     top: int = 200
 
 
-CELL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("seen", pa.list_(pa.int64()))])
+COUNT = pa.struct([("source", pa.string()), ("n", pa.int64())])
+CELL = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("seen", pa.list_(pa.int64())), ("counts", pa.list_(COUNT))])
 
 
 def _slices(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
@@ -54,69 +59,90 @@ def _slices(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         at = end
 
 
+class Cells:
+    """The terms of one language in a task's documents: term numbers, and per document and term the row, the source and how often."""
+
+    def __init__(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.sources: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+
+    def add(self, source: str, row: int, own: Counter[bytes]) -> None:
+        ids = self.ids
+        found = np.fromiter((ids.setdefault(t, len(ids)) for t in own), dtype=np.int64, count=len(own))
+        n = np.fromiter(own.values(), dtype=np.int64, count=len(own))
+        self.parts.append((found, n, row, self.sources.setdefault(source, len(self.sources))))
+
+    def table(self, lang: str, documents: int) -> pa.RecordBatch:
+        sizes = [len(p[0]) for p in self.parts]
+        term = np.concatenate([p[0] for p in self.parts])
+        row = np.repeat([p[2] for p in self.parts], sizes)
+        order = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[order], np.arange(len(self.ids)))
+        rank = np.arange(len(term)) - starts[term[order]]
+        few = order[rank < documents]
+        seen = np.concatenate([[0], np.cumsum(np.bincount(term[few], minlength=len(self.ids)))])
+        width = len(self.sources)
+        code, at = np.unique(term * width + np.repeat([p[3] for p in self.parts], sizes), return_inverse=True)
+        sums = np.zeros(len(code), dtype=np.int64)
+        np.add.at(sums, at, np.concatenate([p[1] for p in self.parts]))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code // width, minlength=len(self.ids)))])
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(code % width))
+        counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(sums)], fields=list(COUNT)))
+        lists = pa.ListArray.from_arrays(pa.array(seen, pa.int32()), pa.array(row[few], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(self.ids), pa.string()), pa.array(list(self.ids), pa.binary()), lists, counts], schema=CELL)
+
+
 def _cells(audit: Audit):
-    """Count the terms of a task's documents (lang, source, text, row) by language and source, with the first rows that have them."""
-
-    def table(groups: dict[tuple[str, str], dict[bytes, list[int]]]) -> pa.RecordBatch:
-        langs, sources, terms, counts, seen = [], [], [], [], []
-        for (lang, source), mine in groups.items():
-            langs += [lang] * len(mine)
-            sources += [source] * len(mine)
-            terms += mine
-            counts += [c[0] for c in mine.values()]
-            seen += [c[1:] for c in mine.values()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((langs, sources, terms, counts, seen), CELL.types)], schema=CELL)
+    """Count the terms of a task's documents (lang, source, text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        held = 0
+        langs: dict[str, Cells] = {}
+        entries = 0
         for batch in batches:
             for lang, source, text, row in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3).to_pylist()):
                 own: Counter[bytes] = Counter()
                 for piece in _slices((text.as_py() or "").encode("utf-8").lower()):
                     own.update(TERM.findall(piece))
-                mine = groups.setdefault((lang, source), {})
-                before = len(mine)
-                for term, n in own.items():
-                    cell = mine.get(term)
-                    if cell is None:
-                        mine[term] = [n, row]
-                        continue
-                    cell[0] += n
-                    if len(cell) <= audit.documents:
-                        cell.append(row)
-                held += len(mine) - before
-                if held >= audit.cells:
-                    yield table(groups)
-                    groups, held = {}, 0
-        if held:
-            yield table(groups)
+                if own:
+                    langs.setdefault(lang, Cells()).add(source, row, own)
+                    entries += len(own)
+                if entries >= audit.entries or sum(len(c.ids) for c in langs.values()) >= audit.cells:
+                    yield from (c.table(name, audit.documents) for name, c in langs.items())
+                    langs, entries = {}, 0
+        yield from (c.table(name, audit.documents) for name, c in langs.items())
 
     return run
 
 
 def count_cells(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
-    """``lang, source, term, n, seen``: terms (bytes) counted by task, with up to ``documents`` rows each that hold them."""
+    """``lang, term, seen, counts``: terms (bytes) of each task's documents, up to ``documents`` rows that hold them, and counts by source."""
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*text, F.monotonically_increasing_id().alias("row")).mapInArrow(_cells(audit), "lang string, source string, term binary, n long, seen array<long>")
+    rows = docs.select(*text, F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(_cells(audit), "lang string, term binary, seen array<long>, counts array<struct<source:string,n:long>>")
 
 
 def refine(cells: DataFrame, audit: Audit = Audit()) -> DataFrame:
-    """The cells whose term is in ``documents`` documents of its language or more, by prefixes of doubling length.
+    """The cells whose term is in ``documents`` documents of its language or more, by ever longer prefixes.
 
-    A level ends all terms shorter than its prefix: their prefix is the term itself. The last level has no longer ones.
+    Cells that prove their term, and with it its prefixes, stay aside. A level ends all terms shorter than its prefix: their prefix is the term itself.
+    The last level has no longer ones.
     """
-    live, length = cells, audit.prefix
+    sure = F.size("seen") >= audit.documents
+    proved, live, length = cells.where(sure), cells.where(~sure), audit.prefix
+    known = stored(proved.select("lang", "term").distinct(), "proved")
     while True:
-        cut = live.withColumn("prefix", F.substring("term", 1, length))
-        rows = cut.select("lang", "prefix", F.explode("seen").alias("row")).distinct()
+        cut = F.substring("term", 1, length).alias("prefix")
+        rows = live.select("lang", cut, F.explode("seen").alias("row")).distinct()
         enough = rows.groupBy("lang", "prefix").count().where(F.col("count") >= audit.documents).select("lang", "prefix")
-        before, live = live, stored(with_lookup(cut, stored(enough, "prefixes"), ["lang", "prefix"], "left_semi").drop("prefix"), "cells")
+        enough = stored(enough.union(known.select("lang", cut)).distinct(), "prefixes")
+        before, live = live, stored(with_lookup(live.select("*", cut), enough, ["lang", "prefix"], "left_semi").drop("prefix"), "cells")
         release(before)
+        release(enough)
         longest = live.agg(F.max(F.length("term"))).first()[0]
         if longest is None or longest < length:
-            return live
-        length *= 2
+            return proved.unionByName(live)
+        length *= audit.growth
 
 
 def share(count: Column, total: Column) -> Column:
@@ -185,7 +211,8 @@ def source_divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     spark = docs.sparkSession
     cells = stored(count_cells(docs, audit), "cells")
     kept = refine(cells, audit)
-    counts = stored(kept.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
+    each = kept.select("lang", "term", F.explode("counts").alias("c")).select("lang", "c.source", "term", "c.n")
+    counts = stored(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
     every = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "terms")
     vocabulary = stored(every.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total")), "vocabulary")
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]

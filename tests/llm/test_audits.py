@@ -223,7 +223,7 @@ def test_divergence_matches_brute_force(spark, rows):
 
 def test_divergence_does_not_depend_on_tasks_tiles_or_blocks(spark):
     rows = divergence_rows(120, [f"s{i}" for i in range(9)], 10)
-    small = divergence.Audit(prefix=1, cells=20, tile=2, block=7)
+    small = divergence.Audit(prefix=1, growth=2, cells=20, tile=2, block=7)
     assert sorted(tuple(r) for r in divergence.source_divergence(table(spark, rows).repartition(7), small).collect()) == plain_divergence(rows)
 
 
