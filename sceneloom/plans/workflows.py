@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions.columns import r6
 from sceneloom.operators import evaluation as E
 from sceneloom.operators import matching as M
+from sceneloom.operators import quality_rules as Q
 from sceneloom.operators import retrieval as R
 from sceneloom.operators import rules, scene, series
 from sceneloom.operators import scene_evaluation as S
@@ -60,23 +61,55 @@ def w1_evaluation_table(spark, d):
     return out.select("config", "window", "runs", "objects", "paired", "matched", "complete", *[r6(F.col(c)).alias(c) for c in rounded])
 
 
+def gated_nodes(det: DataFrame, frames: DataFrame, thresholds: DataFrame, boxes: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """W2: detections to tracks, their quality, the decision of each clip, and the nodes of clips that are not blocked.
+
+    ``det(clip, detection_id, frame, label, score, x1.., t, visible, depth, width, height)``, ``frames(clip, frame, t)`` is the registry; ``boxes`` give
+    ``px.., ex..`` of an observation. A clip is blocked by an error in the structure of its evidence (a box outside its image, a frame that is not
+    registered or has another time, an object twice in a frame).
+    """
+    tracks = M.associate(det.select("clip", "detection_id", "frame", "label", "score", "x1", "y1", "x2", "y2"))
+    tracks = stored(tracks.select("clip", "detection_id", F.col("track_id").alias("object_id"), "identity"), "tracks")
+    obs = stored(det.join(tracks.drop("identity"), ["clip", "detection_id"]), "observations")
+    seen = obs.withColumns({"bbox": F.lit(1), "mask": F.lit(1)})
+    none = F.lit(None).cast("double")
+    boxed = seen.select("clip", "object_id", F.col("frame").alias("frame_index"), "t", "x1", "y1", "x2", "y2", "width", "height", none.alias("d_min"), F.col("depth").alias("d_median"), none.alias("d_max"))
+    structure = rules.validate_evidence(boxed, frames.select("clip", F.col("frame").alias("frame_index"), "t"))
+    structure = stored(structure.where("severity = 'error'"), "structure")
+    attributes = obs.select("clip", "object_id", F.lit("geometry").alias("name"), F.when(F.col("depth").isNotNull(), F.col("score")).alias("confidence"))
+    candidates = tracks.where("size(identity) > 0").select("clip", "object_id", F.col("detection_id").alias("hypothesis"), F.explode("identity").alias("i"))
+    candidates = candidates.select("clip", "object_id", "hypothesis", "i.confidence")
+    support = obs.groupBy("clip", "object_id").agg(F.avg("score").alias("motion_support"))
+    objects = stored(Q.evidence_metrics(seen, frames, attributes, candidates, support), "objects")
+    clips = frames.select("clip").distinct().withColumn("scale_factor", F.lit(1.0))
+    _, decided = Q.assess(objects, Q.camera_metrics(frames.select("clip", "t"), frames), clips, thresholds, structure)
+    decided = stored(decided, "decisions")
+    node = obs.select("clip", F.col("object_id").alias("node_id"), "t", *boxes, F.lit(False).alias("s"))
+    kept = scene.evidence_to_nodes(node, ["clip", "node_id"], "t", F.col("s")).join(decided.where("decision <> 'block'").select("clip", "decision"), "clip")
+    return decided, kept
+
+
 @query(None)
 def w2_quality_gated_nodes(spark, d):
-    """Detections of event frames to tracks, their quality, the gate, and the nodes of clips that are not blocked."""
+    """Detections of event frames to tracks, the rule-table gate, and the nodes of clips that are not blocked, validated with their supports."""
     s = states(spark, d)
-    det = s.select("clip", F.col("event_id").alias("detection_id"), F.floor(F.col("t") / 3600).cast("int").alias("frame"), F.col("instance").alias("label"), (F.col("x") / 100).alias("score"), F.col("x").alias("x1"), F.col("y").alias("y1"),
-                   (F.col("x") + 30).alias("x2"), (F.col("y") + 40).alias("y2"), "t")
+    det = s.select("clip", F.col("event_id").alias("detection_id"), F.floor(F.col("t") / 3600).cast("int").alias("frame"), F.col("instance").alias("label"), (F.col("x") / 100).alias("score"),
+                   F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 30).alias("x2"), (F.col("y") + 40).alias("y2"), "t")
     kept = M.nms(det, ["clip", "frame"], 40_000.0, 0.7).select("clip", "detection_id")
     det = stored(det.join(kept, ["clip", "detection_id"], "left_semi"), "detections")
-    tracks = stored(M.associate(det.drop("t")).select("clip", "detection_id", "track_id"), "tracks")
-    obs = det.join(tracks, ["clip", "detection_id"]).select("clip", F.col("track_id").alias("object_id"), "frame", "t", F.col("score").alias("visible"), F.col("y1").alias("depth"), "label", "x1", "y1")
-    obs = stored(obs, "observations")
-    quality = stored(E.quality_metrics(obs, obs.groupBy("clip", "frame").agg(F.min("t").alias("t"))), "quality")
-    gate = E.quality_gate(quality, "clip", F.col("observations") < 0, F.col("coverage") < 0.02)
-    boxes = obs.select("clip", F.col("object_id").alias("node_id"), "t", F.col("x1").alias("px"), F.lit(0.5).alias("py"), F.col("y1").alias("pz"), F.lit(0.3).alias("ex"), F.lit(1.0).alias("ey"), F.lit(0.4).alias("ez"), F.lit(False).alias("s"))
-    n = scene.evidence_to_nodes(boxes, ["clip", "node_id"], "t", F.col("s")).join(gate.where("decision <> 'block'").select("clip", "decision"), "clip")
-    found = rules.validate_nodes(n, n.select("clip", "node_id", F.lit(None).cast("string").alias("target")).where("target IS NOT NULL")).groupBy("clip").agg(F.count(F.lit(1)).alias("findings"))
-    return n.groupBy("clip", "decision").agg(F.count(F.lit(1)).alias("nodes"), F.sum("frames").alias("observations")).join(found, "clip", "left").na.fill(0, ["findings"])
+    frames = stored(det.groupBy("clip", "frame").agg(F.min("t").alias("t")), "frames")
+    # Times of a frame are the registry's; boxes lie in images of 280 by 145, so some reach outside.
+    det = det.drop("t").join(frames, ["clip", "frame"]).select(
+        "*", (F.col("x1") / 100).alias("visible"), F.when(F.col("y1") >= 20, F.col("y1")).alias("depth"), F.lit(280.0).alias("width"), F.lit(145.0).alias("height"))
+    boxes = [F.col("x1").alias("px"), F.lit(0.5).alias("py"), F.col("y1").alias("pz"), F.lit(0.3).alias("ex"), F.lit(1.0).alias("ey"), F.lit(0.4).alias("ez")]
+    decided, n = gated_nodes(det, frames, Q.thresholds(spark, {"default": Q.DEFAULTS}), boxes)
+    n = stored(n, "nodes")
+    # Each node rests on the one with the least id of its clip; that one rests on none.
+    first = n.groupBy("clip").agg(F.min("node_id").alias("target"))
+    refs = n.join(first, "clip").where("node_id <> target").select("clip", "node_id", "target")
+    found = rules.validate_nodes(n, refs).groupBy("clip").agg(F.count(F.lit(1)).alias("findings"))
+    counts = n.groupBy("clip").agg(F.count(F.lit(1)).alias("nodes"), F.sum("frames").alias("observations")).join(found, "clip", "left")
+    return decided.select("clip", "decision", "diagnostics").join(counts, "clip", "left").na.fill(0, ["nodes", "observations", "findings"])
 
 
 @query(None)
