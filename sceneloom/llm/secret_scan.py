@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm.spans import find_spans, joined, labelled, overlaps
+from sceneloom.llm.spans import apart_from, find_spans, joined, labelled
 from sceneloom.shared import stored
 
 #: Java spelling of the base patterns: possessive where nothing is ever given back, so that long texts
@@ -115,12 +115,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``samples(token, random)`` trains the models; without it the scan labels its own. Markov spans are tokens of
     20 or more characters that no base span touches. Places are code points, ends exclusive. Null text
     counts as empty; null and repeated ids are each returned; an empty table gives an empty result and
-    trains nothing; other columns are not read.
+    trains nothing; other columns are not read. Long texts with many hits cost little more than in proportion.
     """
     scanned = stored(scan(docs, id_col, text_col, params), "secrets")
     model = train(weak_labels(scanned) if samples is None else samples, params)
     taken = F.concat("assign", "access", "hex")
-    markov = F.filter("tokens", lambda s: ~overlaps(taken, s["start"], s["end"]) & (llr(s["hit"], model) > params.threshold))
+    markov = apart_from(F.filter("tokens", lambda s: llr(s["hit"], model) > params.threshold), taken)
     return scanned.select("doc_id", "assign", "access", "hex", markov.alias("markov"))
 
 
