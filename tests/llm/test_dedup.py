@@ -240,3 +240,24 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert kept.columns == table.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "a"), (2, "b"), (4, ""), (None, "z")], key=str)
     assert exact_dedup.drop_copies(docs(spark, []), exact_dedup.exact_groups(docs(spark, []))).count() == 0
+
+
+def test_stages_carry_columns_of_any_type_and_name(spark):
+    """Names of the operators' own columns, and maps, which have no order."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    base = [(i, words(i % 9) + (" tail" if i == 11 else "")) for i in range(12)] + [(0, words(0)), (None, words(3)), (5, None)]
+    own = "row doc size tokens digest text_sha256 kept keep_id group fp place pieces __n"
+    table = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", len(t or "")) for i, t in base], "doc_id long, text string, lang string, source string, n_chars int")
+    table = table.select("*", F.create_map(F.lit("k"), F.col("text")).alias("attributes"), *[F.lit(k).alias(name) for k, name in enumerate(own.split())])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns and out.schema["attributes"].dataType == table.schema["attributes"].dataType, name
+        assert all(r.row == 0 and r.attributes == {"k": r.text} for r in out.collect()), name
+    kept = corpus_pipeline.exact_copies(spark, table, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(9, words(0)), (10, words(1)), (11, words(2) + " tail"), (2, words(2)), (3, words(3)), (4, words(4)), (5, words(5)), (6, words(6)), (7, words(7)), (8, words(8)), (5, None)], key=str)
+    packed = corpus_pipeline.packed(spark, table, "")
+    assert packed.count() >= table.count() - 1
