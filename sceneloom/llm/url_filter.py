@@ -41,7 +41,6 @@ class Mining:
     pages: int = 20
     confidence: float = 0.8
     lift: float = 1.5
-    tokens: int = 3
 
 
 def _lower_az(c: Column) -> Column:
@@ -110,7 +109,7 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     sets = rows.select("__row", "bad").join(sets, "__row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     sets = sets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(sets)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= mining.tokens) & (F.col("lift") >= mining.lift))
+    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= mining.lift))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     # A rule is redundant if a shorter one whose tokens it contains is at least as confident. Each rule asks for its own
     # shorter token sets, so a token in many rules makes no pairs.
@@ -118,7 +117,8 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
     redundant = stored(with_lookup(parts, known, ["part"], "inner").where(F.col("least") >= F.col("confidence")).select("tokens").distinct(), "redundant")
     rules = with_lookup(rules, redundant, ["tokens"], "left_anti").withColumn("said", F.array().cast("array<string>"))
-    for k in range(mining.tokens):  # each item of a rule becomes each of its tokens
+    most = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    for k in range(most):  # each item of a rule becomes each of its tokens
         item = rules.withColumn("item", F.get("tokens", F.lit(k)))
         rules = with_lookup(item, items, ["item"]).withColumn("said", F.when(F.col("token").isNull(), F.col("said")).otherwise(F.concat("said", F.array("token")))).drop("item", "token")
     rules = rules.select(F.array_sort("said").alias("tokens"), "confidence", "support")
