@@ -36,12 +36,12 @@ HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body".split())
-#: Nouns in class or id names that mark what is not the main text, and words after them that say nothing.
+#: Nouns in class or id names that mark what is not the main text, those that may also name a part of an article, and words after them that say nothing.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices notification alert popup modal "
-    "overlay newsletter subscribe subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments reply replies disqus "
-    "discussion share sharing social related recommended login signup search toolbar copyright widget".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notification alert popup modal overlay newsletter subscribe "
+    "subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus toolbar copyright widget login signup".split()
 )
+DOUBTFUL = frozenset("notice notices side reply replies discussion share sharing social related recommended search".split())
 NEUTRAL = frozenset("area block box button buttons container group holder inner item items link links list outer panel section wrap wrapper".split())
 #: Elements that can be a region of a page; the others are parts of its text.
 CONTAINERS = frozenset("article main section div td body html".split())
@@ -88,21 +88,21 @@ PAGES_WITHOUT_HOST = 20
 DEEPEST = 64
 
 
-def _is_name_of_boilerplate(name: str) -> bool:
-    """Whether the noun that a name ends in marks boilerplate: ``cookie-notice`` and ``comment-list``, but not ``ad-free``."""
+def _marks(name: str) -> int:
+    """2 if the noun that a name ends in marks boilerplate (``cookie-banner`` and ``comment-list``, but not ``ad-free``), 1 if it may, else 0."""
     words = [w.lower() for w in WORDS.findall(name)]
     while len(words) > 1 and words[-1] in NEUTRAL:
         words.pop()
-    return bool(words) and words[-1] in BOILERPLATE
+    return 0 if not words else 2 if words[-1] in BOILERPLATE or len(words) > 1 and words[-2] in BOILERPLATE and words[-1] in DOUBTFUL else 1 if words[-1] in DOUBTFUL else 0
 
 
-def _key(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Name of an element in paths (tag and class words), whether it holds no main text, and whether it is called so."""
+def _key(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """Name of an element in paths (tag and class words), whether it holds no main text, and whether (2) or perhaps (1) it is called so."""
     if "=" not in attributes:
-        return tag, tag in HIDDEN, False
+        return tag, tag in HIDDEN, 0
     found = [(kind.lower(), name) for kind, *names in NAMES.findall(attributes) for name in "".join(names).split()]
     words = sorted({w.lower() for kind, name in found if kind == "class" and not any(c.isdigit() for c in name) for w in WORDS.findall(name)})
-    return ".".join([tag, *words]), tag in HIDDEN, any(_is_name_of_boilerplate(name) for _, name in found)
+    return ".".join([tag, *words]), tag in HIDDEN, max((_marks(name) for _, name in found), default=0)
 
 
 def read_page(page: str) -> tuple[list[Block], list[str]]:
@@ -110,11 +110,11 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
 
     Wrong nesting is mended as browsers do: paragraphs end at the next block, list items at the next item,
     an end tag closes what is open inside its element. Inline elements are no tokens unless their names mark
-    boilerplate.
+    boilerplate. A doubtful name counts, but for a section of an article only where a block is mostly links.
     """
     blocks: list[Block] = []
     stream: list[str] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []
+    stack: list[tuple[str, str, bool, int, int]] = []
     parts: list[str] = []
     linked = links = 0
 
@@ -123,7 +123,8 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                hidden, named = any(x[2] for x in stack), any(x[3] for x in stack)
+                hidden, named = any(x[2] for x in stack), any(x[3] == 2 for x in stack)
+                named = named or 2 * linked > len(text) and any(x[3] for x in stack)
                 top = stack[:DEEPEST]
                 blocks.append(Block(tuple(x[1] for x in top), tuple(x[4] for x in top), text, linked, hidden, named))
                 stream.append("#")
@@ -165,6 +166,8 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
                 flush()
             continue
         key, hidden, named = _key(tag, m[3])
+        if named == 1 and not (tag == "section" and any(x[0] in ("article", "main") for x in stack)):
+            named = 2
         if tag in INLINE and not ((hidden or named) and tag not in VOID):
             links += tag == "a"
             if tag == "br":

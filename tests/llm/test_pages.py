@@ -73,14 +73,14 @@ def test_inverted_index_finds_what_comparing_all_finds(spark):
 
 
 def plain_rules(rows, m):
-    """All token sets of at most ``m.tokens`` tokens that say bad, without those that hold an equally confident smaller one."""
+    """All token sets that say bad, without those that hold an equally confident smaller one."""
     from itertools import combinations
 
     n, bad = len(rows), sum(b for _, b in rows)
     least = max(m.support, m.pages / n) * n
     tokens = sorted({t for r, _ in rows for t in r})
     found = {}
-    for k in range(1, m.tokens + 1):
+    for k in range(1, len(tokens) + 1):
         for c in combinations(tokens, k):
             have = [b for r, b in rows if set(c) <= set(r)]
             if sum(have) >= least and sum(have) / len(have) >= m.confidence and sum(have) / len(have) / (bad / n) >= m.lift:
@@ -336,3 +336,36 @@ def test_what_a_host_repeats_in_neutral_elements_is_no_main_text(spark):
         assert got[10 + i] == "The very same text.\nIts second part."
         assert got[20 + i] == f"One long text in many versions, told apart by a number.\n{i}"
     assert "All rights" in got[30] and "Today only" in got[30]  # too few pages to tell
+
+
+def test_a_rule_may_need_four_tokens_and_blocks(spark):
+    from itertools import product
+
+    words = ("alpha", "beta", "gamma", "delta")
+    pages, labels, number = [], [], 0
+    for chosen in product([False, True], repeat=4):
+        for _ in range(30):
+            number += 1
+            path = "/".join(w for w, c in zip(words, chosen) if c)
+            pages.append((number, f"http://h{number % 7}.test/{path}/{number}", "x", 1))
+            labels.append((number, all(chosen)))
+    seen = spark.createDataFrame(labels, "page_id long, bad boolean")
+    more = [(9001, "http://new.test/delta/gamma/beta/alpha", "x", 1), (9002, "http://new.test/alpha/beta/gamma", "x", 1), (9003, "http://a.example.net/en/alpha/beta/gamma/delta", "x", 1), (9004, None, "x", 1)]
+    table = spark.createDataFrame(pages + more, "page_id long, url string, tokens string, key int")
+    got = {r.page_id: r for r in url_filter.judge_urls(table, seen).collect()}
+    assert got[9001].verdict == "block" and sorted(got[9001].mined_rule.split()) == sorted(f"p:{w}" for w in words)
+    assert got[9002].verdict == "allow" and got[9003].verdict == "allow" and got[9003].rule and got[9004].verdict == "allow"
+    assert {i: got[i].verdict == "block" for i, _ in labels} == dict(labels)
+
+
+def test_sections_of_an_article_stay_whatever_they_are_called(spark):
+    body = lambda i, w: " ".join(f"{w}{i} word{k}" for k in range(40))
+    html = [
+        f"<html><body><nav>Home</nav><article><h1>Title {i}</h1><section class='methods'><p>{body(i, 'm')}</p></section><section class='discussion'><h2>Talk {i}</h2><p>{body(i, 'd')}</p></section>"
+        f"<section id='search'><p>{body(i, 's')}</p></section><section class='related'><a href='/x{i}'>other text number {i}</a></section><div class='comments'><p>{body(i, 'c')}</p></div></article></body></html>"
+        for i in range(8)
+    ]
+    table = spark.createDataFrame([(i, f"http://one.test/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    for r in html_extract.extract(table).collect():
+        i = r.page_id
+        assert r.text.split("\n") == [f"Title {i}", body(i, "m"), f"Talk {i}", body(i, "d"), body(i, "s")]
