@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.numbering import numbered_in_order
+from sceneloom.shared import stored
 
 #: Words without meaning, words of style, synonyms, weights.
 STOP = ("kit", "pack", "assets", "3d", "the", "a", "of", "and")
@@ -68,6 +69,123 @@ def score_assets(queries: DataFrame, assets: DataFrame) -> DataFrame:
     return j.select("query", "asset_id", F.round(F.least(score, F.lit(1.0)), 4).alias("score")).where("score > 0")
 
 
+def _query_forms(queries: DataFrame) -> DataFrame:
+    """Distinct queries with their tokens and all spellings of each: ``query, tokens, forms`` (place of the token, word, exact)."""
+    q = queries.select("query").distinct().withColumn("tokens", tokenize(F.col("query"))).where("size(tokens) > 0")
+    form = lambda i, w, exact: F.struct(i.alias("at"), w.alias("word"), F.lit(exact).alias("exact"))
+    one = F.transform("tokens", lambda t, i: F.concat(F.array(form(i, t, True)), F.transform(variants(t), lambda v: form(i, v, False))))
+    return q.withColumn("forms", F.flatten(one))
+
+
+def _final_score(hit: Column, tokens: Column, extra: Column, bonus: Column) -> Column:
+    score = hit / tokens / (1 + F.lit(EXTRA) * F.greatest(extra, F.lit(0)))
+    return F.round(F.least(F.when(bonus, score * KIT_BONUS).otherwise(score), F.lit(1.0)), 4)
+
+
+class _Postings:
+    """The inverted index of one block of assets: rows whose name, or whose kit, has a word; rows are in the order of ids."""
+
+    def __init__(self, assets: list[dict]):
+        assets.sort(key=lambda a: a["asset_id"])
+        self.ids = np.array([a["asset_id"] for a in assets])
+        self.meaningful = np.array([a["meaningful"] for a in assets], dtype=np.int64)
+        lists: tuple[dict, dict, dict] = ({}, {}, {})
+        for row, a in enumerate(assets):
+            for found, words in zip(lists, (a["name_words"], a["kit_words"], [a["kit"]])):
+                for w in words:
+                    found.setdefault(w, []).append(row)
+        self.name, self.kit, self.slug = ({w: np.array(rows) for w, rows in found.items()} for found in lists)
+
+    def best(self, tokens: list[str], forms: list[dict], k: int, margin: float = 1e-4):
+        """Rows that can be among the best ``k`` after rounding, with their sums; lists whose weights cannot lift a row to the k-th score are only
+        looked up for rows that others brought in."""
+        weights = []
+        for at in range(len(tokens)):
+            mine = [f for f in forms if f["at"] == at]
+            named = [(self.name[f["word"]], NAME if f["exact"] else VARIANT) for f in mine if f["word"] in self.name]
+            kits = [(self.kit[f["word"]], KIT if f["exact"] else KIT * VARIANT) for f in mine if f["word"] in self.kit]
+            if named or kits:
+                weights.append((max(w for _, w in named + kits), sum(len(r) for r, _ in named + kits), named, kits))
+        weights.sort(key=lambda w: w[1])  # rarest first
+        n = len(self.ids)
+        hit, inside, known = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        rest = np.cumsum([w[0] for w in weights][::-1])[::-1] if weights else []
+        bonus = np.zeros(n, dtype=bool)
+        for t in set(tokens):
+            if t in self.slug:
+                bonus[self.slug[t]] = True
+        least = -1.0
+        for place, (_, _, named, kits) in enumerate(weights):
+            # What only this list and the more frequent ones hold scores at most this.
+            closed = min(rest[place] / len(tokens) * KIT_BONUS, 1.0) + margin < least
+            w = np.zeros(n)
+            for rows, value in kits + named:
+                w[rows] = np.maximum(w[rows], value)
+            touched = w > 0
+            hit += np.round(w, 6)
+            for rows in {id(r): r for r, _ in named}.values():
+                touched[rows] = True
+            there = np.zeros(n, dtype=bool)
+            for rows, _ in named:
+                there[rows] = True
+            inside += there
+            if not closed:
+                known |= touched
+                score = self._score(hit, inside, bonus, len(tokens))
+                mine = score[known]
+                least = float(np.partition(mine, len(mine) - k)[len(mine) - k]) if len(mine) >= k else -1.0
+        rows = np.flatnonzero(known)
+        score = self._score(hit, inside, bonus, len(tokens))[rows]
+        rows, score = rows[score > 0], score[score > 0]
+        if len(rows) > k:
+            floor = np.partition(score, len(score) - k)[len(score) - k] - margin
+            rows, score = rows[score >= floor], score[score >= floor]
+            order = np.lexsort((rows, -score))
+            rows, score = rows[order], score[order]
+            first = np.r_[True, score[1:] != score[:-1]]
+            nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+            rows = rows[nth < k]
+        return rows, hit[rows], self.meaningful[rows] - inside[rows], bonus[rows]
+
+    def _score(self, hit, inside, bonus, n_tokens):
+        return np.minimum(hit / n_tokens / (1 + EXTRA * np.maximum(self.meaningful - inside, 0)) * np.where(bonus, KIT_BONUS, 1.0), 1.0)
+
+
+def top_assets(queries: DataFrame, assets: DataFrame, k: int, query_block: int = 1024, asset_block: int = 16384) -> DataFrame:
+    """``query, asset_id, score``: the ``k`` best assets of each query by ``score_assets`` (of equal scores the least ids), without scoring all pairs.
+
+    Blocks of queries meet blocks of assets, both of bounded size. A block of assets is an inverted index; its lists are read from the rarest word on,
+    and once the words left can't lift an asset to the k-th score they bring in no more assets. Only what can be among the best leaves a block.
+    """
+    q = stored(_query_forms(queries), "queries")
+    meaningful = F.size(F.filter("name_words", lambda t: ~t.isin(*STYLE) & ~t.rlike("^[0-9]+$")))
+    a = assets.select("asset_id", F.array_distinct(tokenize(F.col("name"))).alias("name_words"), "kit", F.array_distinct(F.concat(tokenize(F.col("kit_title")), tokenize(F.col("kit")))).alias("kit_words"))
+    a = stored(a.withColumn("meaningful", meaningful), "assets")
+    n_ask, n_block = max(1, -(-q.count() // query_block)), max(1, -(-a.count() // asset_block))
+    blocks = a.groupBy(F.pmod(F.xxhash64("asset_id"), F.lit(n_block)).alias("block")).agg(F.collect_list(F.struct("asset_id", "name_words", "kit", "kit_words", "meaningful")).alias("assets"))
+    asks = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(n_ask)).alias("ask")).agg(F.collect_list(F.struct("query", "tokens", "forms")).alias("queries"))
+    pairs = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_block - 1)).cast("array<bigint>"))).join(blocks, "block").select("queries", "assets")
+    names = ("query", "asset_id", "hit", "n", "extra", "bonus")
+    kind = assets.schema["asset_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for queries_, assets_ in zip(batch.column(0), batch.column(1)):
+                index = _Postings(assets_.as_py())
+                out: list[tuple] = []
+                for x in queries_.as_py():
+                    rows, hit, extra, bonus = index.best(x["tokens"], x["forms"], k)
+                    out += zip([x["query"]] * len(rows), index.ids[rows].tolist(), hit.tolist(), [len(x["tokens"])] * len(rows), extra.tolist(), bonus.tolist())
+                types = (pa.string(), None, pa.float64(), pa.int32(), pa.int64(), pa.bool_())
+                ids = batch.schema.field(1).type.value_type.field("asset_id").type
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], ids if t is None else t) for i, t in enumerate(types)], names=list(names))
+
+    found = pairs.mapInArrow(run, f"query string, asset_id {kind}, hit double, n int, extra long, bonus boolean")
+    found = found.select("query", "asset_id", _final_score(F.col("hit"), F.col("n"), F.col("extra"), F.col("bonus")).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "asset_id"))
+    return found.withColumn("__r", place).where(F.col("__r") <= k).drop("__r")
+
+
 def retrieve(scored: DataFrame, images: DataFrame | None, k: int = 5, image_weight: float = 0.5, shortlist: int = 24, keys: tuple[str, ...] = ("query",)) -> DataFrame:
     """The k best assets a query with their text score and rank. Text decides who is in; images only reorder the shortlist."""
     by = Window.partitionBy(*keys)

@@ -10,6 +10,7 @@ from sceneloom.operators import motion_fit
 from sceneloom.operators import retrieval as R
 from sceneloom.plans.adapters import NODES, STATES, nodes, states, table
 from sceneloom.plans.registry import query
+from sceneloom.shared import stored
 
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP) + "]"
 STYLE = "[" + ", ".join(f"'{w}'" for w in R.STYLE) + "]"
@@ -83,13 +84,12 @@ ranked AS (SELECT query, asset_id, score, row_number() OVER (PARTITION BY query
 
 @query(f"WITH {RETRIEVED} SELECT query, asset_id, score, rank FROM ranked WHERE rank <= 5")
 def r4_retrieve(spark, d):
-    s = R.score_assets(_queries(spark, d), _assets(spark, d))
+    s = stored(R.top_assets(_queries(spark, d), _assets(spark, d), 24), "shortlists")
     return R.retrieve(s, _images(s), 5)
 
 
 def _ranked(spark, d, k):
-    s = R.score_assets(_queries(spark, d), _assets(spark, d))
-    return R.retrieve(s, None, k)
+    return R.retrieve(R.top_assets(_queries(spark, d), _assets(spark, d), k), None, k)
 
 
 TEXT_RANKED = f"{SCORES}, ranked AS (SELECT query, asset_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, asset_id) AS rank FROM scored WHERE score > 0)"

@@ -117,7 +117,7 @@ def w3_retrieval_audit(spark, d):
     """Distinct labels retrieve assets by text, the shortlist is reordered, the choice is gated and audited against same-kit truths."""
     assets = table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kit"), F.col("p_type").alias("kit_title"))
     objects = nodes(spark, d, F.col("l_partkey").alias("asset_id")).where("grp = 'object'").select("clip", "node", "asset_id").join(assets.select("asset_id", F.col("name").alias("query")), "asset_id").drop("asset_id")
-    scores = stored(R.score_assets(objects, assets), "scores")
+    scores = stored(R.top_assets(objects, assets, 24), "scores")
     images = scores.select("query", "asset_id", F.expr("((asset_id * 7 + length(query)) % 11) / 11D").alias("image"))
     chosen = R.choose_assets(R.retrieve(scores, images, 5))
     named = chosen.join(assets.select(F.col("asset_id").cast("string").alias("chosen"), F.col("name").alias("found")), "chosen", "left")
