@@ -232,11 +232,13 @@ def _in_blocks(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     """Pairs ``(a, b)`` of different labels that sizes and parity sketches let through, among the sets of each crowded key.
 
     Sets are dealt to blocks of about ``BLOCK``; each two blocks of a key are compared as matrices, and only what passes leaves the task, so
-    rows grow with blocks and with what is similar, not with all pairs.
+    rows grow with blocks and with what is similar, not with all pairs. Sets carry their crowded keys, and a pair leaves under the least that
+    both have, so it is one row however many keys it shares.
     """
     part = (1 - similarity) / (1 + similarity)
-    member = F.struct("row", "label", "n_set", "sketch")
-    held = rest.join(nodes.select("row", F.col("n").alias("n_set"), "sketch"), "row").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK)))
+    member = F.struct("row", "label", "n_set", "sketch", "keys")
+    own = rest.groupBy("row").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    held = rest.join(nodes.select("row", F.col("n").alias("n_set"), "sketch"), "row").join(own, "row").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK)))
     blocks = stored(held.groupBy("key", "block").agg(F.collect_list(member).alias("sets")), "blocks")
     other = blocks.select("key", F.col("block").alias("o_block"), F.col("sets").alias("o_sets"))
 
@@ -246,16 +248,21 @@ def _in_blocks(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, left, right in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = min(len(s["sketch"]) for s in [*left, *right])
                 (ra, la, na, sa), (rb, lb, nb, sb) = one(left, words), one(right, words)
                 apart = sum(np.bitwise_count(sa[:, None, w] ^ sb[None, :, w]).astype(np.int64) for w in range(words))
                 fit = (apart <= part * (na[:, None] + nb[None, :]) + EPS) & (la[:, None] != lb[None, :])
                 fit &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - EPS
+                if ra[0] == rb[0]:  # a block with itself
+                    fit = np.triu(fit, 1)
                 i, j = np.nonzero(fit)
+                mine, theirs = ([frozenset(s["keys"]) for s in sets] for sets in (left, right))
+                first = np.fromiter((min(mine[x] & theirs[y]) == key for x, y in zip(i.tolist(), j.tolist())), dtype=bool, count=len(i))
+                i, j = i[first], j[first]
                 yield pa.RecordBatch.from_arrays([pa.array(ra[i]), pa.array(rb[j])], names=["a", "b"])
 
-    met = blocks.join(other, "key").where("block <= o_block").select("sets", "o_sets")
+    met = blocks.join(other, "key").where("block <= o_block").select("key", "sets", "o_sets")
     return met.mapInArrow(run, "a long, b long").where("a <> b")
 
 
