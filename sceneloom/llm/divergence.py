@@ -15,8 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +34,8 @@ class Audit:
     terms at a time; ``top`` terms a group are returned."""
 
     documents: int = 3
-    prefix: int = 4
-    growth: int = 3
+    prefix: int = 12
+    growth: int = 4
     cells: int = 400_000
     entries: int = 6_000_000
     tile: int = 256
@@ -123,26 +123,38 @@ def count_cells(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
 
 
 def refine(cells: DataFrame, audit: Audit = Audit()) -> DataFrame:
-    """The cells whose term is in ``documents`` documents of its language or more, by ever longer prefixes.
+    """The cells that can still be of a term in ``documents`` documents of its language: all whose prefixes, up to the longest that is a part of any
+    term left, are in as many.
 
-    Cells that prove their term, and with it its prefixes, stay aside. A level ends all terms shorter than its prefix: their prefix is the term itself.
-    The last level has no longer ones.
+    Cells that prove their term, and with it its prefixes, stay aside. Terms shorter than a prefix are counted whole with it.
     """
     sure = F.size("seen") >= audit.documents
     proved, live, length = cells.where(sure), cells.where(~sure), audit.prefix
-    known = stored(proved.select("lang", "term").distinct(), "proved")
-    while True:
+    longest = live.agg(F.max(F.length("term"))).first()[0] or 0
+    while length <= longest:
         cut = F.substring("term", 1, length).alias("prefix")
         rows = live.select("lang", cut, F.explode("seen").alias("row")).distinct()
         enough = rows.groupBy("lang", "prefix").count().where(F.col("count") >= audit.documents).select("lang", "prefix")
-        enough = stored(enough.union(known.select("lang", cut)).distinct(), "prefixes")
+        enough = stored(enough.union(proved.select("lang", cut)).distinct(), "prefixes")
         before, live = live, stored(with_lookup(live.select("*", cut), enough, ["lang", "prefix"], "left_semi").drop("prefix"), "cells")
         release(before)
         release(enough)
-        longest = live.agg(F.max(F.length("term"))).first()[0]
-        if longest is None or longest < length:
-            return proved.unionByName(live)
+        longest = live.agg(F.max(F.length("term"))).first()[0] or 0
         length *= audit.growth
+    return proved.unionByName(live)
+
+
+def count_kept(cells: DataFrame, audit: Audit = Audit()) -> DataFrame:
+    """``lang, term, n, found``: each term in ``documents`` documents or more, with its count and the counts by source, from cells of tasks.
+
+    The last refinement, to whole terms: a document is in one cell of a term, so their rows add up. Cells are dealt by term once, and sums by source
+    and by language both follow from that.
+    """
+    dealt = cells.select("lang", "term", F.size("seen").alias("docs"), "counts").repartition("lang", "term")
+    each = dealt.select("lang", "term", "docs", F.posexplode("counts").alias("i", "c"))
+    by_source = each.groupBy("lang", "term", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("n"), F.sum(F.when(F.col("i") == 0, F.col("docs")).otherwise(0)).alias("docs"))
+    whole = by_source.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("found"))
+    return whole.where(F.col("docs") >= audit.documents).drop("docs")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -151,34 +163,41 @@ def share(count: Column, total: Column) -> Column:
     return F.call_function("div", some, total) * 10_000 + F.call_function("div", (some % total) * 10_000, total) + 1
 
 
-def _divergence(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+def share_of(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``share`` over arrays."""
+    some = (count + 1) * 100_000
+    return some // total * 10_000 + some % total * 10_000 // total + 1
 
 
 def _compare(audit: Audit):
     """Sums of (p - q)^2 div q over a block of terms, for all pairs of a source of tile ``ta`` with one of tile ``tb``."""
-
-    def run(key: tuple, terms: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-        lang, ta, tb = key[:3]
-        at = {no: i for i, no in enumerate(sources["no"])}
-        p = np.tile(sources["least"].to_numpy(np.int64), (len(terms), 1))
-        for i, found in enumerate(terms["found"]):
-            for x in found:
-                p[i, at[x["no"]]] = x["p"]
-        tile = (sources["no"] // audit.tile).to_numpy()
+    out = pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.int64())])
+
+    def run(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
+        lang, ta, tb = (x.as_py() for x in key[:3])
+        found = terms["found"].combine_chunks()
+        if not len(found) or not len(sources):
+            return out.empty_table()
+        flat = found.flatten()
+        seat = pc.index_in(flat.field("source"), value_set=sources["source"].combine_chunks()).to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(found).to_numpy()
+        here = ~np.isnan(seat)
+        n = np.zeros((len(found), len(sources)), dtype=np.int64)
+        n[row[here], seat[here].astype(np.int64)] = flat.field("n").to_numpy()[here]
+        p = share_of(n, sources["total"].to_numpy())
         nos = sources["no"].to_numpy()
-        out = []
-        for a in np.flatnonzero(tile == ta):
-            cols = np.flatnonzero(tile == tb)
+        parts = []
+        for a in np.flatnonzero(nos // audit.tile == ta):
+            cols = np.flatnonzero((nos // audit.tile == tb) & (nos != nos[a]))
             d = p[:, [a]] - p[:, cols]
-            sums = (d * d // p[:, cols]).sum(axis=0)
-            out.append(pd.DataFrame({"lang": lang, "a": nos[a], "b": nos[cols], "value": sums}))
-        return pd.concat(out)[lambda f: f["a"] != f["b"]] if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+            parts.append((np.full(len(cols), nos[a]), nos[cols], (d * d // p[:, cols]).sum(axis=0)))
+        a, b, value = (np.concatenate([x[i] for x in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+        return pa.table([pa.array([lang] * len(a), pa.string()), a, b, value], schema=out)
 
     return run
 
 
-def _pair_values(shares: DataFrame, groups: DataFrame, vocabulary: DataFrame, audit: Audit) -> DataFrame:
+def _pair_values(terms: DataFrame, groups: DataFrame, vocabulary: DataFrame, audit: Audit) -> DataFrame:
     """``lang, a, b, value`` for all sources of a language by number; a kept term without occurrences counts with its least share.
 
     A block of terms meets the sources of two tiles in one task, so neither the terms nor the sources of a language are ever held whole.
@@ -186,17 +205,14 @@ def _pair_values(shares: DataFrame, groups: DataFrame, vocabulary: DataFrame, au
     tiles = groups.groupBy("lang").agg(F.max(F.floor(F.col("no") / audit.tile)).cast("int").alias("last"))
     salts = vocabulary.select("lang", F.ceil(F.col("v") / F.lit(float(audit.block))).cast("int").alias("salts"))
     plan = stored(tiles.join(salts, "lang"), "tiles")
-    found = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("no", "p")).alias("found"))
-    rows = with_lookup(found, plan, ["lang"]).withColumn("salt", F.pmod(F.xxhash64("term"), F.col("salts")).cast("int"))
-    rows = rows.withColumn("ta", F.explode(F.sequence(F.lit(0), "last"))).withColumn("tb", F.explode(F.sequence(F.lit(0), "last")))
-    tile_of = lambda x: F.floor(x["no"] / audit.tile)
-    rows = rows.select("lang", "ta", "tb", "salt", F.filter("found", lambda x: (tile_of(x) == F.col("ta")) | (tile_of(x) == F.col("tb"))).alias("found"))
+    rows = with_lookup(terms.select("lang", "term", "found"), plan, ["lang"]).withColumn("salt", F.pmod(F.xxhash64("term"), F.col("salts")).cast("int"))
+    rows = rows.withColumn("ta", F.explode(F.sequence(F.lit(0), "last"))).withColumn("tb", F.explode(F.sequence(F.lit(0), "last"))).select("lang", "ta", "tb", "salt", "found")
     own = F.floor(F.col("no") / audit.tile).cast("int")
-    seats = with_lookup(groups.select("lang", "no", "least"), plan, ["lang"]).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    seats = with_lookup(groups.select("lang", "source", "no", "total"), plan, ["lang"]).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     first, second = seats.select("*", own.alias("ta"), F.col("other").alias("tb")), seats.select("*", F.col("other").alias("ta"), own.alias("tb")).where("ta <> tb")
-    seats = first.unionByName(second).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("lang", "ta", "tb", "salt", "no", "least")
+    seats = first.unionByName(second).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("lang", "ta", "tb", "salt", "source", "no", "total")
     keys = ["lang", "ta", "tb", "salt"]
-    sums = rows.groupBy(*keys).cogroup(seats.groupBy(*keys)).applyInPandas(_compare(audit), "lang string, a long, b long, value long")
+    sums = rows.groupBy(*keys).cogroup(seats.groupBy(*keys)).applyInArrow(_compare(audit), "lang string, a long, b long, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
@@ -208,30 +224,23 @@ def source_divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     own; a group without terms has its pairs; a language without kept terms has pairs of value 0; an empty table gives an empty
     result. Other columns are not read.
     """
-    spark = docs.sparkSession
     cells = stored(count_cells(docs, audit), "cells")
-    kept = refine(cells, audit)
-    each = kept.select("lang", "term", F.explode("counts").alias("c")).select("lang", "c.source", "term", "c.n")
-    counts = stored(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
-    every = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "terms")
-    vocabulary = stored(every.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total")), "vocabulary")
+    terms = stored(count_kept(refine(cells, audit), audit), "terms")
+    vocabulary = stored(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("whole")), "vocabulary")
+    each = terms.select("lang", "term", "n", F.explode("found").alias("c")).select("lang", "c.source", "term", F.col("c.n").alias("own"), "n")
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    groups = docs.select(*text).distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
-    groups = groups.join(vocabulary.select("lang", "v"), "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"))
+    groups = docs.select(*text).distinct().join(each.groupBy("lang", "source").agg(F.sum("own").alias("own")), ["lang", "source"], "left").join(vocabulary, "lang", "left")
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1
-    least = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("n") + F.col("v")))
-    groups = stored(groups.select("lang", "source", "n", "v", number.alias("no"), least.alias("least")), "groups")
-
-    shares = with_lookup(counts, groups.select("lang", "source", F.col("n").alias("total"), "v", "no"), ["lang", "source"])
-    shares = shares.select("lang", "source", "no", "term", share(F.col("n"), F.col("total") + F.col("v")).alias("p"))
-    whole = with_lookup(every, vocabulary, ["lang"]).select("lang", "term", share(F.col("n"), F.col("total") + F.col("v")).alias("q"))
+    total = F.coalesce("own", F.lit(0)) + F.col("v")
+    groups = stored(groups.select("lang", "source", "v", number.alias("no"), total.alias("total"), (F.col("whole") + F.col("v")).alias("whole")), "groups")
 
-    values = _pair_values(shares, groups.where("v > 0"), vocabulary, audit)
+    values = _pair_values(terms, groups.where("v > 0"), vocabulary, audit)
     a, b = groups.select("lang", F.col("no").alias("a"), "source"), groups.select("lang", F.col("no").alias("b"), F.col("source").alias("item"))
     pairs = b.join(a, "lang").where("a <> b").join(values, ["lang", "a", "b"], "left")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
-    terms = shares.join(whole, ["lang", "term"]).where("p > q")
-    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.decode("term", "UTF-8").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
-    ranked = [x.withColumn("rank", F.row_number().over(by_value)) for x in (pairs, terms)]
+    shares = with_lookup(each, groups, ["lang", "source"]).select("lang", "source", "term", share(F.col("own"), F.col("total")).alias("p"), share(F.col("n"), F.col("whole")).alias("q")).where("p > q")
+    value = F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
+    items = shares.select("lang", "source", F.lit("term").alias("part"), F.decode("term", "UTF-8").alias("item"), value.alias("value"))
+    ranked = [x.withColumn("rank", F.row_number().over(by_value)) for x in (pairs, items)]
     return ranked[0].unionByName(ranked[1].where(F.col("rank") <= audit.top))
