@@ -438,3 +438,22 @@ def choice_audit(chosen: DataFrame, truths: DataFrame, keys: list[str]) -> DataF
     far = F.aggregate(F.zip_with("ratios", "true_ratios", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 3
     per = j.groupBy(*keys, "asset_id").agg(F.bool_or(F.col("asset_id") == F.col("true_id")).alias("exact"), F.bool_or(F.col("kit") == F.col("true_kit")).alias("kit"), F.min(far).alias("far"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("exact").cast("double")).alias("exact"), F.avg(F.col("kit").cast("double")).alias("same_kit"), F.avg("far").alias("shape_distance"))
+
+
+def name_words(text: Column) -> Column:
+    """Distinct lower-case words of letters and digits; nothing is stopped or split further."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+
+
+def name_arms(objects: DataFrame, ranked: DataFrame, assets: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
+    """How often an object's true class shares a word with its detector's phrase, with its nearest asset, and with any of its best ``top``.
+
+    ``objects(keys, truth, phrase)``, ``ranked(keys, asset_id, rank)``, ``assets(asset_id, name, kit)``. One row: ``n, phrase, nearest, top``
+    (shares; null without objects). An object without known assets counts as missed.
+    """
+    hits = ranked.where(F.col("rank") <= top).join(assets.select("asset_id", F.array_union(name_words(F.col("name")), name_words(F.col("kit"))).alias("__words")), "asset_id")
+    j = objects.select(*keys, name_words(F.col("truth")).alias("__truth"), name_words(F.col("phrase")).alias("__phrase")).join(hits, keys, "left")
+    same = lambda c: F.coalesce(F.arrays_overlap("__truth", c), F.lit(False))
+    per = j.groupBy(*keys).agg(F.bool_or(same("__phrase")).alias("phrase"), F.bool_or(same("__words") & (F.col("rank") == 1)).alias("nearest"), F.bool_or(same("__words")).alias("top"))
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c)
+    return per.agg(F.count(F.lit(1)).alias("n"), share("phrase"), share("nearest"), share("top"))

@@ -311,3 +311,31 @@ def visibility_findings(frames: DataFrame, pixels: DataFrame, expected: DataFram
     off = finding(expected.join(seen, "clip", "left").where("coalesce(recorded, 0) <> frames"), "render", "error", "frame_count", F.lit("/frames"))
     shown = pixels.where(F.col("px") >= visible_px).groupBy("clip", "id").agg(F.countDistinct("frame").alias("shown")).join(seen, "clip").where("shown < recorded")
     return off.unionAll(finding(shown, "render", "warning", "temporarily_visible", F.col("id")))
+
+
+def first_box_comparison(boxes: DataFrame, nodes: DataFrame, tolerance: float = 0.000500001) -> DataFrame:
+    """Whether each object's node still is where the object was first seen: ``clip, object_id, center, size, quat, status``.
+
+    ``boxes(clip, object_id, t, px.., ex.., qx..)``: observed boxes, the earliest counts (without a time last, then by place); ``nodes(clip, node_id,
+    px.., ex.., qx..)``. A field is null unless exactly one node has the object's id and both sides are finite numbers; opposite quaternions are one
+    rotation. A changed field makes the object ``changed``, else a null one ``unavailable``.
+    """
+    fields = {"center": ("px", "py", "pz"), "size": ("ex", "ey", "ez"), "quat": ("qx", "qy", "qz", "qw")}
+    numbers = [c for names in fields.values() for c in names]
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))
+    first = boxes.groupBy("clip", "object_id").agg(F.min(F.struct(F.col("t").isNull().alias("late"), "t", *numbers)).alias("b"))
+    own = nodes.groupBy("clip", F.col("node_id").alias("object_id")).agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct(*[finite(c).alias(c) for c in numbers])).alias("n"))
+    j = first.select("clip", "object_id", "b.*").select("clip", "object_id", F.struct(*[finite(c).alias(c) for c in numbers]).alias("b")).join(own, ["clip", "object_id"], "left")
+    out = {}
+    for field, names in fields.items():
+        all_there = F.col("nodes") == 1
+        for c in names:
+            all_there = all_there & F.col(f"n.{c}").isNotNull() & F.col(f"b.{c}").isNotNull()
+        error = F.greatest(*[F.abs(F.col(f"n.{c}") - F.col(f"b.{c}")) for c in names])
+        if field == "quat":
+            error = F.least(error, F.greatest(*[F.abs(F.col(f"n.{c}") + F.col(f"b.{c}")) for c in names]))
+        out[field] = F.when(all_there, error <= tolerance)
+    j = j.select("clip", "object_id", *[c.alias(f) for f, c in out.items()])
+    changed = ~(F.coalesce("center", F.lit(True)) & F.coalesce("size", F.lit(True)) & F.coalesce("quat", F.lit(True)))
+    lacking = F.col("center").isNull() | F.col("size").isNull() | F.col("quat").isNull()
+    return j.withColumn("status", F.when(changed, "changed").when(lacking, "unavailable").otherwise("matches_first_obb"))
