@@ -54,7 +54,7 @@ def _seed(*parts: str) -> str:
 
 
 _FAMILIES = "[" + ", ".join(f"'{f}'" for f in N.FAMILIES) + "]"
-SPECS = f"""base AS (SELECT o_orderkey AS number, 'test_' || lpad(o_orderkey::VARCHAR, 6, '0') AS clip, {_FAMILIES}[(o_orderkey % 5 + 1)::INT] AS family, {_seed("'test'", "o_orderkey", "'behavior'")} AS behavior_seed, {_seed("'test'", "o_orderkey", "'style'")} AS style_seed, {_seed("'test'", "o_orderkey", "'camera'")} AS camera_seed, 'base' AS kind FROM orders),
+SPECS = f"""base AS (SELECT o_orderkey AS number, 'test_' || printf('%06d', o_orderkey) AS clip, {_FAMILIES}[(o_orderkey % 5 + 1)::INT] AS family, {_seed("'test'", "o_orderkey", "'behavior'")} AS behavior_seed, {_seed("'test'", "o_orderkey", "'style'")} AS style_seed, {_seed("'test'", "o_orderkey", "'camera'")} AS camera_seed, 'base' AS kind FROM orders),
 specs AS (SELECT * FROM base UNION ALL SELECT * REPLACE (clip || '_s' AS clip, 'style' AS kind, {_seed("'test'", "number", "'style'", "'1'")} AS style_seed) FROM base WHERE number < 500
   UNION ALL SELECT * REPLACE (clip || '_b' AS clip, 'behavior' AS kind, {_seed("'test'", "number", "'behavior'", "'1'")} AS behavior_seed) FROM base WHERE number < 500)"""
 
@@ -73,6 +73,51 @@ def n2_generate_scenes(spark, d):
     return N.generate_scenes(_specs(spark, d))
 
 
+def _stage(axis: str, other: tuple[float, float], corridor: tuple[float, float]) -> str:
+    u = _u("camera_seed::VARCHAR", "'stage'", f"'{axis}'")
+    at = lambda lo, hi: f"round({lo}::DOUBLE + {hi - lo}::DOUBLE * {u}, 2)"
+    return f"CASE family WHEN 'corridor' THEN {at(*corridor)} WHEN 'track' THEN {at(16.0, 26.0)} ELSE {at(*other)} END"
+
+
+def _in(lo: str, hi: str, *key: str) -> str:
+    return f"round({lo} + ({hi} - {lo}) * {_u('behavior_seed::VARCHAR', chr(39) + 'layout' + chr(39), *key)}, 2)"
+
+
+def _some(least: int, most: int) -> str:
+    return f"{least} + floor({_u('behavior_seed::VARCHAR', chr(39) + 'layout' + chr(39), chr(39) + 'count' + chr(39))} * {most - least + 1})::INT"
+
+
+def _d(x: float) -> str:
+    return f"{x}::DOUBLE"
+
+
+def _nth(k: str, lo: str, hi: str) -> str:
+    return _in(lo, hi, f"'{k}'", "i::VARCHAR")
+
+
+LAYOUTS = f"""{SPECS}, stage AS (SELECT *, CASE family WHEN 'room' THEN {_in(_d(2.6), _d(4.2), "'height'")} ELSE {_in(_d(2.4), _d(3.6), "'height'")} END AS h,
+  CASE family WHEN 'platform' THEN {_some(2, 4)} WHEN 'track' THEN {_some(6, 10)} WHEN 'yard' THEN {_some(1, 3)} ELSE 0 END AS count
+  FROM (SELECT *, {_stage('width', (10.0, 22.0), (4.0, 7.0))} AS w, {_stage('depth', (10.0, 22.0), (18.0, 30.0))} AS d FROM specs)),
+nth AS (SELECT *, unnest(range(1, count + 1)) AS i FROM stage),
+layouts AS (SELECT clip, family, 'ground' AS node_id, 'ground' AS class, 0::DOUBLE AS px, -0.2::DOUBLE AS py, 0::DOUBLE AS pz, w AS ex, 0.4::DOUBLE AS ey, d AS ez FROM stage
+  UNION ALL SELECT clip, family, 'wall_' || s[1], 'wall', CASE s[1] WHEN 'w' THEN -w / 2 WHEN 'e' THEN w / 2 ELSE 0 END, h / 2, CASE s[1] WHEN 'n' THEN -d / 2 WHEN 's' THEN d / 2 ELSE 0 END,
+    CASE WHEN s[1] IN ('n', 's') THEN w ELSE 0.3::DOUBLE END, h, CASE WHEN s[1] IN ('n', 's') THEN 0.3::DOUBLE ELSE d END FROM (SELECT *, unnest(CASE family WHEN 'room' THEN ['n', 's', 'w', 'e'] ELSE ['w', 'e'] END) AS s FROM stage WHERE family IN ('room', 'corridor'))
+  UNION ALL SELECT clip, family, 'platform_' || i, 'platform', {_nth('px', '-w / 3', 'w / 3')}, {_nth('py', _d(0.8), _d(3.0))}, {_nth('pz', '-d / 3', 'd / 3')}, {_nth('ex', _d(2.0), _d(4.5))}, {_nth('ey', _d(0.3), _d(0.6))}, {_nth('ez', _d(2.0), _d(4.5))} FROM nth WHERE family = 'platform'
+  UNION ALL SELECT clip, family, 'rail_' || i, 'rail', (least(w, d) / 2 - 1.5::DOUBLE) * cos(2 * pi() * (i - 1) / count), 0.125::DOUBLE, (least(w, d) / 2 - 1.5::DOUBLE) * sin(2 * pi() * (i - 1) / count), 1.6::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE FROM nth WHERE family = 'track'
+  UNION ALL SELECT clip, family, 'block_' || i, 'block', {_nth('px', '-w / 3', 'w / 3')}, {_nth('ey', _d(1.0), _d(2.6))} / 2, {_nth('pz', '-d / 3', 'd / 3')}, {_nth('ex', _d(1.5), _d(3.5))}, {_nth('ey', _d(1.0), _d(2.6))}, {_nth('ez', _d(1.5), _d(3.5))} FROM nth WHERE family = 'yard')"""
+
+
+@query(f"WITH {LAYOUTS} SELECT clip, family, node_id, class, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in ("px", "py", "pz", "ex", "ey", "ez")) + " FROM layouts")
+def n2_layouts(spark, d):
+    out = N.generate_layout(_specs(spark, d))
+    return out.select("clip", "family", "node_id", "class", *[r6(F.col(c)).alias(c) for c in ("px", "py", "pz", "ex", "ey", "ez")])
+
+
+@query(None)
+def n2_scenes_in_layouts(spark, d):
+    return N.generate_in_layout(_specs(spark, d))
+
+
 _PALETTE = "[" + ", ".join(f"'{p}'" for p in N.PALETTE) + "]"
 
 

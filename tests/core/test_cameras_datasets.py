@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from sceneloom.operators import cameras, likeness, retrieval, rules
+from sceneloom.operators import cameras, generation, likeness, retrieval, rules
 from sceneloom.sources import datasets, scenes
 
 FRAME = "clip string, t double, x double, y double, z double, lx double, ly double, lz double"
@@ -161,3 +161,39 @@ def test_dataset_is_written_whole_or_not_at_all(spark, tmp_path):
     datasets.write_documents(programs.where("clip = 'a_style'"), findings, path, "train", 9, overwrite=True, folders=True)
     assert datasets.read_summary(spark, path).first().written == 1 and (tmp_path / "out/train/programs/clip=a_style").is_dir()
     assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == ["train"]
+
+
+def test_layouts_keep_their_families_rules(spark):
+    specs = generation.expand_specs(spark.range(60).withColumnRenamed("id", "number"), "number", "t", 60)
+    own = {r.clip: r for r in specs.collect()}
+    layouts = {}
+    for r in generation.generate_layout(specs).collect():
+        layouts.setdefault(r.clip, {})[r.node_id] = r
+    assert set(layouts) == set(own)
+    counts = {"corridor": (2, 2), "platform": (2, 4), "room": (4, 4), "track": (6, 10), "yard": (1, 3)}
+    rails = set()
+    for clip, parts in layouts.items():
+        family, ground = own[clip].family, parts["ground"]
+        assert counts[family][0] <= len(parts) - 1 <= counts[family][1] and ground.py + ground.ey / 2 == 0
+        assert 4 <= ground.ex <= 7 and 18 <= ground.ez <= 30 if family == "corridor" else 10 <= ground.ex <= 26
+        for name, p in parts.items():
+            assert name == "ground" or p.py - p.ey / 2 >= -0.1 and abs(p.px) <= ground.ex / 2 and abs(p.pz) <= ground.ez / 2
+        if family == "track":
+            ring = sorted(math.atan2(p.pz, p.px) % (2 * math.pi) for n, p in parts.items() if n != "ground")
+            assert np.allclose(np.diff([*ring, ring[0] + 2 * math.pi]) % (2 * math.pi), 2 * math.pi / len(ring), atol=5e-3)
+            rails.add(len(ring))
+        base = f"t_{own[clip].number:06d}"
+        assert (ground.ex, ground.ez) == (layouts[base]["ground"].ex, layouts[base]["ground"].ez)  # behaviour does not move the stage
+        assert own[clip].kind == "behavior" or {n: tuple(p)[1:] for n, p in parts.items()} == {n: tuple(p)[1:] for n, p in layouts[base].items()}
+    assert len(rails) > 2
+    objects = generation.generate_in_layout(specs).collect()
+    assert len(objects) > 4 * len(own)
+    for r in objects:
+        parts, reach = layouts[r.clip], math.hypot(r.ex, r.ez) / 2
+        ground = parts["ground"]
+        assert abs(r.px) + max(reach, r.amp if r.motion in ("trajectory", "prismatic", "periodic_translate") else 0) <= ground.ex / 2 - min(1.5, 0.15 * ground.ex) + 2e-3
+        assert abs(r.pz) + reach <= ground.ez / 2 - min(1.5, 0.15 * ground.ez) + 2e-3
+        for p in parts.values():
+            assert p["class"] in ("ground", "wall") or math.hypot(p.px - r.px, p.pz - r.pz) >= reach + math.hypot(p.ex, p.ez) / 2 - 2e-3
+    again = generation.generate_in_layout(specs.where("number < 5").repartition(3)).collect()
+    assert set(map(tuple, again)) == {tuple(r) for r in objects if own[r.clip].number < 5}
