@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ from sceneloom.shared import release, stored, with_lookup
 HOT = 64
 #: Rounds in which crowded keys propose stars before all pairs of what is still apart are proposed.
 STARS = 2
-#: Sets of a key up to which pairs are joined; more are compared in blocks of about ``BLOCK``.
+#: Sets of a key up to which pairs are joined; more are compared in blocks of about ``BLOCK`` sets and ``WORDS`` words of their sketches or sets in all.
 FEW = 16
-BLOCK = 128
+BLOCK = 1024
+WORDS = 1 << 16
 #: Times that sets with too few shared keys are put aside.
 PRUNINGS = 2
 EPS = 1e-9
@@ -99,12 +101,55 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def folded_sketch(words: list[int], most: int) -> np.ndarray:
+def folded_sketch(words: np.ndarray, most: int) -> np.ndarray:
     """A parity sketch folded to at most ``most`` longs."""
-    out = np.array(words, dtype=np.int64)
-    while len(out) > most:
-        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
-    return out.view(np.uint64)
+    while len(words) > most:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def bits_apart(n_a: np.ndarray, held_a: np.ndarray, n_b: np.ndarray, held_b: np.ndarray) -> np.ndarray:
+    """Bits in which the parity sketches of one side differ from each of the other's, folded to the shortest of all; ``held`` has
+    a side's sketches one after the other, ``n`` their lengths."""
+    most = min(n_a.min(), n_b.min())
+    a, b = (np.array([folded_sketch(x, most) for x in np.split(held, np.cumsum(n)[:-1])]).view(np.uint64) for n, held in ((n_a, held_a), (n_b, held_b)))
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for w in range(most):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
+
+
+def shared_members(n_a: np.ndarray, held_a: np.ndarray, n_b: np.ndarray, held_b: np.ndarray) -> np.ndarray:
+    """How many members each set of one side shares with each of the other; ``held`` has a side's sets one after the other, ``n`` their sizes."""
+    both = np.intersect1d(held_a, held_b)
+
+    def bits(n: np.ndarray, held: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(n), -(-max(len(both), 1) // 64) * 64), dtype=bool)
+        met = np.isin(held, both)
+        out[np.repeat(np.arange(len(n)), n)[met], np.searchsorted(both, held[met])] = True
+        return np.packbits(out, axis=1).view(np.uint64)
+
+    a, b = bits(n_a, held_a), bits(n_b, held_b)
+    out = np.zeros((len(n_a), len(n_b)), dtype=np.int64)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] & b[None, :, w])
+    return out
+
+
+def forest(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(i, j)`` in the matrix ``linked`` of links that connect all ids it connects, without those between ids that others connect already."""
+    ids, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    at_a, at_b, part = at[: len(ids_a)], at[len(ids_a) :], np.arange(len(ids))
+    rows, columns = [], []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        j = np.flatnonzero(linked[i])
+        parts, first = np.unique(part[at_b[j]], return_index=True)
+        new = parts != part[at_a[i]]
+        if new.any():
+            part[np.isin(part, parts[new])] = part[at_a[i]]
+            rows += [i] * int(new.sum())
+            columns += j[first[new]].tolist()
+    return np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
 
 
 def _sets(similarity: float, shingle: int):
@@ -168,6 +213,17 @@ def _bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(fit(a, b), fit(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """The stored ``row, set`` of the ``rows`` that are asked for, made again from their documents."""
+    asked = stored(rows.select("row").distinct().join(nodes.select("row", "doc_id", "text_sha256"), "row"), "asked")
+    on = ["doc_id", "text_sha256"]
+    texts = with_lookup(_base(docs, id_col, text_col), stored(asked.select(*on).distinct(), "asked-texts"), on, "left_semi")
+    made = texts.mapInArrow(_hashes(shingle), "doc_id long, text_sha256 string, set array<long>")
+    made = stored(with_lookup(made, asked, on, "inner").dropDuplicates(["row"]).select("row", "set"), "sets-asked")
+    release(asked)
+    return made
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The stored ``pairs(a, b)`` of rows whose sets are similar enough. Pairs whose parity sketches
     differ too much are put aside first; sets are made again for the documents of the others only."""
@@ -180,18 +236,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     fits = stored(fits.where(_bits_apart("s_a", "s_b") <= apart).select("a", "b", "n_a", "n_b"), "pairs")
     if fits.isEmpty():
         return fits.select("a", "b")
-    asked = fits.select(F.col("a").alias("row")).union(fits.select(F.col("b").alias("row"))).distinct()
-    asked = stored(asked.join(nodes.select("row", "doc_id", "text_sha256"), "row"), "asked")
-    on = ["doc_id", "text_sha256"]
-    texts = with_lookup(_base(docs, id_col, text_col), stored(asked.select(*on).distinct(), "asked-texts"), on, "left_semi")
-    made = texts.mapInArrow(_hashes(shingle), "doc_id long, text_sha256 string, set array<long>")
-    made = stored(with_lookup(made, asked, on, "inner").dropDuplicates(["row"]).select("row", "set"), "sets-of-pairs")
+    made = _sets_of(docs, nodes, fits.select(F.col("a").alias("row")).union(fits.select(F.col("b").alias("row"))), shingle, id_col, text_col)
     both = fits
     for c in "ab":
         both = both.join(made.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}")), c)
     shared = F.size(F.array_intersect("set_a", "set_b"))
     out = stored(both.where(shared >= part * (F.col("n_a") + F.col("n_b")) - EPS).select("a", "b"), "verified")
-    for done in (fits, asked, made):
+    for done in (fits, made):
         release(done)
     return out
 
@@ -228,35 +279,63 @@ def _live(first: DataFrame) -> DataFrame:
     return kept
 
 
-def _in_blocks(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of different labels that sizes and parity sketches let through, among the sets of each crowded key.
+def _block_pairs(held: DataFrame, linked: Callable[..., np.ndarray], ids: str, name: str) -> DataFrame:
+    """Stored links ``(a, b)`` of rows among ``held(key, row, label, n, words)``: those of different labels that ``linked`` finds under a key.
 
-    Sets are dealt to blocks of about ``BLOCK``; each two blocks of a key are compared as matrices, and only what passes leaves the task, so
-    rows grow with blocks and with what is similar, not with all pairs.
+    Rows are dealt to blocks, and each two blocks of a key are compared as matrices. Of the links of two blocks only such leave the task as
+    connect ``ids`` that the others leave apart: fewer than the blocks have rows.
     """
-    part = (1 - similarity) / (1 + similarity)
-    member = F.struct("row", "label", "n_set", "sketch")
-    held = rest.join(nodes.select("row", F.col("n").alias("n_set"), "sketch"), "row").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK)))
-    blocks = stored(held.groupBy("key", "block").agg(F.collect_list(member).alias("sets")), "blocks")
+    wide = held.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("words")) / WORDS), F.lit(1)).alias("blocks"))
+    dealt = held.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    blocks = stored(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("row", "label", "n", "words")).alias("sets")), "blocks")
     other = blocks.select("key", F.col("block").alias("o_block"), F.col("sets").alias("o_sets"))
 
-    def one(sets: list[dict], words: int) -> tuple[np.ndarray, ...]:
-        rows, labels, n = (np.array([s[c] for s in sets], dtype=np.int64) for c in ("row", "label", "n_set"))
-        return rows, labels, n, np.array([folded_sketch(s["sketch"], words) for s in sets]).reshape(len(sets), words)
+    def one(sets: pa.ListScalar) -> dict[str, np.ndarray]:
+        *plain, words = sets.values.flatten()
+        columns = {"row": plain[0], "label": plain[1], "n": plain[2], "lengths": pc.list_value_length(words), "words": words.flatten()}
+        return {k: v.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for k, v in columns.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = min(len(s["sketch"]) for s in [*left, *right])
-                (ra, la, na, sa), (rb, lb, nb, sb) = one(left, words), one(right, words)
-                apart = sum(np.bitwise_count(sa[:, None, w] ^ sb[None, :, w]).astype(np.int64) for w in range(words))
-                fit = (apart <= part * (na[:, None] + nb[None, :]) + EPS) & (la[:, None] != lb[None, :])
-                fit &= np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - EPS
-                i, j = np.nonzero(fit)
-                yield pa.RecordBatch.from_arrays([pa.array(ra[i]), pa.array(rb[j])], names=["a", "b"])
+            for left, right in zip(batch.column(0), batch.column(1)):
+                a, b = one(left), one(right)
+                i, j = forest(linked(a, b) & (a["label"][:, None] != b["label"][None, :]), a[ids], b[ids])
+                yield pa.RecordBatch.from_arrays([pa.array(a["row"][i]), pa.array(b["row"][j])], names=["a", "b"])
 
     met = blocks.join(other, "key").where("block <= o_block").select("sets", "o_sets")
-    return met.mapInArrow(run, "a long, b long").where("a <> b")
+    out = stored(met.mapInArrow(run, "a long, b long"), name)
+    release(blocks)
+    return out
+
+
+def _in_blocks(docs: DataFrame, nodes: DataFrame, rest: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets of different labels among those of each crowded key in ``rest(key, row, label)``.
+
+    Sizes and parity sketches first tell which sets of a key may be similar, and the components of these pairs make groups; similar sets are in one
+    group. Each set is then in one group only, whatever number of keys it has, and the sets of a group are compared member by member.
+    """
+    least, most = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+
+    def near(a: dict, b: dict) -> np.ndarray:
+        n, m = a["n"][:, None], b["n"][None, :]
+        sized = np.minimum(n, m) >= similarity * np.maximum(n, m) - EPS
+        return sized & (bits_apart(a["lengths"], a["words"], b["lengths"], b["words"]) <= most * (n + m) + EPS)
+
+    def alike(a: dict, b: dict) -> np.ndarray:
+        return shared_members(a["lengths"], a["words"], b["lengths"], b["words"]) >= least * (a["n"][:, None] + b["n"][None, :]) - EPS
+
+    held = rest.join(nodes.select("row", "n", F.col("sketch").alias("words")), "row")
+    maybe = _block_pairs(held, near, "row", "near-in-blocks")
+    if maybe.isEmpty():
+        return maybe
+    groups = stored(connected_components(maybe), "groups")
+    release(maybe)
+    made = _sets_of(docs, nodes, groups.select(F.col("node").alias("row")), shingle, id_col, text_col)
+    held = groups.select(F.col("component").alias("key"), F.col("node").alias("row")).join(rest.select("row", "label").distinct(), "row").join(made, "row")
+    out = _block_pairs(held.select("key", "row", "label", F.size("set").alias("n"), F.col("set").alias("words")), alike, "label", "links-in-blocks")
+    for done in (groups, made):
+        release(done)
+    return out
 
 
 def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -264,12 +343,12 @@ def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFr
     come from ``shingled``.
 
     Keys propose a star to one of their sets, twice; only where the sets of a key are still apart all pairs of sets
-    in different components are looked at, in blocks where there are many. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
+    in different components are looked at, in blocks that give links only where there are many. So a group of near copies costs a few pairs for each copy, and no link is lost. A set that
     has keys enough without its crowded ones is not looked up by these: whatever is similar to it shares another key.
     """
     live = _live(keys)
     release(keys)
-    edges = labels = None
+    edges = labels = met = None
     for turn in range(STARS + 1):
         if labels is None:
             marked = live.withColumn("label", F.col("row"))
@@ -289,10 +368,12 @@ def similar(docs: DataFrame, nodes: DataFrame, keys: DataFrame, proposed: DataFr
             few = rest.where(F.col("n") <= FEW)
             other = few.select("key", F.col("row").alias("b"), F.col("label").alias("b_label"))
             pairs = few.join(other, "key").where("label < b_label").select(F.col("row").alias("a"), "b")
-            pairs = pairs.union(_in_blocks(rest.where(F.col("n") > FEW), nodes, similarity))
+            met = _in_blocks(docs, nodes, rest.where(F.col("n") > FEW).select("key", "row", "label"), similarity, shingle, id_col, text_col)
         if labels is None:
             pairs = pairs.union(proposed)
         found = verified(docs, nodes, pairs, similarity, shingle, id_col, text_col)
+        if met is not None:
+            found = stored(found.union(met), "found")
         edges = found if edges is None else stored(edges.union(found), "edges")
         if labels is None or not found.isEmpty():
             labels = stored(connected_components(edges), "labels")

@@ -142,6 +142,48 @@ def test_near_copies_match_all_pairs(spark, monkeypatch, hot, stars, block):
     assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == want
 
 
+def test_crowded_keys_give_links_only(spark, monkeypatch):
+    """Copies of one text, each with three words of its own: all pairs lie just below 0.8, where parity sketches let many through."""
+    monkeypatch.setattr(near_sets, "FEW", 4)
+    inner, made = near_sets._in_blocks, []
+
+    def counted(*args):
+        out = inner(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_sets, "_in_blocks", counted)
+    table = []
+    for i in range(17):
+        text = [f"w{k}" for k in range(264)]
+        for slot in (3 * i, 3 * i + 1, 3 * i + 2):
+            text[5 * slot + 4] = f"own{slot}"
+        table.append((i, " ".join(text)))
+    kept = simhash.keep_one(docs(spark, table), simhash.near_copies(docs(spark, table)))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == table == sorted(plain_near(table))
+    assert made == [0]
+
+
+def test_links_of_blocks_connect_what_all_links_connect(spark):
+    """Two groups of close copies under one key, and sets of their own: fewer links than sets, and no label left apart."""
+    rnd = np.random.default_rng(4)
+    sets = []
+    for _ in range(2):
+        base = rnd.integers(0, 1 << 62, size=90)
+        sets += [np.unique(np.concatenate([base[: 90 - k % 3], rnd.integers(0, 1 << 62, size=k % 4)])) for k in range(30)]
+    sets += [rnd.integers(0, 1 << 62, size=90) for _ in range(5)] + [np.empty(0, dtype=np.int64)]
+    n, held = np.array([len(s) for s in sets]), np.concatenate(sets)
+    shared = near_sets.shared_members(n, held, n, held)
+    assert (shared == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+    linked = (shared >= 0.8 / 1.8 * (n[:, None] + n[None, :])) & (n > 0) & ~np.eye(len(n), dtype=bool)
+    i, j = near_sets.forest(linked, np.arange(len(n)), np.arange(len(n)))
+    assert linked.sum() > 1700 and len(i) == 2 * 29 and linked[i, j].all()
+    label = list(range(len(sets)))
+    for a, b in zip(i.tolist(), j.tolist()):
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert label == [0] * 30 + [30] * 30 + list(range(60, 66))
+
+
 def test_similar_sets_share_a_key_that_neither_can_spare():
     rnd = np.random.default_rng(3)
     for n in [1, 2, 3, 4, 5, 7, 9, 10, 30, 101, 400, 999]:
