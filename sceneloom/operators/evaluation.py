@@ -100,7 +100,8 @@ def identity_entropy(candidates: DataFrame, keys: list[str], hypothesis: str, co
     """Largest normalised entropy over an object's hypotheses, of those with two or more known confidences."""
     by = Window.partitionBy(*keys, hypothesis)
     p = candidates.withColumn("__s", F.sum(confidence).over(by)).withColumn("__n", F.count(F.lit(1)).over(by)).withColumn("__k", F.count(confidence).over(by))
-    p = p.withColumn("__p", F.col(confidence) / F.col("__s"))
+    # Confidences that add up to nothing have no shares; such a hypothesis is not usable below.
+    p = p.withColumn("__p", F.col(confidence) / F.when(F.col("__s") != 0, F.col("__s")))
     e = p.groupBy(*keys, hypothesis, "__n", "__k", "__s").agg((-F.sum(F.when(F.col("__p") > 0, F.col("__p") * F.ln("__p")))).alias("__e"))
     usable = (F.col("__k") == F.col("__n")) & (F.col("__n") >= 2) & (F.col("__s") > 0)
     return e.groupBy(*keys).agg(F.max(F.when(usable, F.col("__e") / F.ln(F.col("__n").cast("double")))).alias("entropy"), F.bool_or(~usable).alias("has_unknown"))

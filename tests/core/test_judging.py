@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.operators import edits as X
 from sceneloom.operators import quality_rules as Q
+from sceneloom.operators.evaluation import identity_entropy
 from sceneloom.operators.rules import flatten_json
 
 OBJECT = "clip long, object_id string, " + ", ".join(f"{m} double" for m in [r[2] for r in Q.RULES if r[1] == "object"]) + ", has_hypotheses boolean"
@@ -26,6 +27,12 @@ def assess(spark, objects, cameras=None, clips=None, configs=None, structure=())
     return [(r.config, r.clip, r.code) for r in said.collect()], {(r.config, r.clip): r.decision for r in decided.collect()}
 
 
+def test_hypotheses_of_no_confidence_have_no_entropy(spark):
+    rows = [(1, "a", 0.0), (2, "a", 0.0), (2, "a", 0.0), (2, "b", 1.0), (2, "b", 1.0), (3, "a", None), (3, "a", 0.0)]
+    out = identity_entropy(spark.createDataFrame(rows, "clip long, h string, p double"), ["clip"], "h", "p").orderBy("clip").collect()
+    assert [(r.entropy, r.has_unknown) for r in out] == [(None, True), (1.0, True), (None, True)]
+
+
 def test_every_rule_fires_on_its_side_of_the_bound_only(spark):
     cases, want = [], {}
     for i, (key, scope, metric, side, code) in enumerate(r for r in Q.RULES if r[1] == "object"):
