@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sceneloom.operators import cameras, generation, likeness, retrieval, rules
@@ -96,6 +97,28 @@ def test_cross_median_is_that_of_all_pairs(spark, block):
     assert likeness.cross_median(table(spark, [], schema), table(spark, rows(b), schema), block).count() == 0
 
 
+def test_cross_median_over_tiles_and_strips(spark):
+    rnd = np.random.default_rng(6)
+    a, b = rnd.normal(size=(61, 5)), rnd.normal(size=(47, 5))
+    t = lambda m: table(spark, [(1, i, [float(x) for x in v]) for i, v in enumerate(m)], "clip long, place long, vec array<double>")
+    (r,) = likeness.cross_median(t(a), t(b), 3, tile=8).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert r.pairs == 61 * 47 and math.isclose(r.median, np.median(unit(a) @ unit(b).T), abs_tol=1e-12)
+
+
+def test_a_task_of_likeness_holds_one_tile():
+    def batches():
+        for clip in range(50):
+            rows = [{"clip": clip, "a_tile": 0, "b_tile": 0, "side": k, "vec": [1.0, 0.0]} for k in (0, 0, 1)]
+            yield pa.RecordBatch.from_pylist(rows)
+            seen.append(clip)
+
+    seen = []
+    for k, (head, a, b) in enumerate(likeness._tiles(batches())):
+        assert head["clip"] == k and a.shape == (2, 2) and b.shape == (1, 2) and len(seen) <= k + 1
+    assert k == 49
+
+
 def test_likeness_lies_between_its_yardsticks(spark):
     e = lambda *v: [float(x) for x in v]
     frames = table(spark, [("a", 0, e(1, 0), e(1, 1)), ("a", 1, e(1, 0.1), None), ("n", 0, e(1, 0), None)], "clip string, place long, vec array<double>, render array<double>")
