@@ -1,10 +1,11 @@
 """Time series: edges that the registered queries do not reach."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sceneloom.operators import geometry as G
-from sceneloom.operators import motion_fit, series
+from sceneloom.operators import grouped, motion_fit, series
 from sceneloom.operators.evaluation import paired_tests, perturb, pool_report
 from sceneloom.components import connected_components
 
@@ -16,6 +17,25 @@ def test_resampling_never_leaves_the_support(spark):
     assert got == {(1, -0.1): None, (1, 0.0): 0.0, (1, 0.5): 1.0, (1, 2.0): 4.0, (1, 2.1): None, (2, 0.0): None}
 
 
+def test_groups_become_objects_one_at_a_time(spark):
+    class Arrays(list):
+        def __getitem__(self, i):
+            made.append(i)
+            return super().__getitem__(i)
+
+    made = []
+    batch = pa.RecordBatch.from_pylist([{"k": k, "rows": [{"x": k}] * 3} for k in (None, 1, 2)])
+    spy = type("Batch", (), {"num_rows": 3, "columns": [batch.column("k"), Arrays(batch.column("rows"))]})
+    for n, (key, rows) in enumerate(grouped._reader()([spy])):
+        assert made == list(range(n + 1)) and (key, rows) == (((None, 1, 2)[n],), [{"x": (None, 1, 2)[n]}] * 3)
+    (_, m), (_, late) = grouped._reader(True)([pa.RecordBatch.from_pylist([{"k": 1, "rows": [{"x": 1, "y": 0.5}, {"x": 2, "y": None}]}, {"k": 2, "rows": [{"x": 3, "y": 4.0}]}])])
+    assert m.tolist()[0] == [1.0, 0.5] and m[1, 0] == 2.0 and np.isnan(m[1, 1]) and late.tolist() == [[3.0, 4.0]]
+    rows = spark.createDataFrame([(k % 40, k // 40, float(-k)) for k in range(4000)], "k long, g long, x double").repartition(7)
+    out = grouped.map_groups(rows, ["g", "k"], ["x"], lambda key, group: [(*key, [r["x"] for r in group])] * 30, "a long, b long, xs array<double>").collect()
+    assert len(out) == 120_000 and len({(r.g, r.k) for r in out}) == 4000
+    assert all((r.g, r.k) == (r.a, r.b) and r.xs == [float(-r.g * 40 - r.k)] for r in out)
+
+
 def test_a_corrupted_tail_does_not_reach_the_fit(spark):
     rows = [(1, float(t), float(t)) for t in range(11)]
     bad = [(k, t, x * 100 if t > 8 else x) for k, t, x in rows]
