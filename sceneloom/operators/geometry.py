@@ -115,15 +115,22 @@ def hinge_pivot(axis: list[Column], angle: Column, moved: list[Column], anchor:
     return [x + u * along for x, u in zip(p, axis)]
 
 
+def _total(c: str) -> Column:
+    """The sum of a column's values as decimals of 15 places, which no order of the rows changes; a plain sum where a value has over 13 digits before the point."""
+    exact = F.expr(f"try_cast(`{c}` AS decimal(28, 15))")
+    return F.when(F.count(exact) == F.count(c), F.sum(exact).cast("double")).otherwise(F.sum(c))
+
+
 def infer_articulation(steps: DataFrame, keys: list[str]) -> DataFrame:
     """From per-step motions ``(keys, step_m, step_deg, axis_x.., travel_m, diag)``: static, hinge, slide or none.
 
     Static if the median step is at most 2 % of the diagonal and 1.5 degrees; a hinge if it turned 8 degrees about a steady
-    axis (0.85); a slide if it went 5 cm nearly straight (0.9).
+    axis (0.85); a slide if it went 5 cm nearly straight (0.9). Totals are added as decimals, so steps of exactly 8 degrees in all are a
+    hinge in whatever order they come.
     """
     unit = lambda c: F.col(c) / F.greatest(F.sqrt(F.expr("axis_x * axis_x + axis_y * axis_y + axis_z * axis_z")), F.lit(1e-12))
     m = steps.groupBy(*keys).agg(
-        median(F.col("step_m") / F.col("diag")).alias("rel"), median("step_deg").alias("deg"), F.sum("step_deg").alias("turned"), F.sum("step_m").alias("path"), F.max("travel_m").alias("travel"),
+        median(F.col("step_m") / F.col("diag")).alias("rel"), median("step_deg").alias("deg"), _total("step_deg").alias("turned"), _total("step_m").alias("path"), F.max("travel_m").alias("travel"),
         *[F.avg(unit(f"axis_{c}")).alias(f"a{c}") for c in "xyz"],
     )
     steady = F.sqrt(F.expr("ax * ax + ay * ay + az * az"))

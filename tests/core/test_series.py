@@ -1,5 +1,7 @@
 """Time series: edges that the registered queries do not reach."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -17,6 +19,15 @@ def test_resampling_never_leaves_the_support(spark):
     assert got == {(1, -0.1): None, (1, 0.0): 0.0, (1, 0.5): 1.0, (1, 2.0): 4.0, (1, 2.1): None, (2, 0.0): None}
 
 
+def test_steps_of_eight_degrees_in_all_are_a_hinge_in_any_order(spark):
+    steps = [k / 20 for k in (24, 26, 2, 16, 32, 31, 25, 4)]
+    orders = [steps[i:] + steps[:i] for i in range(8)]
+    assert {list(itertools.accumulate(o))[-1] for o in orders} == {8.0, 7.999999999999999}
+    rows = [(i, x, x, 0.0, 1.0, 0.0, 0.0, 1.0) for i, o in enumerate(orders) for x in o] + [(99, 1e30, 8.0, 0.0, 1.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, step_m double, step_deg double, axis_x double, axis_y double, axis_z double, travel_m double, diag double").coalesce(1)
+    assert {r.joint for r in G.infer_articulation(df, ["k"]).collect()} == {"hinge"}
+
+
 def test_groups_become_objects_one_at_a_time(spark):
     class Arrays(list):
         def __getitem__(self, i):
