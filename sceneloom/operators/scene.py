@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,42 +194,137 @@ def _near_pairs(nodes: DataFrame, reach: float) -> DataFrame:
     return met.where(gap <= reach * (F.col("diag") + F.col("o_diag")) / 2).select(F.col("id").alias("a"), "b")
 
 
-def fragment_chains(nodes: DataFrame, reach: float = 2.5, elongation: float = 3.0) -> DataFrame:
+def fragment_chains(nodes: DataFrame, reach: float = 2.5, elongation: float = 3.0, small: int = 64) -> DataFrame:
     """Groups of nodes linked by gaps of at most ``reach`` mean diagonals whose common box is elongated.
 
-    One row per group: clip, component (its least node), members, and the box. Clips and nodes may be of any type that has an order;
-    rows are numbered for the joins.
+    One row per group: clip, component (its least node), members, and the box. Clips and nodes may be of any type that has an order.
+    A clip of up to ``small`` nodes is grouped where its rows are, pair by pair; rows of larger clips pass in pieces of that size, are numbered
+    and meet in grids.
     """
-    d = nodes.select("clip", "node", "px", "py", "pz", "ex", "ey", "ez", F.sqrt(F.expr("ex * ex + ey * ey + ez * ez")).alias("diag"), F.monotonically_increasing_id().alias("id"))
-    d = stored(d, "numbered-nodes")
-    labels = connected_components(_near_pairs(d, reach))
-    rows = d.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__group")), "id")
-    box = rows.groupBy("clip", "__group").agg(
-        F.min("node").alias("component"), F.count(F.lit(1)).alias("members"),
-        *[(F.max(F.expr(f"p{a} + e{a} / 2")) - F.min(F.expr(f"p{a} - e{a} / 2"))).alias(f"b{a}") for a in "xyz"],
-    ).drop("__group")
+    box = ("px", "py", "pz", "ex", "ey", "ez")
+    own = Window.partitionBy("clip")
+    sized = nodes.select("clip", "node", *[F.col(c).cast("double").alias(c) for c in box], F.sqrt(F.expr("ex * ex + ey * ey + ez * ez")).alias("diag"), F.count(F.lit(1)).over(own).alias("__n"), F.row_number().over(own.orderBy("node", *box)).alias("__at"))
+    sized = sized.where("__n > 1").withColumn("__piece", F.when(F.col("clip").isNotNull() & (F.col("__n") <= small), F.lit(0)).otherwise(1 + F.floor((F.col("__at") - 1) / small).cast("int")))
+
+    def group(key, rows):
+        if key[1] > 0:
+            for r in rows:
+                yield r["node"], None, r["diag"], *(r[c] for c in box)
+            return
+        rows = [r for r in rows if r["diag"] is not None and None not in (r["px"], r["py"], r["pz"])]
+        head = list(range(len(rows)))
+
+        def top(i):
+            while head[i] != i:
+                head[i] = i = head[head[i]]
+            return i
+
+        for i, p in enumerate(rows):
+            for j in range(i):
+                q = rows[j]
+                x, y, z = (p[c] - q[c] for c in ("px", "py", "pz"))
+                if math.sqrt(x * x + y * y + z * z) <= reach * (p["diag"] + q["diag"]) / 2:
+                    one, two = sorted((top(i), top(j)))
+                    head[two] = one
+        found: dict[int, list[dict]] = {}
+        for i, p in enumerate(rows):
+            found.setdefault(top(i), []).append(p)
+        for members in found.values():
+            if len(members) > 1:
+                sides = [max(m[f"p{a}"] + m[f"e{a}"] / 2 for m in members) - min(m[f"p{a}"] - m[f"e{a}"] / 2 for m in members) for a in "xyz"]
+                yield min(m["node"] for m in members), len(members), None, *sides, None, None, None
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    out = stored(map_groups(sized, ["clip", "__piece"], ["node", *box, "diag"], group, f"node {kind}, members long, diag double, " + ", ".join(f"{c} double" for c in box)), "chains")
+    done = out.where("members IS NOT NULL").select("clip", F.col("node").alias("component"), "members", F.col("px").alias("bx"), F.col("py").alias("by"), F.col("pz").alias("bz"))
+    rest = out.where("members IS NULL")
+    if not rest.isEmpty():
+        d = stored(rest.select("clip", "node", *box, "diag", F.monotonically_increasing_id().alias("id")), "numbered-nodes")
+        labels = connected_components(_near_pairs(d, reach))
+        rows = d.join(labels.select(F.col("node").alias("id"), F.col("component").alias("__group")), "id")
+        done = done.unionByName(rows.groupBy("clip", "__group").agg(
+            F.min("node").alias("component"), F.count(F.lit(1)).alias("members"),
+            *[(F.max(F.expr(f"p{a} + e{a} / 2")) - F.min(F.expr(f"p{a} - e{a} / 2"))).alias(f"b{a}") for a in "xyz"],
+        ).drop("__group"))
     edges = F.reverse(F.array_sort(F.array("bx", "by", "bz")))
-    return box.where((F.col("members") >= 2) & (edges[0] >= elongation * edges[1]))
-
-
-def voxel_clusters(points: DataFrame, keys: list[str], link: float, least: int = 20) -> DataFrame:
+    return done.where((F.col("members") >= 2) & (edges[0] >= elongation * edges[1]))
+
+
+def _local_clusters(code: np.ndarray, width: int) -> np.ndarray:
+    """The least code of those that a cell of a cube reaches over neighbours; ``code`` = (x * width + y) * width + z, each once, in order."""
+    wide = width + 2  # a rim of empty cells
+    at = ((code // width**2 + 1) * wide + code // width % width + 1) * wide + code % width + 1
+    place = np.full(wide**3, -1, dtype=np.int32)
+    place[at] = np.arange(len(at))
+    pairs = []
+    for x, y, z in ((x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)):
+        other = place[at + (x * wide + y) * wide + z]
+        pairs.append(np.stack([np.flatnonzero(other >= 0), other[other >= 0]]))
+    a, b = np.concatenate(pairs, axis=1)
+    label = np.arange(len(at))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return code[label]
+
+
+def voxel_clusters(points: DataFrame, keys: list[str], link: float, least: int = 20, width: int = 32) -> DataFrame:
     """Clusters of points whose cells of size ``link`` touch (26 neighbours): keys, component, points, cells, centroid.
 
-    Only distinct cells are joined; points never meet in pairs. ``component`` is a number within the result; cells are numbered,
-    not hashed, so different cells never share one.
+    Points never meet in pairs. Cells are joined inside cubes of ``width`` cells to a side first; of a cube only its clusters and the cells on its
+    sides leave, and only clusters that touch across sides are joined. ``component`` is a number within the result; clusters are
+    numbered, not hashed, so different ones never share one.
     """
+    names = [f"__k{i}" for i in range(len(keys))]
+    cube = ["bx", "by", "bz"]
     cell = {c: F.floor(F.col(p) / link).cast("long") for c, p in (("cx", "x"), ("cy", "y"), ("cz", "z"))}
-    rows = points.withColumns(cell)
-    cells = rows.groupBy(*keys, "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"])
-    cells = stored(cells.withColumn("id", F.monotonically_increasing_id()), "cells")
-    other = cells.withColumn("__o", F.explode(_neighbours((0, 0, 0)))).select(
-        *keys, *[(F.col(f"c{c}") + F.col(f"__o.{c}")).alias(f"c{c}") for c in "xyz"], F.col("id").alias("b")
-    )
-    links = cells.join(other, [*keys, "cx", "cy", "cz"]).select(F.col("id").alias("a"), "b")
-    labels = connected_components(links)
-    named = cells.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    out = named.groupBy(*keys, "component").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("cells"), *[(F.sum(f"s{c}") / F.sum("n")).alias(c) for c in "xyz"])
-    return out.where(F.col("points") >= least)
+    rows = points.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "x", "y", "z", *[c.alias(n) for n, c in cell.items()])
+    inside = sum((F.pmod(F.col(f"c{c}"), F.lit(width)) * width**i for i, c in enumerate("zyx")), F.lit(0).cast("long"))
+    rows = rows.withColumns({f"b{c}": F.floor(F.col(f"c{c}") / width).cast("long") for c in "xyz"} | {"code": inside})
+    # A cell without a place has no neighbours; its parts of a place tell it from others.
+    parts = [F.when(F.col("code").isNull(), F.col(c)).alias(f"__{c}") for c in cell]
+    cells = rows.groupBy(*names, *cube, "code", *parts).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"])
+
+    def cluster(key, m):
+        code, sums = m[:, 0], m[:, 1:]
+        label = np.arange(len(m), dtype=np.int64)
+        placed = not np.isnan(code).any() and None not in key
+        if placed:
+            code = code.astype(np.int64)
+            label = np.searchsorted(code, _local_clusters(code, width))
+        at, which = np.unique(label, return_inverse=True)
+        total = [[None if np.isnan(x) else float(x) for x in np.bincount(which, s)] for s in sums.T]
+        for first, cells, n, *xyz in zip(at, np.bincount(which), *total):
+            yield int(code[first]) if placed else None, None, int(n), int(cells), *xyz
+        if placed:
+            for side in np.flatnonzero(np.any([(code // width**k % width == 0) | (code // width**k % width == width - 1) for k in range(3)], axis=0)):
+                yield int(code[label[side]]), int(code[side]), None, None, None, None, None
+
+    found = map_groups(cells, [*names, *cube], ["code", "n", "sx", "sy", "sz"], cluster, "label long, side long, n long, cells long, sx double, sy double, sz double", numbers=True)
+    found = stored(found.withColumn("id", F.monotonically_increasing_id()), "clusters")
+    sides, clusters = found.where("side IS NOT NULL"), found.where("side IS NULL").drop("side")
+    place = lambda c, i: (F.col(f"b{c}") * width + F.floor(F.col("side") / width**i) % width).alias(f"c{c}")
+    sides = sides.select(*names, *cube, "label", *[place(c, i) for i, c in enumerate("zyx")])
+    several = clusters.select(*names, *cube).distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("__cubes")).where("__cubes > 1").select(*names)
+    sides = stored(sides.join(several, names, "left_semi"), "sides")
+    labelled = clusters.withColumn("component", F.col("id"))
+    if not sides.isEmpty():
+        out = sides.withColumn("__o", F.explode(_neighbours((0, 0, 0)))).select(
+            *names, *[F.col(c).alias(f"o{c}") for c in cube], F.col("label").alias("o_label"), *[(F.col(f"c{c}") + F.col(f"__o.{c}")).alias(f"c{c}") for c in "xyz"])
+        met = sides.join(out, [*names, "cx", "cy", "cz"]).where("bx <> obx OR by <> oby OR bz <> obz")
+        met = met.select(*names, *cube, "label", *[f"o{c}" for c in cube], "o_label").distinct()
+        ids = clusters.where("label IS NOT NULL").select(*names, *cube, "label", "id")
+        links = met.join(ids.withColumnRenamed("id", "a"), [*names, *cube, "label"])
+        links = links.join(ids.select(*names, *[F.col(c).alias(f"o{c}") for c in cube], F.col("label").alias("o_label"), F.col("id").alias("b")), [*names, *[f"o{c}" for c in cube], "o_label"]).select("a", "b")
+        labels = connected_components(links).select(F.col("node").alias("id"), "component")
+        labelled = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    out = labelled.groupBy(*names, "component").agg(F.sum("n").alias("points"), F.sum("cells").alias("cells"), *[(F.sum(f"s{c}") / F.sum("n")).alias(c) for c in "xyz"])
+    return out.where(F.col("points") >= least).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "component", "points", "cells", "x", "y", "z")
 
 
 def size_outliers(sized: DataFrame, keys: list[str], size: str, ratio: float = 3.0, peers: int = 3) -> DataFrame:

@@ -146,6 +146,43 @@ def test_chains_and_voxels(spark):
     assert sorted(r.points for r in clusters) == [30, 50]
 
 
+def test_chains_and_voxels_are_joined_where_they_are(spark, monkeypatch):
+    """Small clips and points of one cube of cells need no links between tasks."""
+    def never(*_):
+        raise AssertionError("links were made")
+
+    monkeypatch.setattr(scene, "connected_components", never)
+    row = [(c, i, 0.5 * i, 0.0, 0.0, 0.3, 0.1, 0.1) for c in range(3) for i in range(5)]
+    got = scene.fragment_chains(spark.createDataFrame(row, "clip long, node long, px double, py double, pz double, ex double, ey double, ez double")).collect()
+    assert sorted((r.clip, r.component, r.members) for r in got) == [(c, 0, 5) for c in range(3)]
+    pts = spark.createDataFrame([(c, i * 0.4, 0.0, 0.0) for c in range(3) for i in range(30)], "clip long, x double, y double, z double")
+    assert sorted((r.clip, r.points) for r in scene.voxel_clusters(pts, ["clip"], 0.5).collect()) == [(c, 30) for c in range(3)]
+
+
+def test_chains_in_pieces_and_voxels_in_cubes(spark):
+    rnd = random.Random(4)
+    rows = [(c, i, *(rnd.uniform(0, s) for s in (14, 3, 3)), *(rnd.uniform(0.1, 0.9) for _ in range(3))) for c in ("a", "b", None) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "clip string, node long, px double, py double, pz double, ex double, ey double, ez double")
+    whole, cut = ({(r.clip, r.component, r.members, round(r.bx, 9), round(r.by, 9), round(r.bz, 9)) for r in scene.fragment_chains(nodes, 1.0, 1.0, small).collect()} for small in (64, 7))
+    assert whole == cut and len({r[0] for r in whole}) == 3
+
+    pts = [(c, *(rnd.randint(-9, 9) * 1.0 for _ in range(3))) for c in (1, 2) for _ in range(400)] + [(None, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 1.0), (1, None, 0.0, 0.0), (1, None, 0.0, 1.0)]
+    cells = {p for p in pts if None not in p}
+    want = [(1, 1)] * 2 + [(None, 1)] * 2
+    while cells:
+        todo, group = [cells.pop()], set()
+        while todo:
+            group.add(p := todo.pop())
+            near = {q for q in cells if p[0] == q[0] and max(abs(a - b) for a, b in zip(p[1:], q[1:])) <= 1}
+            cells -= near
+            todo += near
+        want.append((p[0], sum(q in group for q in pts)))
+    df = spark.createDataFrame(pts, "clip long, x double, y double, z double")
+    for width in (2, 5, 32):
+        got = scene.voxel_clusters(df, ["clip"], 1.0, 1, width).collect()
+        assert sorted(((r.clip, r.points) for r in got), key=str) == sorted(want, key=str) and len({r.component for r in got}) == len(got)
+
+
 def test_chains_of_any_clip_and_node_names(spark):
     """Clips are strings, nodes beyond a million; one huge node far away pairs with nobody, and clips do not meet."""
     schema = "clip string, node long, px double, py double, pz double, ex double, ey double, ez double"
